@@ -5,8 +5,9 @@ Pages with the same text count once, on both sides of the ratio: a page that was
 its own body into boilerplate.
 
 Pages travel as arrays of line hashes, never as text. At most ``mean lines of a page / max_ratio`` lines of a host can
-pass the ratio, so each host's boilerplate is a short array, and the documents are joined to it by host: no document
-line is shuffled a second time.
+pass the ratio, so each host's boilerplate is a short array, and the documents are joined to it by host. That table is
+broadcast if it measures at most ``BROADCAST_BYTES``; beyond it, hosts are dealt out with one salt for every
+``SALT_PAGES`` pages, so no task gets more of a hot host than that.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
+BROADCAST_BYTES = 32 << 20
+SALT_PAGES = 50_000
+
 
 def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
@@ -37,6 +43,17 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     )
 
 
+def _with_boilerplate(named: DataFrame, found: DataFrame) -> DataFrame:
+    """``named`` with _boiler, the boilerplate of its host, or null."""
+    found = cut(found.select("_host", F.col("keys").alias("_boiler"), F.ceil(F.col("host_pages") / SALT_PAGES).alias("_salts")))
+    measured = found.agg(F.sum(F.size("_boiler") * 8 + F.length("_host") + 64).alias("bytes")).first()["bytes"] or 0
+    if measured <= BROADCAST_BYTES:
+        return named.join(F.broadcast(found), "_host", "left").drop("_salts")
+    most = found.agg(F.max("_salts")).first()[0]
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1).cast("long")))).drop("_salts")
+    return named.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(most))).join(salted, ["_host", "_salt"], "left").drop("_salt")
+
+
 def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """``docs`` without the lines that are boilerplate of their host, and n_lines, n_dropped.
 
@@ -45,12 +62,12 @@ def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = 0.1, m
     lines; a text all of whose lines go becomes empty. Null hosts form one host. Repeated rows stay repeated.
     """
     named = docs.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
-    found = boilerplate(named.select("_host", "text").where(F.col("text").isNotNull()), max_ratio, min_pages).select("_host", F.col("keys").alias("_boiler"))
+    found = boilerplate(named.select("_host", "text").where(F.col("text").isNotNull()), max_ratio, min_pages)
     lines = F.split("text", "\n", -1)
+    joined = _with_boilerplate(named, found)
     kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_boiler", _key(x)))
     result = (
-        named.join(found, "_host", "left")
-        .withColumn("_lines", lines)
+        joined.withColumn("_lines", lines)
         .withColumn("_kept", F.when(F.col("_boiler").isNull(), F.col("_lines")).otherwise(kept))
         .withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines")), F.lit(0)).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines") - F.size("_kept")), F.lit(0)).cast("long"))
