@@ -75,8 +75,13 @@ def _n_words(pieces: Column) -> Column:
 
 def phrase_places(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), n_words, n_base, first_word, last_word, base (labels): one row for each row of ``docs``."""
-    anywhere = "|".join(f"(?<!{WORD}){phrase.replace(' ', GAP)}(?!{WORD})" for phrase, _ in PHRASES)
     words = F.col("_words")
+    maybe = F.lit(False)
+    for phrase, _ in PHRASES:
+        all_words = F.lit(True)
+        for word in phrase.split(" "):
+            all_words = all_words & F.contains(F.col("_low"), F.lit(word))
+        maybe = maybe | all_words
 
     def at(i: Column, phrase: str) -> Column:
         found = F.lit(True)
@@ -87,7 +92,7 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.coalesce(*[F.when(at(i, phrase), True) for phrase, _ in PHRASES], F.lit(False)))
     labels = [F.when(F.exists(F.col("_places"), (lambda p: lambda i: at(i, p))(phrase)), F.lit(label)) for phrase, label in PHRASES]
     return (
-        docs.withColumn("_found", F.col("_low").rlike(anywhere))
+        docs.withColumn("_found", maybe)
         .withColumn("_words", F.when(F.col("_found"), F.filter(F.split("_low", GAP), lambda w: w != "")))
         .withColumn("_places", F.when(F.col("_found"), places))
         .select(
@@ -112,7 +117,7 @@ def template_matches(docs: DataFrame, threshold: float, templates=TEMPLATES, blo
     vocabulary = sorted({w for _, _, words in sets for w in words})
     blocks = docs.select("doc_id", "key", F.posexplode(F.split("_low", block)).alias("block", "_text")).select("doc_id", "key", "block", F.split("_text", GAP).alias("_words"))
     # Blocks with each template word: at most one row for each word of the templates comes back.
-    held = blocks.select(F.explode(F.array_distinct("_words")).alias("word")).join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string")), "word").groupBy("word").count()
+    held = blocks.select(F.explode(F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), "_words")).alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in held.collect()}
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, join_by_key
 
 #: Weights of the sources in code point order, repeating.
 CYCLE = (1, 2, 3)
@@ -76,7 +76,7 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 def place(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds _start, the offset of each row's first word among its source's, to ``rows`` (sk, h, doc_id, size)."""
-    bucketed = rows.join(sources.select("sk", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("_buckets")), "sk").withColumn("_bucket", F.pmod("h", "_buckets")).drop("_buckets")
+    bucketed = join_by_key(rows, sources.select("sk", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("_buckets")), "sk", F.col("h")).withColumn("_bucket", F.pmod("h", "_buckets")).drop("_buckets")
     within = Window.partitionBy("sk", "_bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("sk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy("sk", "_bucket").agg(F.sum("size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
@@ -155,7 +155,7 @@ def plan_mix(docs: DataFrame, block_words: int = 128, shard_blocks: int = 512, m
     )
     empty = rows.where(F.col("size") == 0).select("sk", "doc_id", "h", "size", F.lit(0).cast("long").alias("taken"), F.array().cast(taken.schema["spans"].dataType).alias("spans"))
     both = taken.drop("_start").unionByName(empty)
-    return both.join(sources.select("sk", "source", "source_size", "target"), "sk").select("doc_id", "h", "source", "size", "source_size", "target", "taken", "spans")
+    return join_by_key(both, sources.select("sk", "source", "source_size", "target"), "sk", F.col("h")).select("doc_id", "h", "source", "size", "source_size", "target", "taken", "spans")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFrame:
