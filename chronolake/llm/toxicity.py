@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence is toxic with probability sigmoid(bias + sum of its words' weights), a
+A document is a bag of sentences. A sentence is toxic with probability sigmoid(bias + sum of the weights of its words and their beginnings), a
 document with 1 - product over its sentences of (1 - probability): noisy-or. Only documents have labels; the likelihood
 of these trains the word weights, and the sentence probabilities then show where the toxic sentences are.
 
@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, starts_of, sums_by, texts_of
-from .features import pairs_of, sigmoid, telling, word_codes
+from .common import cut, ragged, slices, starts_of, sums_by, texts_of
+from .features import sigmoid, telling_counts, word_and_stem_codes
 
 SENTENCE_END = r"[.!?\n]+"
 DIMENSION = 1 << 18
@@ -36,20 +36,26 @@ class Model:
     weights: np.ndarray
 
 
-def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document of each sentence, its number there; sentence of each word, the word's code). Each text has one at least."""
+def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document of each sentence, its number there; sentence of each word, its distinct word; features of these).
+
+    Each text has one sentence at least.
+    """
     parts, doc = ragged(pc.split_pattern_regex(texts, SENTENCE_END))
     number = np.arange(len(doc)) - starts_of(doc, len(texts))[doc] if len(doc) else np.zeros(0, np.int64)
     words, owner = ragged(pc.utf8_split_whitespace(parts))
-    return doc, number, owner, word_codes(words, DIMENSION)
+    codes, which = word_and_stem_codes(words, DIMENSION)
+    return doc, number, owner, which, codes
 
 
 def noisy_or(doc: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(sums_by(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def sentence_scores(model: Model, n: int, owner: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return sigmoid(model.bias + sums_by(owner, model.weights[codes], n))
+def sentence_scores(model: Model, n: int, owner: np.ndarray, which: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The weights of a word are summed once for each distinct word."""
+    own = np.where(codes >= 0, model.weights[codes], 0.0).sum(axis=1)
+    return sigmoid(model.bias + sums_by(owner, own[which], n))
 
 
 def held_out(doc_id="doc_id"):
@@ -58,47 +64,80 @@ def held_out(doc_id="doc_id"):
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
-    """doc, toxic, sentence (int array), code (int array): at most ``most_labels`` rows, those of smallest hash."""
+    """doc_id, toxic, n_sentences, sentence, code (32-bit integers as bytes): at most ``most_labels`` labels, those of smallest hash."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            doc, number, owner, codes = sentences(texts_of(batch))
-            bounds = starts_of(doc[owner] if len(owner) else owner, batch.num_rows)
+            doc, number, owner, which, codes = sentences(texts_of(batch))
+            at, column = np.nonzero(codes[which] >= 0)
+            sentence, code = owner[at], codes[which[at], column]
+            bounds = starts_of(doc[sentence], batch.num_rows) if len(sentence) else np.zeros(batch.num_rows + 1, np.int64)
             spans = list(zip(bounds[:-1], bounds[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([number[owner[a:b]].astype(np.int32) for a, b in spans], pa.list_(pa.int32())), pa.array([codes[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "sentence", "code"],
+                [
+                    batch.column("doc_id"),
+                    batch.column("toxic"),
+                    pa.array(np.bincount(doc, minlength=batch.num_rows).astype(np.int32)),
+                    pa.array([number[sentence[a:b]].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
+                    pa.array([code[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
+                ],
+                names=["doc_id", "toxic", "n_sentences", "sentence", "code"],
             )
 
-    return texts.mapInArrow(bags, "doc_id long, toxic int, sentence array<int>, code array<int>")
+    return texts.mapInArrow(bags, "doc_id long, toxic int, n_sentences int, sentence binary, code binary")
+
+
+def feature_counts(bags: DataFrame) -> DataFrame:
+    """code, held, ones: documents, and toxic documents, that hold each feature; DIMENSION rows at most."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ones = np.zeros(DIMENSION, np.int64), np.zeros(DIMENSION, np.int64)
+        for batch in batches:
+            for toxic, code in zip(batch.column("toxic").to_pylist(), batch.column("code").to_pylist(), strict=True):
+                own = np.unique(np.frombuffer(code, np.int32))
+                held[own] += 1
+                ones[own] += toxic
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some]), pa.array(ones[some])], names=["code", "held", "ones"])
 
+    return bags.select("toxic", "code").mapInArrow(counted, "code long, held long, ones long").groupBy("code").agg(F.sum("held").alias("held"), F.sum("ones").alias("ones")).where(F.col("held") >= 5)
 
-def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 6000, steps: int = 300, ridge: float = 1e-3) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, steps: int = 300, ridge: float = 1e-3) -> Model:
     """The model of the training rows of ``labels`` (doc_id, toxic); without any of one kind, all weights are 0.
 
-    Repeated rows of a document count as its texts' copies; a document labelled twice is toxic if either says so.
+    Repeated rows of a document count as its texts' copies; a document labelled twice is toxic if either says so. Only
+    features that tell the labels apart are trained and collected.
     """
-    rows = sorted(training_bags(docs, labels, most_labels).collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["toxic"] for r in rows], dtype=np.int64)
     weights = np.zeros(DIMENSION)
-    if not len(y) or y.min() == y.max():
-        return Model(float(np.log(1e-3)) if not y.any() else 0.0, weights)
-    sentence, doc, codes, done = [], [], [], 0
-    for k, r in enumerate(rows):
-        number = np.asarray(r["sentence"], dtype=np.int64)
-        sentence.append(number + done)
-        codes.append(np.asarray(r["code"], dtype=np.int64))
-        last = int(number.max()) + 1 if len(number) else 1
-        doc.append(np.full(last, k))
-        done += last
-    sentence, doc, codes = map(np.concatenate, (sentence, doc, codes))
-    used = telling(*pairs_of(doc[sentence], codes, DIMENSION), y, DIMENSION)
+    bags = cut(training_bags(docs, labels, most_labels))
+    y_n, y_1 = bags.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    y_1 = y_1 or 0
+    if not y_1 or y_1 == y_n:
+        return Model(float(np.log(1e-3)) if not y_1 else 0.0, weights)
+    held, ones = np.zeros(DIMENSION), np.zeros(DIMENSION)
+    for r in feature_counts(bags).collect():
+        held[r["code"]], ones[r["code"]] = r["held"], r["ones"]
+    used = telling_counts(held, ones, y_1, y_n)
     place = np.full(DIMENSION, -1)
     place[used] = np.arange(len(used))
-    keep = place[codes] >= 0
-    owner, feature = sentence[keep], place[codes[keep]]
+
+    def telling_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, c in zip(batch.column("sentence").to_pylist(), batch.column("code").to_pylist(), strict=True):
+                own = place[np.frombuffer(c, np.int32)]
+                out.append((np.frombuffer(s, np.int32)[own >= 0].tobytes(), own[own >= 0].astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "n_sentences")), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=batch.schema.names) if out else batch
+
+    rows = sorted(bags.mapInArrow(telling_only, bags.schema).collect(), key=lambda r: (r["doc_id"], r["n_sentences"]))
+    y = np.array([r["toxic"] for r in rows], dtype=np.int64)
+    doc = np.repeat(np.arange(len(rows)), [r["n_sentences"] for r in rows])
+    before = np.concatenate([[0], np.cumsum([r["n_sentences"] for r in rows])])
+    owner = np.concatenate([np.frombuffer(r["sentence"], np.int32).astype(np.int64) + before[k] for k, r in enumerate(rows)])
+    feature = np.concatenate([np.frombuffer(r["code"], np.int32).astype(np.int64) for r in rows])
 
     n, w, bias = len(rows), np.zeros(len(used)), -4.0
     moment, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -129,8 +168,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_sentences:
         own = sent.value
         for batch in slices(batches, "text", SLICE_BYTES):
             n = batch.num_rows
-            doc, number, owner, codes = sentences(texts_of(batch))
-            p = sentence_scores(own, len(doc), owner, codes)
+            doc, number, owner, which, codes = sentences(texts_of(batch))
+            p = sentence_scores(own, len(doc), owner, which, codes)
             bounds = starts_of(doc, n)
             worst = np.maximum.reduceat(p, bounds[:-1])
             first = np.full(n, -1)
