@@ -164,11 +164,15 @@ def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFra
     Copy k of a text holds the parts that the mix takes k times or more: the whole text unchanged if it takes all of
     them, else the words of those parts joined by spaces. Texts without words and texts the mix takes nothing of go.
     """
-    plan = plan_mix(docs, seed=seed, **options).where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "source", F.col("spans").alias("_spans"))
-    # Repeated rows are told apart by their number.
-    plan = plan.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("source", "_spans"))).drop("source")
-    rows = docs.withColumn("_k", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("source")))
-    joined = rows.join(plan, (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["times"])))))
+    plan = plan_mix(docs, seed=seed, **options).where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), F.col("spans").alias("_spans"))
+    plan = cut(plan)
+    rows = docs.withColumn("_k", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    met = (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    if plan.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():  # repeated rows: told apart by number
+        plan = plan.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_source", "_spans")))
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("source")))
+        met = met & (F.col("_n") == F.col("_m"))
+    joined = rows.join(plan, met).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["times"])))))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
     parts = F.filter("_spans", lambda s: s["times"] >= F.col("_copy"))
     some = F.array_join(F.flatten(F.transform("_parts", lambda s: F.slice(F.col("_words"), s["from"] + 1, s["words"]))), " ")

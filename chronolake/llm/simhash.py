@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, starts_of, texts_of, words_of
@@ -64,15 +64,16 @@ def fingerprints_of(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row of ``docs`` (doc_id, text). A null text counts as empty: 0."""
+def fingerprints(docs: DataFrame, width: int = 3, passing: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``passing`` and fp (the 64 bits as a long) of every row of ``docs``. A null text counts as empty: 0."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             fp = fingerprints_of(*shingle_hashes(texts_of(batch), width), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passing), pa.array(fp.view(np.int64))], names=[*passing, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, fp long")
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passing)
+    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, fields + ", fp long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -224,7 +225,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id that links reach, itself included): one row for each row of ``docs``.
+    """doc_id, fp, component_id (the smallest doc_id that links reach, itself included), component (its smallest fingerprint
+    as a long): one row for each row of ``docs``.
 
     Null and empty texts have fingerprint 0 and link like any other. A null doc_id takes part; a component of nothing
     but these has a null id. Only doc_id and text of ``docs`` are read.
@@ -233,8 +235,28 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     roots = components(near_links(distinct.select("fp"), radius))
     tied = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root")))
-    ids = tied.join(tied.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = tied.join(tied.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root").select("fp", "component_id", F.col("_root").alias("component"))
+    return rows.join(ids, "fp").select("doc_id", "fp", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (then fingerprint, then text).
+
+    Texts are shuffled once, to meet the ids that stay. Only where several rows of a component have the id that stays
+    (repeated rows, or none with an id) are the fingerprints of these rows taken again to tell them apart.
+    """
+    found = cut(near_duplicates(docs, radius, width))
+    staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many")).select(F.col("doc_id").alias("_id"), "_many")
+    staying = cut(staying)
+    kept = docs.join(staying, docs["doc_id"].eqNullSafe(staying["_id"]))
+    if not staying.where("_many").limit(1).count():
+        return kept.select(*docs.columns)
+    again = fingerprints(kept.where("_many").select(*docs.columns), width, passing=tuple(docs.columns))
+    first = Window.partitionBy("component").orderBy("fp", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    same = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "component").distinct()
+    told = again.alias("a").join(same.alias("s"), F.col("a.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("a.fp") == F.col("s.fp")))
+    one = told.select("a.*", "s.component").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return kept.where(~F.col("_many")).select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def hex_of(fp="fp"):

@@ -155,14 +155,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, steps: int
     return Model(float(bias), weights)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_sentences: bool = False) -> DataFrame:
-    """doc_id, score, predicted, n_sentences, worst_sentence, worst_score (and sentences: number and score of each at the threshold or above).
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_sentences: bool = False, passing: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``passing`` of ``docs``, score, predicted, n_sentences, worst_sentence, worst_score (and sentences: number and score of each at the threshold or above).
 
     One row for each row of ``docs``. A null or empty text is one sentence without words: it gets the bias alone.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    schema = "doc_id long, score double, n_sentences int, worst_sentence int, worst_score double" + ", sentences array<struct<number: int, score: double>>" * keep_sentences
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passing) + ", score double, n_sentences int, worst_sentence int, worst_score double" + ", sentences array<struct<number: int, score: double>>" * keep_sentences
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -175,12 +175,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_sentences:
             first = np.full(n, -1)
             at = np.flatnonzero(p == worst[doc])[::-1]
             first[doc[at]] = number[at]
-            columns = [batch.column("doc_id"), pa.array(noisy_or(doc, p, n)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(worst)]
+            columns = [*(batch.column(c) for c in passing), pa.array(noisy_or(doc, p, n)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(worst)]
             if keep_sentences:
                 over = np.flatnonzero(p >= threshold)
                 offsets = np.searchsorted(doc[over], np.arange(n + 1)).astype(np.int32)
                 spans = pa.StructArray.from_arrays([pa.array(number[over].astype(np.int32)), pa.array(p[over])], ["number", "score"])
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), spans))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "n_sentences", "worst_sentence", "worst_score"] + ["sentences"] * keep_sentences)
+            yield pa.RecordBatch.from_arrays(columns, names=[*passing, "score", "n_sentences", "worst_sentence", "worst_score"] + ["sentences"] * keep_sentences)
 
-    return docs.select("doc_id", "text").mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
