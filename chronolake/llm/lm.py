@@ -6,7 +6,7 @@ on. The empty n-gram, whose count is the number of words, is the context of sing
 
 The count tables are partitioned by hash. Documents are dealt into blocks of bounded size; a block sends its distinct
 n-grams, as sorted 64-bit hashes with counts, to the partitions of the tables, packed: one row for each block and
-partition. A partition adds the counts up and joins them back to each block's n-grams, in the order they came in, so only
+partition. Blocks travel compressed. A partition adds the counts up and joins them back to each block's n-grams, in the order they came in, so only
 counts return. The block joins them to its words' n-grams and sums per document. A frequent n-gram comes once from each
 block however often it stands there, so no key is hot, and no count is dropped.
 """
@@ -14,6 +14,7 @@ block however often it stands there, so no key is hot, and no count is dropped.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import starts_of, sums_by, texts_of, words_of
+from .common import slices, starts_of, sums_by, words_of
 
 #: Bytes of text in a block, and partitions of the tables for each block: what one task holds at a time.
 BLOCK_BYTES, PARTS = 24 << 20, 2
+PACK_BYTES, CODEC = 4 << 20, pa.Codec("zstd", compression_level=1)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -35,24 +37,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngrams(texts: pa.Array, order: int):
-    """(text of each word, its place there, for k = 0 .. order the hash of the k words that end at it)."""
-    words, owner = words_of(pc.ascii_lower(texts))
-    coded = words.dictionary_encode()
-    plain = np.asarray(coded.dictionary.to_pylist(), dtype=object)
-    one = _mixed((pd.util.hash_array(plain, categorize=False) if len(plain) else np.zeros(0, np.uint64))[np.asarray(coded.indices, dtype=np.int64)] + _MIX[0])
-    place = np.arange(len(owner)) - starts_of(owner, len(texts))[owner] if len(owner) else np.zeros(0, np.int64)
-    hashes = [np.full(len(owner), _MIX[0]), one]
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, text) -> rows (block, ids, lengths, size, texts): a block's texts of a slice, compressed together."""
+    for batch in slices(batches, "text", PACK_BYTES):
+        block = np.asarray(batch.column("block"))
+        order = np.argsort(block, kind="stable")
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]])
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = batch.take(pa.array(order[a:b]))
+            texts = [x.encode() for x in rows.column("text").to_pylist()]
+            whole = b"".join(texts)
+            out.append((int(block[order[a]]), rows.column("doc_id").to_pylist(), [len(x) for x in texts], len(whole), CODEC.compress(whole, asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()), strict=True)], names=["block", "ids", "lengths", "size", "texts"])
+
+
+def ngram_words(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of a block's texts; text of each word, its place there, its hash), a pack at a time."""
+    owners, places, hashes, n = [], [], [], 0
+    for lengths, size, data in zip(rows.column("lengths").to_pylist(), rows.column("size").to_pylist(), rows.column("texts").to_pylist(), strict=True):
+        whole = CODEC.decompress(data, decompressed_size=size) if size else pa.py_buffer(b"")
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        texts = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), whole)
+        words, owner = words_of(pc.ascii_lower(texts))
+        coded = words.dictionary_encode()
+        plain = np.asarray(coded.dictionary.to_pylist(), dtype=object)
+        hashes.append(_mixed((pd.util.hash_array(plain, categorize=False) if len(plain) else np.zeros(0, np.uint64))[np.asarray(coded.indices, dtype=np.int64)] + _MIX[0]))
+        places.append((np.arange(len(owner)) - starts_of(owner, len(texts))[owner]).astype(np.int32) if len(owner) else np.zeros(0, np.int32))
+        owners.append((owner + n).astype(np.int32))
+        n += len(lengths)
+    return rows.column("ids").combine_chunks().flatten(), np.concatenate(owners), np.concatenate(places), np.concatenate(hashes)
+
+
+def orders(one: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For k = 0 .. order the hash of the k words that end at each word."""
+    yield np.full(len(one), _MIX[0])
+    now = one
+    yield now
     for _ in range(2, order + 1):
-        longer = np.zeros(len(owner), np.uint64)
-        longer[1:] = _mixed(hashes[-1][:-1] * _MIX[0] + one[1:])
-        hashes.append(longer)
-    return owner, place, hashes[: order + 1]
+        longer = np.zeros(len(one), np.uint64)
+        longer[1:] = _mixed(now[:-1] * _MIX[0] + one[1:])
+        now = longer
+        yield now
 
 
 def _counted(hashes: np.ndarray, place: np.ndarray, k: int):
     """(distinct hashes, sorted; count of each; which words have a k-gram; the distinct hash of each of these)."""
-    have = np.flatnonzero(place >= k - 1)
+    have = np.flatnonzero(place >= k - 1).astype(np.int32)
     distinct, which, count = np.unique(hashes[have], return_inverse=True, return_counts=True)
     return distinct, count.astype(np.uint32), have, which.astype(np.int32)
 
@@ -83,13 +114,14 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     n_parts = n_blocks * PARTS
-    blocks = docs.select("doc_id", text.alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).select("block", "doc_id", "text").repartition(n_blocks, "block")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "text")
+    blocks = dealt.mapInArrow(packed, "block int, ids array<long>, lengths array<int>, size long, texts binary").repartition(n_blocks, "block")
 
     def sent(rows: pa.Table) -> pa.Table:
-        owner, place, hashes = ngrams(_text(rows), order)
+        _, _, place, one = ngram_words(rows)
         block, out = rows.column("block")[0].as_py(), []
-        for k in range(order + 1):
-            distinct, count, _, _ = _counted(hashes[k], place, k)
+        for k, hashes in enumerate(orders(one, order)):
+            distinct, count, _, _ = _counted(hashes, place, k)
             bounds = _bounds(distinct, n_parts)
             for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if b > a:
@@ -106,12 +138,12 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least
         return pa.table([rows.column("block"), rows.column("k"), rows.column("part"), pa.array(back, pa.binary())], names=["block", "k", "part", "totals"])
 
     def scored(rows: pa.Table, totals: pa.Table) -> pa.Table:
-        n = rows.num_rows
-        owner, place, hashes = ngrams(_text(rows), order)
+        ids, owner, place, one = ngram_words(rows)
+        n = len(ids)
         parts = sorted(zip(totals.column("k").to_pylist(), totals.column("part").to_pylist(), totals.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])
-        value, backs, context = np.zeros(len(owner)), np.zeros(len(owner), np.int64), None
-        for k in range(order + 1):
-            distinct, _, have, which = _counted(hashes[k], place, k)
+        value, backs, context = np.zeros(len(owner)), np.zeros(len(owner), np.int8), None
+        for k, hashes in enumerate(orders(one, order)):
+            _, _, have, which = _counted(hashes, place, k)
             total = np.concatenate([_from_planes(zlib.decompress(x), np.uint64) for j, _, x in parts if j == k] or [np.zeros(0, np.uint64)])
             count = np.zeros(len(owner))
             count[have] = total[which]
@@ -124,12 +156,9 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least
         words = np.bincount(owner, minlength=n)
         log_score = sums_by(owner, value, n)
         mean = pa.array(log_score / np.maximum(words, 1), mask=words == 0)
-        return pa.table([rows.column("doc_id"), pa.array(words.astype(np.int64)), pa.array(log_score), mean, pa.array(sums_by(owner, backs, n).astype(np.int64))], names=["doc_id", "n_words", "log_score", "score", "n_backoffs"])
+        return pa.table([ids, pa.array(words.astype(np.int64)), pa.array(log_score), mean, pa.array(sums_by(owner, backs, n).astype(np.int64))], names=["doc_id", "n_words", "log_score", "score", "n_backoffs"])
 
     counts = blocks.groupBy("block").applyInArrow(sent, "part int, block int, k int, hashes binary, counts binary")
     totals = counts.groupBy("part").applyInArrow(added, "block int, k int, part int, totals binary")
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, log_score double, score double, n_backoffs long")
 
-
-def _text(rows: pa.Table) -> pa.Array:
-    return texts_of(pa.RecordBatch.from_arrays([rows.column("text").combine_chunks()], names=["text"]))
