@@ -13,7 +13,6 @@ block however often it stands there, so no key is hot, and no count is dropped.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices, starts_of, sums_by, words_of
 
 #: Bytes of text in a block, and partitions of the tables for each block: what one task holds at a time.
-BLOCK_BYTES, PARTS = 24 << 20, 2
+BLOCK_BYTES, PARTS = 12 << 20, 2
 PACK_BYTES, CODEC = 4 << 20, pa.Codec("zstd", compression_level=1)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -90,11 +89,12 @@ def _counted(hashes: np.ndarray, place: np.ndarray, k: int):
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte after byte of all values: high bytes, mostly zero, lie together, where compression finds them."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return CODEC.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T), asbytes=True)
 
 
-def _from_planes(data: bytes, kind) -> np.ndarray:
+def _from_planes(data: bytes, n: int, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
+    data = CODEC.decompress(data, decompressed_size=n * width)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
@@ -125,26 +125,26 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least
             bounds = _bounds(distinct, n_parts)
             for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if b > a:
-                    out.append((part, block, k, _planes(np.diff(distinct[a:b], prepend=np.uint64(0))), _planes(count[a:b])))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "k", "hashes", "counts"])
+                    out.append((part, block, k, int(b - a), _planes(np.diff(distinct[a:b], prepend=np.uint64(0))), _planes(count[a:b])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "k", "n", "hashes", "counts"])
 
     def added(rows: pa.Table) -> pa.Table:
-        each = [np.cumsum(_from_planes(x, np.uint64)) for x in rows.column("hashes").to_pylist()]
-        counts = np.concatenate([_from_planes(x, np.uint32) for x in rows.column("counts").to_pylist()])
+        n = rows.column("n").to_pylist()
+        each = [np.cumsum(_from_planes(x, m, np.uint64)) for x, m in zip(rows.column("hashes").to_pylist(), n, strict=True)]
+        counts = np.concatenate([_from_planes(x, m, np.uint32) for x, m in zip(rows.column("counts").to_pylist(), n, strict=True)])
         _, which = np.unique(np.concatenate(each), return_inverse=True)
         totals = np.bincount(which, weights=counts).astype(np.uint64)[which]
-        ends = np.cumsum([len(x) for x in each])
-        back = [zlib.compress(_planes(x), 1) for x in np.split(totals, ends[:-1])]
-        return pa.table([rows.column("block"), rows.column("k"), rows.column("part"), pa.array(back, pa.binary())], names=["block", "k", "part", "totals"])
+        back = [_planes(x) for x in np.split(totals, np.cumsum(n)[:-1])]
+        return pa.table([rows.column("block"), rows.column("k"), rows.column("part"), rows.column("n"), pa.array(back, pa.binary())], names=["block", "k", "part", "n", "totals"])
 
     def scored(rows: pa.Table, totals: pa.Table) -> pa.Table:
         ids, owner, place, one = ngram_words(rows)
         n = len(ids)
-        parts = sorted(zip(totals.column("k").to_pylist(), totals.column("part").to_pylist(), totals.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])
+        parts = sorted(zip(totals.column("k").to_pylist(), totals.column("part").to_pylist(), totals.column("n").to_pylist(), totals.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])
         value, backs, context = np.zeros(len(owner)), np.zeros(len(owner), np.int8), None
         for k, hashes in enumerate(orders(one, order)):
             _, _, have, which = _counted(hashes, place, k)
-            total = np.concatenate([_from_planes(zlib.decompress(x), np.uint64) for j, _, x in parts if j == k] or [np.zeros(0, np.uint64)])
+            total = np.concatenate([_from_planes(x, m, np.uint64) for j, _, m, x in parts if j == k] or [np.zeros(0, np.uint64)])
             count = np.zeros(len(owner))
             count[have] = total[which]
             if k:
@@ -158,7 +158,7 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least
         mean = pa.array(log_score / np.maximum(words, 1), mask=words == 0)
         return pa.table([ids, pa.array(words.astype(np.int64)), pa.array(log_score), mean, pa.array(sums_by(owner, backs, n).astype(np.int64))], names=["doc_id", "n_words", "log_score", "score", "n_backoffs"])
 
-    counts = blocks.groupBy("block").applyInArrow(sent, "part int, block int, k int, hashes binary, counts binary")
-    totals = counts.groupBy("part").applyInArrow(added, "block int, k int, part int, totals binary")
+    counts = blocks.groupBy("block").applyInArrow(sent, "part int, block int, k int, n int, hashes binary, counts binary")
+    totals = counts.groupBy("part").applyInArrow(added, "block int, k int, part int, n int, totals binary")
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scored, "doc_id long, n_words long, log_score double, score double, n_backoffs long")
 
