@@ -25,19 +25,18 @@ from .common import slices, texts_of
 SLICE_BYTES = 2 << 20
 #: Bytes of pieces in one recursive query; pieces above LONG bytes go through the second form.
 QUERY_BYTES, LONG = 400_000, 48
-#: Pieces that a worker remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Pieces that a worker remembers; then it keeps those that came more than once, half of that at most.
+REMEMBERED = 1_000_000
 
 #: Contracts one pair of each piece in a round.
 _ONE = """
 WITH RECURSIVE t(w, pos, tok, step) AS (
   SELECT w, pos, tok, 0 FROM bytes_in
   UNION ALL
-  SELECT c.w, c.pos, CASE WHEN c.pos = b.best & 4294967295 THEN (b.best >> 32)::INTEGER ELSE c.tok END, c.step + 1
-  FROM (SELECT w, pos, tok, step, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS before FROM t) c
-  JOIN (SELECT p.w, min((m.merged::BIGINT << 32) | p.pos) AS best
-        FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM t) p JOIN merges m ON m.a = p.tok AND m.b = p.next GROUP BY p.w) b ON b.w = c.w
-  WHERE c.before IS NULL OR c.before <> b.best & 4294967295
+  (WITH p AS MATERIALIZED (SELECT *, lead(tok) OVER o AS next, lag(pos) OVER o AS before FROM t WINDOW o AS (PARTITION BY w ORDER BY pos)),
+   b AS (SELECT p.w, min((m.merged::BIGINT << 32) | p.pos) AS best FROM p JOIN merges m ON m.a = p.tok AND m.b = p.next GROUP BY p.w)
+   SELECT p.w, p.pos, CASE WHEN p.pos = b.best & 4294967295 THEN (b.best >> 32)::INTEGER ELSE p.tok END, p.step + 1
+   FROM p JOIN b ON b.w = p.w WHERE p.before IS NULL OR p.before <> b.best & 4294967295)
 )
 """
 #: Contracts all places of each piece's least pair in a round; in a run of overlapping places every second one, from the left.
@@ -56,7 +55,7 @@ WITH RECURSIVE t(w, pos, tok, step) AS (
 """
 _LAST = """
 , done AS (SELECT t.w, t.pos, t.tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) l ON l.w = t.w AND l.step = t.step)
-SELECT w, list(tok ORDER BY pos) AS ids FROM done GROUP BY w ORDER BY w
+SELECT d.w, list(d.tok ORDER BY d.pos) AS ids, unhex(string_agg(v.hexed, '' ORDER BY d.pos)) AS bytes FROM done d JOIN vocabulary v ON v.id = d.tok GROUP BY d.w ORDER BY d.w
 """
 _DECODE = "SELECT i.w, unhex(string_agg(v.hexed, '' ORDER BY i.pos)) AS bytes FROM ids_in i JOIN vocabulary v ON v.id = i.tok GROUP BY i.w ORDER BY i.w"
 
@@ -74,6 +73,7 @@ class Coder:
         self.source, self.ranks = ranks, dict(ranks)  # the source stays, so that no other list gets its id
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.again: set[str] = set()
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in ranks for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         columns = dict(zip(("a", "b", "merged"), map(np.array, zip(*merges, strict=True)), strict=True)) if merges else {c: np.zeros(0, np.int64) for c in ("a", "b", "merged")}
@@ -93,10 +93,11 @@ class Coder:
         pos = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         return pa.table({"w": w, "pos": pos, "tok": np.concatenate(items).astype(np.int32)})
 
-    def merge(self, pieces: list[bytes], form: str) -> list[list[int]]:
-        """Token ids of each piece, by the recursive query."""
+    def merge(self, pieces: list[bytes], form: str) -> list[tuple[list[int], bytes]]:
+        """Token ids of each piece by the recursive query, and the bytes these decode to."""
         self._table("bytes_in", self._rows([self.of_byte[np.frombuffer(p, np.uint8)] for p in pieces]))
-        return self.duck.sql(form + _LAST).to_arrow_table().column("ids").to_pylist()
+        made = self.duck.sql(form + _LAST).to_arrow_table()
+        return list(zip(made.column("ids").to_pylist(), made.column("bytes").to_pylist(), strict=True))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, none empty."""
@@ -106,8 +107,11 @@ class Coder:
     def learn(self, pieces) -> None:
         """Encodes the pieces not known yet. A piece that is a token is that token."""
         new = [p for p in pieces if p not in self.known]
+        self.again.update(p for p in pieces if p in self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(pieces)
+            kept = self.again if len(self.again) <= REMEMBERED // 2 else set()
+            self.known, self.again = {p: self.known[p] for p in self.known if p in kept}, set()
+            new = [p for p in pieces if p not in self.known]
         short, long, one = [], [], []
         for p in new:
             data = p.encode("utf-8", "surrogatepass")
@@ -119,8 +123,12 @@ class Coder:
                 while end < len(some) and (end == begin or size + len(some[end][1]) <= QUERY_BYTES):
                     size, end = size + len(some[end][1]), end + 1
                 part = some[begin:end]
-                ids = [[self.ranks[data]] for _, data in part] if form is None else self.merge([data for _, data in part], form)
-                for (p, _), own, back in zip(part, ids, self.decode(ids), strict=True):
+                if form is None:
+                    ids = [[self.ranks[data]] for _, data in part]
+                    made = zip(ids, self.decode(ids), strict=True)
+                else:
+                    made = self.merge([data for _, data in part], form)
+                for (p, _), (own, back) in zip(part, made, strict=True):
                     self.known[p] = (np.array(own, np.int32).tobytes(), back)
                 begin = end
 
@@ -128,8 +136,11 @@ class Coder:
         """(ids as 32-bit integers, the bytes they decode to) of each text."""
         cut = [self.pattern.findall(t) for t in texts]
         self.learn(set().union(*cut))
-        known = self.known
-        return [(b"".join([known[p][0] for p in pieces]), b"".join([known[p][1] for p in pieces])) for pieces in cut]
+        known, out = self.known, []
+        for pieces in cut:
+            found = [known[p] for p in pieces]
+            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        return out
 
 
 _coders: dict[tuple, Coder] = {}
