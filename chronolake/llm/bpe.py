@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import kept, slices, texts_of
 
 SLICE_BYTES = 2 << 20
 #: Bytes of pieces in one recursive query; pieces above LONG bytes go through the second form.
@@ -70,7 +70,7 @@ class Coder:
     """A vocabulary in DuckDB. One connection in each worker, one thread, bounded memory, nothing on disk."""
 
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
-        self.source, self.ranks = ranks, dict(ranks)  # the source stays, so that no other list gets its id
+        self.source, self.ranks = ranks, dict(ranks)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.again: set[str] = set()
@@ -143,16 +143,12 @@ class Coder:
         return out
 
 
-_coders: dict[tuple, Coder] = {}
-
-
 def _coder(ranks: list[tuple[bytes, int]], pattern: str) -> Coder:
     """This worker's coder; one vocabulary at a time."""
-    key = (id(ranks), pattern)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(ranks, pattern)
-    return _coders[key]
+    coder = kept.get("bpe")
+    if coder is None or coder.source is not ranks or coder.pattern.pattern != pattern:
+        coder = kept["bpe"] = Coder(ranks, pattern)
+    return coder
 
 
 def tokenize(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, passing: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -169,8 +165,9 @@ def tokenize(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, pass
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passing) + ", token_ids array<int>, decoded binary"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(sent.value, pattern)
-        for batch in slices(batches, "text", SLICE_BYTES):
+        coder = None
+        for batch in slices(batches, "text", SLICE_BYTES, "bpe"):
+            coder = coder or _coder(sent.value, pattern)
             made = coder.encode(texts_of(batch).to_pylist())
             offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in made)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids for ids, _ in made), np.int32)))

@@ -70,8 +70,18 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose ``column`` (a string) holds at most ``most_bytes``, or single longer rows: bounded memory."""
+#: What a Python worker keeps from one task to the next, by operator.
+kept: dict[str, object] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, operator: str = "") -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose ``column`` (a string) holds at most ``most_bytes``, or single longer rows: bounded memory.
+
+    A worker that serves several operators in turn first lets go of what it keeps for another one.
+    """
+    for other in [x for x in kept if x != operator]:
+        del kept[other]
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -85,8 +95,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The column with nulls as empty texts, with 64-bit offsets."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The column with nulls as empty texts, with 64-bit offsets, in buffers of its own.
+
+    Some string kernels read a slice from the wrong place, so the rows are copied out of the batch first.
+    """
+    own = batch.column(column).take(pa.array(np.arange(batch.num_rows)))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def ragged(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:

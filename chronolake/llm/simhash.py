@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, starts_of, texts_of, words_of
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SEED = 42
 BANDS = 4
 #: Rows of a key that are compared at once; larger keys are dealt into cells of two such parts.
@@ -242,12 +242,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (then fingerprint, then text).
 
-    Texts are shuffled once, to meet the ids that stay. Only where several rows of a component have the id that stays
-    (repeated rows, or none with an id) are the fingerprints of these rows taken again to tell them apart.
+    Texts are shuffled once, to meet the ids that stay. Only the rows of ids that several rows have (repeated rows, or
+    rows without an id) have their fingerprints taken again, to tell them apart.
     """
     found = cut(near_duplicates(docs, radius, width))
-    staying = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many")).select(F.col("doc_id").alias("_id"), "_many")
-    staying = cut(staying)
+    ids = found.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    staying = cut(ids.where("_stays").select(F.col("doc_id").alias("_id"), "_many"))
     kept = docs.join(staying, docs["doc_id"].eqNullSafe(staying["_id"]))
     if not staying.where("_many").limit(1).count():
         return kept.select(*docs.columns)
