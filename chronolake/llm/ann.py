@@ -53,23 +53,34 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndar
     return packed(turned > 0), length, np.maximum(along, 1e-9)
 
 
-def estimates(query: np.ndarray, centre: np.ndarray, codes: np.ndarray, length: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of a query with coded vectors, and the bound on their error."""
-    d = len(query)
-    turned = rotation(d) @ query
-    low, high = turned.min(), turned.max()
-    step = max((high - low) / ((1 << QUERY_BITS) - 1), 1e-300)
-    levels = np.rint((turned - low) / step).astype(np.int64)
-    common = np.zeros(len(codes))
-    for bit in range(QUERY_BITS):
-        plane = packed((levels >> bit & 1).astype(bool)[None, :])[0]
-        common += float(1 << bit) * np.bitwise_count(codes & plane).sum(axis=1)
-    ones = np.bitwise_count(codes).sum(axis=1)
-    quantised = low + step * levels
-    product = (2 * (low * ones + step * common) - quantised.sum()) / np.sqrt(d)
-    norm = np.sqrt((query**2).sum())
-    error = norm * np.sqrt(np.maximum(1 - along**2, 0) / along**2) * SIGMAS / np.sqrt(max(d - 1, 1)) + step / 2 * np.sqrt(d) / along
-    return centre @ query + length * product / along, length * error
+class Block:
+    """Coded vectors, with what does not depend on the query."""
+
+    def __init__(self, vectors: np.ndarray, centre: np.ndarray):
+        codes, length, self.along = encode(vectors, centre)
+        d = vectors.shape[1]
+        self.centre, self.words = centre, [np.ascontiguousarray(codes[:, w]) for w in range(codes.shape[1])]
+        self.ones = np.bitwise_count(codes).sum(axis=1).astype(np.float64)
+        self.longest = np.sqrt((vectors**2).sum(axis=1).max())
+        self.scale = length / self.along
+        self.spread = length * np.sqrt(np.maximum(1 - self.along**2, 0)) / self.along * SIGMAS / np.sqrt(max(d - 1, 1))
+
+    def estimates(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of a query with the vectors, and the bound on their error."""
+        d = len(query)
+        turned = rotation(d) @ query
+        low, high = turned.min(), turned.max()
+        step = max((high - low) / ((1 << QUERY_BITS) - 1), 1e-300)
+        levels = np.rint((turned - low) / step).astype(np.int64)
+        common = np.zeros(len(self.ones), np.int32)
+        for bit in range(QUERY_BITS):
+            plane = packed((levels >> bit & 1).astype(bool)[None, :])[0]
+            for word, mask in zip(self.words, plane, strict=True):
+                common += np.bitwise_count(word & mask).astype(np.int32) << bit
+        quantised = low + step * levels
+        product = (2 * (low * self.ones + step * common) - quantised.sum()) / np.sqrt(d)
+        norm = np.sqrt((query**2).sum())
+        return self.centre @ query + self.scale * product, norm * self.spread + self.scale * (step / 2 * np.sqrt(d))
 
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -80,20 +91,25 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of_block(query_ids, queries, ids, vectors, centre, codes, length, along, k: int, first: int = 64):
+def best_of_block(query_ids, queries, ids, vectors, centre, k: int, first: int = 64):
     """Rows (query id, vector id, score): each query's k best of a block of vectors, its own row left out."""
-    out = []
+    out, block, slack = [], Block(vectors, centre), 1e-12
     for own, query in zip(query_ids, queries, strict=True):
-        guess, error = estimates(query, centre, codes, length, along)
+        guess, error = block.estimates(query)
         guess[ids == own] = -np.inf
         tried = np.argpartition(-guess, min(first, len(ids)) - 1)[:first]
         tried = tried[np.isfinite(guess[tried])]
-        scores = exact(query, vectors[tried])
         if len(tried) >= k:
+            scores = vectors[tried] @ query
+            least = np.partition(scores, len(scores) - k)[len(scores) - k]
+            more = np.flatnonzero(guess + error >= least - slack * np.abs(least))
+            more = more[ids[more] != own]
+            tried = np.union1d(tried, more)
+            # Matrix products round equal rows differently, so they only screen; what can be among the k best is summed in order.
+            scores = vectors[tried] @ query
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            more = np.flatnonzero(guess + error >= least)
-            tried = np.setdiff1d(np.union1d(tried, more), np.flatnonzero(ids == own))
-            scores = exact(query, vectors[tried])
+            tried = tried[scores >= least - slack * np.sqrt((query**2).sum()) * block.longest]
+        scores = exact(query, vectors[tried])
         order = np.lexsort((ids[tried], -scores))[:k]
         out.append((np.full(len(order), own), ids[tried][order], scores[order]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -141,7 +157,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = [np.asarray(t.column("_id")) for t in (left, right)]
         own, others = (np.frombuffer(b"".join(t.column("_v").to_pylist()), dtype=np.float64).reshape(-1, d) for t in (left, right))
-        found = best_of_block(ids[0], own, ids[1], others, centre, *encode(others, centre), k) if len(own) and len(others) else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        found = best_of_block(ids[0], own, ids[1], others, centre, k) if len(own) and len(others) else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": pa.array(found[0]), "vec_id": pa.array(found[1]), "score": pa.array(found[2])})
 
     pairs = queries.groupBy("_q", "_b").cogroup(against.groupBy("_q", "_b")).applyInArrow(compared, schema)
