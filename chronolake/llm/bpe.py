@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices, texts_of
+from .common import kept, slices
 
 SLICE_BYTES = 2 << 20
 #: Bytes of pieces in one recursive query; pieces above LONG bytes go through the second form.
@@ -168,7 +168,7 @@ def tokenize(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, pass
         coder = None
         for batch in slices(batches, "text", SLICE_BYTES, "bpe"):
             coder = coder or _coder(sent.value, pattern)
-            made = coder.encode(texts_of(batch).to_pylist())
+            made = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in made)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids for ids, _ in made), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passing), ids, pa.array([back for _, back in made], pa.binary())], names=names)
