@@ -183,3 +183,62 @@ def classify_regime(evidence: DataFrame) -> DataFrame:
         .otherwise("goldilocks")
     )
     return states.withColumn("regime", regime)
+
+
+def market_window(bars: DataFrame, sessions: DataFrame, key: str, decision: Column, n: int = 253, skip: int = 21, stale_days: int = 7) -> DataFrame:
+    """key, n_bars, momentum, volatility, problem from each key's last ``n`` bars up to ``decision``.
+
+    The bars must be the exchange's sessions without a hole up to the decision, with complete actions and one split basis.
+    Momentum leaves the latest ``skip`` sessions out; volatility is annualised by 252. ``bars``: key, date, close,
+    split_ratio, dividends, actions_complete, close_split_adjusted, one row for each date; a missing ratio is 1 and a missing dividend 0.
+    ``sessions`` (date), some 250 a year, are broadcast.
+    """
+    c = F.col
+    calendar = sessions.where(c("date") <= decision).select("date").distinct().withColumn("_at", F.row_number().over(Window.orderBy(F.desc("date"))))
+    newest = Window.partitionBy(key).orderBy(F.desc("date"))
+    last = bars.where(c("date") <= decision).withColumn("_r", F.row_number().over(newest)).where(c("_r") <= n)
+    placed = last.join(F.broadcast(calendar), "date", "left")
+    ratio = F.when(F.coalesce("close_split_adjusted", F.lit(False)), 1.0).otherwise(F.coalesce("split_ratio", F.lit(1.0)))
+    before = F.lag("close").over(Window.partitionBy(key).orderBy("date"))
+    oldest = c("_r") == F.count(F.lit(1)).over(Window.partitionBy(key))
+    gross = F.when(before > 0, ratio * (c("close") + F.coalesce("dividends", F.lit(0.0))) / before)
+    fine = F.coalesce((c("close") > 0) & (F.coalesce("split_ratio", F.lit(1.0)) > 0) & (F.coalesce("dividends", F.lit(0.0)) >= 0) & ~F.isnan("close"), F.lit(False))
+    rows = placed.withColumns({"_gross": gross, "_fine": F.when(oldest, F.coalesce(c("close") > 0, F.lit(False))).otherwise(fine)})
+    found = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_bars"),
+        F.count_if(~F.coalesce("actions_complete", F.lit(False))).alias("_open"),
+        F.count_if(c("close_split_adjusted").isNull()).alias("_unknown"),
+        F.countDistinct("close_split_adjusted").alias("_bases"),
+        F.datediff(decision, F.max("date")).alias("_stale"),
+        F.count_if(F.coalesce(c("_at") != c("_r"), F.lit(True))).alias("_off"),
+        F.count_if(~c("_fine")).alias("_bad"),
+        F.product(F.when(c("_r") > skip, c("_gross"))).alias("_grown"),
+        F.stddev_samp(c("_gross") - 1).alias("_spread"),
+    )
+    problem = (
+        F.when(c("n_bars") < n, "too few prices")
+        .when(c("_open") > 0, "unverified corporate actions")
+        .when(c("_unknown") > 0, "split basis unknown")
+        .when(c("_bases") > 1, "mixed split basis")
+        .when(c("_stale") > stale_days, "stale price")
+        .when(c("_off") > 0, "missing sessions")
+        .when(c("_bad") > 0, "invalid price or action")
+    )
+    whole = lambda x: F.when(c("problem").isNull(), x)
+    return found.withColumn("problem", problem).select(key, "n_bars", whole(c("_grown") - 1).alias("momentum"), whole(c("_spread") * F.sqrt(F.lit(252.0))).alias("volatility"), "problem")
+
+
+def audit(members: DataFrame, coverage: DataFrame, key: str, excluded: Sequence[str] = ()) -> DataFrame:
+    """Adds eligible and reasons: the sorted distinct reasons for which a member can't be held.
+
+    ``members``: key and missing (array); ``coverage``: key, has_price_history, has_pit_fundamentals, one row a key.
+    """
+    joined = members.join(coverage.select(key, "has_price_history", "has_pit_fundamentals"), key, "left")
+    no = F.lit(False)
+    own = F.array(
+        F.when(F.col(key).cast("string").isin(*excluded), "excluded") if excluded else F.lit(None).cast("string"),
+        F.when(~F.coalesce("has_price_history", no), "no price history"),
+        F.when(~F.coalesce("has_pit_fundamentals", no), "no point-in-time fundamentals"),
+    )
+    reasons = F.array_sort(F.array_distinct(F.concat(F.array_compact(own), F.coalesce("missing", F.array().cast("array<string>")))))
+    return joined.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)

@@ -36,6 +36,23 @@ def gaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return following.where(F.col("_next").isNotNull()).select(*keys, F.col("end").alias("start"), F.col("_next").alias("end"))
 
 
+def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, start, end: what the intervals of the left cover and those of the right don't.
+
+    A sweep: every boundary of a key is one row, and depth counts how many of each side are open after it.
+    """
+
+    def edges(df: DataFrame, a: int, b: int) -> DataFrame:
+        closed = _closed(df).where(F.col("start") < F.col("end"))
+        return closed.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(a).alias("l"), F.lit(b).alias("r")), F.struct(F.col("end").alias("at"), F.lit(-a).alias("l"), F.lit(-b).alias("r")))).alias("_e")).select(*keys, "_e.*")
+
+    steps = edges(left, 1, 0).unionByName(edges(right, 0, 1)).groupBy(*keys, "at").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("l").over(upto).alias("_l"), F.sum("r").over(upto).alias("_r"))
+    return merge(swept.where("_l > 0 AND _r = 0").select(*keys, "start", "end"), keys)
+
+
 def overlaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that start before the row before them (of the same key) has ended."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
