@@ -99,3 +99,53 @@ def company_facts(documents: DataFrame) -> DataFrame:
     label = F.when(F.col("fp") == "FY", F.concat(F.lit("FY"), "fy")).when(F.col("fp").rlike("^Q[1-4]$"), F.concat("fp", F.lit("_"), "fy")).otherwise("INST")
     typed = rows.withColumns({"start": day("start"), "end": day("end"), "filed": day("filed")}).withColumn("label", label)
     return typed.where(F.col("end").isNotNull() & F.col("filed").isNotNull() & (F.col("end") <= F.col("filed")))
+
+
+#: Reports that carry financial statements. Fixed values.
+PERIODIC_FORMS = ("10-K", "10-Q", "10-K/A", "10-Q/A", "20-F", "40-F")
+
+
+def filings(documents: DataFrame) -> DataFrame:
+    """key, position, accn, form, filed, period of submission documents, whose recent filings are parallel arrays."""
+    shape = "struct<filings: struct<recent: struct<accessionNumber: array<string>, form: array<string>, filingDate: array<string>, periodOfReport: array<string>>>>"
+    recent = F.from_json("payload", shape)["filings"]["recent"]
+    zipped = F.arrays_zip(recent["accessionNumber"].alias("accn"), recent["form"].alias("form"), recent["filingDate"].alias("filed"), recent["periodOfReport"].alias("period"))
+    rows = documents.select("key", F.posexplode(zipped).alias("position", "_f")).select("key", "position", "_f.*")
+    return rows.withColumns({"filed": F.expr("try_cast(filed AS date)"), "period": F.expr("try_cast(period AS date)")})
+
+
+def filing_dates(rows: DataFrame) -> DataFrame:
+    """key, period, filed: the date of the last listed periodic filing of each period (of ``filings``)."""
+    periodic = rows.where(F.col("form").isin(*PERIODIC_FORMS) & F.col("period").isNotNull() & F.col("filed").isNotNull())
+    return periodic.groupBy("key", "period").agg(F.max_by("filed", "position").alias("filed"))
+
+
+def csv_bars(documents: DataFrame) -> DataFrame:
+    """key, date, open, high, low, close, volume, problem of CSV documents with the header Date,Open,High,Low,Close[,Volume].
+
+    A byte-order mark is skipped; a document of "No data" has no rows; another header is one row with a problem. Bars of
+    this form know nothing of splits or dividends.
+    """
+    lines = F.split(F.regexp_replace(F.trim(F.col("payload")), "^\ufeff", ""), "\r?\n")
+    rows = documents.where(F.lower(F.regexp_replace(F.trim("payload"), "^\ufeff", "")) != "no data").withColumn("_lines", lines)
+    header = F.lower(F.trim(F.element_at("_lines", 1)))
+    fine = header.isin("date,open,high,low,close", "date,open,high,low,close,volume")
+    wrong = rows.where(~F.coalesce(fine, F.lit(False))).select("key", F.lit("header is not that of daily bars").alias("problem"))
+    cells = rows.where(fine).select("key", F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line")).where(F.trim("_line") != "").withColumn("_c", F.split("_line", ","))
+    number = lambda i: F.expr(f"try_cast(get(_c, {i}) AS double)")
+    typed = cells.select("key", F.expr("try_cast(get(_c, 0) AS date)").alias("date"), *[number(i).alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)], F.expr("try_cast(try_cast(get(_c, 5) AS double) AS bigint)").alias("volume"))
+    envelope = (F.col("high") >= F.greatest("open", "low", "close")) & (F.col("low") <= F.least("open", "high", "close"))
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("key", "date")) > 1
+    positive = F.coalesce(_positive("open") & _positive("high") & _positive("low") & _positive("close"), F.lit(False))
+    problem = F.when(F.col("date").isNull(), "lacks a date").when(repeated, "duplicate date").when(~positive, "price is not positive").when(~envelope, "prices are not within high and low")
+    return typed.withColumn("problem", problem).unionByName(wrong, allowMissingColumns=True)
+
+
+def first_provider(bars: dict[str, DataFrame]) -> DataFrame:
+    """The bars of the first provider, in the order given, that has any for a key, with its name in ``provider``."""
+    whole = None
+    for rank, (name, rows) in enumerate(bars.items()):
+        named = rows.withColumns({"provider": F.lit(name), "_rank": F.lit(rank)})
+        whole = named if whole is None else whole.unionByName(named, allowMissingColumns=True)
+    best = whole.groupBy("key").agg(F.min("_rank").alias("_rank"))
+    return whole.join(best, ["key", "_rank"]).drop("_rank")
