@@ -239,19 +239,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (then fingerprint, then text).
+def keep_one(docs: DataFrame, grouped=near_duplicates, printed=fingerprints) -> DataFrame:
+    """``docs`` with one row of each component of ``grouped``: that of the smallest doc_id (then fingerprint, then text).
+
+    ``printed`` gives the fingerprints that ``grouped`` goes by, with the columns asked for.
 
     Texts are shuffled once, to meet the ids that stay. Only the rows of ids that several rows have (repeated rows, or
     rows without an id) have their fingerprints taken again, to tell them apart.
     """
-    found = cut(near_duplicates(docs, radius, width))
+    found = cut(grouped(docs))
     ids = found.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
     staying = cut(ids.where("_stays").select(F.col("doc_id").alias("_id"), "_many"))
     kept = docs.join(staying, docs["doc_id"].eqNullSafe(staying["_id"]))
     if not staying.where("_many").limit(1).count():
         return kept.select(*docs.columns)
-    again = fingerprints(kept.where("_many").select(*docs.columns), width, passing=tuple(docs.columns))
+    again = printed(kept.where("_many").select(*docs.columns), passing=tuple(docs.columns)).select(*docs.columns, "fp")
     first = Window.partitionBy("component").orderBy("fp", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     same = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "component").distinct()
     told = again.alias("a").join(same.alias("s"), F.col("a.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("a.fp") == F.col("s.fp")))
