@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from chronolake.llm import similar
+from chronolake.llm.simhash import fingerprints_of
 
 from .fixtures import documents, empty
 
@@ -39,6 +40,13 @@ def test_bit_sliced_links_equal_brute_force():
     assert set(zip(*similar.links_within(raw, 92, queries=100), strict=True)) == want and len(want) > 100
 
 
+def test_majorities_equal_plain_sums():
+    rng = np.random.default_rng(5)
+    owner = np.repeat(np.arange(7), [0, 1, 2, 255, 256, 1000, 0])
+    hashes = rng.integers(0, 2**64, len(owner), dtype=np.uint64)
+    assert (similar.majorities(hashes, owner, 7) == fingerprints_of(hashes, owner, 7)).all()
+
+
 def test_codes_estimate_similarity():
     rng = random.Random(2)
     words = [f"w{rng.randrange(5000)}" for _ in range(600)]
