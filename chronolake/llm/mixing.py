@@ -3,7 +3,7 @@
 The words of a source stand one after the other, documents in a pseudorandom order, and are packed into blocks of
 ``block_words``. Every shard of the output has ``shard_blocks`` slots; how many go to which source is a multinomial draw
 (what the weights give in whole slots is granted, only the remainders are drawn, which keeps the draw close to the
-weights). A source's slots are numbered through all shards; slot ``j`` takes block ``permutation(epoch, j mod n)`` of the
+weights; the remainders add up over the shards, so that all draws together make up what they leave). A source's slots are numbered through all shards; slot ``j`` takes block ``permutation(epoch, j mod n)`` of the
 source's ``n`` blocks, ``epoch = j div n``, where each epoch has a pseudorandom permutation of its own (swap-or-not
 rounds over the exact range). Blocks are then joined by index. Slots drawn beyond ``most_epochs`` whole epochs stay empty.
 
@@ -95,7 +95,6 @@ def slot_counts(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
         .withColumn("_part", F.col("_mean") - F.col("_sure"))
         .withColumn("_high", F.sum("_part").over(Window.orderBy("sk")))
         .withColumn("_parts", F.sum("_part").over(whole))
-        .withColumn("_draws", F.round("_parts").cast("int"))
     )
     bins = F.sequence(F.floor(F.col("_low") * CDF_BINS).cast("int"), F.least(F.lit(CDF_BINS - 1), F.floor(F.col("_up") * CDF_BINS).cast("int")))
     ranges = (
@@ -104,7 +103,14 @@ def slot_counts(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
         .withColumn("_up", F.when(F.col("_high") >= F.col("_parts"), 1.0).otherwise(F.col("_high") / F.col("_parts")))
         .select("sk", "_low", "_up", F.explode(bins).alias("_bin"))
     )
-    shards = shares.agg(F.max("_shards").alias("_shards"), F.max("_draws").alias("_draws")).where(F.col("_shards").isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard"), "_draws")
+    # Draws follow the running sum of the remainders; the last shard rounds what is left of it up.
+    until = F.when(F.col("shard") + 1 < F.col("_shards"), F.floor(F.col("_parts") * (F.col("shard") + 1) + 1e-9)).otherwise(F.ceil(F.col("_parts") * F.col("_shards") - 1e-9))
+    shards = (
+        shares.agg(F.max("_shards").alias("_shards"), F.max("_parts").alias("_parts"))
+        .where(F.col("_shards").isNotNull())
+        .select("_shards", "_parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard"))
+        .select("shard", (until - F.floor(F.col("_parts") * F.col("shard") + 1e-9)).cast("int").alias("_draws"))
+    )
     drawn = (
         shards.where(F.col("_draws") > 0)
         .select("shard", F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("_draw"))

@@ -106,6 +106,25 @@ def test_mixing(spark):
     assert mixing.plan_mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_tiny_source_beside_a_huge_one(spark):
+    """7 shards whose remainders sum to 0.49 each: the draws of all shards add up, and the tiny source keeps its place."""
+    huge = [(k, "w " * 2000, "a") for k in range(214)] + [(214, "w " * 1379, "a"), (215, "x " * 100, "b")]
+    plan = mixing.plan_mix(spark.createDataFrame(huge, "doc_id long, text string, source string")).collect()
+    assert {r["target"] for r in plan if r["source"] == "b"} == {300.0}
+    assert [r["taken"] for r in plan if r["source"] == "b"] in ([200], [300])
+
+
+@pytest.mark.parametrize("slots", [[3354.1, 2.7], [0.3, 0.2], [2000.4, 1000.3, 33.9], [512.0, 512.0]])
+def test_draws_make_up_the_expected_slots(spark, slots):
+    rows = spark.createDataFrame([(f"s{k}", x, 10**6) for k, x in enumerate(slots)], "sk string, slots double, blocks long")
+    got, shards = mixing.slot_counts(rows, 512, 1).collect(), max(1, -(-sum(slots) // 512))
+    assert sum(r["n"] for r in got) == np.ceil(sum(slots) - 1e-6)
+    whole = Counter()
+    for r in got:
+        whole[r["shard"]] += r["n"]
+    assert len(whole) == shards and max(whole.values()) - min(whole.values()) <= 2
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 64, 101):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5), F.lit("a"))).collect()]
