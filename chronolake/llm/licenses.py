@@ -8,6 +8,9 @@ three filters leave few pairs to compare, losing none:
 * length: it has at least ``need`` template words at all;
 * position: what follows a shared word on both sides must still suffice for ``need`` words.
 
+Blocks are lines. What is wrapped over several lines is found by windows of words: the same filters over whole texts leave
+few pairs of a text and a template, and of these every window that begins with a template word is counted.
+
 Everything runs as DataFrame operations. Only the templates' own vocabulary, which the list below bounds, is collected
 and sent along; blocks are never shuffled, only the few matches are.
 """
@@ -144,18 +147,45 @@ def template_matches(docs: DataFrame, threshold: float, templates=TEMPLATES, blo
     )
 
 
+def wrapped_matches(docs: DataFrame, threshold: float, templates=TEMPLATES) -> DataFrame:
+    """doc_id, key, block (-1 less the template), template, label, containment: the best window of each text of several lines
+    that holds ``threshold`` of a template's words, wherever its lines end. Windows have a quarter more words than the template.
+    """
+    texts = docs.where(F.contains("_low", F.lit("\n")))
+    long = [(k, math.ceil(1.25 * len(re.findall(f"{WORD}+", text.translate(str.maketrans(UPPER, LOWER))))), words) for (k, _, words), text in ((x, templates[x[0]][1]) for x in template_sets(templates))]
+    shape = docs.sparkSession.createDataFrame(long, "template int, _span int, _members array<string>")
+    likely = template_matches(texts, threshold, templates, block="(?!)").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "template", "label").join(F.broadcast(shape), "template")
+    words = F.filter(F.split("_low", GAP), lambda w: w != "")
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("_members", x["w"]))
+    within = lambda h, k: F.filter(F.slice("_hits", k + 1, F.col("_span")), lambda x: x["i"] < h["i"] + F.col("_span"))
+    held = F.transform("_hits", lambda h, k: F.size(F.array_distinct(F.transform(within(h, k), lambda x: x["w"]))))
+    return (
+        texts.join(likely, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        .withColumn("_hits", hits)
+        .withColumn("containment", F.array_max(held) / F.size("_members"))
+        .where(F.col("containment") >= threshold - 1e-12)
+        .select("doc_id", "key", (-1 - F.col("template")).alias("block"), "template", "label", "containment")
+        .distinct()
+    )
+
+
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES) -> DataFrame:
     """License labels of every whole text of ``docs`` (doc_id, text).
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks: one row for each row.
     A null text counts as empty: no words, no labels, score 0. Repeated rows and repeated ids each get their own row,
-    null ids included. The score is 1 where a phrase stands, else the best containment at the threshold or above, else 0.
+    null ids included. Templates are looked for across line ends too; n_blocks is the number of lines that
+    match and of templates that match only so. The score is 1 where a phrase stands, else the best containment at the threshold or above, else 0.
     Other columns of ``docs`` are left out, so their names cannot clash.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), ascii_lower(text).alias("_low"))
+    by_line = template_matches(rows, threshold, templates)
+    lines = by_line.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("template").alias("_template")).distinct()
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("template") == F.col("_template"))
+    wrapped = wrapped_matches(rows, threshold, templates).join(lines, same, "left").withColumn("block", F.when(F.col("_template").isNull(), F.col("block")))
     found = (
-        template_matches(rows, threshold, templates)
+        by_line.unionByName(wrapped.select(*by_line.columns))
         .groupBy("doc_id", "key")
         .agg(F.max("containment").alias("best"), F.collect_set("label").alias("more"), F.countDistinct("block").alias("n_blocks"))
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -43,6 +44,16 @@ def test_license_filters_lose_nothing(spark):
         assert got == {(k, n) for k, t in enumerate(texts) for n, _, words in sets if len(set(t.split()) & set(words)) / len(words) >= threshold - 1e-12}
 
 
+def test_wrapped_licenses(spark):
+    """Every template as headers have it, wrapped at 72 columns; words that are spread over a text are no notice."""
+    rows = [(k, "first line\n" + textwrap.fill(text, 72, initial_indent=" * ", subsequent_indent=" * ") + "\nlast line") for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(100 + k, ("\n" + "noise " * 30).join(text.split())) for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0 and got[k]["n_blocks"] >= 1
+        assert got[100 + k]["labels"] == "" and got[100 + k]["n_blocks"] == 0
+
+
 def test_lines(spark):
     docs = documents(spark)
     got = {(key(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"]) for r in lines.dedup_lines(docs).collect()}
