@@ -93,7 +93,7 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 def best_of_block(query_ids, queries, ids, vectors, centre, k: int, first: int = 64):
     """Rows (query id, vector id, score): each query's k best of a block of vectors, its own row left out."""
-    out, block, slack = [], Block(vectors, centre), 1e-12
+    out, block, slack, first = [], Block(vectors, centre), 1e-12, max(first, 2 * k)
     for own, query in zip(query_ids, queries, strict=True):
         guess, error = block.estimates(query)
         guess[ids == own] = -np.inf

@@ -50,3 +50,15 @@ def test_bound_holds():
         guess, error = block.estimates(query)
         missed += (np.abs(guess - vectors @ query) > error).sum()
     assert missed < 0.005 * 60000
+
+
+def test_more_neighbours_than_first_tries():
+    rng = np.random.default_rng(5)
+    vectors, ids = rng.standard_normal((300, 24)), np.arange(300)
+    for k in (100, 250, 400):
+        found = ann.best_of_block(ids[:3], vectors[:3], ids, vectors, vectors.mean(axis=0), k)
+        for q in range(3):
+            scores = ann.exact(vectors[q], vectors)
+            want = [i for i in np.argsort(-scores) if i != q][:k]
+            got = found[1][found[0] == q].tolist()
+            assert len(got) == len(want) and len(set(got) & set(want)) >= 0.97 * len(want)
