@@ -7,8 +7,9 @@ bits, and the scalars turn them into an unbiased estimate of the inner product w
 ``first`` best estimates are scored exactly; then every vector whose estimate plus its error bound reaches the k-th best
 exact score is scored exactly too. Only those are reranked, in double precision, on the original vectors.
 
-Queries and vectors are dealt into blocks of fixed size; each task compares one block of queries with one of vectors, so
-no side is broadcast or collected, and each block passes on k rows for a query.
+Every vector is coded once; codes and scalars are stored beside it. Queries and vectors are dealt into blocks of bounded
+bytes; each task compares one block of queries with one of codes and touches the originals of the chosen rows only, so no
+side is broadcast or collected, and each block passes on k rows for a query. Vectors of different lengths never meet.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
+from .common import cut, join_by_key
+
+#: Bytes of vectors in a block of queries and in one of candidates.
+QUERY_BYTES, VECTOR_BYTES = 256 << 10, 8 << 20
 #: Bits of a quantised query coordinate.
 QUERY_BITS = 8
 #: Standard errors in the bound on an estimate: a vector beyond it is missed with a chance of about one in a thousand.
@@ -56,12 +61,12 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Block:
     """Coded vectors, with what does not depend on the query."""
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray):
-        codes, length, self.along = encode(vectors, centre)
+    def __init__(self, vectors: np.ndarray, centre: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        codes, length, self.along = coded or encode(vectors, centre)
         d = vectors.shape[1]
         self.centre, self.words = centre, [np.ascontiguousarray(codes[:, w]) for w in range(codes.shape[1])]
         self.ones = np.bitwise_count(codes).sum(axis=1).astype(np.float64)
-        self.longest = np.sqrt((vectors**2).sum(axis=1).max())
+        self.longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())
         self.scale = length / self.along
         self.spread = length * np.sqrt(np.maximum(1 - self.along**2, 0)) / self.along * SIGMAS / np.sqrt(max(d - 1, 1))
 
@@ -91,27 +96,29 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of_block(query_ids, queries, ids, vectors, centre, k: int, first: int = 64):
-    """Rows (query id, vector id, score): each query's k best of a block of vectors, its own row left out."""
-    out, block, slack, first = [], Block(vectors, centre), 1e-12, max(first, 2 * k)
-    for own, query in zip(query_ids, queries, strict=True):
+def best_of_block(own_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ma.MaskedArray, vectors: np.ndarray, centre: np.ndarray, k: int, first: int = 64, coded=None):
+    """(number of the query, row of the vector, score): each query's k best of a block of vectors, its own row left out.
+
+    Ties go to the smaller id, rows without one last, then to the smaller row.
+    """
+    out, block, slack, first = [], Block(vectors, centre, coded), 1e-12, max(first, 2 * k)
+    for number, (own, query) in enumerate(zip(own_rows, queries, strict=True)):
         guess, error = block.estimates(query)
-        guess[ids == own] = -np.inf
-        tried = np.argpartition(-guess, min(first, len(ids)) - 1)[:first]
+        guess[rows == own] = -np.inf
+        tried = np.argpartition(-guess, min(first, len(rows)) - 1)[:first]
         tried = tried[np.isfinite(guess[tried])]
         if len(tried) >= k:
             scores = vectors[tried] @ query
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             more = np.flatnonzero(guess + error >= least - slack * np.abs(least))
-            more = more[ids[more] != own]
-            tried = np.union1d(tried, more)
+            tried = np.union1d(tried, more[rows[more] != own])
             # Matrix products round equal rows differently, so they only screen; what can be among the k best is summed in order.
             scores = vectors[tried] @ query
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             tried = tried[scores >= least - slack * np.sqrt((query**2).sum()) * block.longest]
         scores = exact(query, vectors[tried])
-        order = np.lexsort((ids[tried], -scores))[:k]
-        out.append((np.full(len(order), own), ids[tried][order], scores[order]))
+        order = np.lexsort((rows[tried], ids.data[tried], np.ma.getmaskarray(ids)[tried], -scores))[:k]
+        out.append((np.full(len(order), number), tried[order], scores[order]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -122,53 +129,101 @@ def usable(vector: Column) -> Column:
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes of the numbers they are made of."""
     for batch in batches:
         lists = batch.column("_v")
-        flat = np.asarray(lists.flatten(), dtype=np.float64)
-        each = [flat[a:b].tobytes() for a, b in zip(np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py(), np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(each, pa.binary())], names=["_id", "_v"])
+        sizes = np.asarray(pc.list_value_length(lists), dtype=np.int32)
+        flat = np.asarray(lists.flatten())
+        ends = np.cumsum(sizes, dtype=np.int64)
+        each = [flat[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(sizes), pa.array(each, pa.binary())], names=["_row", "_id", "_d", "_v"])
+
+
+def _doubles(column: pa.Array | pa.ChunkedArray, kind: str, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, d).astype(np.float64)
+
+
+def centres_of(flat: DataFrame, kind: str) -> DataFrame:
+    """_d, centre (bytes of the mean of all vectors of that length), n: one row for each length, from sums of each slice."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, vectors = np.asarray(batch.column("_d")), batch.column("_v")
+            for d in np.unique(lengths).tolist():
+                own = _doubles(vectors.filter(pa.array(lengths == d)), kind, d)
+                yield pa.table({"_d": np.full(d, d, np.int32), "at": np.arange(d, dtype=np.int32), "n": np.full(d, len(own)), "total": own.sum(axis=0)}).to_batches()[0]
+
+    means = flat.select("_d", "_v").mapInArrow(sums, "_d int, at int, n long, total double").groupBy("_d", "at").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    return means.groupBy("_d").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("centre"))
+
+
+def _coded(kind: str):
+    """Rows (_row, _id, _d, _v, centre) -> these, and code (bytes), length, along."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths, out = np.asarray(batch.column("_d")), [None] * batch.num_rows
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                own = batch.column("_v").take(pa.array(at))
+                codes, length, along = encode(_doubles(own, kind, d), np.array(batch.column("centre")[int(at[0])].as_py()))
+                for k, place in enumerate(at.tolist()):
+                    out[place] = (codes[k].tobytes(), float(length[k]), float(along[k]))
+            made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_id", "_d", "_v")), *made], names=["_row", "_id", "_d", "_v", "code", "length", "along"])
+
+    return coded
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row whose id is divisible by ``every``.
 
-    Vectors that are null, empty, zero or hold nulls or non-finite numbers take no part, nor do rows without id. Of
-    vectors of different lengths those of the commonest length take part. A row repeated with the same id and vector
-    counts once; one id with different vectors keeps the smallest. Ties go to the smaller id. With fewer than k other
-    rows, all are returned; with none, nothing.
+    Vectors that are null, empty, zero or hold nulls or non-finite numbers take no part. Every other row is a candidate of
+    every query of its length but its own: rows that repeat an id, or a vector, count one by one, and a repeated query id
+    is asked once for each of its rows. Rows without id are candidates, not queries. Ties go to the smaller id, those
+    without one last. With fewer than k candidates all are returned; with none, nothing. Other columns are not read.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("_id"), F.col(vector_column).cast("array<double>").alias("_v")).where(F.col("_id").isNotNull() & usable(F.col("_v")))
-    sizes = rows.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("_v") == d).groupBy("_id").agg(F.min("_v").alias("_v"))
-    means = rows.agg(*[F.avg(F.get("_v", F.lit(i))).alias(f"m{i}") for i in range(d)]).first() if d <= 256 else None
-    centre = np.array(means, dtype=float) if means else np.zeros(d)
-
-    n_vector_blocks, n_query_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-n // every // QUERY_BLOCK))
-    raw = rows.mapInArrow(_as_bytes, "_id long, _v binary")
-    block = lambda count, salt: F.pmod(F.xxhash64(F.lit(salt), "_id"), F.lit(count)).cast("int")
-    others = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    queries = raw.where(F.col("_id") % every == 0).withColumn("_q", block(n_query_blocks, 1)).withColumn("_b", others(n_vector_blocks))
-    against = raw.withColumn("_b", block(n_vector_blocks, 2)).withColumn("_q", others(n_query_blocks))
-
+    kind = "f8" if "double" in vectors.schema[vector_column].dataType.simpleString() else "f4"
+    own = F.col(vector_column).cast("array<double>" if kind == "f8" else "array<float>")
+    rows = vectors.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("_id"), own.alias("_v")).where(usable(F.col("_v")))
+    flat = rows.mapInArrow(_as_bytes, "_row long, _id long, _d int, _v binary")
+    centres = cut(centres_of(flat, kind))
+    coded = cut(join_by_key(flat, centres.select("_d", "centre"), "_d", F.col("_row")).mapInArrow(_coded(kind), "_row long, _id long, _d int, _v binary, code binary, length double, along double"))
+
+    asked = F.coalesce(F.col("_id") % every == 0, F.lit(False))
+    width = 4 if kind == "f4" else 8
+    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(n * F.col("_d") * width / most)).cast("int")
+    counts = coded.groupBy("_d").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("n_asked")).where("n_asked > 0")
+    shape = cut(counts.join(centres.select("_d", "centre"), "_d").select("_d", "centre", blocks(F.col("n"), VECTOR_BYTES).alias("_bs"), blocks(F.col("n_asked"), QUERY_BYTES).alias("_qs")))
+    dealt = join_by_key(coded, shape, "_d", F.col("_row"))
+    block = lambda count, salt: F.pmod(F.xxhash64(F.lit(salt), "_row"), F.col(count)).cast("int")
+    others = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    queries = dealt.where(asked).withColumn("_q", block("_qs", 1)).withColumn("_b", others("_bs")).select(*[F.col(c).alias(c) for c in ("_d", "_q", "_b", "_row", "_id", "_v", "centre")])
+    against = dealt.withColumn("_b", block("_bs", 2)).withColumn("_q", others("_qs")).select("_d", "_q", "_b", "_row", "_id", "_v", "code", "length", "along")
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = [np.asarray(t.column("_id")) for t in (left, right)]
-        own, others = (np.frombuffer(b"".join(t.column("_v").to_pylist()), dtype=np.float64).reshape(-1, d) for t in (left, right))
-        found = best_of_block(ids[0], own, ids[1], others, centre, k) if len(own) and len(others) else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(found[0]), "vec_id": pa.array(found[1]), "score": pa.array(found[2])})
-
-    pairs = queries.groupBy("_q", "_b").cogroup(against.groupBy("_q", "_b")).applyInArrow(compared, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        ids = right.column("_id").combine_chunks()
+        if left.num_rows and right.num_rows:
+            d = left.column("_d")[0].as_py()
+            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), "<u8").reshape(right.num_rows, -1)
+            stored = (codes, np.asarray(right.column("length")), np.asarray(right.column("along")))
+            plain = np.ma.array(np.asarray(pc.fill_null(ids, 0)), mask=np.asarray(ids.is_null()))
+            found = best_of_block(np.asarray(left.column("_row")), _doubles(left.column("_v"), kind, d), np.asarray(right.column("_row")), plain, _doubles(right.column("_v"), kind, d), np.array(left.column("centre")[0].as_py()), k, coded=stored)
+        at, to = pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())
+        return pa.table({"_ask": left.column("_row").take(at), "query_id": left.column("_id").take(at), "_row": right.column("_row").take(to), "vec_id": ids.take(to), "score": pa.array(found[2], pa.float64())})
+
+    key = ("_d", "_q", "_b")
+    pairs = queries.groupBy(*key).cogroup(against.groupBy(*key)).applyInArrow(compared, "_ask long, query_id long, _row long, vec_id long, score double")
+    order = Window.partitionBy("_ask").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "_row")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle(k: int = 20, every: int = 20) -> str:
-    """DuckDB SQL for ``nearest``, by comparing all."""
+    """DuckDB SQL for ``nearest``, by comparing all rows of one length."""
     return f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % {every} = 0 AND q.vec_id <> v.vec_id)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= {k}
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.rid AS ask, v.rid, q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % {every} = 0 AND q.rid <> v.rid AND len(q.e) = len(v.e))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, vec_id NULLS LAST, rid) AS rank FROM p) WHERE rank <= {k}
 """
