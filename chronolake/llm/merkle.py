@@ -12,24 +12,26 @@ The likeness of two trees is the share of characters, in both, that stands in pa
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
-PARAGRAPH = re.compile(r"[^\n]*?[.!?]+[ \t]+|[^\n]*\n|[^\n]+")
+#: What a paragraph ends with: a line feed, or the white space after a sentence end. Found in one pass, whatever the text.
+BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
 #: A section ends after a paragraph whose hash's first byte is a multiple of this.
 SECTION = 8
 SLICE_BYTES = 4 << 20
-#: Documents of a range of ids that one task reads in order, and the most ranges: beyond, ranges get longer, and as rows
+#: Rows, and bytes, of a range that one task reads in order, and the most ranges: beyond, ranges get longer, and as rows
 #: stream through a task one after the other, only its sort grows (on disk).
-RANGE_ROWS, MOST_RANGES = 4096, 20_000
+RANGE_ROWS, RANGE_BYTES, MOST_RANGES = 4096, 16 << 20, 20_000
 
 
 def _hash(data: bytes) -> bytes:
@@ -45,9 +47,18 @@ class Tree:
     size: int
 
 
+def paragraphs(text: str) -> Iterator[str]:
+    begin = 0
+    for found in BREAK.finditer(text):
+        yield text[begin : found.end()]
+        begin = found.end()
+    if begin < len(text):
+        yield text[begin:]
+
+
 def tree_of(text: str) -> Tree:
     sections, part, at = [], [], 0
-    for paragraph in PARAGRAPH.findall(text):
+    for paragraph in paragraphs(text):
         h = _hash(b"p" + paragraph.encode("utf-8", "surrogatepass"))
         part.append((h, len(paragraph), at))
         at += len(paragraph)
@@ -98,40 +109,62 @@ def likeness(a: Tree, b: Tree) -> float:
     return max(0.0, 1 - (sum(x[1] for x in mine) + sum(x[1] for x in theirs)) / whole) if whole else 1.0
 
 
+def _range_of(rows: DataFrame, ranges: int) -> tuple[Column, int]:
+    """The number of a row's range, and how many there are: ranges follow quantiles of doc_id; an id that fills several
+    of them is a range of its own, dealt into as many parts by the order of its texts' hashes. Rows without id are such an id.
+    """
+    nulls, there = rows.agg(F.count_if(F.col("doc_id").isNull()), F.count("doc_id")).first()
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = [int(x) for x in rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", shares, 0.2 / ranges)] if there and shares else []
+    many = Counter(cuts)
+    hot = {x: n + 1 for x, n in many.items() if n > 1}
+    bounds = sorted(set(cuts) | {x + 1 for x in hot})
+    # Range k holds the ids from bounds[k - 1] to below bounds[k]; the last is that of rows without id.
+    parts = [1] + [hot.get(x, 1) for x in bounds] + [max(1, -(-nulls * ranges // max(1, nulls + there)))]
+    before = list(itertools.accumulate(parts, initial=0))
+    ends = F.array(*[F.lit(x) for x in bounds]).cast("array<bigint>")
+    middle = lambda s: F.floor((s["a"] + s["b"]) / 2).cast("int")
+    at = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length()))),
+        F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("b")),
+        lambda s, _: F.when(s["a"] >= s["b"], s)
+        .when(F.get(ends, middle(s)) <= F.col("doc_id"), F.struct((middle(s) + 1).alias("a"), s["b"].alias("b")))
+        .otherwise(F.struct(s["a"].alias("a"), middle(s).alias("b"))),
+        lambda s: s["a"],
+    )
+    at = F.when(F.col("doc_id").isNull(), F.lit(len(parts) - 1)).otherwise(at)
+    share = F.shiftrightunsigned("_h", 32) / float(1 << 32)
+    literal = lambda numbers: F.array(*[F.lit(x) for x in numbers])
+    if max(parts) == 1:
+        return at, len(parts)
+    return F.get(literal(before), at) + F.floor(share * F.get(literal(parts), at)).cast("int"), before[-1]
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """_range, doc_id, text, _lead: rows sorted by doc_id within ranges of it, each range ending with the row after it.
 
-    Ranges follow quantiles of the ids. Rows with one doc_id (or none: these come last) are ordered by text and keep
-    together. The first row of a range is copied to the end of the range before (_lead), the very first to the last.
+    Rows with one doc_id (or none: these come last) are ordered by a hash of the text, then the text. The first row of a
+    range is copied to the end of the range before (_lead), the very first to the last.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    ends = [] if ranges == 1 else sorted({int(x) for x in rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)})
-    bounds = F.array(*[F.lit(x) for x in ends]).cast("array<bigint>")
-    null_range = len(ends) + 1
-    # An id's range: how many bounds are at most it, by bisection over the sorted array.
-    steps = max(1, len(ends).bit_length())
-    half = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("a"), F.lit(len(ends)).alias("b")),
-        lambda s, _: F.when(s["a"] >= s["b"], s)
-        .when(F.get(bounds, F.floor((s["a"] + s["b"]) / 2).cast("int")) <= F.col("doc_id"), F.struct((F.floor((s["a"] + s["b"]) / 2).cast("int") + 1).alias("a"), s["b"].alias("b")))
-        .otherwise(F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b"))),
-        lambda s: s["a"],
-    )
-    placed = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(null_range)).otherwise(half))
-    heads = placed.groupBy("_range").agg(F.min("doc_id").alias("_id"))
-    firsts = sorted((r["_range"], r["_id"]) for r in heads.collect())  # one row for each range
+    text = F.coalesce("text", F.lit(""))
+    # Hashes in the order of their bits taken as a number without sign.
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_h"))
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    placed_at, n_ranges = _range_of(rows, max(1, min(MOST_RANGES, max(-(-n // RANGE_ROWS), -(-(size or 0) // RANGE_BYTES)))))
+    placed = rows.withColumn("_range", placed_at).withColumn("_h", F.col("_h").bitwiseXOR(F.lit(-(1 << 63))))
+    heads = placed.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("first"))
+    firsts = sorted((r["_range"], r["first"]["doc_id"], r["first"]["_h"]) for r in heads.collect())  # one row for each range
     if not firsts:
         return placed.withColumn("_lead", F.lit(0))
-    before = [(firsts[k][0], firsts[k][1], firsts[k - 1][0]) for k in range(len(firsts))]
-    leads = spark.createDataFrame(before, "_range int, _id long, _to int")
-    first_rows = placed.join(F.broadcast(leads), (placed["_range"] == leads["_range"]) & placed["doc_id"].eqNullSafe(leads["_id"])).groupBy("_to").agg(F.min(F.struct(placed["doc_id"], placed["text"])).alias("_row"))
-    lead = first_rows.select("_row.doc_id", "_row.text", F.col("_to").alias("_range"), F.lit(1).alias("_lead"))
+    before = [(*firsts[k], firsts[k - 1][0]) for k in range(len(firsts))]
+    leads = spark.createDataFrame(before, "_range int, _id long, _first long, _to int")
+    met = (placed["_range"] == leads["_range"]) & placed["doc_id"].eqNullSafe(leads["_id"]) & (placed["_h"] == leads["_first"])
+    first_rows = placed.join(F.broadcast(leads), met).groupBy("_to").agg(F.min(F.struct(placed["doc_id"], placed["_h"], placed["text"])).alias("_row"))
+    lead = first_rows.select("_row.doc_id", "_row.text", "_row._h", F.col("_to").alias("_range"), F.lit(1).alias("_lead"))
     both = placed.withColumn("_lead", F.lit(0)).unionByName(lead)
-    return both.repartition(max(len(firsts), int(spark.conf.get("spark.sql.shuffle.partitions"))), "_range").sortWithinPartitions("_range", "_lead", F.col("doc_id").asc_nulls_last(), "text")
+    sorted_ = both.repartitionById(n_ranges, F.col("_range")).sortWithinPartitions("_range", "_lead", F.col("doc_id").asc_nulls_last(), "_h", "text")
+    return sorted_.select("_range", "doc_id", "text", "_lead")
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +194,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     order of doc_id, the first following the last. Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, n_sections, n_paragraphs, first_edit (offset of the first paragraph that
     the edited text lacks), one row for each row. A null text counts as empty. A single document follows itself. Rows of
-    one doc_id stand in the order of their texts, rows without doc_id last.
+    one doc_id stand in the order of their texts' hashes, rows without doc_id last. Other columns are not read.
     """
     return in_order(docs).mapInArrow(
         _with_next,
