@@ -19,14 +19,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, slices, starts_of, texts_of, words_of
+from .common import BROADCAST_ROWS, cut, join_by_key, slices, starts_of, texts_of, words_of
 
 SLICE_BYTES = 2 << 20
 SEED = 42
 BANDS = 4
 #: Rows of a key that are compared at once; larger keys are dealt into cells of two such parts.
 CELL_ROWS = 2048
+#: Links of a node above which they are joined apart from those of other nodes.
+HUB = 1024
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 3, passing: tuple[str, ...] = ("d
             fp = fingerprints_of(*shingle_hashes(texts_of(batch), width), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passing), pa.array(fp.view(np.int64))], names=[*passing, "fp"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passing)
-    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, fields + ", fp long")
+    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, T.StructType([docs.schema[c] for c in passing] + [T.StructField("fp", T.LongType())]))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -204,24 +206,45 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("combo", "key", "i", "j").sortWithinPartitions("combo", "key", "i", "j").mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` (at most ``most``) left-joined with ``table`` (key, _m).
+
+    Keys of more than ``HUB`` rows are few; their rows are joined apart, by broadcast or salted, so that no task gets all
+    rows of a hub.
+    """
+    if most <= HUB:
+        return rows.join(table, key, "left")
+    hubs = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select(key).join(table, key, "left"))
+    n = hubs.count()
+    if not n:
+        return rows.join(table, key, "left")
+    if n <= BROADCAST_ROWS:
+        marked = rows.join(F.broadcast(hubs.withColumn("_hub", F.lit(True))), key, "left")
+        heavy, light = marked.where("_hub").drop("_hub"), marked.where("_hub IS NULL").drop("_hub", "_m")
+    else:
+        heavy, light = join_by_key(rows, hubs, key, F.xxhash64("u", "v")), rows.join(hubs.select(key), key, "left_anti")
+    return light.join(table, key, "left").unionByName(heavy)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), for each node but the roots, of ``links`` (u, v) with u > v.
 
-    Alternating star contractions: every round ties each node's larger, then its smaller neighbours to its smallest. A
-    logarithmic number of rounds settles it; every round's links are written to the checkpoint folder.
+    Alternating star contractions: a round first moves every link to the smallest neighbour of its smaller end, then ties
+    the smaller neighbours of each node to the smallest of them. A logarithmic number of rounds settles it; every round's
+    links are written to the checkpoint folder.
     """
     now, before = cut(links), None
+    n = now.count()
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("_m"))
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("_l")).select("_l.u", "_l.v").where(F.col("u") != F.col("v")).distinct()
-        now = cut(small)
+        least = now.groupBy("u").agg(F.min("v").alias("_m"))
+        large = _looked_up(now, least.withColumnRenamed("u", "v"), "v", n).select("u", F.coalesce("_m", "v").alias("v")).distinct()
+        large = cut(large) if n > HUB else large
+        tied = _looked_up(large, large.groupBy("u").agg(F.min("v").alias("_m")), "u", n)
+        now = cut(tied.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("_l")).select("_l.u", "_l.v").where(F.col("u") != F.col("v")).distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, n = state, state[0]
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -242,23 +265,26 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 def keep_one(docs: DataFrame, grouped=near_duplicates, printed=fingerprints) -> DataFrame:
     """``docs`` with one row of each component of ``grouped``: that of the smallest doc_id (then fingerprint, then text).
 
-    ``printed`` gives the fingerprints that ``grouped`` goes by, with the columns asked for.
+    ``printed`` gives the fingerprints that ``grouped`` goes by, with the columns asked for. The columns of ``docs`` travel
+    as one, so they may have any names.
 
     Texts are shuffled once, to meet the ids that stay. Only the rows of ids that several rows have (repeated rows, or
     rows without an id) have their fingerprints taken again, to tell them apart.
     """
-    found = cut(grouped(docs))
+    rows = docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    found = cut(grouped(rows.select("doc_id", "text")))
     ids = found.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
     staying = cut(ids.where("_stays").select(F.col("doc_id").alias("_id"), "_many"))
-    kept = docs.join(staying, docs["doc_id"].eqNullSafe(staying["_id"]))
+    kept = rows.join(staying, rows["doc_id"].eqNullSafe(staying["_id"]))
     if not staying.where("_many").limit(1).count():
-        return kept.select(*docs.columns)
-    again = printed(kept.where("_many").select(*docs.columns), passing=tuple(docs.columns)).select(*docs.columns, "fp")
-    first = Window.partitionBy("component").orderBy("fp", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        return kept.select("row.*")
+    again = printed(kept.where("_many").select("doc_id", "text", "row"), passing=("doc_id", "text", "row"))
+    rest = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text") and not isinstance(docs.schema[c].dataType, T.MapType)]
+    first = Window.partitionBy("component").orderBy("fp", "text", *rest)
     same = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "component").distinct()
     told = again.alias("a").join(same.alias("s"), F.col("a.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("a.fp") == F.col("s.fp")))
     one = told.select("a.*", "s.component").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return kept.where(~F.col("_many")).select(*docs.columns).unionByName(one.select(*docs.columns))
+    return kept.where(~F.col("_many")).select("row.*").unionByName(one.select("row.*"))
 
 
 def hex_of(fp="fp"):

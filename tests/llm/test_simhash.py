@@ -87,3 +87,34 @@ def test_slices_of_a_batch(spark, monkeypatch):
 def test_nothing(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_components_of_stars_chains_and_hubs(spark, monkeypatch):
+    """Random links, with hubs that are the smallest and the largest node of theirs, on every way of joining hubs."""
+    rng = random.Random(8)
+    links = {(u, rng.randrange(u)) for u in rng.sample(range(1, 3000), 900)}
+    links |= {(k, 3000) for k in range(3001, 3200)} | {(4000, k) for k in range(3300, 3400)} | {(k + 1, k) for k in range(5000, 5060)} | {(3150, 3333)[::-1]}
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in sorted(links):
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    want = {(x, find(x)) for x in root if find(x) != x}
+    df = spark.createDataFrame(sorted(links), "u long, v long")
+    for hub, rows in ((10_000, 100_000), (20, 100_000), (20, 1)):
+        monkeypatch.setattr(simhash, "HUB", hub)
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr("chronolake.llm.common.BROADCAST_ROWS", rows)
+        assert {tuple(r) for r in simhash.components(df).collect()} == want
+
+
+def test_keep_one_with_any_names(spark):
+    names = ["_id", "_many", "fp", "component", "row", "_stays", "a.b"]
+    docs = spark.createDataFrame([(k, "one text of several words" if k % 2 else f"text {k}", *[k] * 7) for k in (1, 2, 3, 3, 5)] + [(None, "one text of several words", *[9] * 7)], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 2]
