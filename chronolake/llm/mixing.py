@@ -3,7 +3,8 @@
 The words of a source stand one after the other, documents in a pseudorandom order, and are packed into blocks of
 ``block_words``. Every shard of the output has ``shard_blocks`` slots; how many go to which source is a multinomial draw
 (what the weights give in whole slots is granted, only the remainders are drawn, which keeps the draw close to the
-weights; the remainders add up over the shards, so that all draws together make up what they leave). A source's slots are numbered through all shards; slot ``j`` takes block ``permutation(epoch, j mod n)`` of the
+weights; the remainders add up over the shards, so that all draws together make up what they leave). A source's slots are numbered, those granted first,
+those drawn after them, each in the order of the shards; slot ``j`` takes block ``permutation(epoch, j mod n)`` of the
 source's ``n`` blocks, ``epoch = j div n``, where each epoch has a pseudorandom permutation of its own (swap-or-not
 rounds over the exact range). Blocks are then joined by index. Slots drawn beyond ``most_epochs`` whole epochs stay empty.
 
@@ -16,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, join_by_key
+from .common import BROADCAST_ROWS, SPACES, cut, join_by_key, partitions_for
 
 #: Weights of the sources in code point order, repeating.
 CYCLE = (1, 2, 3)
 ROUNDS = 10
 BUCKET_ROWS = 4096
+SHARD_ROWS = 4096
 CDF_BINS = 1024
 
 
@@ -74,28 +76,46 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
 
 
+def running(rows: DataFrame, keys: list[str], bucket: str, order: list[str], value: str, into: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of their keys before them, in the order of bucket, then ``order``.
+
+    Two levels: within a bucket, which is bounded, and over the buckets' sums; so a hot key is spread over its buckets.
+    """
+    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
+    summed = rows.withColumn(into, F.coalesce(F.sum(value).over(within), F.lit(0))).join(totals, [*keys, bucket])
+    return summed.withColumn(into, F.col(into) + F.col("_before")).drop(bucket, "_before")
+
+
 def place(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds _start, the offset of each row's first word among its source's, to ``rows`` (sk, h, doc_id, size)."""
     bucketed = join_by_key(rows, sources.select("sk", F.ceil(F.col("n_docs") / BUCKET_ROWS).alias("_buckets")), "sk", F.col("h")).withColumn("_bucket", F.pmod("h", "_buckets")).drop("_buckets")
-    within = Window.partitionBy("sk", "_bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("sk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy("sk", "_bucket").agg(F.sum("size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(over), F.lit(0))).drop("_n")
-    return bucketed.withColumn("_start", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals, ["sk", "_bucket"]).withColumn("_start", F.col("_start") + F.col("_before")).drop("_bucket", "_before")
+    return running(bucketed, ["sk"], "_bucket", ["h", "doc_id", "size"], "size", "_start")
 
 
-def slot_counts(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
-    """sk, shard, n: the multinomial draw of slots for each shard. ``sources``: sk, slots (expected in all), blocks."""
-    whole = Window.partitionBy(F.lit(1))
+def slot_runs(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
+    """sk, shard, first, n: the slots of each shard's multinomial draw, numbered through the shards of a source.
+
+    ``sources``: sk, slots (expected in all), one row for each source and written already. What a source has for sure is the
+    same in every shard, so only what is drawn has to be counted through the shards.
+    """
+    spark, whole = sources.sparkSession, Window.partitionBy(F.lit(1))
     shares = (
         sources.where(F.col("slots") > 0)
+        .select("sk", "slots")
         .withColumn("_all", F.sum("slots").over(whole))
-        .withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("_all") / shard_blocks)))
+        .withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("_all") / shard_blocks)).cast("long"))
         .withColumn("_mean", F.col("slots") / F.col("_shards"))
-        .withColumn("_sure", F.floor("_mean"))
+        .withColumn("_sure", F.floor("_mean").cast("long"))
         .withColumn("_part", F.col("_mean") - F.col("_sure"))
         .withColumn("_high", F.sum("_part").over(Window.orderBy("sk")))
         .withColumn("_parts", F.sum("_part").over(whole))
     )
+    n_shards, parts, n_sources = shares.agg(F.max("_shards"), F.max("_parts"), F.count(F.lit(1))).first()
+    if not n_sources:
+        return spark.createDataFrame([], "sk string, shard long, first long, n long")
+    few = F.broadcast if n_sources <= BROADCAST_ROWS else lambda df: df
     bins = F.sequence(F.floor(F.col("_low") * CDF_BINS).cast("int"), F.least(F.lit(CDF_BINS - 1), F.floor(F.col("_up") * CDF_BINS).cast("int")))
     ranges = (
         shares.where(F.col("_part") > 0)
@@ -104,24 +124,28 @@ def slot_counts(sources: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
         .select("sk", "_low", "_up", F.explode(bins).alias("_bin"))
     )
     # Draws follow the running sum of the remainders; the last shard rounds what is left of it up.
-    until = F.when(F.col("shard") + 1 < F.col("_shards"), F.floor(F.col("_parts") * (F.col("shard") + 1) + 1e-9)).otherwise(F.ceil(F.col("_parts") * F.col("_shards") - 1e-9))
-    shards = (
-        shares.agg(F.max("_shards").alias("_shards"), F.max("_parts").alias("_parts"))
-        .where(F.col("_shards").isNotNull())
-        .select("_shards", "_parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard"))
-        .select("shard", (until - F.floor(F.col("_parts") * F.col("shard") + 1e-9)).cast("int").alias("_draws"))
-    )
+    after = F.when(F.col("shard") + 1 < n_shards, F.floor(F.lit(parts) * (F.col("shard") + 1) + 1e-9)).otherwise(F.ceil(F.lit(parts) * n_shards - 1e-9))
+    shards = spark.range(0, n_shards, 1, partitions_for(spark, n_shards, SHARD_ROWS)).withColumnRenamed("id", "shard")
+    draws = (after - F.floor(F.lit(parts) * F.col("shard") + 1e-9)).cast("int")
     drawn = (
-        shards.where(F.col("_draws") > 0)
+        shards.select("shard", draws.alias("_draws"))
+        .where(F.col("_draws") > 0)
         .select("shard", F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("_draw"))
         .withColumn("_u", _unit(F.lit(seed), F.col("shard"), F.col("_draw")))
         .withColumn("_bin", F.floor(F.col("_u") * CDF_BINS).cast("int"))
-        .join(ranges, "_bin")
+        .join(few(ranges), "_bin")
         .where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_up")))
-        .select("sk", "shard", F.lit(1).cast("long").alias("n"))
+        .groupBy("sk", "shard")
+        .agg(F.count(F.lit(1)).alias("drawn"))
     )
-    sure = shares.where(F.col("_sure") > 0).select("sk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard"), F.col("_sure").cast("long").alias("n"))
-    return sure.unionByName(drawn).groupBy("sk", "shard").agg(F.sum("n").alias("n"))
+    counted = running(drawn.withColumn("_bucket", F.floor(F.col("shard") / SHARD_ROWS)), ["sk"], "_bucket", ["shard"], "drawn", "_drawn_before")
+    # Numbered first: what each shard has for sure; then all that is drawn. At most ``shard_blocks`` sources have a whole slot a shard.
+    sure = [F.struct(F.lit(r["sk"]).alias("sk"), F.lit(r["_sure"]).alias("n")) for r in shares.where(F.col("_sure") > 0).select("sk", "_sure").collect()]
+    drawn_runs = counted.join(few(shares.select("sk", (F.col("_sure") * n_shards).alias("_begin"))), "sk").select("sk", "shard", (F.col("_begin") + F.col("_drawn_before")).alias("first"), F.col("drawn").alias("n"))
+    if not sure:
+        return drawn_runs
+    sure_runs = shards.select("shard", F.explode(F.array(*sure)).alias("_s")).select("_s.sk", "shard", (F.col("shard") * F.col("_s.n")).alias("first"), F.col("_s.n").cast("long").alias("n"))
+    return sure_runs.unionByName(drawn_runs)
 
 
 def plan_mix(docs: DataFrame, block_words: int = 128, shard_blocks: int = 512, most_epochs: int = 3, seed: int = 20240607) -> DataFrame:
@@ -137,14 +161,12 @@ def plan_mix(docs: DataFrame, block_words: int = 128, shard_blocks: int = 512, m
     blocks = F.ceil(F.col("source_size") / block_words)
     sources = cut(source_targets(sizes, most_epochs=most_epochs).withColumn("blocks", blocks).withColumn("slots", F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0))))
 
-    counts = slot_counts(sources.select("sk", "slots", "blocks"), shard_blocks, seed)
-    so_far = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    runs = slot_runs(sources.select("sk", "slots"), shard_blocks, seed)
     slots = (
-        counts.withColumn("_first", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-        .join(sources.select("sk", "blocks"), "sk")
-        .withColumn("_last", F.least(F.col("_first") + F.col("n"), F.col("blocks") * most_epochs) - 1)
-        .where(F.col("_last") >= F.col("_first"))
-        .select("sk", "blocks", F.explode(F.sequence("_first", "_last")).alias("_slot"))
+        join_by_key(runs, sources.select("sk", "blocks"), "sk", F.xxhash64("shard"))
+        .withColumn("_last", F.least(F.col("first") + F.col("n"), F.col("blocks") * most_epochs) - 1)
+        .where(F.col("_last") >= F.col("first"))
+        .select("sk", "blocks", F.explode(F.sequence("first", "_last")).alias("_slot"))
     )
     block = permuted(F.col("_slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sk"), F.floor(F.col("_slot") / F.col("blocks")))
     times = slots.select("sk", block.alias("_block")).groupBy("sk", "_block").agg(F.count(F.lit(1)).alias("times"))
@@ -169,20 +191,24 @@ def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFra
 
     Copy k of a text holds the parts that the mix takes k times or more: the whole text unchanged if it takes all of
     them, else the words of those parts joined by spaces. Texts without words and texts the mix takes nothing of go.
+    The columns of ``docs`` travel as one, so they may have any names.
     """
-    plan = plan_mix(docs, seed=seed, **options).where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), F.col("spans").alias("_spans"))
+    plan = plan_mix(docs.select("doc_id", "text", "source"), seed=seed, **options).where(F.col("taken") > 0).select("doc_id", "h", "source", "spans")
     plan = cut(plan)
-    rows = docs.withColumn("_k", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    met = (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    if plan.groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():  # repeated rows: told apart by number
-        plan = plan.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_source", "_spans")))
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("source")))
-        met = met & (F.col("_n") == F.col("_m"))
-    joined = rows.join(plan, met).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_spans", lambda s: s["times"])))))
+    rows = docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "source", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    repeated = plan.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    if repeated:  # told apart by number
+        plan = plan.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("source", "spans")))
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("source")))
+    a, b = rows.alias("a"), plan.alias("b")
+    met = (F.col("a.h") == F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    joined = a.join(b, met & (F.col("a.n") == F.col("b.n")) if repeated else met).select("a.row", "a.text", "b.spans")
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["times"])))))
     words = F.filter(F.split("text", SPACES), lambda w: w != "")
-    parts = F.filter("_spans", lambda s: s["times"] >= F.col("_copy"))
-    some = F.array_join(F.flatten(F.transform("_parts", lambda s: F.slice(F.col("_words"), s["from"] + 1, s["words"]))), " ")
-    result = joined.withColumn("_parts", parts).withColumn("_part", F.size("_parts") < F.size("_spans")).withColumn("_words", F.when(F.col("_part"), words)).withColumn("text", F.when(F.col("_part"), some).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return result.select(*docs.columns)
+    parts = F.filter("spans", lambda s: s["times"] >= F.col("copy"))
+    some = F.array_join(F.flatten(F.transform("parts", lambda s: F.slice(F.col("words"), s["from"] + 1, s["words"]))), " ")
+    cut_short = copies.withColumn("parts", parts).withColumn("part", F.size("parts") < F.size("spans")).withColumn("words", F.when(F.col("part"), words)).withColumn("text", F.when(F.col("part"), some).otherwise(F.col("text")))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("part"), F.length("text").cast("long")).otherwise(own["n_chars"])
+    return cut_short.select(*[x.alias(c) for c, x in own.items()])

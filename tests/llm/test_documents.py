@@ -129,13 +129,47 @@ def test_tiny_source_beside_a_huge_one(spark):
 
 @pytest.mark.parametrize("slots", [[3354.1, 2.7], [0.3, 0.2], [2000.4, 1000.3, 33.9], [512.0, 512.0]])
 def test_draws_make_up_the_expected_slots(spark, slots):
-    rows = spark.createDataFrame([(f"s{k}", x, 10**6) for k, x in enumerate(slots)], "sk string, slots double, blocks long")
-    got, shards = mixing.slot_counts(rows, 512, 1).collect(), max(1, -(-sum(slots) // 512))
+    rows = spark.createDataFrame([(f"s{k}", x) for k, x in enumerate(slots)], "sk string, slots double")
+    got, shards = mixing.slot_runs(rows, 512, 1).collect(), max(1, -(-sum(slots) // 512))
     assert sum(r["n"] for r in got) == np.ceil(sum(slots) - 1e-6)
-    whole = Counter()
+    whole, numbered = Counter(), defaultdict(list)
     for r in got:
         whole[r["shard"]] += r["n"]
+        numbered[r["sk"]] += range(r["first"], r["first"] + r["n"])
     assert len(whole) == shards and max(whole.values()) - min(whole.values()) <= 2
+    assert all(sorted(x) == list(range(len(x))) for x in numbered.values())
+
+
+def test_taken_from_slots_by_hand(spark):
+    """What each document gets, redone from the slots by plain loops."""
+    docs = documents(spark)
+    plan = mixing.plan_mix(docs, block_words=16, shard_blocks=8).collect()
+    size = {r["source"]: r["source_size"] for r in plan}
+    target = {r["source"]: r["target"] for r in plan}
+    blocks = {s: -(-n // 16) for s, n in size.items()}
+    sk = {s: "" if s is None else "s" + s for s in size}
+    sources = spark.createDataFrame([(sk[s], target[s] * blocks[s] / size[s]) for s in size if size[s]], "sk string, slots double")
+    runs = mixing.slot_runs(sources, 8, 20240607).collect()
+    slots = [(r["sk"], j) for r in runs for j in range(r["first"], r["first"] + r["n"])]
+    count = {sk[s]: b for s, b in blocks.items()}
+    slots = [(k, j, count[k]) for k, j in slots if j < 3 * count[k]]
+    at = mixing.permuted(F.col("j") % F.col("n"), F.col("n"), F.lit(20240607), F.col("sk"), F.floor(F.col("j") / F.col("n")))
+    times = Counter((r["sk"], r["b"]) for r in spark.createDataFrame(slots, "sk string, j long, n long").select("sk", at.alias("b")).collect())
+    assert max(times.values()) <= 3
+    for s in size:  # documents stand in the order of their bucket and hash; one bucket here
+        begin = 0
+        for r in sorted((r for r in plan if r["source"] == s and r["size"]), key=lambda r: (r["h"], (r["doc_id"] is not None, r["doc_id"]))):
+            want = Counter((begin + k) // 16 for k in range(r["size"]))
+            assert r["taken"] == sum(n * times[sk[s], b] for b, n in want.items())
+            begin += r["size"]
+        assert begin == size[s]
+
+
+def test_mixed_documents_with_any_names(spark):
+    names = ["_id", "_h", "_k", "_spans", "h", "spans", "row", "copy", "parts", "words", "n", "sk", "a.b"]
+    docs = spark.createDataFrame([(k % 9, "some words " * (k + 1), f"s{k % 2}", *[k % 9] * len(names)) for k in range(20)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    mixed = mixing.mixed_documents(docs, block_words=4)
+    assert mixed.columns == docs.columns and all(set(r[3:]) == {r[0]} for r in mixed.collect())
 
 
 def test_permutation(spark):
