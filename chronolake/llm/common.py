@@ -25,10 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder that the session names in ``spark.checkpoint.dir``; only where it names none (tests) one is made."""
+    """The reliable folder that the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a local master (tests) gets a temporary one; a cluster, whose machines share no such folder, an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronolake-checkpoint-"))
     return context.getCheckpointDir()
 

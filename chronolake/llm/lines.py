@@ -51,17 +51,18 @@ def _with_boilerplate(named: DataFrame, found: DataFrame) -> DataFrame:
         return named.join(F.broadcast(found), "_host", "left").drop("_salts")
     most = found.agg(F.max("_salts")).first()[0]
     salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1).cast("long")))).drop("_salts")
-    return named.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(most))).join(salted, ["_host", "_salt"], "left").drop("_salt")
+    return named.withColumn("_salt", F.pmod("_id", F.lit(most))).join(salted, ["_host", "_salt"], "left").drop("_salt")
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """``docs`` without the lines that are boilerplate of their host, and n_lines, n_dropped.
 
-    All columns stay; n_chars, if there, follows the new text. Lines are what stands between line feeds; they are
-    compared without the spaces around them. Blank lines are neither counted nor dropped. A null text stays null with 0
-    lines; a text all of whose lines go becomes empty. Null hosts form one host. Repeated rows stay repeated.
+    All columns stay; n_chars, if there, follows the new text; columns of ``docs`` with the two names give way. Lines are
+    what stands between line feeds; they are compared without the spaces around them. Blank lines are neither counted nor
+    dropped. A null text stays null with 0 lines; a text all of whose lines go becomes empty. Null hosts form one host.
+    Repeated rows stay repeated. The columns of ``docs`` travel as one, so they may have any names.
     """
-    named = docs.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
+    named = docs.select(F.coalesce(F.concat(F.lit("h"), F.col(f"`{host}`")), F.lit("")).alias("_host"), "text", F.xxhash64("doc_id", "text").alias("_id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     found = boilerplate(named.select("_host", "text").where(F.col("text").isNotNull()), max_ratio, min_pages)
     lines = F.split("text", "\n", -1)
     joined = _with_boilerplate(named, found)
@@ -73,9 +74,10 @@ def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = 0.1, m
         .withColumn("n_dropped", F.coalesce(F.when(F.col("text").isNotNull(), F.size("_lines") - F.size("_kept")), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text")))
     )
-    if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return result.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    own = {c: F.col("row").getField(c) for c in docs.columns if c not in ("n_lines", "n_dropped")} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return result.select(*[x.alias(c) for c, x in own.items()], "n_lines", "n_dropped")
 
 
 def oracle(max_ratio: float = 0.1, min_pages: int = 3) -> str:

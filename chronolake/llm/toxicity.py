@@ -52,6 +52,11 @@ def noisy_or(doc: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(sums_by(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
+def slope_of(p: np.ndarray, bag: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How the negative log likelihood of the bags' labels ``y`` changes with each sentence's score: p for y = 0, p * (1 - 1 / bag) for y = 1."""
+    return p * np.where(y[doc] == 1, 1 - 1 / bag[doc], 1.0)
+
+
 def sentence_scores(model: Model, n: int, owner: np.ndarray, which: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The weights of a word are summed once for each distinct word."""
     own = np.where(codes >= 0, model.weights[codes], 0.0).sum(axis=1)
@@ -144,8 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, steps: int
     for step in range(1, steps + 1):
         p = sigmoid(bias + sums_by(owner, w[feature], len(doc)))
         bag = np.clip(noisy_or(doc, p, n), 1e-9, 1 - 1e-9)
-        # The likelihood's slope by a sentence's score: p for y = 0; p * (1 - 1 / bag) for y = 1.
-        slope = p * np.where(y[doc] == 1, 1 - 1 / bag[doc], 1.0)
+        slope = slope_of(p, bag, doc, y)
         grad = np.append(np.bincount(feature, weights=slope[owner], minlength=len(used)), slope.sum()) / n + np.append(ridge * w, 0.0)
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
