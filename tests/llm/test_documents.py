@@ -1,17 +1,21 @@
 """Licenses, lines, mixing, toxicity, quality and fingerprints on awkward documents, against brute force or known results."""
 
 import hashlib
+import math
+import os
 import re
 import textwrap
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chronolake.llm import common, licenses, lines, merkle, mixing, quality, toxicity
+from chronolake.llm import common, features, licenses, lines, merkle, mixing, quality, toxicity
 
 from .fixtures import SCHEMA, documents, empty
 
@@ -42,7 +46,9 @@ def test_license_filters_lose_nothing(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     rows = docs.select("doc_id", F.lit(0).alias("key"), F.col("text").alias("_low"))
     for threshold in (0.5, 0.8, 1.0):
-        got = {(r["doc_id"], r["template"]) for r in licenses.template_matches(rows, threshold).collect()}
+        shape = licenses.Templates.of(licenses.TEMPLATES, threshold)
+        held = rows.select(F.array_intersect(shape.vocabulary, F.split("_low", licenses.GAP)).alias("have"))
+        got = {(r["doc_id"], r["template"]) for r in licenses.template_matches(rows, shape.ordered(licenses.frequencies(held))).collect()}
         assert got == {(k, n) for k, t in enumerate(texts) for n, _, words in sets if len(set(t.split()) & set(words)) / len(words) >= threshold - 1e-12}
 
 
@@ -50,7 +56,14 @@ def test_wrapped_licenses(spark):
     """Every template as headers have it, wrapped at 72 columns; words that are spread over a text are no notice."""
     rows = [(k, "first line\n" + textwrap.fill(text, 72, initial_indent=" * ", subsequent_indent=" * ") + "\nlast line") for k, (_, text) in enumerate(licenses.TEMPLATES)]
     rows += [(100 + k, ("\n" + "noise " * 30).join(text.split())) for k, (_, text) in enumerate(licenses.TEMPLATES)]
-    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows + [(300, rows[0][1]), (300, rows[0][1]), (None, rows[3][1]), (301, None)], "doc_id long, text string").cache()
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    duck = duckdb.connect()
+    duck.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    answer = duck.execute(licenses.oracle())
+    at = [c[0] for c in answer.description]
+    same = lambda rows: sorted((tuple((c, round(r[c], 9) if isinstance(r[c], float) else r[c]) for c in sorted(at)) for r in rows), key=str)
+    assert same(licenses.scan_licenses(docs).collect()) == same([dict(zip(at, r)) for r in answer.fetchall()])
     for k, (label, _) in enumerate(licenses.TEMPLATES):
         assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0 and got[k]["n_blocks"] >= 1
         assert got[100 + k]["labels"] == "" and got[100 + k]["n_blocks"] == 0
@@ -83,6 +96,14 @@ def test_lines_salted_alike(spark, monkeypatch):
     assert lines.dedup_lines(docs).orderBy("doc_id", "n_lines").collect() == plain
 
 
+def test_lines_with_any_names(spark):
+    names = ["_host", "_lines", "_kept", "_boiler", "_salt", "row", "keys", "n_lines", "a.b"]
+    docs = spark.createDataFrame([(k, f"own {k}\nshared", "s", *[k] * len(names)) for k in range(9)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    got = lines.dedup_lines(docs)
+    assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    assert all(r["text"] == f"own {r['doc_id']}" and r["_host"] == r["doc_id"] and r["n_lines"] == 2 for r in got.collect())
+
+
 def brute_targets(sizes, most=3):
     names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
@@ -204,6 +225,52 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), toxicity.fit(empty(spark), labels.limit(0))).count() == 0
 
 
+def plain_sigmoid(x):
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def plain_features(word):
+    plain = word.lower().strip(features.MARKS)
+    return [(plain[:k] if k else plain, k) for k in (0, *features.STEMS) if len(plain) >= max(k, 1)]
+
+
+def plain_code(part, k):
+    return (int(pd.util.hash_array(np.array([part], dtype=object), categorize=False)[0]) + 7919 * k) % 2**64 % toxicity.DIMENSION
+
+
+def test_noisy_or_equals_plain_loops(spark):
+    """The score of a document, sentence by sentence and word by word."""
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(-2.0, rng.standard_normal(toxicity.DIMENSION) / 3)
+    docs = documents(spark, n=25).where("doc_id IS NULL OR doc_id <> 104")
+    got = sorted((key(r["doc_id"]), round(r["score"], 9), r["n_sentences"], r["worst_sentence"], round(r["worst_score"], 9), r["predicted"]) for r in toxicity.score(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        p = []
+        for sentence in re.split(r"[.!?\n]+", r["text"] or ""):
+            p.append(plain_sigmoid(model.bias + sum(model.weights[plain_code(*f)] for word in sentence.split() for f in plain_features(word))))
+        score = 1 - math.prod(1 - x for x in p)
+        want.append((key(r["doc_id"]), round(score, 9), len(p), p.index(max(p)), round(max(p), 9), int(score >= 0.3)))
+    assert got == sorted(want)
+
+
+def test_slope_of_the_bags_likelihood():
+    """Against differences of the likelihood, on random bags."""
+    rng = np.random.default_rng(3)
+    doc, y, score = np.repeat(np.arange(6), [1, 2, 3, 1, 4, 2]), np.array([1, 0, 1, 0, 1, 1]), rng.standard_normal(13)
+
+    def loss(x):
+        out = 0.0
+        for d in range(6):
+            none = math.prod(1 - plain_sigmoid(v) for v in x[doc == d])
+            out -= math.log(1 - none) if y[d] else math.log(none)
+        return out
+
+    plain = [(loss(score + h) - loss(score - h)) / 2e-5 for h in np.eye(13) * 1e-5]
+    p = features.sigmoid(score)
+    assert np.allclose(toxicity.slope_of(p, toxicity.noisy_or(doc, p, 6), doc, y), plain, atol=1e-6)
+
+
 def test_labels_held_out_are_not_learned(spark):
     docs, labels = toxic_sample(spark)
     lies = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -229,6 +296,54 @@ def test_sparse_sites_shrink(spark):
     assert got["big0"] > 0.9 and got["big3"] < 0.1 and 0.1 < got["tiny"] < 0.5
 
 
+def test_posteriors_equal_plain_loops(spark):
+    """Hosts and paths of addresses of different depth, sparse ones among them, by loops over the documents."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        host = [f"big{k % 3}.org", f"small{k % 40}.net", None][k % 7 % 3]
+        path = [None, "a", "a/b", f"a/b/{k % 5}"][k % 4]
+        rows.append((k, host, path, float(rng.normal(1 if host and host < "c" else -1, 2))))
+    got = {r["doc_id"]: r for r in quality.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double"), 0.3).collect()}
+    good = {k: 1 / (1 + math.exp(-e)) for k, _, _, e in rows}
+    overall = sum(good.values()) / len(rows)
+
+    def prior_count(groups):  # (n, good, mean of the level above)
+        n = sum(g[0] for g in groups)
+        between = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) / n
+        within = sum(g[2] * (1 - g[2]) for g in groups) / n
+        noise = sum(g[0] * g[2] * (1 - g[2]) for g in groups) / n
+        spread = between - within
+        return min(1e6, max(2.0, noise / spread - 1 if spread > 0 else 1e6))
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for k, h, p, _ in rows:
+        hosts[h].append(good[k])
+        paths[h, p].append(good[k])
+    k_host = prior_count([(len(x), sum(x), overall) for x in hosts.values()])
+    of_host = {h: (sum(x) + k_host * overall) / (len(x) + k_host) for h, x in hosts.items()}
+    k_path = prior_count([(len(x), sum(x), of_host[h]) for (h, _), x in paths.items()])
+    for k, h, p, e in rows:
+        x, up = paths[h, p], of_host[h]
+        prior = (sum(x) - good[k] + k_path * up) / (len(x) - 1 + k_path)
+        odds = e - math.log(0.3 / 0.7) + math.log(prior / (1 - prior))
+        assert got[k]["host_posterior"] == pytest.approx(up) and got[k]["path_posterior"] == pytest.approx((sum(x) + k_path * up) / (len(x) + k_path))
+        assert got[k]["quality"] == pytest.approx(1 / (1 + math.exp(-odds))) and got[k]["keep"] == (got[k]["quality"] >= 0.5)
+
+
+def test_quality_of_pages_by_address(spark):
+    """Hosts and paths taken from real addresses; every page gets a score, sparse hosts stay near the corpus."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    path = F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?]*)", 1)
+    docs = pages.select(F.monotonically_increasing_id().alias("doc_id"), F.col("url"), F.lit("some words of a page").alias("text"))
+    got = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int"), host=host, path=path).collect()
+    assert len(got) == pages.count() and len({r["host"] for r in got}) > 1 and all(0 < r["quality"] < 1 for r in got)
+
+
 def plain_paragraphs(text):
     """One character after the other: a paragraph ends with a line feed, or where white space after a sentence end is over."""
     out, now = [], ""
