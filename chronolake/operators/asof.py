@@ -51,10 +51,19 @@ def routed(facts: DataFrame, routes: DataFrame, by: dict[str, str]) -> DataFrame
     return whole
 
 
-def snapshot(versions: DataFrame, keys: Sequence[str], generation: int, sequence: str = "sequence", deleted: str = "is_deleted") -> DataFrame:
-    """The state at a generation of an append-only table: the last version of each key, unless it is a tombstone."""
-    last = first_per(versions.where(F.col(sequence) <= generation), keys, newest(sequence))
-    return last.where(~F.coalesce(F.col(deleted), F.lit(False)))
+def capture(versions: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """generation: the highest sequence so far, one row (null where nothing is stored)."""
+    return versions.agg(F.max(sequence).alias("generation"))
+
+
+def snapshot(versions: DataFrame, keys: Sequence[str], generation: int | DataFrame, sequence: str = "sequence", deleted: str = "is_deleted") -> DataFrame:
+    """The state at a generation (a number, or what ``capture`` gave) of an append-only table: the last version of each key,
+    unless it is a tombstone."""
+    if isinstance(generation, DataFrame):
+        seen = versions.join(F.broadcast(generation), F.col(sequence) <= F.col("generation")).drop("generation")
+    else:
+        seen = versions.where(F.col(sequence) <= generation)
+    return first_per(seen, keys, newest(sequence)).where(~F.coalesce(F.col(deleted), F.lit(False)))
 
 
 def routes_of(keys: DataFrame, assignments: DataFrame, day: Column, key: str = "ticker", target: str = "security_id") -> DataFrame:

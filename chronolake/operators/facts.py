@@ -1,4 +1,4 @@
-"""Series and statements: trailing twelve months, returns, curves, vintages, merges and differences."""
+"""Series and statements: fiscal labels, trailing twelve months, returns, curves, vintages, merges and differences."""
 
 from __future__ import annotations
 
@@ -8,42 +8,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trailing_year(quarters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, ttm: the sum of the last four quarters, if they are consecutive, else null. ``quarters``: keys, q (4 * year + quarter), value."""
-    w = Window.partitionBy(*keys).orderBy(F.col("q").desc())
-    last = quarters.withColumn("_row", F.row_number().over(w)).where("_row <= 4")
-    return last.groupBy(*keys).agg(F.when((F.count(F.lit(1)) == 4) & (F.max("q") - F.min("q") == 3), F.sum("value")).alias("ttm"))
+#: Labels of full years and of single quarters. Fixed values.
+YEAR_LABEL, QUARTER_LABEL = r"^FY(\d{4})$", r"^Q([1-4])_(\d{4})$"
 
 
-def fiscal_year_ttm(history: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, ttm, from full years and quarters: the last full year, plus the quarters after it, less the same quarters of
-    that year.
+def fiscal_label(label: Column) -> Column:
+    """struct(full, year, quarter): is it a full year's label (whatever follows FY), and the year and quarter that it names
+    exactly; null where it doesn't. Case and outer spaces make no difference."""
+    text = F.upper(F.trim(F.coalesce(label, F.lit(""))))
+    part = lambda pattern, k: F.when(text.rlike(pattern), F.regexp_extract(text, pattern, k).cast("int"))
+    return F.struct(text.startswith("FY").alias("full"), F.coalesce(part(YEAR_LABEL, 1), part(QUARTER_LABEL, 2)).alias("year"), part(QUARTER_LABEL, 1).alias("quarter"))
 
-    ``history``: keys, year, quarter (0 for a full year), value. The quarters after must be 1..k without a hole, and each
-    needs exactly one counterpart; otherwise null. Without a full year, the last four quarters if consecutive.
+
+def trailing_year(history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, ttm: a flow's value over the year that ends with its newest period, or null where the labels leave a doubt.
+
+    ``history``: keys, period_end, fiscal_period, value; one row for each period end. With a full year: that year's value
+    plus the quarters after it less the same quarters of that year. The quarters after must be labelled Q1..Qk of the next
+    year, in the order of their ends, and each must have exactly one counterpart up to the year's end. Without any full
+    year: the sum of the last four rows, if their labels are consecutive quarters.
+
+    All windows share the keys' partitioning, so the history is shuffled once.
     """
-    by = Window.partitionBy(*keys)
-    marked = history.withColumn("_fy", F.max(F.when(F.col("quarter") == 0, F.col("year"))).over(by))
-    annual, post, prior = (F.col("quarter") == 0) & (F.col("year") == F.col("_fy")), (F.col("quarter") > 0) & (F.col("year") == F.col("_fy") + 1), (F.col("quarter") > 0) & (F.col("year") == F.col("_fy"))
-    later = F.max(F.when(F.col("quarter") > 0, F.when(F.col("year") > F.col("_fy") + 1, 1))).alias("_later")
-    k = F.coalesce(F.max(F.when(post, F.col("quarter"))).over(by), F.lit(0))
-    agg = (
-        marked.withColumn("_k", k)
-        .groupBy(*keys)
-        .agg(
-            F.max("_fy").alias("_fy"),
-            F.max("_k").alias("_k"),
-            F.sum(F.when(annual, F.col("value"))).alias("_annual"),
-            F.coalesce(F.sum(F.when(post, F.col("value"))), F.lit(0.0)).alias("_post"),
-            F.count(F.when(post, 1)).alias("_n_post"),
-            F.coalesce(F.sum(F.when(prior & (F.col("quarter") <= F.col("_k")), F.col("value"))), F.lit(0.0)).alias("_prior"),
-            F.count(F.when(prior & (F.col("quarter") <= F.col("_k")), 1)).alias("_n_prior"),
-            later,
-        )
+    c, by = F.col, Window.partitionBy(*keys)
+    rows = history.select(*keys, "period_end", "value", fiscal_label(c("fiscal_period")).alias("_l")).select(*keys, "period_end", "value", c("_l.full").alias("_full"), c("_l.year").alias("_year"), c("_l.quarter").alias("_quarter"))
+    annual = F.max(F.when(c("_full"), F.struct("period_end", "_year", "value"))).over(by)
+    rows = rows.withColumn("_annual", annual).withColumn("_post", F.coalesce(~c("_full") & (c("period_end") > c("_annual.period_end")), F.lit(False)))
+    rows = rows.withColumn("_k", F.count_if("_post").over(by)).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_full", "_post").orderBy("period_end")))
+    single = Window.partitionBy(*keys, "_full")
+    serial = F.when(c("_quarter").isNotNull(), c("_year") * 4 + c("_quarter"))
+    rows = rows.withColumn("_serial", serial).withColumn("_back", F.row_number().over(single.orderBy(F.desc("period_end")))).withColumn("_step", c("_serial") - F.lag("_serial").over(single.orderBy("period_end")))
+    fits = F.coalesce((c("_year") == c("_annual._year") + 1) & (c("_quarter") == c("_nth")), F.lit(False))
+    prior = F.coalesce((c("period_end") <= c("_annual.period_end")) & (c("_year") == c("_annual._year")) & c("_quarter").between(1, c("_k")), F.lit(False))
+    last = ~c("_full") & (c("_back") <= 4)
+    sums = rows.groupBy(*keys).agg(
+        F.max("_annual").alias("_annual"),
+        F.max("_k").alias("_k"),
+        F.count_if(c("_post") & ~fits).alias("_odd"),
+        F.coalesce(F.sum(F.when(c("_post"), c("value"))), F.lit(0.0)).alias("_added"),
+        F.count_if(prior).alias("_n_prior"),
+        F.bit_or(F.when(prior, F.pow(F.lit(2), c("_quarter")).cast("int"))).alias("_kinds"),
+        F.coalesce(F.sum(F.when(prior, c("value"))), F.lit(0.0)).alias("_taken"),
+        F.count_if(last & c("_serial").isNotNull()).alias("_n_last"),
+        F.count_if(last & (c("_back") <= 3) & (c("_step") == 1)).alias("_n_steps"),
+        F.sum(F.when(last, c("value"))).alias("_last"),
     )
-    ttm = F.when(F.col("_later").isNull() & (F.col("_n_post") == F.col("_k")) & (F.col("_n_prior") == F.col("_k")), F.col("_annual") + F.col("_post") - F.col("_prior"))
-    plain = trailing_year(history.where("quarter > 0").withColumn("q", F.col("year") * 4 + F.col("quarter")), keys).withColumnRenamed("ttm", "_plain")
-    return agg.join(plain, list(keys), "left").select(*keys, F.when(F.col("_fy").isNull(), F.col("_plain")).otherwise(ttm).alias("ttm"))
+    matched = (c("_odd") == 0) & (c("_k") <= 4) & (c("_n_prior") == c("_k")) & (F.coalesce("_kinds", F.lit(0)) == F.pow(F.lit(2), c("_k") + 1).cast("int") - 2)
+    rolled = F.when(c("_k") == 0, c("_annual.value")).when(matched, c("_annual.value") + c("_added") - c("_taken"))
+    plain = F.when((c("_n_last") == 4) & (c("_n_steps") == 3), c("_last"))
+    return sums.select(*keys, F.when(c("_annual").isNull(), plain).otherwise(rolled).alias("ttm"))
 
 
 def in_order(keys: Sequence[str], *order: str):
@@ -63,9 +76,9 @@ def with_drawdown(df: DataFrame, keys: Sequence[str], order: str, value: str) ->
 
 
 def later_product(keys: Sequence[str], order: str, factor: str) -> Column:
-    """The product of the factors of all later rows, in their order (1 at the last)."""
-    later = F.collect_list(factor).over(in_order(keys, order).rowsBetween(1, Window.unboundedFollowing))
-    return F.aggregate(later, F.lit(1.0), lambda a, x: a * x)
+    """The product of the factors of all later rows (1 at the last): one running product from the end of each key."""
+    later = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.product(F.col(factor)).over(later), F.lit(1.0))
 
 
 def sharpe_and_t(ret: Column, periods: float) -> tuple[Column, Column]:

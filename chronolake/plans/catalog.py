@@ -21,7 +21,7 @@ PRICES = "prices AS (SELECT l_partkey AS security_id, CAST(l_shipdate AS DATE) A
 FACTS = "facts AS (SELECT o_custkey AS issuer_id, l_returnflag AS metric, CAST(o_orderdate AS DATE) AS period_end, CAST(l_shipdate AS DATE) AS as_of_date, l_extendedprice AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 SPANS = """spans AS (SELECT * FROM (SELECT o_custkey AS security_id, o_orderkey, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS start,
   CAST(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE) AS "end" FROM orders) WHERE "end" IS NULL OR start < "end")"""
-MEMBERS = SPANS + """, members AS (SELECT security_id, start, "end", start - 10 AS known, "end" - 5 AS end_known FROM spans WHERE o_orderkey % 3 <> 0)"""
+MEMBERS = SPANS + """, members AS (SELECT security_id, start, "end", start - 10 AS known, CASE WHEN o_orderkey % 3 <> 0 THEN "end" - 5 ELSE "end" + 30 END AS end_known FROM spans)"""
 MACRO = "macro AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, ts AS released, value, event_id FROM events)"
 CURVE = "curve AS (SELECT event_type AS book, CAST(ts AS DATE) AS date, sum(value) AS value FROM events GROUP BY ALL)"
 POSITIONS = "positions AS (SELECT c_custkey AS security_id, c_mktsegment AS sector, c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey) AS weight, c_nationkey AS book FROM customer WHERE c_acctbal > 0)"
@@ -61,7 +61,9 @@ def spans(spark, d):
 
 
 def members(spark, d):
-    return spans(spark, d).where(F.col("o_orderkey") % 3 != 0).select("security_id", "start", "end", F.date_sub("start", 10).alias("known"), F.date_sub("end", 5).alias("end_known"))
+    """Every third end is announced a month late."""
+    late = F.when(F.col("o_orderkey") % 3 != 0, F.date_sub("end", 5)).otherwise(F.date_add("end", 30))
+    return spans(spark, d).select("security_id", "start", "end", F.date_sub("start", 10).alias("known"), late.alias("end_known"))
 
 
 def macro(spark, d):
@@ -147,10 +149,17 @@ def price_two_source(spark, d):
     return asof.first_per(asof.first_per(both, ["security_id", "date"], asof.newest("priority", "close")), ["security_id"], asof.newest("date"), 20)
 
 
-@query("SELECT user_id, event_type, sequence, value FROM (SELECT user_id, event_type, event_id AS sequence, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 5000) WHERE r = 1 AND NOT (sequence % 7 = 0)")
+@query("SELECT user_id, event_type, sequence, value FROM (SELECT user_id, event_type, event_id AS sequence, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events WHERE event_id <= (SELECT max(event_id) FROM events WHERE ts <= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events))) WHERE r = 1 AND NOT (sequence % 7 = 0)")
 def generation_snapshot(spark, d):
     versions = read(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("sequence"), "value", (F.col("event_id") % 7 == 0).alias("is_deleted"))
-    return asof.snapshot(versions, ["user_id", "event_type"], 5000).drop("is_deleted")
+    return asof.snapshot(versions, ["user_id", "event_type"], generation(spark, d)).drop("is_deleted")
+
+
+def generation(spark, d) -> DataFrame:
+    """The generation captured halfway through the events."""
+    e = read(spark, d, "events").select("event_id", "ts")
+    half = e.agg(F.min("ts").alias("_a"), F.max("ts").alias("_b")).select((F.col("_a") + (F.col("_b") - F.col("_a")) / 2).alias("_half"))
+    return asof.capture(e.join(F.broadcast(half), F.col("ts") <= F.col("_half")), "event_id")
 
 
 _ROUTES = """a AS (SELECT o_orderpriority || o_custkey % 50 AS ticker, o_custkey AS security_id, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 20 AS "end" FROM orders)"""
@@ -235,11 +244,11 @@ def shrink_check(spark, d):
 
 def _changed(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 10 <> 1").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 2, F.lit(None)).otherwise(F.col("o_orderstatus")))
-    return o.where("o_orderkey % 10 <> 3"), new
+    new = o.where("o_orderstatus <> 'P'").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 2, F.lit(None)).otherwise(F.col("o_orderstatus")))
+    return o.where("o_totalprice >= 50000"), new
 
 
-_CHANGED = "a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 2 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 1)"
+_CHANGED = "a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice >= 50000), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 2 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P')"
 _DELTA = f"WITH {_CHANGED} SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus AND a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey"
 
 
@@ -372,13 +381,15 @@ def sector_capped_topn(spark, d):
 
 # Series and factors.
 
-_Q = "qs AS (SELECT o_custkey AS issuer_id, year(o_orderdate) * 4 + quarter(o_orderdate) AS q, sum(o_totalprice) AS value FROM orders GROUP BY ALL)"
+#: Quarters without any full year; a quarter in ten carries its neighbour's label.
+_Q = "qs AS (SELECT id, e, 'Q' || (CASE WHEN id % 10 = 3 AND q = 2 THEN 1 ELSE q END) || '_' || y AS fp, CASE WHEN id % 10 = 3 AND q = 2 THEN 1 ELSE q END + 4 * y AS n, v FROM (SELECT o_custkey AS id, year(o_orderdate) AS y, quarter(o_orderdate) AS q, max(CAST(o_orderdate AS DATE)) AS e, sum(o_totalprice) AS v FROM orders GROUP BY o_custkey, y, q))"
 
 
-@query(f"WITH {_Q}, l AS (SELECT *, row_number() OVER (PARTITION BY issuer_id ORDER BY q DESC) AS r FROM qs) SELECT issuer_id, round(CASE WHEN count(*) = 4 AND max(q) - min(q) = 3 THEN sum(value) END, 2) AS ttm FROM l WHERE r <= 4 GROUP BY issuer_id")
+@query(f"WITH {_Q}, l AS (SELECT id, list(n ORDER BY e DESC)[1:4] AS ns, list(v ORDER BY e DESC)[1:4] AS vs FROM qs GROUP BY id) SELECT id AS issuer_id, round(CASE WHEN len(ns) = 4 AND list_reverse(ns) = range(ns[4], ns[4] + 4) THEN list_sum(vs) END, 2) AS ttm FROM l")
 def ttm_sum(spark, d):
-    q = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("issuer_id"), (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("q")).agg(F.sum("o_totalprice").alias("value"))
-    return facts.trailing_year(q, ["issuer_id"]).select("issuer_id", F.round("ttm", 2).alias("ttm"))
+    q = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("issuer_id"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.max(day("o_orderdate")).alias("period_end"), F.sum("o_totalprice").alias("value"))
+    named = q.withColumn("fiscal_period", F.concat(F.lit("Q"), F.when((F.col("issuer_id") % 10 == 3) & (F.col("q") == 2), 1).otherwise(F.col("q")), F.lit("_"), "y"))
+    return facts.trailing_year(named, ["issuer_id"]).select("issuer_id", F.round("ttm", 2).alias("ttm"))
 
 
 _RET = f"{_DEDUPED}, r AS (SELECT security_id, date, close / nullif(lag(close) OVER (PARTITION BY security_id ORDER BY date), 0) - 1 AS ret, row_number() OVER (PARTITION BY security_id ORDER BY date DESC) AS q FROM dd)"
@@ -458,11 +469,11 @@ def risk_checks(spark, d):
     return b.select("book", "n", (F.col("max_position") <= 0.10).alias("position_ok"), (F.col("max_sector") <= 0.30).alias("sector_ok"), (F.col("n") >= 10).alias("count_ok"))
 
 
-@query(f"WITH {POSITIONS}, a AS (SELECT * FROM positions WHERE security_id % 3 <> 0), b AS (SELECT * FROM positions WHERE security_id % 4 <> 0), j AS (SELECT coalesce(a.book, b.book) AS book, coalesce(a.weight, 0) AS x, coalesce(b.weight, 0) AS y FROM a FULL OUTER JOIN b ON a.book = b.book AND a.security_id = b.security_id) SELECT book, round(0.5 * (sum(abs(x - y)) + abs(sum(x) - sum(y))), 6) AS turnover FROM j GROUP BY book")
+@query(f"WITH {POSITIONS}, a AS (SELECT * FROM positions WHERE sector <> 'BUILDING'), b AS (SELECT * FROM positions WHERE sector <> 'MACHINERY'), j AS (SELECT coalesce(a.book, b.book) AS book, coalesce(a.weight, 0) AS x, coalesce(b.weight, 0) AS y FROM a FULL OUTER JOIN b ON a.book = b.book AND a.security_id = b.security_id) SELECT book, round(0.5 * (sum(abs(x - y)) + abs(sum(x) - sum(y))), 6) AS turnover FROM j GROUP BY book")
 def turnover(spark, d):
     """Half of the moved weights, cash included."""
     p = positions(spark, d)
-    a, b = p.where("security_id % 3 <> 0").select("book", "security_id", F.col("weight").alias("x")), p.where("security_id % 4 <> 0").select("book", "security_id", F.col("weight").alias("y"))
+    a, b = p.where("sector <> 'BUILDING'").select("book", "security_id", F.col("weight").alias("x")), p.where("sector <> 'MACHINERY'").select("book", "security_id", F.col("weight").alias("y"))
     j = a.join(b, ["book", "security_id"], "full_outer").fillna(0.0, ["x", "y"])
     return j.groupBy("book").agg(F.round(0.5 * (F.sum(F.abs(F.col("x") - F.col("y"))) + F.abs(F.sum("x") - F.sum("y"))), 6).alias("turnover"))
 

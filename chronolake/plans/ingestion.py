@@ -148,12 +148,12 @@ def carried_marks(spark, d):
 
 
 
-@query(f"""WITH {_SHIFTED}, {SPANS}, held AS (SELECT security_id, start, "end" FROM spans WHERE "end" IS NOT NULL AND o_orderkey % 2 = 0), zs AS (SELECT DISTINCT security_id, CAST(unnest(generate_series(start, "end" - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM z),
+@query(f"""WITH {_SHIFTED}, {SPANS}, held AS (SELECT security_id, start, "end" FROM spans WHERE "end" IS NOT NULL AND status = 'F'), zs AS (SELECT DISTINCT security_id, CAST(unnest(generate_series(start, "end" - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM z),
 hs AS (SELECT DISTINCT security_id, CAST(unnest(generate_series(start, "end" - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM held), r AS (SELECT * FROM zs EXCEPT SELECT * FROM hs),
 g AS (SELECT *, date - CAST(row_number() OVER (PARTITION BY security_id ORDER BY date) AS INT) AS island FROM r) SELECT security_id, min(date) AS start, max(date) + 1 AS "end" FROM g GROUP BY security_id, island""")
 def interval_subtract(spark, d):
     """The oracle counts days; the operator sweeps boundaries."""
-    held = spans(spark, d).where("`end` IS NOT NULL AND o_orderkey % 2 = 0").select("security_id", "start", "end")
+    held = spans(spark, d).where("`end` IS NOT NULL AND status = 'F'").select("security_id", "start", "end")
     return intervals.subtract(windows(spark, d), held, ["security_id"])
 
 
@@ -198,8 +198,8 @@ def members_digest(spark, d):
 
 # Risk.
 
-_PROPOSED = f"""{POSITIONS}, tg AS (SELECT book, security_id AS ticker, weight, CASE WHEN security_id % 97 <> 0 THEN sector END AS sector, CASE WHEN security_id % 89 <> 0 THEN 2e7 END AS adv FROM positions WHERE security_id % 3 <> 0),
-cu AS (SELECT book, security_id AS ticker, weight FROM positions WHERE security_id % 4 <> 0), bk AS (SELECT n_nationkey AS book, 1e6 AS equity, 1e6 * (1 + n_regionkey / 16.0E0) AS peak FROM nation)"""
+_PROPOSED = f"""{POSITIONS}, tg AS (SELECT book, security_id AS ticker, weight, CASE WHEN security_id % 97 <> 0 THEN sector END AS sector, CASE WHEN security_id % 89 <> 0 THEN 2e7 END AS adv FROM positions WHERE sector <> 'BUILDING'),
+cu AS (SELECT book, security_id AS ticker, weight FROM positions WHERE sector <> 'MACHINERY'), bk AS (SELECT n_nationkey AS book, 1e6 AS equity, 1e6 * (1 + n_regionkey / 16.0E0) AS peak FROM nation)"""
 _TESTS = "cash", "gross", "turnover", "drawdown"
 
 
@@ -213,9 +213,9 @@ SELECT a.book, round(gross, 6) AS gross, round(greatest(0, 1 - gross), 6) AS cas
 def risk_assessment(spark, d):
     p = positions(spark, d).withColumn("ticker", F.col("security_id").cast("string"))
     odd = lambda n: F.col("security_id") % n != 0
-    targets = p.where(odd(3)).select("book", "ticker", "weight", F.when(odd(97), F.col("sector")).alias("sector"), F.when(odd(89), 2e7).alias("adv"))
+    targets = p.where("sector <> 'BUILDING'").select("book", "ticker", "weight", F.when(odd(97), F.col("sector")).alias("sector"), F.when(odd(89), 2e7).alias("adv"))
     books = read(spark, d, "nation").select(F.col("n_nationkey").alias("book"), F.lit(1e6).alias("equity"), (1e6 * (1 + F.col("n_regionkey") / 16)).alias("peak"))
-    judged = risk.assess(books, targets, p.where(odd(4)).select("book", "ticker", "weight"))
+    judged = risk.assess(books, targets, p.where("sector <> 'MACHINERY'").select("book", "ticker", "weight"))
     return judged.withColumns({n: F.round(n, 6) for n in _TESTS})
 
 

@@ -230,7 +230,7 @@ def curve_metrics(spark, d):
     return measured.select("book", *[F.round(n, 6).alias(n) for n in _DIGITS], "n_days")
 
 
-_PERIODS = f"{CURVE}, periods AS (SELECT book, date AS entry, date + 1 AS exit, (value % 40 - 19) / 400 AS ret FROM curve WHERE book <> 'view' OR date < DATE '2024-01-10')"
+_PERIODS = f"{CURVE}, periods AS (SELECT book, date AS entry, date + 1 AS exit, (value % 40 - 19) / 400 AS ret FROM curve)"
 
 
 @query(f"""WITH {_PERIODS}, e AS (SELECT *, product(1 + ret) OVER (PARTITION BY book ORDER BY entry ROWS UNBOUNDED PRECEDING) AS equity FROM periods),
@@ -241,8 +241,7 @@ SELECT book, round(grown - 1, 6) AS cumulative_return, round(power(grown, 1 / ye
   round(mean / s * sqrt(4), 6) AS sharpe_ratio, round(mean / s * sqrt(n_periods), 6) AS return_t_stat, n_periods,
   CASE WHEN n_periods < 20 THEN 'not interpretable' WHEN abs(mean / s * sqrt(n_periods)) < 2 THEN 'noise' ELSE 'suggestive' END AS verdict FROM m""")
 def period_verdicts(spark, d):
-    rows = curve(spark, d).where("book <> 'view' OR date < DATE '2024-01-10'")
-    periods = rows.select("book", F.col("date").alias("entry"), F.date_add("date", 1).alias("exit"), ((F.col("value") % 40 - 19) / 400).alias("ret"))
+    periods = curve(spark, d).select("book", F.col("date").alias("entry"), F.date_add("date", 1).alias("exit"), ((F.col("value") % 40 - 19) / 400).alias("ret"))
     measured = backtest.period_metrics(periods, ["book"])
     said = backtest.verdict(F.col("return_t_stat"), F.col("n_periods"), F.col("n_periods"))
     return measured.select("book", *[F.round(n, 6).alias(n) for n in _DIGITS], "n_periods", said.alias("verdict"))
@@ -309,17 +308,39 @@ def missing_evidence(spark, d):
 
 # Statements by fiscal year.
 
-_HISTORY = """h AS (SELECT o_custkey AS id, year(o_orderdate) AS y, quarter(o_orderdate) AS q, sum(o_totalprice) AS v FROM orders WHERE o_custkey % 7 <> 0 OR year(o_orderdate) > 1998 GROUP BY ALL),
-hist AS (SELECT * FROM h UNION ALL SELECT id, y, 0, 4 * sum(v) FROM h WHERE y <= 2000 AND id % 3 <> 0 GROUP BY id, y)"""
+#: Labels of a customer's quarters: some repeat another quarter's, some follow no pattern; both engines run these texts.
+LABEL = "CASE WHEN id % 13 = 4 AND q = 2 AND y % 2 = 0 THEN 'H1_' || y WHEN id % 5 = 1 AND q = 3 THEN 'q1_' || y || ' ' ELSE 'Q' || q || '_' || y END"
+FULL = "CASE WHEN id % 17 = 3 THEN 'FY' ELSE 'FY' || y END"
+#: The day of a quarter on which it ends; a full year ends a day later than its fourth quarter.
+_ENDS = "make_date(CAST(y AS INT), CAST(3 * q AS INT), 28)"
+_HISTORY = f"""h AS (SELECT o_custkey AS id, year(o_orderdate) AS y, quarter(o_orderdate) AS q, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+hist AS (SELECT id, {_ENDS} AS e, {LABEL} AS fp, v FROM h UNION ALL SELECT id, make_date(CAST(y AS INT), 12, 29), {FULL}, 4 * sum(v) FROM h WHERE id % 3 <> 0 AND y <= 1996 + id % 4 GROUP BY id, y)"""
 
 
-@query(f"""WITH {_HISTORY}, fy AS (SELECT id, max(y) FILTER (q = 0) AS fy FROM hist GROUP BY id), post AS (SELECT id, fy, max(q) FILTER (q > 0 AND y = fy + 1) AS k, count(*) FILTER (q > 0 AND y = fy + 1) AS n,
-  count(*) FILTER (q > 0 AND y > fy + 1) AS later, coalesce(sum(v) FILTER (q > 0 AND y = fy + 1), 0) AS s, sum(v) FILTER (q = 0 AND y = fy) AS annual FROM hist JOIN fy USING (id) GROUP BY id, fy),
-prior AS (SELECT id, count(hist.v) AS n0, coalesce(sum(hist.v), 0) AS s0 FROM post LEFT JOIN hist USING (id) WHERE hist.q BETWEEN 1 AND post.k AND hist.y = post.fy GROUP BY id),
-l AS (SELECT id, y * 4 + q AS t, v, row_number() OVER (PARTITION BY id ORDER BY y * 4 + q DESC) AS r FROM hist WHERE q > 0), plain AS (SELECT id, CASE WHEN count(*) = 4 AND max(t) - min(t) = 3 THEN sum(v) END AS ttm FROM l WHERE r <= 4 GROUP BY id)
-SELECT post.id, round(CASE WHEN fy IS NULL THEN plain.ttm WHEN later = 0 AND n = coalesce(k, 0) AND coalesce(n0, 0) = coalesce(k, 0) THEN annual + s - coalesce(s0, 0) END, 2) AS ttm
-FROM post LEFT JOIN prior ON prior.id = post.id LEFT JOIN plain ON plain.id = post.id""")
+def history(spark, d) -> DataFrame:
+    """Quarters of a customer, and full years of two thirds of them up to a year of their own."""
+    quarters = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.sum("o_totalprice").alias("value"))
+    years = quarters.groupBy("id", "y").agg((4 * F.sum("value")).alias("value")).where("id % 3 <> 0 AND y <= 1996 + id % 4")
+    single = quarters.select("id", F.expr(_ENDS).alias("period_end"), F.expr(LABEL).alias("fiscal_period"), "value")
+    return single.unionByName(years.select("id", F.expr("make_date(CAST(y AS INT), 12, 29)").alias("period_end"), F.expr(FULL).alias("fiscal_period"), "value"))
+
+
+_TTM = r"""lists AS (SELECT id, list(struct_pack(e := e, fp := upper(trim(fp)), v := v) ORDER BY e) AS h FROM hist GROUP BY id),
+parts AS (SELECT id, h, list_filter(h, lambda x: x.fp LIKE 'FY%') AS years, list_filter(h, lambda x: x.fp NOT LIKE 'FY%') AS singles FROM lists),
+told AS (SELECT *, years[-1] AS a, CASE WHEN regexp_full_match(years[-1].fp, 'FY\d{4}') THEN CAST(right(years[-1].fp, 4) AS INT) END AS ay, list_filter(singles, lambda x: x.e > years[-1].e) AS post, list_filter(singles, lambda x: x.e <= years[-1].e) AS before, singles[-4:] AS four FROM parts),
+asked AS (SELECT *, list_transform(range(1, len(post) + 1), lambda i: 'Q' || i || '_' || (ay + 1)) AS wanted, list_transform(range(1, len(post) + 1), lambda i: list_filter(before, lambda x: x.fp = 'Q' || i || '_' || ay)) AS met,
+  list_transform(four, lambda x: CASE WHEN regexp_full_match(x.fp, 'Q[1-4]_\d{4}') THEN CAST(right(x.fp, 4) AS INT) * 4 + CAST(x.fp[2] AS INT) END) AS serials FROM told)"""
+
+
+@query(f"""WITH {_HISTORY}, {_TTM} SELECT id, round(CASE WHEN len(years) = 0 THEN CASE WHEN len(four) = 4 AND serials = range(serials[1], serials[1] + 4) THEN list_sum(list_transform(four, lambda x: x.v)) END
+  WHEN len(post) = 0 THEN a.v WHEN len(post) <= 4 AND list_transform(post, lambda x: x.fp) = wanted AND list_bool_and(list_transform(met, lambda m: len(m) = 1))
+  THEN a.v + list_sum(list_transform(post, lambda x: x.v)) - list_sum(list_transform(met, lambda m: m[1].v)) END, 2) AS ttm FROM asked""")
 def fiscal_ttm(spark, d):
-    quarters = read(spark, d, "orders").where("o_custkey % 7 <> 0 OR year(o_orderdate) > 1998").groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.sum("o_totalprice").alias("value"))
-    years = quarters.where("year <= 2000 AND id % 3 <> 0").groupBy("id", "year").agg((4 * F.sum("value")).alias("value")).select("id", "year", F.lit(0).alias("quarter"), "value")
-    return facts.fiscal_year_ttm(quarters.unionByName(years), ["id"]).select("id", F.round("ttm", 2).alias("ttm"))
+    return facts.trailing_year(history(spark, d), ["id"]).select("id", F.round("ttm", 2).alias("ttm"))
+
+
+@query(r"SELECT o_orderkey, regexp_full_match(l, 'FY\d{4}') AS exact_year, CASE WHEN regexp_full_match(l, 'FY\d{4}') THEN CAST(l[3:6] AS INT) WHEN regexp_full_match(l, 'Q[1-4]_\d{4}') THEN CAST(l[4:7] AS INT) END AS year, CASE WHEN regexp_full_match(l, 'Q[1-4]_\d{4}') THEN CAST(l[2] AS INT) END AS quarter FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'FY' || year(o_orderdate) WHEN o_orderkey % 5 = 1 THEN 'Q' || (o_orderkey % 7) || '_' || year(o_orderdate) WHEN o_orderkey % 5 = 2 THEN 'INST' WHEN o_orderkey % 5 = 3 THEN 'Q' || quarter(o_orderdate) || '_' || year(o_orderdate) || 'A' END AS l FROM orders)")
+def fiscal_labels(spark, d):
+    text = F.expr("CASE WHEN o_orderkey % 5 = 0 THEN ' fy' || year(o_orderdate) WHEN o_orderkey % 5 = 1 THEN 'q' || (o_orderkey % 7) || '_' || year(o_orderdate) WHEN o_orderkey % 5 = 2 THEN 'INST' WHEN o_orderkey % 5 = 3 THEN 'Q' || quarter(o_orderdate) || '_' || year(o_orderdate) || 'A' END")
+    label = facts.fiscal_label(text)
+    return read(spark, d, "orders").select("o_orderkey", F.when(text.isNotNull(), label["full"] & label["year"].isNotNull()).alias("exact_year"), label["year"].alias("year"), label["quarter"].alias("quarter"))

@@ -1,6 +1,6 @@
 """Operators on fixtures whose results are known."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,10 +51,33 @@ def test_capped_top_is_the_greedy_walk(spark):
     assert sorted(got) == [0, 1, 2]
 
 
-def test_fiscal_year_ttm(spark):
-    rows = [("a", 2023, 0, 100.0), ("a", 2023, 1, 20.0), ("a", 2023, 2, 25.0), ("a", 2024, 1, 30.0), ("b", 2023, 0, 50.0), ("b", 2024, 1, 9.0), ("c", 2023, 4, 1.0), ("c", 2023, 3, 1.0), ("c", 2023, 2, 1.0), ("c", 2023, 1, 1.0), ("d", 2023, 0, 7.0)]
-    got = {r["k"]: r["ttm"] for r in facts.fiscal_year_ttm(spark.createDataFrame(rows, "k string, year int, quarter int, value double"), ["k"]).collect()}
-    assert got == {"a": 110.0, "b": None, "c": 4.0, "d": 7.0}
+def ttm_of(spark, *rows):
+    """ttm of one history: (label, value) in the order of the period ends."""
+    df = spark.createDataFrame([("k", date(2000, 1, 1) + timedelta(days=90 * k), label, float(v)) for k, (label, v) in enumerate(rows)], "k string, period_end date, fiscal_period string, value double")
+    return facts.trailing_year(df, ["k"]).first()["ttm"]
+
+
+def test_trailing_year(spark):
+    year = ("Q1_2023", 10), ("Q2_2023", 20), ("Q3_2023", 30)
+    full = (*year, ("FY2023", 100))
+    assert ttm_of(spark, *full) == 100
+    assert ttm_of(spark, *full, ("Q1_2024", 15)) == 105
+    assert ttm_of(spark, *full, (" q1_2024 ", 15), ("Q2_2024", 25)) == 110
+    assert ttm_of(spark, *full, ("Q2_2024", 25)) is None  # a hole
+    assert ttm_of(spark, *full, ("Q1_2024", 15), ("Q1_2024", 15), ("Q3_2024", 1)) is None  # one quarter twice, one not at all
+    assert ttm_of(spark, ("Q1_2023", 1), *full, ("Q1_2024", 15)) is None  # two counterparts
+    assert ttm_of(spark, *full[1:], ("Q1_2024", 15)) is None  # none
+    assert ttm_of(spark, *full, ("H1_2024", 15)) is None and ttm_of(spark, *year, ("FY", 100), ("Q1_2024", 15)) is None
+    assert ttm_of(spark, *year, ("FY", 100)) == 100  # a full year alone needs no label
+    assert ttm_of(spark, *full, ("Q1_2025", 15)) is None
+    assert ttm_of(spark, *year) is None and ttm_of(spark, *year, ("Q4_2023", 40)) == 100
+    assert ttm_of(spark, ("Q4_2022", 5), *year) == 65 and ttm_of(spark, ("Q4_2022", 5), *year, ("INST", 1)) is None
+    assert ttm_of(spark, ("Q1_2023", 5), ("Q3_2023", 5), ("Q3_2023", 5), ("Q4_2023", 5)) is None  # duplicates span a year too
+
+
+def test_later_product(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("a", 3, 5.0), ("b", 1, 7.0)], "k string, at int, x double")
+    assert sorted(r[0] for r in df.select(facts.later_product(["k"], "at", "x")).collect()) == [1.0, 1.0, 5.0, 15.0]
 
 
 def test_book_keeps_its_money():
