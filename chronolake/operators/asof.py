@@ -76,3 +76,24 @@ def routes_of(keys: DataFrame, assignments: DataFrame, day: Column, key: str = "
 def require_unambiguous(routes: DataFrame) -> DataFrame:
     """``routes``, failing at run time where a key has more than one target."""
     return routes.withColumn("n_targets", F.when(F.col("n_targets") > 1, F.raise_error(F.lit("ambiguous identity")).cast("long")).otherwise(F.col("n_targets")))
+
+
+#: Steps of a chain of conversions beyond which it can only be a circle.
+LONGEST_CHAIN = 64
+
+
+def frontier(edges: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+    """origin, target, ratio, depth: everything that ``edges`` (source, target, ratio) lead to, ratios multiplied on the way.
+
+    Each step joins the frontier with the edges, until it is empty. A way that comes back to where it has been ends there.
+    """
+    ways = edges.select(F.col("source").alias("origin"), "target", "ratio", F.lit(1).alias("depth"), F.array("source", "target").alias("_seen")).where("source <> target")
+    step = edges.select(F.col("source").alias("_at"), F.col("target").alias("_next"), F.col("ratio").alias("_by"))
+    whole, now = ways, ways
+    for _ in range(longest):
+        if now.isEmpty():
+            break
+        now = now.join(step, F.col("target") == F.col("_at")).where(~F.array_contains("_seen", F.col("_next")))
+        now = now.select("origin", F.col("_next").alias("target"), (F.col("ratio") * F.col("_by")).alias("ratio"), (F.col("depth") + 1).alias("depth"), F.concat("_seen", F.array("_next")).alias("_seen"))
+        whole = whole.unionByName(now)
+    return whole.drop("_seen")

@@ -1,102 +1,281 @@
-"""A portfolio book carried through rebalances: first-in first-out lots, costs, taxes, splits and dividends.
+"""A portfolio book carried through periods: first-in first-out lots, conversions, splits, dividends, costs and taxes.
 
-The fold is sequential within a book, so each book is one group; Spark spreads the books. A book sees only its own rows:
-a few for each date and holding.
+The fold is sequential within a book, so each book is one group and Spark spreads the books. A book's group holds the bars
+of the securities that it ever aims at (and of what these convert into), within its own periods: ``fold`` sends no other
+rows. A period whose evidence lacks anything leaves the book as it was and says why.
 """
 
 from __future__ import annotations
 
+import copy
+import math
 from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "book string, date date, cash double, equity double, costs double, taxes double, n_lots int"
-LONG_TERM_DAYS = 365
+from .asof import frontier
+from .backtest import Frictions
+
+SCHEMA = "book string, date date, cash double, equity double, costs double, taxes double, n_positions int, n_lots int, stale array<string>, problem string"
+SMALL = 1e-9
+
+
+class Refused(Exception):
+    """A period that lacks evidence: its reasons."""
+
+
+@dataclass
+class Lot:
+    quantity: float
+    basis: float  # paid for one share, costs included
+    since: date
 
 
 @dataclass
 class Book:
     cash: float
-    cost_bps: float
-    short_tax: float
-    long_tax: float
-    lots: dict = field(default_factory=dict)  # security -> deque of [quantity, price paid with costs, date]
-    marks: dict = field(default_factory=dict)
+    frictions: Frictions = field(default_factory=Frictions)
+    lots: dict[str, deque] = field(default_factory=dict)
+    marks: dict[str, tuple[float, date]] = field(default_factory=dict)
+    gains: dict[str, float] = field(default_factory=lambda: {"short": 0.0, "long": 0.0})
+    income: float = 0.0
     costs: float = 0.0
-    gains: dict = field(default_factory=lambda: {"short": 0.0, "long": 0.0})
-    paid: float = 0.0
+    taxes: float = 0.0
 
-    def held(self, security) -> float:
-        return sum(lot[0] for lot in self.lots.get(security, ()))
+    def held(self, security: str) -> float:
+        return sum(lot.quantity for lot in self.lots.get(security, ()))
+
+    def value(self, security: str) -> float:
+        if security not in self.marks:
+            raise Refused(f"{security}: no mark")
+        return self.held(security) * self.marks[security][0]
 
     def equity(self) -> float:
-        return self.cash + sum(self.held(s) * self.marks[s] for s in self.lots)
-
-    def mark(self, security, close: float, split: float, dividend: float) -> None:
-        for lot in self.lots.get(security, ()):
-            lot[0], lot[1] = lot[0] * split, lot[1] / split
-        self.cash += self.held(security) * dividend
-        self.marks[security] = close
-
-    def sell(self, security, notional: float, date) -> None:
-        """Oldest lots first. Costs lower the price received; gains are taxed at once, losses only offset their own kind."""
-        price = self.marks[security] * (1 - self.cost_bps / 1e4)
-        left = min(notional / self.marks[security], self.held(security))
-        lots = self.lots[security]
-        while lots and left > 1e-12:
+        return self.cash + sum(self.value(s) for s in self.lots)
+
+    def _tax(self) -> None:
+        """Losses offset gains of their own kind only; what is due beyond what was booked leaves the cash."""
+        f = self.frictions
+        due = max(0.0, self.gains["short"]) * f.short_rate + max(0.0, self.gains["long"]) * f.long_rate + self.income * f.dividend_rate
+        self.cash, self.taxes = self.cash - (due - self.taxes), due
+
+    def _cost(self, notional: float) -> float:
+        f = self.frictions
+        return notional * (f.commission_bps + f.slippage_bps) / 1e4 + f.fixed_fee
+
+    def convert(self, source: str, target: str, ratio: float) -> None:
+        """Lots keep their dates; quantities times the ratio, bases over it."""
+        moved = [Lot(lot.quantity * ratio, lot.basis / ratio, lot.since) for lot in self.lots.pop(source, ())]
+        self.marks.pop(source, None)
+        if moved:
+            self.lots.setdefault(target, deque()).extend(moved)
+
+    def session(self, day: date, bars: dict[str, dict]) -> None:
+        """Splits where closes aren't adjusted for them, dividends into cash, then marks. Without a usable close the mark stays."""
+        for security in list(self.lots):
+            bar = bars.get(security)
+            if bar is None:
+                continue
+            split, dividend = event(bar["split_ratio"], 1.0), event(bar["dividends"], 0.0)
+            if split != 1.0 and bar["close_split_adjusted"] is not True:
+                for lot in self.lots[security]:
+                    lot.quantity, lot.basis = lot.quantity * split, lot.basis / split
+            if dividend:
+                paid = self.held(security) * dividend
+                self.cash, self.income = self.cash + paid, self.income + paid
+                self._tax()
+        for security, bar in bars.items():
+            if usable(bar):
+                self.marks[security] = (bar["close"], day)
+
+    def sell(self, security: str, notional: float, day: date) -> None:
+        """Oldest lots first; costs lower the price received."""
+        price, held = self.marks[security][0], self.held(security)
+        quantity = held if held - notional / price <= SMALL else notional / price
+        cost = self._cost(quantity * price)
+        if cost > quantity * price + SMALL:
+            raise Refused(f"{security}: costs exceed the proceeds")
+        net, left, lots = price - cost / quantity, quantity, self.lots[security]
+        while lots and left > SMALL:
             lot = lots[0]
-            part = min(lot[0], left)
-            kind = "long" if (date - lot[2]).days >= LONG_TERM_DAYS else "short"
-            self.gains[kind] += part * (price - lot[1])
-            self.cash += part * price
-            self.costs += part * (self.marks[security] - price)
-            lot[0], left = lot[0] - part, left - part
-            if lot[0] <= 1e-12:
+            part = min(lot.quantity, left)
+            kind = "long" if (day - lot.since).days >= self.frictions.long_term_days else "short"
+            self.gains[kind] += part * (net - lot.basis)
+            lot.quantity, left = lot.quantity - part, left - part
+            if lot.quantity <= SMALL:
                 lots.popleft()
+        self.cash, self.costs = self.cash + quantity * price - cost, self.costs + cost
         if not lots:
-            del self.lots[security]
-        due = max(0.0, self.gains["short"]) * self.short_tax + max(0.0, self.gains["long"]) * self.long_tax
-        self.cash, self.paid = self.cash - (due - self.paid), due
-
-    def buy(self, security, notional: float, date) -> None:
-        price = self.marks[security] * (1 + self.cost_bps / 1e4)
-        quantity = notional / price
-        self.lots.setdefault(security, deque()).append([quantity, price, date])
-        self.cash -= notional
-        self.costs += quantity * (price - self.marks[security])
-
-    def rebalance(self, targets: list, date) -> None:
-        """Equal weights; sells before buys; buys are scaled to the cash there is."""
-        each = self.equity() / len(targets) if targets else 0.0
-        for s in sorted(self.lots):
-            over = self.held(s) * self.marks[s] - (each if s in targets else 0.0)
-            if over > 1e-9:
-                self.sell(s, over, date)
-        wanted = {s: each - self.held(s) * self.marks[s] for s in sorted(targets)}
-        wanted = {s: x for s, x in wanted.items() if x > 1e-9}
-        scale = min(1.0, max(0.0, self.cash) / sum(wanted.values())) if wanted else 0.0
-        for s, x in wanted.items():
-            if scale > 0:
-                self.buy(s, x * scale, date)
-
-
-def fold(rows: DataFrame, initial: float = 1e6, cost_bps: float = 5.0, short_tax: float = 0.3, long_tax: float = 0.15) -> DataFrame:
-    """Each book's curve of ``rows``: book, date, security_id, close, split_ratio, dividend, target (in the book from this date).
-
-    A date with any target rebalances after its prices are marked; securities without a row keep their last mark.
+            del self.lots[security], self.marks[security]
+        self._tax()
+
+    def buy(self, security: str, notional: float, day: date) -> None:
+        """Costs are part of the basis."""
+        cost, quantity = self._cost(notional), notional / self.marks[security][0]
+        if notional + cost > self.cash + SMALL or quantity <= 0:
+            raise Refused(f"{security}: cash does not suffice")
+        self.lots.setdefault(security, deque()).append(Lot(quantity, (notional + cost) / quantity, day))
+        self.cash, self.costs = self.cash - notional - cost, self.costs + cost
+
+    def rebalance(self, targets: list[str], day: date, bars: dict[str, dict]) -> None:
+        """Equal values; sales before purchases; purchases share what the sales, costs and fees leave."""
+        without = sorted(s for s in {*targets, *self.lots} if not usable(bars.get(s)))
+        if without:
+            raise Refused(*[f"{s}: no execution price" for s in without])
+        equity = self.equity()
+        if equity <= 0:
+            raise Refused("equity is not positive")
+        each, now = equity / len(targets), {s: self.value(s) for s in self.lots}
+        gap = {s: (each if s in targets else 0.0) - now.get(s, 0.0) for s in {*targets, *now}}
+        for s in sorted(s for s, x in gap.items() if x < -equity * 1e-12):
+            self.sell(s, -gap[s], day)
+        wanted = {s: gap[s] for s in sorted(gap) if gap[s] > equity * 1e-12}
+        if wanted:
+            f = self.frictions
+            spare = (self.cash - len(wanted) * f.fixed_fee) / (1 + (f.commission_bps + f.slippage_bps) / 1e4)
+            scale = min(1.0, max(0.0, spare) / sum(wanted.values()))
+            if scale <= 0:
+                raise Refused("cash does not suffice")
+            for s, x in wanted.items():
+                self.marks[s] = (bars[s]["close"], day)
+                self.buy(s, x * scale, day)
+        self.cash = 0.0 if abs(self.cash) <= SMALL else self.cash
+
+
+def usable(bar: dict | None) -> bool:
+    return bar is not None and bar["close"] is not None and math.isfinite(bar["close"]) and bar["close"] > 0
+
+
+def event(x: float | None, none: float) -> float:
+    """A split ratio or dividend; null is none, and so is a split ratio of 0."""
+    if x is None or math.isnan(x):
+        return none
+    if not math.isfinite(x) or x < 0:
+        raise Refused("corporate action is not a number of 0 or more")
+    return none if none and not x else x
+
+
+def converted(securities: set[str], conversions: list[dict], day: date) -> set[str]:
+    """What ``securities`` are by ``day``."""
+    out, by_source = set(securities), {c["source"]: c for c in conversions if c["date"] <= day}
+    while out & by_source.keys():
+        for s in sorted(out & by_source.keys()):
+            out = (out - {s}) | {by_source[s]["target"]}
+            del by_source[s]
+    return out
+
+
+def preflight(book: Book, targets: list[str], bars: dict[date, dict[str, dict]], entry: date, exit_: date, conversions: list[dict]) -> list[str]:
+    """Sorted reasons for which a period can't be carried out: dates that are no sessions, prices that lack at entry or
+    exit, conversions without a price or before entry, unknown or mixed split bases, unverified actions."""
+    out = set()
+    out |= {f"{name} is no session" for name, day in (("entry", entry), ("exit", exit_)) if day not in bars}
+    price = lambda s, day: usable(bars.get(day, {}).get(s))
+    concerned = {*targets, *book.lots}
+    for c in conversions:
+        if c["source"] in targets and c["date"] <= entry:
+            out.add(f"{c['source']}: converts by entry")
+        if c["date"] not in bars:
+            out.add(f"{c['source']}: conversion on no session")
+        if not price(c["target"], c["date"]):
+            out.add(f"{c['target']}: no price at conversion")
+        concerned.add(c["target"])
+    out |= {f"{s}: no price at entry" for s in converted({*targets, *book.lots}, conversions, entry) if not price(s, entry)}
+    out |= {f"{s}: no price at exit" for s in converted(set(targets), conversions, exit_) if not price(s, exit_)}
+    for s in concerned:
+        own = [day[s] for day in bars.values() if s in day]
+        bases = {b["close_split_adjusted"] for b in own}
+        if None in bases:
+            out.add(f"{s}: split basis unknown")
+        if len(bases) > 1:
+            out.add(f"{s}: mixed split basis")
+        if any(b["actions_complete"] is not True for b in own):
+            out.add(f"{s}: unverified corporate actions")
+        if any(b["twice"] for b in own):
+            out.add(f"{s}: ambiguous price")
+    return sorted(out)
+
+
+def _plain(x):
+    return None if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NaT or x is pd.NA else x
+
+
+def _period(book: Book, row: dict, bars: dict[date, dict[str, dict]], conversions: list[dict]) -> Iterator[tuple]:
+    """The sessions after the decision, up to the exit."""
+    chain, reached = [], {*row["targets"], *book.lots}
+    for c in sorted(conversions, key=lambda c: (c["date"], c["source"])):
+        if row["decision"] < c["date"] <= row["exit"] and c["source"] in reached:
+            reached.add(c["target"])
+            chain.append(c)
+    within = {day: own for day, own in bars.items() if row["decision"] < day <= row["exit"]}
+    if not row["targets"]:
+        raise Refused("no targets")
+    if not row["decision"] < row["entry"] <= row["exit"]:
+        raise Refused("dates are out of order")
+    reasons = preflight(book, row["targets"], within, row["entry"], row["exit"], chain)
+    if reasons:
+        raise Refused(*reasons)
+    for day in sorted(within):
+        for c in chain:
+            if c["date"] == day and c["source"] in book.lots:
+                book.convert(c["source"], c["target"], c["ratio"])
+        book.session(day, within[day])
+        if day == row["entry"]:
+            book.rebalance(row["targets"], day, within[day])
+        stale = sorted(s for s in book.lots if book.marks[s][1] != day)
+        yield day, book.cash, book.equity(), book.costs, book.taxes, len(book.lots), sum(map(len, book.lots.values())), stale, None
+
+
+def run_book(initial: float, frictions: Frictions, periods: list[dict], bars: dict[date, dict[str, dict]], conversions: list[dict]) -> list[tuple]:
+    """All periods in the order of their decisions. A refused period gives one row, on its decision date, with its reasons."""
+    book, out = Book(initial, frictions), []
+    for row in sorted(periods, key=lambda r: r["decision"]):
+        before = copy.deepcopy(book)
+        try:
+            out += list(_period(book, row, bars, conversions))
+        except Refused as refused:
+            book = before
+            out.append((row["decision"], book.cash, book.equity(), book.costs, book.taxes, len(book.lots), sum(map(len, book.lots.values())), [], "; ".join(map(str, refused.args))))
+    return out
+
+
+def fold(prices: DataFrame, periods: DataFrame, conversions: DataFrame | None = None, initial: float = 1e6, frictions: Frictions = Frictions()) -> DataFrame:
+    """Each book's curve: book, date, cash, equity, costs, taxes, n_positions, n_lots, stale (marks of an older day), problem.
+
+    ``prices``: security_id, date, close, split_ratio, dividends, actions_complete, close_split_adjusted; every date with any
+    row of the books' securities is a session. ``periods``: book, decision, entry, exit, targets (array). ``conversions``:
+    source, target, date, ratio. A period's sessions follow its decision, up to its exit; entry rebalances to equal values
+    after that day's marks. A period with a problem changes nothing and has one row that names it.
     """
+    c, spark = F.col, prices.sparkSession
+    known = conversions if conversions is not None else spark.createDataFrame([], "source string, target string, date date, ratio double")
+    known = known.select(c("source").cast("string").alias("source"), c("target").cast("string").alias("target"), "date", c("ratio").cast("double").alias("ratio"))
+    aimed = periods.select(c("book").cast("string").alias("book"), F.explode(c("targets").cast("array<string>")).alias("security_id")).distinct()
+    reach = frontier(known.select("source", "target", F.lit(1.0).alias("ratio"))).select(c("origin").alias("security_id"), "target").distinct()
+    wanted = aimed.unionByName(aimed.join(reach, "security_id").select("book", c("target").alias("security_id"))).distinct()
+    spans = periods.groupBy(c("book").cast("string").alias("book")).agg(F.min("decision").alias("_from"), F.max("exit").alias("_to"))
+    bar = ["close", "split_ratio", "dividends", "actions_complete", "close_split_adjusted"]
+    named = prices.withColumn("security_id", c("security_id").cast("string"))
+    rows = named.join(wanted.join(spans, "book"), "security_id").where((c("date") > c("_from")) & (c("date") <= c("_to"))).select("book", "security_id", "date", *bar)
+    events = wanted.join(known, c("security_id") == c("source")).select("book", "source", "target", "date", "ratio").distinct()
+    one = rows.groupBy("book").agg(F.collect_list(F.struct("security_id", "date", *bar)).alias("bars"))
+    books = periods.groupBy(c("book").cast("string").alias("book")).agg(F.collect_list(F.struct("decision", "entry", "exit", c("targets").cast("array<string>").alias("targets"))).alias("periods"))
+    joined = books.join(one, "book", "left").join(events.groupBy("book").agg(F.collect_list(F.struct("source", "target", "date", "ratio")).alias("events")), "book", "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                bars: dict[date, dict[str, dict]] = {}
+                for b in row.bars if row.bars is not None else ():
+                    own = bars.setdefault(b["date"], {})
+                    own[b["security_id"]] = {k: _plain(b[k]) for k in bar} | {"twice": b["security_id"] in own}
+                periods_ = [{**p, "targets": sorted(set(p["targets"]))} for p in row.periods]
+                out = run_book(initial, frictions, periods_, bars, list(row.events) if row.events is not None else [])
+                yield pd.DataFrame([(row.book, *r) for r in out], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        book, out = Book(initial, cost_bps, short_tax, long_tax), []
-        for date, day in group.sort_values(["date", "security_id"]).groupby("date", sort=True):
-            for r in day.itertuples():
-                book.mark(r.security_id, r.close, r.split_ratio, r.dividend)
-            targets = [r.security_id for r in day.itertuples() if r.target]
-            if targets:
-                book.rebalance(targets, date)
-            out.append((group["book"].iloc[0], date, book.cash, book.equity(), book.costs, book.paid, sum(map(len, book.lots.values()))))
-        return pd.DataFrame(out, columns=["book", "date", "cash", "equity", "costs", "taxes", "n_lots"])
-
-    return rows.groupBy("book").applyInPandas(run, SCHEMA)
+    return joined.mapInPandas(run, SCHEMA)

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, facts, intervals, portfolio, ranking
+from ..operators import asof, facts, intervals, ranking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -541,19 +541,9 @@ def unpivot_wide_to_long(spark, d):
     return long.where(F.col("v").between(0, 100)).groupBy("l_orderkey", "l_linenumber", "tenor").agg(F.sum("v").alias("value"))
 
 
-@query("WITH RECURSIVE e AS (SELECT n_nationkey AS source, n_nationkey + 5 AS target, 1.0 + n_regionkey / 10.0 AS ratio FROM nation WHERE n_nationkey < 20), t AS (SELECT source AS origin, target, ratio::DOUBLE AS ratio, 1 AS depth FROM e UNION ALL SELECT t.origin, e.target, t.ratio * e.ratio, depth + 1 FROM t JOIN e ON e.source = t.target) SELECT origin, target, round(ratio, 6) AS ratio, depth FROM t")
+@query("WITH RECURSIVE e AS (SELECT n_nationkey AS source, CASE WHEN n_nationkey = 22 THEN 2 ELSE n_nationkey + 5 END AS target, 1.0 + n_regionkey / 10.0 AS ratio FROM nation WHERE n_nationkey < 20 OR n_nationkey = 22), t AS (SELECT source AS origin, target, ratio::DOUBLE AS ratio, 1 AS depth, [source, target] AS seen FROM e UNION ALL SELECT t.origin, e.target, t.ratio * e.ratio, depth + 1, list_append(seen, e.target) FROM t JOIN e ON e.source = t.target WHERE NOT list_contains(seen, e.target)) SELECT origin, target, round(ratio, 6) AS ratio, depth FROM t")
 def conversion_frontier(spark, d):
-    """Conversions of conversions, ratios multiplied along the way, until the frontier is empty."""
-    e = read(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("source"), (F.col("n_nationkey") + 5).cast("long").alias("target"), (1 + F.col("n_regionkey") / 10).cast("double").alias("ratio"))
-    e.createOrReplaceTempView("_conversions")
-    return spark.sql("""WITH RECURSIVE t(origin, target, ratio, depth) AS (SELECT source, target, ratio, 1 FROM _conversions UNION ALL
-      SELECT t.origin, e.target, t.ratio * e.ratio, t.depth + 1 FROM t JOIN _conversions e ON e.source = t.target) SELECT origin, target, round(ratio, 6) AS ratio, depth FROM t""")
-
-
-@query(None)
-def portfolio_fold(spark, d):
-    """Each brand is a book; the three best-priced parts of a quarter are its targets on the quarter's last date."""
-    rows = deduped(spark, d).join(read(spark, d, "part").select(F.col("p_partkey").alias("security_id"), F.col("p_brand").alias("book")), "security_id")
-    q = Window.partitionBy("book", F.year("date"), F.quarter("date"))
-    marked = rows.withColumn("last", F.max("date").over(q)).withColumn("r", F.row_number().over(Window.partitionBy("book", "date").orderBy(F.desc("close"), "security_id")))
-    return portfolio.fold(marked.select("book", "date", "security_id", "close", F.lit(1.0).alias("split_ratio"), F.lit(0.0).alias("dividend"), ((F.col("date") == F.col("last")) & (F.col("r") <= 3)).alias("target")))
+    """Conversions of conversions, ratios multiplied along the way, until the frontier is empty; one chain is a circle."""
+    target = F.when(F.col("n_nationkey") == 22, 2).otherwise(F.col("n_nationkey") + 5)
+    e = read(spark, d, "nation").where("n_nationkey < 20 OR n_nationkey = 22").select(F.col("n_nationkey").cast("long").alias("source"), target.cast("long").alias("target"), (1 + F.col("n_regionkey") / 10).cast("double").alias("ratio"))
+    return asof.frontier(e).withColumn("ratio", F.round("ratio", 6))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, backtest, detectors, factors, facts
+from ..operators import asof, backtest, detectors, factors, facts, portfolio
 from .catalog import _CRET, CURVE, curve, day, query, read
 
 #: Items of a statement, each an aggregate of a customer's orders; both engines run these texts.
@@ -247,6 +247,73 @@ def period_verdicts(spark, d):
     return measured.select("book", *[F.round(n, 6).alias(n) for n in _DIGITS], "n_periods", said.alias("verdict"))
 
 
+# Portfolio books.
+
+#: A kind of event is a security, its mean value of a day its close; both engines run these texts.
+TRADED = {
+    "close": "avg(value) + 1",
+    "split_ratio": "CASE WHEN event_type = 'click' AND day(CAST(ts AS DATE)) % 11 = 0 THEN 2.0E0 ELSE 1.0E0 END",
+    "dividends": "CASE WHEN event_type = 'view' AND day(CAST(ts AS DATE)) % 7 = 0 THEN 0.5E0 WHEN event_type = 'error' AND day(CAST(ts AS DATE)) % 5 = 0 THEN 0.25E0 ELSE 0.0E0 END",
+    "close_split_adjusted": "event_type = 'purchase'",
+}
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_TRADED = f"""traded AS (SELECT event_type AS security_id, CAST(ts AS DATE) AS date, {', '.join(f'{x} AS {n}' for n, x in TRADED.items())} FROM events GROUP BY event_type, CAST(ts AS DATE)),
+sess AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT date FROM traded GROUP BY date HAVING count(*) = 5)),
+per AS (SELECT 'b' || b AS book, k, CAST(d.date AS DATE) AS decision, CAST(e.date AS DATE) AS entry, CAST(x.date AS DATE) AS exit, list_distinct([(b + k) % 5, (2 * b + 3 * k) % 5]) AS ts FROM (SELECT unnest(range(4)) AS b), (SELECT unnest(range(5)) AS k) JOIN sess d ON d.i = 5 * k JOIN sess e ON e.i = 5 * k + 1 JOIN sess x ON x.i = 5 * k + 5)"""
+
+
+def traded(spark, d) -> DataFrame:
+    """Daily bars of the five kinds, on days that have all of them."""
+    rows = read(spark, d, "events").groupBy("event_type", F.expr("CAST(ts AS DATE)").alias("date")).agg(*[F.expr(TRADED["close"]).alias("close")])
+    day_of = lambda x: F.expr(x.replace("CAST(ts AS DATE)", "date"))
+    bars_ = rows.select(F.col("event_type").alias("security_id"), "date", "close", *[day_of(x).alias(n) for n, x in TRADED.items() if n != "close"], F.lit(True).alias("actions_complete"))
+    return bars_.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("date"))).where(F.col("_n") == len(_KINDS)).drop("_n")
+
+
+def book_periods(spark, d) -> DataFrame:
+    """Four books, five periods of five sessions, one or two targets each; sessions are few: one row for each date."""
+    sessions = traded(spark, d).select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+    at = lambda k, name: F.max(F.when(F.col("i") == 5 * F.col("k") + k, F.col("date"))).alias(name)
+    few = sessions.select("date", "i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).groupBy("k").agg(at(0, "decision"), at(1, "entry"), at(5, "exit")).where("decision IS NOT NULL AND exit IS NOT NULL")
+    kinds = F.array(*[F.lit(x) for x in _KINDS])
+    books = few.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    pick = lambda x: F.get(kinds, (x % len(_KINDS)).cast("int"))
+    targets = F.array_distinct(F.array(pick(F.col("b") + F.col("k")), pick(2 * F.col("b") + 3 * F.col("k"))))
+    return books.select(F.concat(F.lit("b"), F.col("b").cast("string")).alias("book"), "k", "decision", "entry", "exit", targets.alias("targets"))
+
+
+def book_conversions(spark, d) -> DataFrame:
+    """Two sessions after the third decision a signup becomes 1.5 errors."""
+    sessions = traded(spark, d).select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+    return sessions.where("i = 12").select(F.lit("signup").alias("source"), F.lit("error").alias("target"), "date", F.lit(1.5).alias("ratio"))
+
+
+#: Without costs and gain taxes equity is linear in what a book starts a segment (entry to next entry) with; the segments' growth multiplies.
+@query(f"""WITH {_TRADED}, conv AS (SELECT date FROM sess WHERE i = 12), names AS (SELECT {list(_KINDS)} AS n),
+seg AS (SELECT *, coalesce(lead(entry) OVER (PARTITION BY book ORDER BY k), exit) AS until FROM per),
+hold AS (SELECT seg.book, seg.k, seg.entry, s.date, s.i, n[t + 1] AS target, n[t + 1] = 'signup' AND c.date > seg.entry AND s.date >= c.date AS moved, s.date = c.date AND n[t + 1] = 'signup' AND c.date > seg.entry AS now
+  FROM seg, names, conv c, (SELECT book AS b2, k AS k2, unnest(ts) AS t FROM per) x JOIN sess s ON TRUE WHERE x.b2 = seg.book AND x.k2 = seg.k AND s.date >= seg.entry AND s.date <= seg.until),
+path AS (SELECT h.*, p.close, CASE WHEN h.date = h.entry THEN 1.0 ELSE (CASE WHEN h.now THEN 1.5 ELSE 1.0 END) * (CASE WHEN p.close_split_adjusted THEN 1.0 ELSE p.split_ratio END) END AS step, CASE WHEN h.date = h.entry THEN 0.0 ELSE p.dividends END AS dividend
+  FROM hold h JOIN traded p ON p.date = h.date AND p.security_id = CASE WHEN h.moved THEN 'error' ELSE h.target END),
+qty AS (SELECT *, product(step) OVER w AS q, first_value(close) OVER w AS paid FROM path WINDOW w AS (PARTITION BY book, k, target ORDER BY date)),
+val AS (SELECT *, (q * close + 0.85E0 * sum(q * dividend) OVER (PARTITION BY book, k, target ORDER BY date)) / paid AS worth FROM qty),
+grown AS (SELECT book, k, entry, date, avg(worth) AS g FROM val GROUP BY ALL),
+ends AS (SELECT g.book, g.k, max(g.g) AS f FROM grown g JOIN seg ON seg.book = g.book AND seg.k = g.k AND g.date = seg.until GROUP BY ALL),
+starts AS (SELECT book, k, coalesce(product(f) OVER (PARTITION BY book ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS s FROM ends)
+SELECT g.book, g.date, round(1000000.0E0 * s * g, 4) AS equity, CAST(NULL AS VARCHAR) AS problem FROM grown g JOIN starts st ON st.book = g.book AND st.k = g.k JOIN seg ON seg.book = g.book AND seg.k = g.k WHERE g.date < seg.until OR seg.until = seg.exit""")
+def portfolio_growth(spark, d):
+    """The fold with splits, dividends, their tax and a conversion, but free trades: SQL has it in closed form."""
+    free = backtest.Frictions(commission_bps=0.0, slippage_bps=0.0, dividend_rate=0.15)
+    return portfolio.fold(traded(spark, d), book_periods(spark, d), book_conversions(spark, d), frictions=free).select("book", "date", F.round("equity", 4).alias("equity"), "problem")
+
+
+@query(None)
+def portfolio_fold(spark, d):
+    """The same books with costs, fees and taxes on gains, which need the lots: sequential within a book, so no SQL."""
+    taxed = backtest.Frictions(fixed_fee=1.0, short_rate=0.3, long_rate=0.15, dividend_rate=0.15)
+    return portfolio.fold(traded(spark, d), book_periods(spark, d), book_conversions(spark, d), frictions=taxed)
+
+
 # Detectors.
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolake.operators import asof, facts, intervals, portfolio, ranking
+from chronolake.operators.backtest import Frictions
 
 
 def test_restated_fact(spark):
@@ -80,24 +81,90 @@ def test_later_product(spark):
     assert sorted(r[0] for r in df.select(facts.later_product(["k"], "at", "x")).collect()) == [1.0, 1.0, 5.0, 15.0]
 
 
+def bar(close, split=1.0, dividend=0.0, adjusted=False, complete=True):
+    return {"close": close, "split_ratio": split, "dividends": dividend, "actions_complete": complete, "close_split_adjusted": adjusted, "twice": False}
+
+
+FREE = Frictions(commission_bps=0, slippage_bps=0)
+DAY = [date(2023, 3, 31), date(2023, 4, 3), date(2023, 6, 30), date(2023, 7, 3), date(2023, 9, 29)]
+
+
 def test_book_keeps_its_money():
-    book = portfolio.Book(1000.0, 0.0, 0.0, 0.0)
-    book.mark("A", 10.0, 1.0, 0.0)
-    book.mark("B", 20.0, 1.0, 0.0)
-    book.rebalance(["A", "B"], date(2020, 1, 1))
+    book = portfolio.Book(1000.0, FREE)
+    first = {"A": bar(10.0), "B": bar(20.0)}
+    book.session(DAY[0], first)
+    book.rebalance(["A", "B"], DAY[0], first)
     assert book.equity() == pytest.approx(1000) and book.held("A") == pytest.approx(50)
-    book.mark("A", 5.0, 2.0, 0.5)  # a split of two and a dividend
+    second = {"A": bar(5.0, split=2.0, dividend=0.5), "B": bar(20.0)}
+    book.session(DAY[1], second)
     assert book.held("A") == pytest.approx(100) and book.cash == pytest.approx(50)
-    book.rebalance(["B"], date(2021, 6, 1))
+    book.rebalance(["B"], DAY[1], second)
     assert "A" not in book.lots and book.equity() == pytest.approx(1050)
 
 
+def test_a_split_counts_only_where_closes_are_not_adjusted():
+    book = portfolio.Book(1000.0, FREE)
+    book.session(DAY[0], {"A": bar(10.0)})
+    book.rebalance(["A"], DAY[0], {"A": bar(10.0)})
+    book.session(DAY[1], {"A": bar(10.0, split=2.0, adjusted=True)})
+    assert book.held("A") == pytest.approx(100) and book.equity() == pytest.approx(1000)
+
+
 def test_taxes_and_costs():
-    book = portfolio.Book(1000.0, 10.0, 0.3, 0.15)
-    book.mark("A", 10.0, 1.0, 0.0)
-    book.rebalance(["A"], date(2020, 1, 1))
-    book.mark("A", 20.0, 1.0, 0.0)
-    book.sell("A", 1e9, date(2020, 6, 1))
-    gain = 1000 / 10.01 * (20 * 0.999 - 10.01)
-    assert book.paid == pytest.approx(0.3 * gain)
-    assert book.cash == pytest.approx(1000 / 10.01 * 20 * 0.999 - 0.3 * gain)
+    book = portfolio.Book(1000.0, Frictions(commission_bps=10.0, slippage_bps=0.0, short_rate=0.3, long_rate=0.15, dividend_rate=0.2))
+    book.session(DAY[0], {"A": bar(10.0)})
+    book.rebalance(["A"], DAY[0], {"A": bar(10.0)})
+    paid = 1000 / 1.001
+    assert book.cash == pytest.approx(0) and book.held("A") == pytest.approx(paid / 10) and book.costs == pytest.approx(paid * 0.001)
+    book.session(DAY[1], {"A": bar(20.0)})
+    book.sell("A", 1e9, DAY[1])
+    gain = paid / 10 * (20 * 0.999 - 10.01)
+    assert book.taxes == pytest.approx(0.3 * gain) and book.cash == pytest.approx(paid / 10 * 20 * 0.999 - 0.3 * gain)
+    fees = portfolio.Book(100.0, Frictions(commission_bps=0, slippage_bps=0, fixed_fee=5.0))
+    fees.session(DAY[0], {"A": bar(10.0), "B": bar(10.0)})
+    fees.rebalance(["A", "B"], DAY[0], {"A": bar(10.0), "B": bar(10.0)})
+    assert fees.costs == pytest.approx(10) and fees.equity() == pytest.approx(90)
+
+
+def folded(periods, bars, conversions=()):
+    named = [{"decision": d, "entry": e, "exit": x, "targets": t} for d, e, x, t in periods]
+    moves = [{"source": s, "target": t, "date": d, "ratio": r} for s, t, d, r in conversions]
+    return [(r[0], round(r[2], 6), r[6], r[7], r[8]) for r in portfolio.run_book(1000.0, FREE, named, bars, moves)]
+
+
+def test_a_holding_is_carried_over():
+    bars = {d: {"A": bar(c)} for d, c in zip(DAY[1:], (100, 110, 110, 120))}
+    rows = folded([(DAY[0], DAY[1], DAY[2], ["A"]), (DAY[2], DAY[3], DAY[4], ["A"])], bars)
+    assert rows == [(DAY[1], 1000.0, 1, [], None), (DAY[2], 1100.0, 1, [], None), (DAY[3], 1100.0, 1, [], None), (DAY[4], 1200.0, 1, [], None)]
+
+
+def test_conversion_keeps_lots_and_basis():
+    book = portfolio.Book(0.0, FREE)
+    book.lots["OLD"] = portfolio.deque([portfolio.Lot(10.0, 6.0, DAY[0]), portfolio.Lot(4.0, 9.0, DAY[1])])
+    book.convert("OLD", "NEW", 1.5)
+    assert [(x.quantity, x.basis, x.since) for x in book.lots["NEW"]] == [(15.0, 4.0, DAY[0]), (6.0, 6.0, DAY[1])] and "OLD" not in book.lots
+    bars = {DAY[1]: {"OLD": bar(10)}, DAY[2]: {"OLD": bar(12)}, DAY[3]: {"NEW": bar(8)}, DAY[4]: {"NEW": bar(9)}}
+    rows = folded([(DAY[0], DAY[1], DAY[4], ["OLD"])], bars, [("OLD", "NEW", DAY[3], 1.5)])
+    assert [r[1] for r in rows] == [1000.0, 1200.0, 1200.0, 1350.0]
+
+
+@pytest.mark.parametrize(
+    "bars, conversions, problem",
+    [
+        ({DAY[1]: {"A": bar(None)}, DAY[2]: {"A": bar(5)}}, (), "A: no price at entry"),
+        ({DAY[1]: {"A": bar(5)}, DAY[2]: {"B": bar(5)}}, (), "A: no price at exit"),
+        ({DAY[1]: {"A": bar(5)}}, (), "A: no price at exit; exit is no session"),
+        ({DAY[1]: {"A": bar(5, adjusted=None)}, DAY[2]: {"A": bar(5, adjusted=None)}}, (), "A: split basis unknown"),
+        ({DAY[1]: {"A": bar(5)}, DAY[2]: {"A": bar(5, adjusted=True)}}, (), "A: mixed split basis"),
+        ({DAY[1]: {"A": bar(5, complete=None)}, DAY[2]: {"A": bar(5)}}, (), "A: unverified corporate actions"),
+        ({DAY[1]: {"A": bar(5)}, DAY[2]: {"A": bar(5), "B": bar(3)}}, (("A", "B", DAY[1], 2.0),), "A: converts by entry; B: no price at conversion; B: no price at entry"),
+        ({DAY[1]: {"A": bar(5)}, DAY[2]: {"A": bar(5, split=-1.0)}}, (), "corporate action is not a number of 0 or more"),
+    ],
+)
+def test_a_period_without_evidence_changes_nothing(bars, conversions, problem):
+    assert folded([(DAY[0], DAY[1], DAY[2], ["A"])], bars, conversions) == [(DAY[0], 1000.0, 0, [], problem)]
+
+
+def test_null_close_keeps_the_mark_and_says_so():
+    bars = {DAY[1]: {"A": bar(10)}, DAY[2]: {"A": bar(None)}, DAY[3]: {"A": bar(float("nan"))}, DAY[4]: {"A": bar(11)}}
+    assert folded([(DAY[0], DAY[1], DAY[4], ["A"])], bars) == [(DAY[1], 1000.0, 1, [], None), (DAY[2], 1000.0, 1, ["A"], None), (DAY[3], 1000.0, 1, ["A"], None), (DAY[4], 1100.0, 1, [], None)]
