@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: least share of sessions present, days that a history may start late or end early. Fixed values.
 LONGEST_SPAN, WIDEST_REPAIR, LONGEST_HOLE, LEAST_SHARE, EDGE = 400, 100.0, 5, 0.95, 7
 #: Forms of yearly and of shorter reports. Fixed values.
-ANNUAL_FORMS, INTERIM_FORMS = ("10-K", "10-K/A", "20-F", "20-F/A", "40-F", "40-F/A"), ("10-Q", "10-Q/A", "6-K", "6-K/A")
+ANNUAL_FORMS, INTERIM_FORMS = ("10-K", "10-K/A", "20-F", "20-F/A", "40-F", "40-F/A"), ("10-Q", "10-Q/A", "6-K", "6-K/A", "8-K", "8-K/A")
 
 
 def refuse(rows: DataFrame, subject: str) -> DataFrame:

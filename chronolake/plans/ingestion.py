@@ -39,7 +39,7 @@ def single_period_values(spark, d):
 
 
 @query(f"""WITH {_FACT}, r AS (SELECT *, "end" - start AS span FROM f WHERE unit = 'USD' AND "end" - start BETWEEN 1 AND 400), s AS (SELECT accn, "end", max(fp) AS fp FROM r GROUP BY ALL HAVING count(DISTINCT (fp, fy)) = 1),
-t AS (SELECT r.* FROM r JOIN s ON s.accn = r.accn AND s."end" = r."end" WHERE r.form = CASE WHEN s.fp = 'FY' THEN '10-K' ELSE '10-Q' END)
+t AS (SELECT r.* FROM r JOIN s ON s.accn = r.accn AND s."end" = r."end" WHERE CASE WHEN s.fp = 'FY' THEN r.form = '10-K' ELSE r.form IN ('10-Q', '8-K') END)
 SELECT accn, "end", fp, span, val FROM (SELECT *, max(span) OVER (PARTITION BY accn, "end") AS hi, min(span) OVER (PARTITION BY accn, "end") AS lo FROM t) WHERE span = CASE WHEN fp = 'FY' THEN hi ELSE lo END""")
 def period_contexts(spark, d):
     chosen = ingest.period_contexts(filed_facts(spark, d), ["accn"], F.lit("USD"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.companyfacts import fiscal_period
 from ..operators.facts import finite, later_product
 
 #: Markers of a missing value in yield files. Fixed values.
@@ -76,29 +77,41 @@ def yield_curve(wide: DataFrame, tenors: Sequence[str], date_format: str = "MM/d
 
 
 def macro_vintages(documents: DataFrame) -> DataFrame:
-    """key, series_id, date, release_date, value, unit of export documents; "." and null values are left out."""
+    """key, series_id, date, release_date, value, unit, problem of export documents; "." and null values are left out.
+
+    Anything else that isn't a number or a date, a release before its observation, a vintage that comes twice, and a
+    document without rows are problems.
+    """
     shape = "struct<series_id: string, unit: string, provider_rows: array<struct<date: string, realtime_start: string, value: string>>>"
-    rows = documents.select("key", F.from_json("payload", shape).alias("d")).select("key", "d.series_id", "d.unit", F.explode("d.provider_rows").alias("r"))
+    read = documents.select("key", F.from_json("payload", shape).alias("d"))
+    broken = read.where(F.col("d.provider_rows").isNull() | F.col("d.series_id").isNull()).select("key", F.lit("document holds no observations").alias("problem"))
+    rows = read.where(F.col("d.series_id").isNotNull()).select("key", "d.series_id", "d.unit", F.explode("d.provider_rows").alias("r")).where(F.col("r.value").isNotNull() & (F.trim("r.value") != "."))
     typed = rows.select("key", "series_id", F.expr("try_cast(r.date AS date)").alias("date"), F.expr("try_cast(r.realtime_start AS date)").alias("release_date"), F.expr("try_cast(r.value AS double)").alias("value"), "unit")
-    return typed.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("key", "series_id", "date", "release_date")) > 1
+    problem = F.when(F.col("date").isNull() | F.col("release_date").isNull(), "date is not valid").when(~F.coalesce(finite(F.col("value")), F.lit(False)), "value is not a number").when(F.col("release_date") < F.col("date"), "released before its date").when(repeated, "duplicate observation")
+    return typed.withColumn("problem", problem).unionByName(broken, allowMissingColumns=True)
 
 
 def company_facts(documents: DataFrame) -> DataFrame:
-    """key, taxonomy, concept, unit, position and the fields of each fact of company-facts documents.
+    """key, cik, taxonomy, concept, unit, position, the fields of each fact of company-facts documents, label and problem.
 
-    Facts whose period ends after they were filed are refused. ``position`` is the fact's place in its array: where the
-    first row wins, it decides. ``label`` is FYyyyy or Qn_yyyy, or INST for others.
+    ``position`` is the fact's place in its concept, unit after unit: where the first row wins, it decides. ``label`` is
+    FYyyyy, Qn_yyyy, another code with or without its year, or INST. A fact without a value, end or filing date, or whose
+    period ends after it was filed, says so in ``problem``; a document that can't be read is one row with a problem.
     """
     fact = "struct<start: string, end: string, val: double, accn: string, fy: int, fp: string, form: string, filed: string, frame: string>"
-    shape = f"struct<facts: map<string, map<string, struct<units: map<string, array<{fact}>>>>>>"
-    a = documents.select("key", F.explode(F.from_json("payload", shape)["facts"]).alias("taxonomy", "_concepts"))
-    b = a.select("key", "taxonomy", F.explode("_concepts").alias("concept", "_units"))
-    c = b.select("key", "taxonomy", "concept", F.explode("_units.units").alias("unit", "_facts"))
-    rows = c.select("key", "taxonomy", "concept", "unit", F.posexplode("_facts").alias("position", "_f")).select("key", "taxonomy", "concept", "unit", "position", "_f.*")
+    shape = f"struct<cik: bigint, facts: map<string, map<string, struct<units: map<string, array<{fact}>>>>>>"
+    read = documents.select("key", F.from_json("payload", shape).alias("_d"))
+    broken = read.where(F.col("_d.facts").isNull()).select("key", F.lit("document holds no facts").alias("problem"))
+    a = read.select("key", "_d.cik", F.explode("_d.facts").alias("taxonomy", "_concepts"))
+    b = a.select("key", "cik", "taxonomy", F.explode("_concepts").alias("concept", "_units"))
+    c = b.select("key", "cik", "taxonomy", "concept", F.posexplode(F.map_entries("_units.units")).alias("_unit_at", "_unit")).select("key", "cik", "taxonomy", "concept", "_unit_at", F.col("_unit.key").alias("unit"), F.col("_unit.value").alias("_facts"))
+    rows = c.select("key", "cik", "taxonomy", "concept", "unit", "_unit_at", F.posexplode("_facts").alias("_at", "_f")).select("key", "cik", "taxonomy", "concept", "unit", (F.col("_unit_at") * F.lit(1 << 32) + F.col("_at")).alias("position"), "_f.*")
     day = lambda name: F.expr(f"try_cast(`{name}` AS date)")
-    label = F.when(F.col("fp") == "FY", F.concat(F.lit("FY"), "fy")).when(F.col("fp").rlike("^Q[1-4]$"), F.concat("fp", F.lit("_"), "fy")).otherwise("INST")
-    typed = rows.withColumns({"start": day("start"), "end": day("end"), "filed": day("filed")}).withColumn("label", label)
-    return typed.where(F.col("end").isNotNull() & F.col("filed").isNotNull() & (F.col("end") <= F.col("filed")))
+    typed = rows.withColumns({"start": day("start"), "end": day("end"), "filed": day("filed")}).withColumn("label", fiscal_period(F.col("fp"), F.col("fy")))
+    lacking = F.col("val").isNull() | F.col("end").isNull() | F.col("filed").isNull()
+    problem = F.when(lacking, "lacks a value or a date").when(F.col("end") > F.col("filed"), "period ends after it was filed")
+    return typed.withColumn("problem", problem).unionByName(broken, allowMissingColumns=True)
 
 
 #: Reports that carry financial statements. Fixed values.

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from chronolake.operators import companyfacts
 from chronolake.sources import documents as sources
 
 
@@ -37,8 +38,9 @@ def test_yield_curve(spark):
 
 
 def test_macro_vintages(spark):
-    rows = [{"date": "2020-01-01", "realtime_start": "2020-02-01", "value": "100"}, {"date": "2020-01-01", "realtime_start": "2020-04-01", "value": "."}]
-    assert [(r["series_id"], r["value"]) for r in sources.macro_vintages(frame(spark, {"series_id": "GDP", "unit": "b", "provider_rows": rows})).collect()] == [("GDP", 100.0)]
+    rows = [{"date": "2020-01-01", "realtime_start": "2020-02-01", "value": "100"}, {"date": "2020-01-01", "realtime_start": "2020-04-01", "value": "."}, {"date": "2020-01-01", "realtime_start": "2020-05-01", "value": "x"}, {"date": "soon", "realtime_start": "2020-05-01", "value": "1"}]
+    got = sources.macro_vintages(frame(spark, {"series_id": "GDP", "unit": "b", "provider_rows": rows}, {"series_id": "GDP"})).collect()
+    assert sorted((r["key"], r["value"] or 0, r["problem"] or "") for r in got) == [("k0", 0, "value is not a number"), ("k0", 1.0, "date is not valid"), ("k0", 100.0, ""), ("k1", 0, "document holds no observations")]
 
 
 def test_company_facts(spark):
@@ -46,5 +48,59 @@ def test_company_facts(spark):
     late = good | {"end": "2024-03-01"}
     quarter = good | {"fp": "Q2", "end": "2023-06-30"}
     payload = {"cik": 1, "facts": {"us-gaap": {"Revenues": {"units": {"USD": [good, late, quarter]}}}}}
-    got = [(r["concept"], r["unit"], r["position"], r["label"]) for r in sources.company_facts(frame(spark, payload)).orderBy("position").collect()]
-    assert got == [("Revenues", "USD", 0, "FY2023"), ("Revenues", "USD", 2, "Q2_2023")]
+    got = [(r["concept"], r["unit"], r["position"], r["label"], r["problem"]) for r in sources.company_facts(frame(spark, payload)).orderBy("position").collect()]
+    assert got == [("Revenues", "USD", 0, "FY2023", None), ("Revenues", "USD", 1, "FY2023", "period ends after it was filed"), ("Revenues", "USD", 2, "Q2_2023", None)]
+    assert [r["problem"] for r in sources.company_facts(frame(spark, [1])).collect()] == ["document holds no facts"]
+
+
+def stored(spark, policy, **concepts):
+    """Rows (metric, period, value, quarter value, unit, conflict) that a document of us-gaap facts gives."""
+    payload = {"cik": concepts.pop("cik", 1), "facts": {"us-gaap": {c: {"units": u if isinstance(u, dict) else {"USD": u}} for c, u in concepts.items() if c != "dei"}, "dei": concepts.get("dei", {})}}
+    rows = companyfacts.stored_facts(sources.company_facts(frame(spark, payload)), companyfacts.POLICIES[policy]).collect()
+    return sorted((r["metric"], r["fiscal_period"], r["value"], r["quarter_value"], r["unit"], r["conflict"]) for r in rows)
+
+
+def fact(val, end="2026-03-31", start="2026-01-01", **other):
+    return {"start": start, "end": end, "val": val, "accn": "a1", "fy": 2026, "fp": "Q1", "form": "10-Q", "filed": "2026-05-01"} | other
+
+
+V2, V3, V4 = "sec-companyfacts-v2-storage-safe-v2", "sec-companyfacts-v3", "sec-companyfacts-v4"
+
+
+def test_quarters_come_from_spans(spark):
+    half, quarter = (fact(v, "2026-06-30", start, fp="Q2", filed="2026-08-01") for v, start in ((30.0, "2026-01-01"), (20.0, "2026-04-01")))
+    assert stored(spark, V2, Revenues=[half, quarter]) == [("revenue", "Q2_2026", 30.0, 20.0, "USD", True)]
+    assert stored(spark, "sec-companyfacts-v2-storage-safe-v1", Revenues=[half, quarter]) == []
+    assert len(stored(spark, "sec-companyfacts-v2", Revenues=[half, quarter])) == 2
+    assert stored(spark, V3, Revenues=[half, quarter]) == [("revenue", "Q2_2026", 20.0, 20.0, "USD", False)]
+    year = [fact(100.0, "2026-12-31", "2026-01-01", fp="FY", form="10-K", filed="2027-02-01"), fact(25.0, "2026-12-31", "2026-10-01", fp="FY", form="10-K", filed="2027-02-01")]
+    assert stored(spark, V3, Revenues=year) == [("revenue", "FY2026", 100.0, 100.0, "USD", False)]
+
+
+def test_the_preferred_concept_wins_within_a_filing(spark):
+    assert stored(spark, V2, Revenues=[fact(5.0)], SalesRevenueNet=[fact(6.0), fact(7.0, accn="a2", filed="2026-05-02")]) == [("revenue", "Q1_2026", 5.0, 5.0, "USD", False), ("revenue", "Q1_2026", 7.0, 7.0, "USD", False)]
+    assert stored(spark, V3, Revenues=[fact(5.0)], SalesRevenueNet=[fact(6.0)]) == []  # they disagree: withheld
+    assert stored(spark, V4, Revenues=[fact(5.0)], SalesRevenueNet=[fact(6.0)]) == [("revenue", "Q1_2026", 5.0, 5.0, "USD", False)]
+
+
+def test_units_forms_and_late_facts(spark):
+    assert stored(spark, V3, Revenues={"EUR": [fact(5.0)]}) == [] and stored(spark, V2, Revenues={"EUR": [fact(5.0)]}) == [("revenue", "Q1_2026", 5.0, 5.0, "USD", False)]
+    assert stored(spark, V3, Revenues=[fact(5.0, form="S-1")]) == [] and len(stored(spark, V3, Revenues=[fact(5.0, form="8-K")])) == 1
+    assert stored(spark, V2, Revenues=[fact(5.0, end="2026-06-01")]) == []
+    assert stored(spark, V3, Revenues=[fact(5.0), fact(6.0, fp="Q2")]) == []  # one filing, two fiscal periods
+
+
+def test_shares_are_instants_of_their_own_taxonomy(spark):
+    share = fact(123.0, "2026-04-17", None, fp="Q2")
+    own = {companyfacts.ENTITY_SHARES: {"units": {"shares": [share, share]}}}
+    assert stored(spark, V3, dei=own) == [("shares_out", "Q2_2026", 123.0, 123.0, "shares", False)] and stored(spark, V2, dei=own) == []
+    assert stored(spark, V3, EntityCommonStockSharesOutstanding={"shares": [share]}) == []
+    assert stored(spark, V3, CommonStockSharesOutstanding={"shares": [share | {"start": "2026-01-01"}]}) == []
+
+
+def test_revenue_of_reviewed_issuers(spark):
+    gross, excise = [fact(50.0)], [fact(8.0)]
+    named = {companyfacts.GROSS_REVENUE: gross, companyfacts.EXCISE_TAXES: excise}
+    assert stored(spark, V4, **named) == [] and stored(spark, V4, cik=109198, **named) == [("revenue", "Q1_2026", 50.0, 50.0, "USD", False)]
+    assert stored(spark, V4, cik=1035002, **named, Revenues=[fact(49.0)]) == [("revenue", "Q1_2026", 42.0, 42.0, "USD", False)]
+    assert stored(spark, V4, cik=72971, Revenues=[fact(5.0)]) == [] and stored(spark, V3, cik=72971, Revenues=[fact(5.0)]) != []
