@@ -97,3 +97,121 @@ def frontier(edges: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
         now = now.select("origin", F.col("_next").alias("target"), (F.col("ratio") * F.col("_by")).alias("ratio"), (F.col("depth") + 1).alias("depth"), F.concat("_seen", F.array("_next")).alias("_seen"))
         whole = whole.unionByName(now)
     return whole.drop("_seen")
+
+
+def known_history(facts: DataFrame, keys: Sequence[str], as_of: Column | date, metrics: Sequence[str] | None = None, value: str = "value", known: str = "as_of_date", valid: str = "period_end", ties: Sequence[str] = ()) -> DataFrame:
+    """Histories of several metrics: the newest vintage of each key, metric and period, and of these only what has a value.
+
+    Nulls are dropped after the choice: a restatement without a value withdraws the period, it doesn't bring an older
+    vintage back.
+    """
+    named = facts if metrics is None else facts.where(F.col("metric").isin(*metrics))
+    seen = named.where((F.col(known) <= as_of) & (F.col(valid) <= F.col(known)))
+    return first_per(seen, [*keys, "metric", valid], newest(known, *ties)).where(F.col(value).isNotNull())
+
+
+#: Sources of macro observations, the preferred first; all others come last. Fixed values.
+MACRO_SOURCES = ("fred", "treasury")
+
+
+def macro_known(rows: DataFrame, as_of: Column | date, keys: Sequence[str] = ("series_id", "date")) -> DataFrame:
+    """The newest vintage of each observation released by ``as_of``; of one day's, by source, then the last fetched.
+
+    ``rows``: series_id, date, release_date, value, source, fetched_at. Rows without a release date never count.
+    """
+    rank = F.coalesce(*[F.when(F.col("source") == s, k) for k, s in enumerate(MACRO_SOURCES)], F.lit(len(MACRO_SOURCES)))
+    seen = rows.where((F.col("release_date") <= as_of) & (F.col("date") <= as_of))
+    return first_per(seen, list(keys), [F.col("release_date").desc(), rank.asc(), F.col("fetched_at").desc_nulls_last()])
+
+
+def identity_paths(requests: DataFrame, assignments: DataFrame, claims: DataFrame, day: Column, claimed: str, key: str = "ticker") -> DataFrame:
+    """requested, kind, target, n_targets: the way to the rows of each requested ticker on ``day``, or none (kind null).
+
+    The ticker's security, if it has exactly one; where a claim on it (``claims``: security_id, ``claimed``, start, end) is
+    active, its ``claimed`` (kind "claimed"); where it ever had one but none is active, nothing; else the ticker itself
+    (kind "ticker"). Tickers, or securities, with more than one answer go nowhere and tell how many they had.
+    """
+    c = F.col
+    owned = routes_of(requests.select(key).distinct(), assignments, day, key)
+    active = claims.where(covers(c("start"), c("end"), day)).groupBy("security_id").agg(F.countDistinct(claimed).alias("_n"), F.min(claimed).cast("string").alias("_one"))
+    ever = claims.select("security_id").distinct().withColumn("_ever", F.lit(True))
+    joined = owned.join(active, "security_id", "left").join(ever, "security_id", "left")
+    n = F.greatest(c("n_targets"), F.coalesce("_n", F.lit(0)))
+    kind = F.when(n > 1, None).when(c("_one").isNotNull(), "claimed").when(c("_ever").isNull(), "ticker")
+    return joined.select(c(key).alias("requested"), kind.alias("kind"), F.when(kind == "claimed", c("_one")).when(kind == "ticker", c(key)).alias("target"), n.alias("n_targets"))
+
+
+def last_bars(bars: DataFrame, by: Sequence[str], as_of: Column | date, n: int, priority: str = "priority", fetched: str = "fetched_at") -> DataFrame:
+    """The last ``n`` dates of each key up to ``as_of``; of several bars of one date that of the highest priority, then the last fetched."""
+    one = first_per(bars.where(F.col("date") <= as_of), [*by, "date"], [F.col(priority).desc(), F.col(fetched).desc_nulls_last()])
+    return first_per(one, by, newest("date"), n)
+
+
+def newest_reviewed(bars: DataFrame, day: Column | date) -> DataFrame:
+    """date: the newest one, up to ``day``, with complete actions, a known split basis and a positive close; null without any."""
+    fine = F.col("actions_complete") & F.col("close_split_adjusted").isNotNull() & (F.col("close") > 0)
+    return bars.where((F.col("date") <= day) & fine).agg(F.max("date").alias("date"))
+
+
+def newest_decision(dates: DataFrame, memberships: DataFrame, least: int, most: int, key: str = "ticker") -> DataFrame:
+    """date: the newest of ``dates`` (a calendar, broadcast) on which the universe has ``least`` to ``most`` members.
+
+    ``memberships``: ``key``, known, start, end, end_known.
+    """
+    c = F.col
+    on = member_on(c("known"), c("start"), c("end"), c("end_known"), c("date"), c("date"))
+    counted = memberships.join(F.broadcast(dates.select("date").distinct()), on).groupBy("date").agg(F.countDistinct(key).alias("_n"))
+    return counted.where(c("_n").between(least, most)).agg(F.max("date").alias("date"))
+
+
+def exactly_one(rows: DataFrame, keys: Sequence[str], subject: str) -> DataFrame:
+    """``rows`` with problem where a key has several: the caller asked for the one."""
+    return rows.withColumn("problem", F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1, f"more than one {subject}"))
+
+
+def within(rows: DataFrame, start: str, end: str, first: Column | date | None = None, last: Column | date | None = None, **equal) -> DataFrame:
+    """Rows whose [start, end) meets [first, last), each bound and each equality only where it is given."""
+    out = rows
+    for name, value in equal.items():
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    if last is not None:
+        out = out.where(F.col(start) < last)
+    if first is not None:
+        out = out.where(F.col(end).isNull() | (F.col(end) > first))
+    return out
+
+
+def unverified_actions(bars: DataFrame, by: Sequence[str], first: Column | date, last: Column | date) -> DataFrame:
+    """by, n: bars from ``first`` to ``last`` whose actions aren't known to be complete (false and null alike)."""
+    unsure = ~F.coalesce("actions_complete", F.lit(False))
+    return bars.where(F.col("date").between(first, last)).groupBy(*by).agg(F.count_if(unsure).alias("n"))
+
+
+def conversions_between(conversions: DataFrame, first: Column | date, last: Column | date) -> DataFrame:
+    """Verified conversions effective in (first, last], known by then."""
+    return conversions.where((F.col("review_status") == "verified") & (F.col("effective_date") > first) & (F.col("effective_date") <= last) & (F.col("known_date") <= F.col("effective_date")))
+
+
+def active_listings(listings: DataFrame, keys: Sequence[str], as_of: Column | date, known_as_of: Column | date) -> DataFrame:
+    """The listing of each key that covers ``as_of`` and was known by ``known_as_of``, that which began last."""
+    c = F.col
+    return first_per(listings.where(covers(c("listed_start"), c("listed_end"), as_of) & (c("known_at") <= known_as_of)), keys, newest("listed_start"))
+
+
+def relabelled(prices: DataFrame, mappings: DataFrame, assignments: DataFrame) -> DataFrame:
+    """``prices`` (provider, provider_symbol, date, ...) with security_id, ticker and problem: the market's label of the date.
+
+    Rows outside the verified windows of their mapping (``mappings``: provider, provider_symbol, security_id,
+    mapping_status, start, end) go; of the others each must have exactly one ticker that day (``assignments``: security_id,
+    ticker, start, end), or says so. The provider's own label is never trusted.
+    """
+    c = F.col
+    verified = mappings.where("mapping_status = 'verified'").select("provider", "provider_symbol", "security_id", c("start").alias("_a"), c("end").alias("_b"))
+    mapped = prices.join(verified, ["provider", "provider_symbol"]).where(covers(c("_a"), c("_b"), c("date"))).drop("_a", "_b")
+    dates = mapped.select("security_id", "date").distinct()
+    spans = assignments.select(c("security_id").alias("_s"), F.upper("ticker").alias("_t"), "start", "end")
+    met = dates.join(spans, (c("security_id") == c("_s")) & covers(c("start"), c("end"), c("date")), "left")
+    labels = met.groupBy("security_id", "date").agg(F.countDistinct("_t").alias("_n"), F.min("_t").alias("_one"))
+    joined = mapped.join(labels, ["security_id", "date"])
+    return joined.withColumns({"ticker": F.when(c("_n") == 1, c("_one")), "problem": F.when(c("_n") != 1, "not exactly one ticker on the date")}).drop("_n", "_one")

@@ -144,3 +144,51 @@ def period_metrics(periods: DataFrame, keys: Sequence[str], periods_per_year: fl
 def verdict(t_stat: Column, periods: Column, pairs: Column) -> Column:
     """What a sample can support: none, not interpretable, noise or suggestive."""
     return F.when(t_stat.isNull() | (pairs < 2), "insufficient").when(periods < LEAST_PERIODS, "not interpretable").when(F.abs(t_stat) < 2, "noise").otherwise("suggestive")
+
+
+def execution_dates(decisions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """decision, next_decision, entry, exit: the first session after each decision up to the next one, and the next decision's
+    date if it is a session. Both relations are calendars: a row a quarter, a row a session."""
+    c = F.col
+    following = decisions.select("decision").distinct().withColumn("next_decision", F.lead("decision").over(Window.orderBy("decision"))).where("next_decision IS NOT NULL")
+    days = sessions.select("date").distinct()
+    met = following.join(F.broadcast(days), (c("date") > c("decision")) & (c("date") <= c("next_decision")), "left")
+    return met.groupBy("decision", "next_decision").agg(F.min("date").alias("entry"), F.max(F.when(c("date") == c("next_decision"), c("date"))).alias("exit"))
+
+
+def periods(audit: DataFrame, dates: DataFrame, regimes: DataFrame, top_n: int, require_regime: bool = True) -> DataFrame:
+    """decision, entry, exit, regime, n_eligible, members_digest, selected, status, missing: what each period can do.
+
+    ``audit``: decision, ticker, eligible, score; ``dates``: decision, entry, exit; ``regimes``: decision, regime. The
+    ``top_n`` eligible tickers by score, ties by ticker, are selected unless a date lacks, the regime isn't known where it is
+    required, or fewer are eligible. A decision without any row in ``audit`` has no one eligible.
+    """
+    c = F.col
+    best = F.row_number().over(Window.partitionBy("decision", "eligible").orderBy(c("score").desc_nulls_last(), "ticker"))
+    ranked = audit.withColumn("_r", F.when(c("eligible"), best))
+    sums = ranked.groupBy("decision").agg(
+        F.count_if("eligible").alias("n_eligible"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set(F.upper("ticker"))), "\n"), 256).alias("members_digest"),
+        F.array_sort(F.collect_list(F.when(c("_r") <= top_n, F.struct("_r", "ticker")))).alias("_best"),
+    )
+    known = dates.join(regimes, "decision", "left").join(sums, "decision", "left").withColumns({"regime": F.coalesce("regime", F.lit("unknown")), "n_eligible": F.coalesce("n_eligible", F.lit(0))})
+    unscheduled = c("entry").isNull() | c("exit").isNull()
+    status = F.when(unscheduled, "no execution date").when(F.lit(require_regime) & (c("regime") == "unknown"), "regime not known").when(c("n_eligible") < top_n, "too few eligible").otherwise("ready")
+    missing = F.when(c("status") == "too few eligible", F.concat(F.lit("eligible:"), "n_eligible", F.lit(f"<{top_n}")))
+    return known.withColumn("status", status).select("decision", "entry", "exit", "regime", "n_eligible", "members_digest", F.when(c("status") == "ready", F.transform("_best", lambda x: x["ticker"])).alias("selected"), "status", missing.alias("missing"))
+
+
+def benchmark_returns(bars: DataFrame, dates: DataFrame) -> DataFrame:
+    """decision, entry, exit, ret, problem: a benchmark's total return by adjusted closes between entry and exit.
+
+    ``bars``: date, close, adj_close of the benchmark; ``dates``: decision, entry, exit, where null its first and last date
+    after the decision up to ``next_decision`` stand in.
+    """
+    c = F.col
+    price = F.coalesce("adj_close", "close")
+    rows = dates.join(bars.select("date", price.alias("_p")), (c("date") > c("decision")) & (c("date") <= c("next_decision")), "left")
+    own = rows.groupBy("decision", "next_decision").agg(F.coalesce(F.max("entry"), F.min("date")).alias("entry"), F.coalesce(F.max("exit"), F.max("date")).alias("exit"))
+    at = lambda name: own.select("decision", c(name).alias("date")).join(bars.select("date", price.alias(f"_{name}")), "date").select("decision", f"_{name}")
+    joined = own.join(at("entry"), "decision", "left").join(at("exit"), "decision", "left")
+    problem = F.when(c("entry").isNull() | c("exit").isNull(), "no benchmark price").when(c("_entry").isNull() | c("_exit").isNull() | ~(c("_entry") > 0), "benchmark price is not valid")
+    return joined.withColumn("problem", problem).select("decision", "entry", "exit", F.when(c("problem").isNull(), c("_exit") / c("_entry") - 1).alias("ret"), "problem")

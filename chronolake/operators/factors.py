@@ -242,3 +242,16 @@ def audit(members: DataFrame, coverage: DataFrame, key: str, excluded: Sequence[
     )
     reasons = F.array_sort(F.array_distinct(F.concat(F.array_compact(own), F.coalesce("missing", F.array().cast("array<string>")))))
     return joined.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
+
+
+def contemporaneous_price() -> Column:
+    """The close on the share basis of its own day: adjusted closes times their factor (null without a positive one), plain
+    closes as they are, null where the basis isn't known."""
+    factor = F.col("split_normalization_factor")
+    positive = (factor > 0) & (factor < float("inf"))
+    return F.when(F.col("close_split_adjusted"), F.when(positive, F.col("close") * factor)).when(~F.col("close_split_adjusted"), F.col("close"))
+
+
+def metric_value(flow: Column) -> Column:
+    """A flow's value of its single period, anything else's value as it is; never the one for the other."""
+    return F.when(flow, F.col("quarter_value")).otherwise(F.col("value"))

@@ -10,6 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+from .asof import covers, exactly_one, member_on
+from .facts import upsert
+
 #: Longest span of a reported period in days, widest repair of a bar in basis points, longest run of missing sessions,
 #: least share of sessions present, days that a history may start late or end early. Fixed values.
 LONGEST_SPAN, WIDEST_REPAIR, LONGEST_HOLE, LEAST_SHARE, EDGE = 400, 100.0, 5, 0.95, 7
@@ -174,3 +178,186 @@ def carried_forward(rows: DataFrame, keys: Sequence[str], order: str, value: str
     """Adds mark (the last value known by then) and stale (whether it is an older row's)."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({"mark": F.last(value, ignorenulls=True).over(w), "stale": F.col(value).isNull()})
+
+
+#: Days by which an edge of a reference list may stray from the announced event. Fixed value.
+EDGE_TOLERANCE = 3
+
+
+def matched_edges(expected: DataFrame, actual: DataFrame, keys: Sequence[str], tolerance: int = EDGE_TOLERANCE) -> DataFrame:
+    """keys, expected, actual, outcome of two sets of dated edges (keys, date): equal, moved, missing or unexpected.
+
+    Equal edges match first. Then each expected one, in the order of dates, takes the nearest actual one that is left within
+    the tolerance (of two as near the earlier). The edges of a key are few: the events of one label.
+    """
+    c = F.col
+    dates = lambda df, name: df.select(*keys, "date").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("date")).alias(name))
+    none = F.array().cast("array<date>")
+    both = dates(expected, "_e").join(dates(actual, "_a"), list(keys), "full_outer").withColumns({"_e": F.coalesce("_e", none), "_a": F.coalesce("_a", none)})
+    left = both.withColumns({"_same": F.array_intersect("_e", "_a"), "_we": F.array_except("_e", "_a"), "_wa": F.array_except("_a", "_e")})
+    kind = "struct<rest: array<date>, found: array<struct<expected: date, actual: date>>>"
+    pair = lambda e, a: F.struct(e.alias("expected"), a.alias("actual"))
+
+    def take(state: Column, e: Column) -> Column:
+        near = F.filter(state["rest"], lambda a: F.abs(F.datediff(a, e)) <= tolerance)
+        best = F.array_min(F.transform(near, lambda a: F.struct(F.abs(F.datediff(a, e)).alias("d"), a.alias("a"))))["a"]
+        rest = F.when(best.isNull(), state["rest"]).otherwise(F.array_except(state["rest"], F.array(best)))
+        return F.struct(rest.alias("rest"), F.concat(state["found"], F.array(pair(e, best))).alias("found")).cast(kind)
+
+    start = F.struct(c("_wa").alias("rest"), F.array().cast("array<struct<expected: date, actual: date>>").alias("found")).cast(kind)
+    done = left.withColumn("_done", F.aggregate("_we", start, take))
+    no = F.lit(None).cast("date")
+    every = F.concat(F.transform("_same", lambda x: pair(x, x)), c("_done.found"), F.transform(c("_done.rest"), lambda x: pair(no, x)))
+    rows = done.select(*keys, F.inline(every))
+    outcome = F.when(c("actual").isNull(), "missing").when(c("expected").isNull(), "unexpected").when(c("expected") == c("actual"), "equal").otherwise("moved")
+    return rows.withColumn("outcome", outcome)
+
+
+def merged_batches(batches: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
+    """All rows of several reviewed batches, with problem where a key stands in them more than once."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return batches.withColumn("problem", F.when(n > 1, "event stands in the batches more than once")).drop(batch)
+
+
+def reference_gaps(assignments: DataFrame, owners: DataFrame, ciks: DataFrame, providers: DataFrame, first: str, last: str) -> DataFrame:
+    """ticker, security_id, start, end, problem: what of each assignment, within [first, last), no owner with a CIK and no
+    verified provider cover together.
+
+    An assignment (ticker, security_id, start, end) with several gaps, and a ticker with gaps in several assignments, have a
+    problem. ``owners``: security_id, issuer_id, start, end; ``ciks``: issuer_id, start, end; ``providers``: security_id,
+    mapping_status, start, end.
+    """
+    c = F.col
+    clip = lambda df: df.withColumns({"start": F.greatest("start", F.lit(first).cast("date")), "end": F.least(F.coalesce("end", F.lit(last).cast("date")), F.lit(last).cast("date"))}).where("start < end")
+    asked = clip(assignments.select("ticker", "security_id", "start", "end")).withColumn("_from", c("start"))
+    a, b = clip(owners).alias("a"), clip(ciks).alias("b")
+    filed = a.join(b, (c("a.issuer_id") == c("b.issuer_id")) & (c("a.start") < c("b.end")) & (c("b.start") < c("a.end"))).select("a.security_id", F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"))
+    both = intervals.intersect(intervals.merge(filed, ["security_id"]), intervals.merge(clip(providers.where("mapping_status = 'verified'")).select("security_id", "start", "end"), ["security_id"]), ["security_id"])
+    keys = ["ticker", "security_id", "_from"]
+    covered = asked.select(*keys).join(both, "security_id").select(*keys, "start", "end")
+    gaps = intervals.subtract(asked.select(*keys, "start", "end"), covered, keys)
+    several = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    elsewhere = F.min("_from").over(Window.partitionBy("ticker")) != F.max("_from").over(Window.partitionBy("ticker"))
+    return gaps.withColumn("problem", F.when(several, "several gaps in one assignment").when(elsewhere, "gaps in several assignments")).drop("_from")
+
+
+#: A provider's factor for "no action", and how near two factors must be. Fixed values.
+NO_ACTION, FACTOR_TOLERANCE = 1.0, 1e-12
+
+
+def reviewed_actions(bars: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``bars`` (provider, provider_symbol, security_id, date, factor, ...) with split_ratio, actions_complete and review.
+
+    A factor of one is no action. Any other needs a review of exactly this security, symbol, date and factor (``reviews``:
+    those and legal_ratio, complete); without one, or with another factor, the bar stays but isn't complete.
+    """
+    c = F.col
+    keys = ["provider", "provider_symbol", "security_id", "date"]
+    joined = bars.join(reviews.select(*keys, c("factor").alias("_factor"), c("legal_ratio").alias("_ratio"), c("complete").alias("_complete")), keys, "left")
+    near = lambda a, b: F.abs(a - b) <= FACTOR_TOLERANCE
+    review = F.when(near(c("factor"), F.lit(NO_ACTION)), "none reported").when(c("_factor").isNull(), "not reviewed").when(~near(c("factor"), c("_factor")), "another factor").when(c("_complete"), "reviewed").otherwise("reviewed, incomplete")
+    return joined.withColumn("review", review).withColumns({"split_ratio": F.when(c("review").startswith("reviewed"), c("_ratio")).otherwise(1.0), "actions_complete": c("review").isin("none reported", "reviewed")}).drop("_factor", "_ratio", "_complete")
+
+
+def identity_assignments(memberships: DataFrame, transitions: DataFrame, prefix: str) -> DataFrame:
+    """ticker, start, end, known, security_id, status, problem: memberships with the security that each stands for.
+
+    A ticker that a transition (security_id, from_ticker, to_ticker, kind) names has its security; another ticker is a
+    security of its own, named by ``prefix``. Tickers of contradicting transitions, and securities two of whose
+    assignments overlap, have a problem.
+    """
+    c = F.col
+    named = transitions.select(F.explode(F.array("from_ticker", "to_ticker")).alias("ticker"), "security_id", "kind").groupBy("ticker").agg(F.countDistinct("security_id").alias("_n"), F.countDistinct("kind").alias("_k"), F.min("security_id").alias("_s"), F.min("kind").alias("_kind"))
+    joined = memberships.join(named, "ticker", "left").withColumns({"security_id": F.coalesce("_s", F.concat(F.lit(prefix), F.lower("ticker"))), "status": F.coalesce("_kind", F.lit("bounded ticker"))})
+    w = Window.partitionBy("security_id").orderBy("start", "ticker")
+    far = F.coalesce("end", F.lit("9999-12-31").cast("date"))
+    before = F.max(far).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    problem = F.when(c("_n") > 1, "several securities").when(c("_k") > 1, "several kinds of transition").when(before > c("start"), "assignments overlap")
+    return joined.withColumn("problem", problem).select("ticker", "start", "end", "known", "security_id", "status", "problem")
+
+
+def bounded_vintages(rows: DataFrame, first: Column | None, last: Column | None, today: Column, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """keys, vintage: the distinct vintage dates within the bounds, none after ``today``."""
+    upper = today if last is None else F.least(last, today)
+    fits = F.col("vintage") <= upper
+    return rows.where(fits if first is None else fits & (F.col("vintage") >= first)).select(*keys, "vintage").distinct()
+
+
+def warmup_candidates(memberships: DataFrame, mappings: DataFrame, as_of: Column) -> DataFrame:
+    """security_id, ticker, provider, provider_symbol, problem: the verified mapping of each member known on ``as_of``; a
+    member with several has a problem, one without any no row."""
+    c = F.col
+    members = memberships.where(member_on(c("known"), c("start"), c("end"), c("end_known"), as_of, as_of)).select("security_id", "ticker")
+    active = mappings.where((c("mapping_status") == "verified") & covers(c("start"), c("end"), as_of)).select("security_id", "provider", "provider_symbol")
+    return exactly_one(members.join(active, "security_id"), ["security_id"], "verified mapping")
+
+
+def owner_conflicts(stored: DataFrame, arrived: DataFrame, keys: Sequence[str], owner: str) -> DataFrame:
+    """keys, problem: arriving keys that are stored under another owner."""
+    a, b = stored.where(F.col(owner).isNotNull()).alias("a"), arrived.alias("b")
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    return met.where(F.col(f"a.{owner}") != F.col(f"b.{owner}")).select(*[F.col(f"a.{k}").alias(k) for k in keys]).distinct().withColumn("problem", F.lit("key belongs to another owner"))
+
+
+def membership_rows(arrived: DataFrame, stored: DataFrame, keys: Sequence[str] = ("universe_id", "ticker")) -> DataFrame:
+    """The memberships as they would be stored, with problem: arriving rows by key and start replace stored ones.
+
+    ``known`` may not follow the start, an end must follow it, and what is known of an end lies between the two; without a
+    date of its own an end was known with the start. Intervals of a key may not overlap.
+    """
+    c = F.col
+    ended = arrived.withColumn("end_known", F.coalesce("end_known", F.when(c("end").isNotNull(), c("known"))))
+    merged = upsert(stored, ended.select(*stored.columns), [*keys, "start"], keep_if_null=["security_id"])
+    w = Window.partitionBy(*keys).orderBy("start")
+    before, first = F.lag("end").over(w), F.row_number().over(w) == 1
+    problem = (
+        F.when(c("known") > c("start"), "known after its start")
+        .when(c("end") <= c("start"), "end does not follow the start")
+        .when(c("end").isNull() & c("end_known").isNotNull(), "open, but its end is known")
+        .when((c("end_known") < c("known")) | (c("end_known") > c("end")), "end known out of turn")
+        .when(~first & (before.isNull() | (before > c("start"))), "overlaps the interval before")
+    )
+    return merged.withColumn("problem", problem)
+
+
+def conversion_rows(arrived: DataFrame, stored: DataFrame, securities: DataFrame, today: Column) -> DataFrame:
+    """Arriving conversions with problem: rules of a row, securities that aren't known, and stored ones that say otherwise."""
+    c = F.col
+    known = securities.select(c("security_id").alias("_k")).distinct()
+    a = arrived.join(known.withColumnRenamed("_k", "_s"), c("source_security_id") == c("_s"), "left").join(known.withColumnRenamed("_k", "_t"), c("target_security_id") == c("_t"), "left")
+    rest = [n for n in ("target_security_id", "effective_date", "known_date", "share_ratio", "basis_policy", "review_status", "source", "basis_source") if n in arrived.columns]
+    old = stored.select(c("source_security_id").alias("_o"), F.struct(*rest).alias("_old"))
+    joined = a.join(old, c("source_security_id") == c("_o"), "left")
+    same = F.lit(True)
+    for n in rest:
+        same = same & c(f"_old.{n}").eqNullSafe(c(n))
+    again = F.count(F.lit(1)).over(Window.partitionBy("source_security_id")) > 1
+    problem = (
+        F.when(c("source_security_id") == c("target_security_id"), "converts into itself")
+        .when(again, "source converts more than once")
+        .when(c("known_date") > c("effective_date"), "known after it is effective")
+        .when(c("verified_date") > today, "verified in the future")
+        .when(~F.coalesce((c("share_ratio") > 0) & (c("share_ratio") < float("inf")) & ~F.isnan("share_ratio"), F.lit(False)), "ratio is not positive")
+        .when(c("basis_policy") != "carryover", "unknown basis policy")
+        .when(c("review_status") != "verified", "not verified")
+        .when(c("_s").isNull() | c("_t").isNull(), "unknown security")
+        .when(c("_o").isNotNull() & ~same, "stored conversion says otherwise")
+    )
+    return joined.withColumn("problem", problem).select(*arrived.columns, "problem")
+
+
+def quarantined(rows: DataFrame, bad: Column, reason: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, rows that go with ``quarantine_reason``); a null answer stays."""
+    wrong = F.coalesce(bad, F.lit(False))
+    return rows.where(~wrong), rows.where(wrong).withColumn("quarantine_reason", F.lit(reason))
+
+
+def uncovered_legacy(rows: DataFrame, legacy: Column, keys: Sequence[str], replacement: Column) -> DataFrame:
+    """Legacy rows whose key has no replacement: while there are any, legacy rows may not be deleted."""
+    have = rows.where(replacement).select(*keys).distinct()
+    return rows.where(legacy).join(have, list(keys), "left_anti")
+
+
+def tombstones(rows: DataFrame, gone: Column) -> DataFrame:
+    """What to append to a history where the rows that ``gone`` names are deleted: they, marked as deleted."""
+    return rows.where(F.coalesce(gone, F.lit(False))).withColumn("is_deleted", F.lit(True))
