@@ -1,47 +1,113 @@
-"""Stored relations: keyed merges and appends of versions, each written beside the old state and then exposed by its name."""
+"""Stored relations: keyed merges and appends of versions, each written beside the old state and then exposed at once.
+
+A relation is a folder of states; its pointer, a table of one row, names the state that counts. A write makes a new state
+and then appends to the pointer: readers see the old state or the new one, and a crash in between changes nothing. Several
+relations that must change together share one pointer row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts, ingest
 
+POINTER = "sequence long, names map<string, string>"
+
 
-def merge_into(spark: SparkSession, table: str, arrived: DataFrame, keys: Sequence[str], keep_if_null: Sequence[str] = ()) -> DataFrame:
-    """Writes ``table`` merged with ``arrived`` on the keys as ``table__next`` and returns it.
+class Store:
+    """Relations under one folder, which the driver and all executors share.
 
-    A table can't be read and overwritten in one job, so readers go on with the old state until the new one is whole; the
-    caller then swaps the names (``swap``). Arriving keys must be unique.
+    Writes come from one writer at a time: a reader never sees half a write, but two writers could overwrite each other.
     """
-    once = arrived.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*arrived.columns)).alias("_row"))
-    checked = ingest.refuse(once.withColumn("problem", F.when(F.col("_n") > 1, "key arrives more than once")), keys[0]).select("_row.*")
-    merged = facts.upsert(spark.table(table), checked, keys, keep_if_null) if spark.catalog.tableExists(table) else checked
-    merged.write.mode("overwrite").saveAsTable(f"{table}__next")
-    return spark.table(f"{table}__next")
-
-
-def swap(spark: SparkSession, table: str) -> None:
-    """Gives ``table__next`` the name ``table``; the state before stays as ``table__before``."""
-    spark.sql(f"DROP TABLE IF EXISTS {table}__before")
-    if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} RENAME TO {table}__before")
-    spark.sql(f"ALTER TABLE {table}__next RENAME TO {table}")
-
-
-def append_versions(spark: SparkSession, table: str, arrived: DataFrame, keys: Sequence[str]) -> None:
-    """Appends what is new or changed, refusing keys that arrive more than once; nothing stored is ever rewritten."""
-    if spark.catalog.tableExists(table):
-        fresh = ingest.append_versions(spark.table(table), arrived, keys)
-    else:
-        fresh = ingest.append_versions(arrived.withColumn("version", F.lit(0)).limit(0), arrived, keys)
-    ingest.refuse(fresh, keys[0]).write.mode("append").saveAsTable(table)
-
-
-def refresh(spark: SparkSession, table: str, arrived: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``merge_into`` for a full refresh: fails where a stored key would be lost."""
-    if spark.catalog.tableExists(table):
-        ingest.refuse(ingest.lost_keys(spark.table(table), arrived, keys), keys[0]).write.format("noop").mode("overwrite").save()
-    return merge_into(spark, table, arrived, keys)
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _states(self) -> tuple[int, dict[str, str]]:
+        """The sequence of the last commit, and the state of each relation that counts."""
+        try:
+            last = self.spark.read.schema(POINTER).parquet(f"{self.folder}/_pointer").orderBy(F.desc("sequence")).first()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        return (last["sequence"], dict(last["names"])) if last else (0, {})
+
+    def exists(self, name: str) -> bool:
+        return name in self._states()[1]
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/{self._states()[1][name]}")
+
+    def replace(self, **relations: DataFrame) -> None:
+        """Writes a new state of each relation, then exposes them all with one pointer row. Any failure exposes none."""
+        written = {}
+        for name, rows in relations.items():
+            written[name] = uuid.uuid4().hex
+            rows.write.parquet(f"{self.folder}/{name}/{written[name]}")
+        sequence, names = self._states()
+        self.spark.createDataFrame([(sequence + 1, names | written)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.folder}/_pointer")
+
+    def merged(self, name: str, arrived: DataFrame, keys: Sequence[str], keep_if_null: Sequence[str] = ()) -> DataFrame:
+        """The relation with ``arrived`` in place of rows of the same keys; fails where a key arrives more than once."""
+        once = arrived.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*arrived.columns)).alias("_row"))
+        checked = ingest.refuse(once.withColumn("problem", F.when(F.col("_n") > 1, "key arrives more than once")), keys[0]).select("_row.*")
+        return facts.upsert(self.read(name), checked, keys, keep_if_null) if self.exists(name) else checked
+
+    def merge(self, name: str, arrived: DataFrame, keys: Sequence[str], keep_if_null: Sequence[str] = ()) -> None:
+        self.replace(**{name: self.merged(name, arrived, keys, keep_if_null)})
+
+    def validated(self, subject: dict[str, str], **relations: DataFrame) -> None:
+        """``replace`` for rows with ``problem``: the first one that has any fails the whole write. ``subject`` names the
+        column that the failure tells, by relation."""
+        self.replace(**{name: ingest.refuse(rows, subject[name]) for name, rows in relations.items()})
+
+    def append_versions(self, name: str, arrived: DataFrame, keys: Sequence[str]) -> None:
+        """Appends what is new or changed as a next version, refusing keys that arrive more than once."""
+        old = self.read(name) if self.exists(name) else arrived.withColumn("version", F.lit(0)).limit(0)
+        fresh = ingest.refuse(ingest.append_versions(old, arrived, keys), keys[0])
+        self.replace(**{name: old.unionByName(fresh)})
+
+    def refresh(self, name: str, arrived: DataFrame, keys: Sequence[str], owner: str | None = None) -> None:
+        """``merge`` for a full refresh: fails where a stored key would be lost, or belongs to another owner."""
+        if self.exists(name):
+            problems = ingest.lost_keys(self.read(name), arrived, keys)
+            if owner:
+                problems = problems.unionByName(ingest.owner_conflicts(self.read(name), arrived, keys, owner))
+            first = problems.limit(1).collect()
+            if first:
+                raise ValueError(f"{name}: {first[0]['problem']} {first[0][keys[0]]}")
+        self.merge(name, arrived, keys)
+
+    def quarantine(self, name: str, into: str, bad, reason: str) -> None:
+        """Moves the rows that ``bad`` names to another relation: both change, or neither."""
+        stays, goes = ingest.quarantined(self.read(name), bad, reason)
+        kept = self.read(into).unionByName(goes) if self.exists(into) else goes
+        self.replace(**{name: stays, into: kept})
+
+    def delete(self, name: str, gone, history: str | None = None) -> None:
+        """Deletes rows; with ``history`` a tombstone of each is appended there in the same commit."""
+        rows = self.read(name)
+        new = {name: rows.where(~F.coalesce(gone, F.lit(False)))}
+        if history:
+            marked = ingest.tombstones(rows, gone)
+            new[history] = self.read(history).unionByName(marked, allowMissingColumns=True) if self.exists(history) else marked
+        self.replace(**new)
+
+    def logged(self, source: str, name: str, write: Callable[[], int], log: str = "ingest_log") -> None:
+        """Runs a write and appends how it went (source, relation, n_rows, status, error) to the log, failures too."""
+        status, error, n = "success", None, 0
+        try:
+            n = write()
+            status = "success" if n else "warning"
+        except Exception as failure:
+            status, error = "failed", str(failure)[:500]
+            raise
+        finally:
+            row = self.spark.createDataFrame([(source, name, n, status, error)], "source string, relation string, n_rows long, status string, error string")
+            self.replace(**{log: self.read(log).unionByName(row) if self.exists(log) else row})

@@ -105,19 +105,63 @@ def test_manifest_round_trip_and_problems(spark, tmp_path):
         manifests.read_manifest(spark, str(tmp_path / "other.csv"), "spans").collect()
 
 
-def test_stored_tables(spark):
+def test_stored_tables(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path))
     one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     two = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
-    tables.merge_into(spark, "merged", one, ["k"])
-    tables.swap(spark, "merged")
-    tables.merge_into(spark, "merged", two, ["k"])
-    tables.swap(spark, "merged")
-    assert sorted(map(tuple, spark.table("merged").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    rows = lambda name: sorted(map(tuple, store.read(name).collect()))
+    store.merge("merged", one, ["k"])
+    store.merge("merged", two, ["k"])
+    assert rows("merged") == [(1, "a"), (2, "c"), (3, "d")]
     with pytest.raises(Exception, match="drops a stored key"):
-        tables.refresh(spark, "merged", two, ["k"])
+        store.refresh("merged", two, ["k"])
+    with pytest.raises(Exception, match="another owner"):
+        store.refresh("merged", spark.createDataFrame([(1, "a"), (2, "x"), (3, "d")], "k int, v string"), ["k"], owner="v")
     with pytest.raises(Exception, match="more than once"):
-        tables.merge_into(spark, "merged", two.union(two), ["k"])
-    tables.append_versions(spark, "versions", one, ["k"])
-    tables.append_versions(spark, "versions", two, ["k"])
-    tables.append_versions(spark, "versions", two, ["k"])
-    assert sorted((r["k"], r["v"], r["version"]) for r in spark.table("versions").collect()) == [(1, "a", 1), (2, "b", 1), (2, "c", 2), (3, "d", 1)]
+        store.merge("merged", two.union(two), ["k"])
+    assert rows("merged") == [(1, "a"), (2, "c"), (3, "d")]
+    for arrived in (one, two, two):
+        store.append_versions("versions", arrived, ["k"])
+    assert sorted((r["k"], r["v"], r["version"]) for r in store.read("versions").collect()) == [(1, "a", 1), (2, "b", 1), (2, "c", 2), (3, "d", 1)]
+
+
+def test_writes_are_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = tables.Store(spark, str(tmp_path))
+    a, b = (spark.createDataFrame([(k, None if k < 3 else "broken") for k in range(n)], "k int, problem string") for n in (2, 5))
+    store.validated({"a": "k"}, a=a)
+    with pytest.raises(Exception, match="broken 3"):
+        store.validated({"a": "k", "b": "k"}, a=a.limit(1), b=b)
+    assert store.read("a").count() == 2 and not store.exists("b")
+    # A crash between the new states and the pointer: readers see the old state, and the next write goes through.
+    monkeypatch.setattr(store, "_states", lambda: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.replace(a=a.limit(1).drop("problem"), c=a)
+    monkeypatch.undo()
+    assert store.read("a").count() == 2 and not store.exists("c")
+    store.quarantine("a", "aside", F.col("k") == 1, "odd")
+    assert [r["k"] for r in store.read("a").collect()] == [0] and [tuple(r) for r in store.read("aside").collect()] == [(1, "odd")]
+    store.delete("a", F.col("k") == 0, history="history")
+    assert store.read("a").count() == 0 and [tuple(r) for r in store.read("history").collect()] == [(0, True)]
+    store.logged("edgar:x", "a", lambda: 3)
+    with pytest.raises(ZeroDivisionError):
+        store.logged("edgar:y", "a", lambda: 1 // 0)
+    assert sorted((r["source"], r["n_rows"], r["status"]) for r in store.read("ingest_log").collect()) == [("edgar:x", 3, "success"), ("edgar:y", 0, "failed")]
+
+
+def manifest(spark, path, kind, *lines, **options):
+    path.write_text(",".join(manifests.MANIFESTS[kind].names) + "\n" + "\n".join(lines) + "\n")
+    return sorted(r["problem"] or "" for r in manifests.read_manifest(spark, str(path), kind, **options).collect())
+
+
+def test_manifest_rules(spark, tmp_path):
+    file = tmp_path / "m.csv"
+    cik = lambda issuer, number, start, end, name="N": f"{issuer},{name},T,{number},{start},{end},2024-01-01,https://sec.gov/x"
+    assert manifest(spark, file, "issuer_ciks", cik("i", "0000000001", "2020-01-01", "2021-01-01"), cik("i", "0000000002", "2020-06-01", ""), cik("j", "12x", "2020-01-01", ""), cik("k", "0000000003", "2020-01-01", ""), cik("k", "0000000003", "2022-01-01", "", "M")) == ["", "CIK is not a number of up to ten digits", "overlaps the interval before", "rows of one issuer_id disagree", "rows of one issuer_id disagree"]
+    event = lambda ticker, action, known, source="https://a.b/c": f"u,sp500,{ticker},2024-03-01,{action},{known},{source},index_announcement"
+    events = (event("A", "addition", "2024-02-01"), event("B", "swap", "2024-02-01"), event("C", "deletion", "2024-04-01"), event("D", "deletion", "2024-02-01", "a paper"))
+    assert manifest(spark, file, "universe_events", *events) == ["", "", "known after it is effective", "unknown action"]
+    assert manifest(spark, file, "universe_events", *events, official=True) == ["", "known after it is effective", "source is not an https address", "unknown action"]
+    conversion = lambda source, target, ratio, policy="carryover", status="verified": f"{source},{target},2024-03-01,2024-02-01,{ratio},{policy},{status},2024-03-02,s,b"
+    assert manifest(spark, file, "conversions", conversion("a", "b", 1.5), conversion("b", "b", 1), conversion("c", "d", 0), conversion("e", "f", 1, "step-up"), conversion("g", "h", 1, status="open")) == ["", "converts into itself", "not verified", "ratio is not positive", "unknown basis policy"]
+    extension = lambda security, provider, end: f"u,{security},T,{provider},T,2024-01-01,{end},2024-03-01,i,p,liquidation"
+    assert manifest(spark, file, "price_extensions", extension("a", "yfinance", "2024-02-01"), extension("b", "other", "2024-02-01"), extension("c", "tiingo", "2024-02-25")) == ["", "extension is too long", "unknown provider"]

@@ -1,10 +1,14 @@
 """Readers of provider documents on small documents."""
 
+import gzip
+import hashlib
 import json
+import zipfile
 
 import pytest
 
 from chronolake.operators import companyfacts
+from chronolake.sources import archives
 from chronolake.sources import documents as sources
 
 
@@ -104,3 +108,59 @@ def test_revenue_of_reviewed_issuers(spark):
     assert stored(spark, V4, **named) == [] and stored(spark, V4, cik=109198, **named) == [("revenue", "Q1_2026", 50.0, 50.0, "USD", False)]
     assert stored(spark, V4, cik=1035002, **named, Revenues=[fact(49.0)]) == [("revenue", "Q1_2026", 42.0, 42.0, "USD", False)]
     assert stored(spark, V4, cik=72971, Revenues=[fact(5.0)]) == [] and stored(spark, V3, cik=72971, Revenues=[fact(5.0)]) != []
+
+
+def test_members_of_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        for name, text in (("x/CIK0000000001.json", "{}"), ("readme.txt", "no"), ("CIK0000000002.json", "{1}"), ("y/CIK0000000002.json", "{2}")):
+            archive.writestr(name, text)
+        archive.writestr("CIK0000000003.json", b"\xff\xfe")
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    got = sorted((r["archive"].rsplit("/", 1)[-1], r["key"] or "", r["payload"] or "", r["problem"] or "") for r in archives.members(spark, str(tmp_path)).collect())
+    assert got == [("a.zip", "CIK0000000001.json", "{}", ""), ("a.zip", "CIK0000000002.json", "{1}", "member stands twice"), ("a.zip", "CIK0000000002.json", "{2}", "member stands twice"), ("a.zip", "CIK0000000003.json", "", "member can't be read"), ("b.zip", "", "", "not an archive")]
+
+
+def test_ticker_map(spark):
+    payload = {"0": {"cik_str": 1, "ticker": "a", "title": "A Inc"}, "1": {"cik_str": 0, "ticker": "B", "title": "B"}, "2": {"cik_str": 3, "ticker": "C", "title": ""}, "3": {"cik_str": 4, "ticker": "D", "title": "x"}, "4": {"cik_str": 5, "ticker": "d", "title": "y"}}
+    got = sorted((r["ticker"], r["problem"] or "") for r in archives.ticker_map(frame(spark, payload)).collect())
+    assert got == [("A", ""), ("B", "CIK is not positive"), ("C", "lacks a title"), ("D", "ticker stands twice"), ("D", "ticker stands twice")]
+
+
+def release(*rows):
+    return "<html><table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table></html>"
+
+
+def test_constituent_changes(spark):
+    head = ("Effective Date", "Index Name", "Action", "Company Name", "Ticker")
+    fine = release(head, ("Sept 1, 2024", "S&amp;P MidCap 400", "Addition", "M", "MM"), ("September 23, 2024", "S&amp;P 500", "Addition", "Dell <b>Inc</b>", "dell"), ("Sep 23, 2024", "S&P&nbsp;500", "Deletion", "Etsy", "ETSY"))
+    pages = [fine, release(("September 23, 2024", "S&P 500", "Addition", "A", "A")), release(("soon", "S&P 500", "Addition", "A", "A"), ("May 1, 2024", "S&P 500", "Deletion", "B", "B b")), release(head), release(("May 1, 2024", "S&P 500", "x", "Addition", "A", "A"))]
+    docs = spark.createDataFrame([(f"k{n}", p) for n, p in enumerate(pages)], "key string, payload string")
+    got = sorted((r["key"], str(r["effective_date"]), r["action"] or "", r["company"] or "", r["ticker"] or "", r["problem"] or "") for r in archives.constituent_changes(docs).collect())
+    assert got == [
+        ("k0", "2024-09-23", "addition", "Dell Inc", "DELL", ""),
+        ("k0", "2024-09-23", "deletion", "Etsy", "ETSY", ""),
+        ("k1", "2024-09-23", "addition", "A", "A", "additions and deletions do not balance"),
+        ("k2", "2024-05-01", "deletion", "B", "B B", "ticker is not valid"),
+        ("k2", "None", "addition", "A", "A", "no single date"),
+        ("k3", "None", "", "", "", "no change of the index"),
+        ("k4", "2024-05-01", "addition", "A", "A", "index and action are not clear"),
+    ]
+
+
+def test_components(spark):
+    docs = spark.createDataFrame([("a", '\ufeffSymbol,Security,CIK\r\nMMM,"3M, Inc",66740\naos,Smith,91142\nX,,none\nBRK B,x,5\nMMM,again,1\n'), ("b", "Ticker,CIK\nA,1")], "key string, payload string")
+    got = sorted((r["key"], r["ticker"] or "", r["cik"] or "", r["problem"] or "") for r in archives.components(docs).collect())
+    assert got == [("a", "AOS", "0000091142", ""), ("a", "BRK B", "0000000005", "ticker is not valid"), ("a", "MMM", "0000000001", "ticker stands twice"), ("a", "MMM", "0000066740", "ticker stands twice"), ("a", "X", "", "CIK is not valid"), ("b", "", "", "lacks Symbol or CIK")]
+    assert {r["problem"] for r in archives.components(docs.where("key = 'a'"), least=10).collect()} >= {"list is too short or too long"}
+
+
+def test_kept_payloads(spark, tmp_path):
+    rows = []
+    for name, data in (("a", b"one"), ("b", b"two"), ("c", b"three"), ("d", b"four")):
+        packed = gzip.compress(data if name != "b" else b"TWO")
+        (tmp_path / name).write_bytes(packed if name != "c" else b"junk")
+        rows.append((f"s{name}", name, hashlib.sha256(data).hexdigest(), len(data), len(packed) if name != "d" else 1))
+    rows.append(("se", "e", "", 0, 0))
+    expected = spark.createDataFrame(rows, "snapshot_id string, file string, payload_sha256 string, original_bytes long, stored_bytes long")
+    got = sorted((r["snapshot_id"], r["payload"] or "", r["problem"] or "") for r in archives.kept_payloads(spark, str(tmp_path), expected).collect())
+    assert got == [("sa", "one", ""), ("sb", "", "payload has another digest"), ("sc", "", "file can't be unpacked"), ("sd", "", "file has another size"), ("se", "", "file is not there")]
