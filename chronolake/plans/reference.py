@@ -12,13 +12,13 @@ from .strategies import _BARS, bars
 
 # As-of reads.
 
-_GAPS = FACTS + ", gaps AS (SELECT * REPLACE (CASE WHEN CAST(value AS BIGINT) % 5 <> 0 THEN value END AS value) FROM facts)"
+_GAPS = FACTS + ", gaps AS (SELECT * REPLACE (CASE WHEN CAST(floor(value) AS BIGINT) % 5 <> 0 THEN value END AS value) FROM facts)"
 
 
 @query(f"WITH {_GAPS} SELECT issuer_id, metric, period_end, as_of_date, value FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id, metric, period_end ORDER BY as_of_date DESC, value DESC NULLS LAST) AS r FROM gaps WHERE as_of_date <= DATE '{DAY}' AND period_end <= as_of_date AND metric IN ('A', 'R')) WHERE r = 1 AND value IS NOT NULL")
 def pit_metrics(spark, d):
     """A restatement without a value withdraws its period."""
-    gaps = fact_rows(spark, d).withColumn("value", F.when(F.round("value").cast("long") % 5 != 0, F.col("value")))
+    gaps = fact_rows(spark, d).withColumn("value", F.when(F.floor("value") % 5 != 0, F.col("value")))
     return asof.known_history(gaps, ["issuer_id"], D, ["A", "R"], ties=["value"])
 
 

@@ -23,7 +23,7 @@ def price_action_mismatch(spark, d):
     return detectors.unexplained_moves(judged, F.lit("2024-01-28").cast("date"), n=10)
 
 
-_SHARES = FACTS + ", sh AS (SELECT DISTINCT issuer_id, period_end, as_of_date, CASE WHEN CAST(value AS BIGINT) % 97 = 0 THEN 0 ELSE value END AS value FROM facts WHERE period_end <= as_of_date AND as_of_date <= DATE '1997-06-30')"
+_SHARES = FACTS + ", sh AS (SELECT DISTINCT issuer_id, period_end, as_of_date, CASE WHEN CAST(floor(value) AS BIGINT) % 97 = 0 THEN 0 ELSE value END AS value FROM facts WHERE period_end <= as_of_date AND as_of_date <= DATE '1997-06-30')"
 _AT = "issuer_id || '@' || period_end || '#' || as_of_date"
 
 
@@ -40,7 +40,7 @@ _AT = "issuer_id || '@' || period_end || '#' || as_of_date"
     )
 )
 def share_count_jump(spark, d):
-    shares = fact_rows(spark, d).withColumn("value", F.when(F.round("value").cast("long") % 97 == 0, 0.0).otherwise(F.col("value")))
+    shares = fact_rows(spark, d).withColumn("value", F.when(F.floor("value") % 97 == 0, 0.0).otherwise(F.col("value")))
     return detectors.share_jumps(shares, F.lit("1997-06-30").cast("date"))
 
 
@@ -51,9 +51,9 @@ def conflicting_filings(spark, d):
     return detectors.conflicting_filings(filed, members, F.lit(D))
 
 
-@query(f"WITH {FACTS}, ru AS (SELECT issuer_id, as_of_date, period_end, CAST(value AS BIGINT) % 3 AS run_id FROM facts WHERE as_of_date <= DATE '1995-03-31' AND period_end <= as_of_date) " + _finding_sql("fundamentals_coverage", "issuer", "CAST(c_custkey AS VARCHAR)", "CASE WHEN c_custkey IN (SELECT issuer_id FROM ru) THEN 'unverified' ELSE 'missing' END", "1", "0", "customer WHERE c_custkey NOT IN (SELECT issuer_id FROM ru WHERE run_id = 1)"))
+@query(f"WITH {FACTS}, ru AS (SELECT issuer_id, as_of_date, period_end, CAST(floor(value) AS BIGINT) % 3 AS run_id FROM facts WHERE as_of_date <= DATE '1995-03-31' AND period_end <= as_of_date) " + _finding_sql("fundamentals_coverage", "issuer", "CAST(c_custkey AS VARCHAR)", "CASE WHEN c_custkey IN (SELECT issuer_id FROM ru) THEN 'unverified' ELSE 'missing' END", "1", "0", "customer WHERE c_custkey NOT IN (SELECT issuer_id FROM ru WHERE run_id = 1)"))
 def fundamentals_coverage(spark, d):
-    filed = fact_rows(spark, d).withColumn("run_id", F.round("value").cast("long") % 3)
+    filed = fact_rows(spark, d).withColumn("run_id", F.floor("value") % 3)
     accepted = spark.range(1, 2).select(F.col("id").alias("run_id"))
     members = read(spark, d, "customer").select(F.col("c_custkey").alias("issuer_id"), F.col("c_name").alias("ticker"))
     return detectors.fundamentals_coverage(members, filed, accepted, F.lit("1995-03-31").cast("date"))
