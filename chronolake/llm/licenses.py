@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, cut
+from .common import LOWER, UPPER, ascii_lower, cut, partitions_for
 
 #: Phrases whose places count as the base, by label; words stand consecutively. Fixed values.
 PHRASES = (
@@ -57,6 +57,9 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
 
+#: Pairs of a text and a template that one task looks at: their windows cost more than their bytes tell.
+PAIRS = 64
+
 #: Characters between words, once A-Z are lowered.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -192,16 +195,25 @@ def wrapped_matches(docs: DataFrame, shape: Templates, templates=TEMPLATES) -> D
     ``docs`` has doc_id, key, _low and have (the text's set of template words), a text once.
     """
     texts = docs.where(F.contains("_low", F.lit("\n")))
-    spans = [(k, span_of(templates[k][1]), words) for k, _, words in shape.sets]
-    wide = docs.sparkSession.createDataFrame(spans, "template int, _span int, _members array<string>")
-    likely = prefix_join(texts, shape, ("doc_id", "key")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "template", "label").join(F.broadcast(wide), "template")
+    rank = {w: k for k, w in enumerate(shape.order)}
+    rare = lambda words: sorted(words, key=rank.__getitem__)[: len(words) - need_of(len(words), shape.threshold) + 1]
+    spans = [(k, span_of(templates[k][1]), words, rare(words)) for k, _, words in shape.sets]
+    wide = docs.sparkSession.createDataFrame(spans, "template int, _span int, _members array<string>, _rare array<string>")
+    likely = cut(prefix_join(texts, shape, ("doc_id", "key")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "template", "label"))
+    likely_rows, likely = likely.count(), likely.join(F.broadcast(wide), "template")
     words = F.filter(F.split("_low", GAP), lambda w: w != "")
     hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("_members", x["w"]))
+    # A window that suffices holds one of the template's rarest words, so only what stands near one of these is looked at.
+    rarest = F.transform(F.filter("_all", lambda x: F.array_contains("_rare", x["w"])), lambda x: x["i"])
+    near = F.filter("_all", lambda h: F.exists("_at", lambda p: F.abs(p - h["i"]) < F.col("_span")))
     within = lambda h, k: F.filter(F.slice("_hits", k + 1, F.col("_span")), lambda x: x["i"] < h["i"] + F.col("_span"))
     held = F.transform("_hits", lambda h, k: F.size(F.array_distinct(F.transform(within(h, k), lambda x: x["w"]))))
     return (
         texts.join(likely, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_hits", hits)
+        .repartition(partitions_for(docs.sparkSession, likely_rows, PAIRS), "key", "template")
+        .withColumn("_all", hits)
+        .withColumn("_at", rarest)
+        .withColumn("_hits", near)
         .withColumn("containment", F.array_max(held) / F.size("_members"))
         .where(F.col("containment") >= shape.threshold - 1e-12)
         .select("doc_id", "key", (-1 - F.col("template")).alias("block"), "template", "label", "containment")
