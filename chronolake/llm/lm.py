@@ -6,7 +6,7 @@ on. The empty n-gram, whose count is the number of words, is the context of sing
 
 The count tables are partitioned by hash. Documents are dealt into blocks of bounded size; a block sends its distinct
 n-grams, as sorted 64-bit hashes with counts, to the partitions of the tables, packed: one row for each block and
-partition. Blocks travel compressed. A partition adds the counts up and joins them back to each block's n-grams, in the order they came in, so only
+partition that it has any for, so never more rows than n-grams. Blocks travel compressed. A partition adds the counts up and joins them back to each block's n-grams, in the order they came in, so only
 counts return. The block joins them to its words' n-grams and sums per document. A frequent n-gram comes once from each
 block however often it stands there, so no key is hot, and no count is dropped.
 """
@@ -98,10 +98,14 @@ def _from_planes(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _bounds(distinct: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal ranges of hashes begins among sorted ones, and their end."""
-    edges = np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64)
-    return np.append(np.searchsorted(distinct, edges), len(distinct))
+def _packs(distinct: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes for each of ``parts`` equal ranges of hashes that holds any: as many as there are
+    hashes at most, however many parts there are."""
+    part = ((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b > a:
+            yield int(part[a]), a, b
 
 
 def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least: int = 2) -> DataFrame:
@@ -122,10 +126,7 @@ def score_documents(docs: DataFrame, order: int = 3, backoff: float = 0.4, least
         block, out = rows.column("block")[0].as_py(), []
         for k, hashes in enumerate(orders(one, order)):
             distinct, count, _, _ = _counted(hashes, place, k)
-            bounds = _bounds(distinct, n_parts)
-            for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    out.append((part, block, k, int(b - a), _planes(np.diff(distinct[a:b], prepend=np.uint64(0))), _planes(count[a:b])))
+            out += [(part, block, k, b - a, _planes(np.diff(distinct[a:b], prepend=np.uint64(0))), _planes(count[a:b])) for part, a, b in _packs(distinct, n_parts)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "k", "n", "hashes", "counts"])
 
     def added(rows: pa.Table) -> pa.Table:
