@@ -29,6 +29,17 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
     return df.withColumn("_row", row).where(F.col("_row") <= n).drop("_row")
 
 
+#: Rows of a calendar, or of another relation that is small by its nature: some centuries of sessions.
+FEW = 200_000
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """``rows``, broadcast; fails at run time where there are more than ``most``, so what is broadcast can't grow with the data."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    checked = F.when(n > most, F.raise_error(F.lit(f"more than {most} rows to broadcast")).cast("boolean")).otherwise(F.lit(True))
+    return F.broadcast(rows.withColumn("_few", checked).where("_few").drop("_few"))
+
+
 def newest(*columns: str) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in columns]
 
@@ -160,7 +171,7 @@ def newest_decision(dates: DataFrame, memberships: DataFrame, least: int, most:
     """
     c = F.col
     on = member_on(c("known"), c("start"), c("end"), c("end_known"), c("date"), c("date"))
-    counted = memberships.join(F.broadcast(dates.select("date").distinct()), on).groupBy("date").agg(F.countDistinct(key).alias("_n"))
+    counted = memberships.join(few(dates.select("date").distinct()), on).groupBy("date").agg(F.countDistinct(key).alias("_n"))
     return counted.where(c("_n").between(least, most)).agg(F.max("date").alias("date"))
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import few
 from .facts import in_order, sharpe_and_t
 
 #: Rebalances below which no return gap is read as anything. Fixed value.
@@ -152,7 +153,7 @@ def execution_dates(decisions: DataFrame, sessions: DataFrame) -> DataFrame:
     c = F.col
     following = decisions.select("decision").distinct().withColumn("next_decision", F.lead("decision").over(Window.orderBy("decision"))).where("next_decision IS NOT NULL")
     days = sessions.select("date").distinct()
-    met = following.join(F.broadcast(days), (c("date") > c("decision")) & (c("date") <= c("next_decision")), "left")
+    met = following.join(few(days), (c("date") > c("decision")) & (c("date") <= c("next_decision")), "left")
     return met.groupBy("decision", "next_decision").agg(F.min("date").alias("entry"), F.max(F.when(c("date") == c("next_decision"), c("date"))).alias("exit"))
 
 

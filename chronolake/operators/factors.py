@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import few
 from .ranking import grade, mean_of, percentile
 
 #: Tax rate assumed on operating income, and the growth of shares that doesn't count as dilution. Fixed values.
@@ -197,7 +198,7 @@ def market_window(bars: DataFrame, sessions: DataFrame, key: str, decision: Colu
     calendar = sessions.where(c("date") <= decision).select("date").distinct().withColumn("_at", F.row_number().over(Window.orderBy(F.desc("date"))))
     newest = Window.partitionBy(key).orderBy(F.desc("date"))
     last = bars.where(c("date") <= decision).withColumn("_r", F.row_number().over(newest)).where(c("_r") <= n)
-    placed = last.join(F.broadcast(calendar), "date", "left")
+    placed = last.join(few(calendar), "date", "left")
     ratio = F.when(F.coalesce("close_split_adjusted", F.lit(False)), 1.0).otherwise(F.coalesce("split_ratio", F.lit(1.0)))
     before = F.lag("close").over(Window.partitionBy(key).orderBy("date"))
     oldest = c("_r") == F.count(F.lit(1)).over(Window.partitionBy(key))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
-from .asof import covers, exactly_one, member_on
+from .asof import covers, exactly_one, few, member_on
 from .facts import upsert
 
 #: Longest span of a reported period in days, widest repair of a bar in basis points, longest run of missing sessions,
@@ -117,7 +117,7 @@ def validated_histories(prices: DataFrame, windows: DataFrame, sessions: DataFra
     """
     c = F.col
     index = sessions.select("date").distinct().withColumn("_at", F.row_number().over(Window.orderBy("date")))
-    expected = windows.select(key, "start", "end").join(F.broadcast(index), (c("date") >= c("start")) & (c("date") < c("end"))).select(key, "date", "_at")
+    expected = windows.select(key, "start", "end").join(few(index), (c("date") >= c("start")) & (c("date") < c("end"))).select(key, "date", "_at")
     actual = prices.groupBy(key, "date").agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.coalesce(c("close") > 0, F.lit(False))).alias("_bad"))
     met = expected.join(actual, [key, "date"], "full_outer")
     missing = met.where("_n IS NULL").withColumn("_island", c("_at") - F.row_number().over(Window.partitionBy(key).orderBy("_at")))

@@ -203,14 +203,14 @@ def universe_by_decision(spark, d):
     """A handful of dates is broadcast to the memberships; the range condition runs beside the scan."""
     c = F.col
     on = asof.member_on(c("known"), c("start"), c("end"), c("end_known"), c("decision"), F.date_add("decision", 1))
-    return members(spark, d).join(F.broadcast(decisions(spark, d)), on).groupBy("decision").agg(F.countDistinct("security_id").alias("n_members"))
+    return members(spark, d).join(asof.few(decisions(spark, d)), on).groupBy("decision").agg(F.countDistinct("security_id").alias("n_members"))
 
 
 @query(f"WITH {_QUARTERS}, s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) SELECT decision, min(date) AS entry FROM q LEFT JOIN s ON date > decision GROUP BY decision")
 def execution_dates(spark, d):
     """The first session after each decision: sessions are few, one row for each date."""
     sessions = read(spark, d, "orders").select(day("o_orderdate").alias("date")).distinct()
-    return decisions(spark, d).join(F.broadcast(sessions), F.col("date") > F.col("decision"), "left").groupBy("decision").agg(F.min("date").alias("entry"))
+    return decisions(spark, d).join(asof.few(sessions), F.col("date") > F.col("decision"), "left").groupBy("decision").agg(F.min("date").alias("entry"))
 
 
 @query(f"WITH {PRICES}, f AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F') SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE p.id IS NOT NULL) AS with_prices, count(*) FILTER (WHERE f.id IS NOT NULL) AS with_facts FROM customer LEFT JOIN (SELECT DISTINCT security_id AS id FROM prices WHERE date <= DATE '{DAY}') p ON p.id = c_custkey LEFT JOIN f ON f.id = c_custkey GROUP BY c_nationkey")

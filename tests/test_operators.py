@@ -168,3 +168,9 @@ def test_a_period_without_evidence_changes_nothing(bars, conversions, problem):
 def test_null_close_keeps_the_mark_and_says_so():
     bars = {DAY[1]: {"A": bar(10)}, DAY[2]: {"A": bar(None)}, DAY[3]: {"A": bar(float("nan"))}, DAY[4]: {"A": bar(11)}}
     assert folded([(DAY[0], DAY[1], DAY[4], ["A"])], bars) == [(DAY[1], 1000.0, 1, [], None), (DAY[2], 1000.0, 1, ["A"], None), (DAY[3], 1000.0, 1, ["A"], None), (DAY[4], 1100.0, 1, [], None)]
+
+
+def test_only_few_rows_are_broadcast(spark):
+    assert spark.range(100).join(asof.few(spark.range(5), 5), "id").count() == 5
+    with pytest.raises(Exception, match="more than 4 rows"):
+        spark.range(100).join(asof.few(spark.range(5), 4), "id").count()
