@@ -51,7 +51,12 @@ def conflicting_filings(spark, d):
     return detectors.conflicting_filings(filed, members, F.lit(D))
 
 
-@query(f"WITH {FACTS}, ru AS (SELECT issuer_id, as_of_date, period_end, CAST(floor(value) AS BIGINT) % 3 AS run_id FROM facts WHERE as_of_date <= DATE '1995-03-31' AND period_end <= as_of_date) " + _finding_sql("fundamentals_coverage", "issuer", "CAST(c_custkey AS VARCHAR)", "CASE WHEN c_custkey IN (SELECT issuer_id FROM ru) THEN 'unverified' ELSE 'missing' END", "1", "0", "customer WHERE c_custkey NOT IN (SELECT issuer_id FROM ru WHERE run_id = 1)"))
+@query(
+    f"WITH {FACTS}, ru AS (SELECT issuer_id, as_of_date, period_end, CAST(floor(value) AS BIGINT) % 3 AS run_id FROM facts WHERE as_of_date <= DATE '1995-03-31' AND period_end <= as_of_date), k AS (SELECT count(*) AS n, count(*) FILTER (c_custkey IN (SELECT issuer_id FROM ru WHERE run_id = 1)) AS known FROM customer) "
+    + _finding_sql("fundamentals_coverage", "issuer", "CAST(c_custkey AS VARCHAR)", "CASE WHEN c_custkey IN (SELECT issuer_id FROM ru) THEN 'unverified' ELSE 'missing' END", "1", "0", "customer, k WHERE known > 0 AND c_custkey NOT IN (SELECT issuer_id FROM ru WHERE run_id = 1)")
+    + " UNION ALL "
+    + _finding_sql("fundamentals_coverage", "source", "'all'", "'high'", "n", "0", "k WHERE known = 0")
+)
 def fundamentals_coverage(spark, d):
     filed = fact_rows(spark, d).withColumn("run_id", F.floor("value") % 3)
     accepted = spark.range(1, 2).select(F.col("id").alias("run_id"))
