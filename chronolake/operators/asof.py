@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import cut
+
 
 def covers(start: Column, end: Column, day: Column) -> Column:
     """``day`` lies in [start, end); a null end is open."""
@@ -89,25 +91,28 @@ def require_unambiguous(routes: DataFrame) -> DataFrame:
     return routes.withColumn("n_targets", F.when(F.col("n_targets") > 1, F.raise_error(F.lit("ambiguous identity")).cast("long")).otherwise(F.col("n_targets")))
 
 
-#: Steps of a chain of conversions beyond which it can only be a circle.
-LONGEST_CHAIN = 64
-
-
-def frontier(edges: DataFrame, longest: int = LONGEST_CHAIN) -> DataFrame:
+def frontier(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """origin, target, ratio, depth: everything that ``edges`` (source, target, ratio) lead to, ratios multiplied on the way.
 
-    Each step joins the frontier with the edges, until it is empty. A way that comes back to where it has been ends there.
+    Pointer doubling: after round k all ways of up to 2 ** k steps are known, and those of exactly so many are joined to all
+    of them, so a chain of a thousand takes ten rounds. Each round's new ways are written once. Of several ways to a target
+    the shortest counts, of these the one of the smallest ratio (ratios are positive); a circle ends where it comes back to its
+    origin. The rounds go on until nothing is new: nothing is left out. With ``longest``, a longer way is an error.
     """
-    ways = edges.select(F.col("source").alias("origin"), "target", "ratio", F.lit(1).alias("depth"), F.array("source", "target").alias("_seen")).where("source <> target")
-    step = edges.select(F.col("source").alias("_at"), F.col("target").alias("_next"), F.col("ratio").alias("_by"))
-    whole, now = ways, ways
-    for _ in range(longest):
-        if now.isEmpty():
-            break
-        now = now.join(step, F.col("target") == F.col("_at")).where(~F.array_contains("_seen", F.col("_next")))
-        now = now.select("origin", F.col("_next").alias("target"), (F.col("ratio") * F.col("_by")).alias("ratio"), (F.col("depth") + 1).alias("depth"), F.concat("_seen", F.array("_next")).alias("_seen"))
-        whole = whole.unionByName(now)
-    return whole.drop("_seen")
+    c = F.col
+    shortest = lambda ways: ways.groupBy("origin", "target").agg(F.min(F.struct("depth", "ratio")).alias("_w")).select("origin", "target", "_w.ratio", "_w.depth")
+    steps = edges.where("source <> target").select(c("source").alias("origin"), "target", "ratio", F.lit(1).alias("depth"))
+    new = cut(shortest(steps))
+    whole, reach = new, 1
+    while not (full := new.where(c("depth") == reach)).isEmpty():
+        after = whole.select(c("origin").alias("_at"), c("target").alias("_to"), c("ratio").alias("_by"), c("depth").alias("_more"))
+        longer = full.join(after, c("target") == c("_at")).where("origin <> _to")
+        longer = longer.select("origin", c("_to").alias("target"), (c("ratio") * c("_by")).alias("ratio"), (c("depth") + c("_more")).alias("depth"))
+        new = cut(shortest(longer).join(whole.select("origin", "target"), ["origin", "target"], "left_anti"))
+        whole, reach = whole.unionByName(new), 2 * reach
+        if longest is not None and reach > longest and not new.where(c("depth") > longest).isEmpty():
+            raise ValueError(f"a chain has more than {longest} steps")
+    return whole
 
 
 def known_history(facts: DataFrame, keys: Sequence[str], as_of: Column | date, metrics: Sequence[str] | None = None, value: str = "value", known: str = "as_of_date", valid: str = "period_end", ties: Sequence[str] = ()) -> DataFrame:

@@ -7,14 +7,76 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import cut
+
 #: Grades by score, best first. Fixed values.
 GRADES = ((85.0, "A+"), (70.0, "A"), (55.0, "B"), (40.0, "C"))
 
 
 def percentile(value: Column, *section: str) -> Column:
-    """Share of the section's values, one's own included in the count, that lie strictly below; null for null."""
-    held = Window.partitionBy(*section, value.isNotNull())
-    return F.when(value.isNotNull(), (F.rank().over(held.orderBy(value)) - 1) / F.count(value).over(held))
+    """Share of the section's values, one's own included in the count, that lie strictly below; null for null.
+
+    Nulls are sorted last, so all percentiles of a section are made from one shuffle by the section alone. A section is one
+    task's work; ``spread_percentiles`` deals it out.
+    """
+    held = Window.partitionBy(*section)
+    return F.when(value.isNotNull(), (F.rank().over(held.orderBy(value.asc_nulls_last())) - 1) / F.count(value).over(held))
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """``left``'s columns equal ``right``'s of the same names after an underscore, nulls too."""
+    return [left[c].eqNullSafe(right[f"_{c}"]) for c in columns]
+
+
+def _dealt(df: DataFrame, section: Sequence[str], order: Sequence[Column | str], parts: int | None) -> DataFrame:
+    """``df`` with _range: ranges of about equal size of the rows in the order of section and ``order``."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *section, *order).withColumn("_range", F.spark_partition_id())
+
+
+def numbered(df: DataFrame, section: Sequence[str], order: Sequence[Column | str], position: str = "position", size: str = "size", parts: int | None = None) -> DataFrame:
+    """``df`` with each row's place (from 0, long) in its section under ``order``, and the section's number of rows.
+
+    Two levels, so a section of any size is spread: rows are dealt into ranges of the order and numbered within these; what
+    comes before a range is a running sum over the sections' counts by range. ``order`` must be a total order, or the places
+    of equals are arbitrary (but kept: the ranges are written once).
+    """
+    c = F.col
+    own = Window.partitionBy(*section, "_range").orderBy(*order)
+    local = cut(_dealt(df, section, order, parts).withColumn("_local", F.row_number().over(own)))
+    counts = local.groupBy(*section, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*section)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[c(s).alias(f"_{s}") for s in section], c("_range").alias("__range"), before.alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    met = local.join(starts, _same(local, starts, [*section, "_range"]))
+    return met.select(*[local[x] for x in df.columns], (c("_before") + c("_local") - 1).alias(position), c("_size").alias(size))
+
+
+def spread_percentiles(df: DataFrame, key: str, section: Sequence[str], values: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``<value>_pct`` of each of ``values``: ``percentile`` for sections of any size, exact with ties.
+
+    ``key`` is unique. The values of all metrics are dealt together into ranges of (section, metric, value); within a range
+    they are ranked, and what lies below the range is a running sum over the ranges. A value that fills several ranges has
+    in all of them the rank of its first row: a range's lowest value takes it from the range where that value begins.
+    """
+    c = F.col
+    long = df.select(key, *section, F.explode(F.array(*[F.struct(F.lit(v).alias("_metric"), c(v).cast("double").alias("_value")) for v in values])).alias("_m"))
+    long = long.select(key, *section, "_m.*").where("_value IS NOT NULL")
+    by = [*section, "_metric"]
+    local = cut(_dealt(long, by, ["_value", key], parts).withColumn("_rank", F.rank().over(Window.partitionBy(*by, "_range").orderBy("_value"))))
+    ranges = local.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"), F.max("_rank").alias("_top"))
+    w = Window.partitionBy(*by).orderBy("_range")
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.lag("_hi").over(w) < c("_lo"), F.lit(True))
+    ranges = ranges.withColumns({"_before": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_begins": begins, "_total": F.sum("_n").over(Window.partitionBy(*by))})
+    # Where a range's highest value starts, unless the whole range is one value that started earlier.
+    ranges = ranges.withColumn("_start", F.when(c("_begins") | (c("_lo") < c("_hi")), c("_before") + c("_top") - 1))
+    below = F.when(c("_begins"), c("_before")).otherwise(F.last("_start", ignorenulls=True).over(upto))
+    starts = ranges.select(*[c(s).alias(f"_{s}") for s in (*by, "_range")], c("_lo"), c("_before"), below.alias("_below"), c("_total"))
+    met = local.join(starts, _same(local, starts, [*by, "_range"]))
+    pct = F.when(c("_value") == c("_lo"), c("_below")).otherwise(c("_before") + c("_rank") - 1) / c("_total")
+    wide = met.select(local[key], local["_metric"], pct.alias("_pct")).groupBy(key).agg(*[F.max(F.when(c("_metric") == v, c("_pct"))).alias(f"{v}_pct") for v in values])
+    return df.join(wide, key, "left")
 
 
 def mean_of(columns: Sequence[str], least: int = 2) -> Column:

@@ -354,6 +354,19 @@ def percentile_strict(spark, d):
     return read(spark, d, "customer").select("c_custkey", "c_nationkey", ranking.percentile(F.col("c_acctbal"), "c_nationkey").alias("pct"))
 
 
+@query("SELECT o_orderkey, (rank() OVER (ORDER BY o_totalprice) - 1)::DOUBLE / count(*) OVER () AS o_totalprice_pct, (rank() OVER (ORDER BY o_custkey) - 1)::DOUBLE / count(*) OVER () AS o_custkey_pct FROM orders")
+def percentile_spread(spark, d):
+    """One section that holds every row, dealt into ranges; the second value has many ties."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    return ranking.spread_percentiles(orders, "o_orderkey", [], ["o_totalprice", "o_custkey"]).select("o_orderkey", "o_totalprice_pct", "o_custkey_pct")
+
+
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS position, count(*) OVER (PARTITION BY o_orderstatus) AS size FROM orders")
+def ordinal_spread(spark, d):
+    """Three sections, two of them with nearly half of all rows each, numbered in ranges."""
+    return ranking.numbered(read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderstatus"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
 _BLEND = f"""p AS (SELECT p_partkey, p_brand, 100 * {_PCT.format(s='p_brand', v='p_retailprice')} AS q, 100 * {_PCT.format(s='p_brand', v='-p_size')} AS v FROM part),
 b AS (SELECT p_partkey, p_brand, q, v, (q + v) / 2 AS score FROM p)"""
 
@@ -547,3 +560,12 @@ def conversion_frontier(spark, d):
     target = F.when(F.col("n_nationkey") == 22, 2).otherwise(F.col("n_nationkey") + 5)
     e = read(spark, d, "nation").where("n_nationkey < 20 OR n_nationkey = 22").select(F.col("n_nationkey").cast("long").alias("source"), target.cast("long").alias("target"), (1 + F.col("n_regionkey") / 10).cast("double").alias("ratio"))
     return asof.frontier(e).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""WITH steps AS (SELECT o_orderkey AS source, o_custkey, lead(o_orderkey) OVER w AS target, 1 + o_orderkey % 3 / 10.0E0 AS ratio, row_number() OVER w AS place FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT a.source AS origin, b.target, round(product(m.ratio), 6) AS ratio, b.place - a.place + 1 AS depth FROM steps a JOIN steps b ON a.o_custkey = b.o_custkey AND a.place <= b.place AND b.target IS NOT NULL JOIN steps m ON m.o_custkey = a.o_custkey AND m.place BETWEEN a.place AND b.place GROUP BY a.source, b.target, a.place, b.place""")
+def conversion_chains(spark, d):
+    """Every order converts into its customer's next one: chains as long as a customer has orders, all of their ways."""
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = read(spark, d, "orders").select(F.col("o_orderkey").alias("source"), following.alias("target"), (1 + F.col("o_orderkey") % 3 / F.lit(10.0)).alias("ratio")).where("target IS NOT NULL")
+    return asof.frontier(edges).withColumn("ratio", F.round("ratio", 6))

@@ -135,8 +135,10 @@ def _blended(df: DataFrame, name: str) -> DataFrame:
 
 
 def _all_scores(spark, d):
-    value = factors.value_score(factors.value_multiples(statements(spark, d)), "c_nationkey").select("c_custkey", "value_score")
-    return factors.market_scores(_quality(spark, d).join(value, "c_custkey"), "c_nationkey")
+    """Value, quality and market scores of one frame, each narrowed to what the next ones need."""
+    components = factors.piotroski(factors.quality_components(factors.value_multiples(statements(spark, d))))
+    narrow = components.select("c_custkey", "c_nationkey", "regime", "momentum", "volatility", *factors.MULTIPLES, *_COMPONENTS, "piotroski_f", "piotroski_evaluated")
+    return factors.market_scores(factors.quality_score(factors.value_score(narrow, "c_nationkey"), "c_nationkey"), "c_nationkey")
 
 
 @query(_ranked_sql("qv", "w * quality_score + (1 - w) * value_score", ("quality_score", "value_score")))

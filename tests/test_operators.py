@@ -1,5 +1,6 @@
 """Operators on fixtures whose results are known."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -174,3 +175,34 @@ def test_only_few_rows_are_broadcast(spark):
     assert spark.range(100).join(asof.few(spark.range(5), 5), "id").count() == 5
     with pytest.raises(Exception, match="more than 4 rows"):
         spark.range(100).join(asof.few(spark.range(5), 4), "id").count()
+
+
+def test_chains_are_whole_and_circles_end(spark):
+    edges = [(k, k + 1, 2.0 if k % 100 == 0 else 1.0) for k in range(1000)] + [(5000, 5001, 2.0), (5001, 5002, 3.0), (5002, 5000, 5.0), (7000, 7000, 2.0)]
+    found = {(r["origin"], r["target"]): (r["ratio"], r["depth"]) for r in asof.frontier(spark.createDataFrame(edges, "source long, target long, ratio double")).collect()}
+    assert len(found) == 1000 * 1001 // 2 + 6
+    assert found[0, 1000] == (2.0**10, 1000)
+    assert found[5000, 5002] == (6.0, 2) and (5000, 5000) not in found and 7000 not in {a for a, _ in found}
+
+
+def test_of_several_ways_the_shortest_counts(spark):
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "d", 2.0), ("a", "c", 3.0), ("c", "d", 1.0), ("c", "e", 1.0), ("e", "d", 0.1)], "source string, target string, ratio double")
+    assert {(r["origin"], r["target"]): (r["ratio"], r["depth"]) for r in asof.frontier(edges).collect()}["a", "d"] == (3.0, 2)
+    assert asof.frontier(edges.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="more than 1 steps"):
+        asof.frontier(edges, longest=1)
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_spread_ranks_equal_those_of_one_task(spark, parts):
+    rng = random.Random(parts)
+    rows = [(k, rng.choice(["a", None, "b"]), rng.choice([1.0, 1.0, 1.0, None, rng.random()]), rng.randrange(4)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, s string, v double, u int")
+    plain = df.withColumns({f"{x}_want": ranking.percentile(F.col(x), "s") for x in "vu"}).select("id", "v_want", "u_want")
+    wrong = ranking.spread_percentiles(df, "id", ["s"], ["v", "u"], parts).join(plain, "id").where("NOT (v_pct <=> v_want) OR NOT (u_pct <=> u_want)")
+    assert wrong.count() == 0
+    want = {}
+    for k, s, v, u in sorted(rows, key=lambda r: (r[3], r[0])):
+        want.setdefault(s, []).append(k)
+    got = {(r["id"], r["position"], r["size"]) for r in ranking.numbered(df, ["s"], ["u", "id"], parts=parts).collect()}
+    assert got == {(k, at, len(ids)) for ids in want.values() for at, k in enumerate(ids)}
