@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stages import cut, shared_folder  # noqa: F401
+
 #: The columns of ``documents``; pipeline stages return these.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,26 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder that the session names in ``spark.checkpoint.dir``.
-
-    Where it names none, a local master (tests) gets a temporary one; a cluster, whose machines share no such folder, an error.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronolake-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, and read from there: its lineage ends, and lost executors cost nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(col: Column) -> Column:
     """``col`` with A-Z lowered. Other capitals may be lowered too, but nothing else becomes an ASCII character.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, lines, lm, merkle, mixing, quality, simhash, toxicity
+from . import ann, bpe, licenses, lines, lm, manifest, merkle, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -58,10 +58,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_neighbours": ann.oracle(), "op3_license_scan": licenses.oracle(), "op10_line_dedup": lines.oracle()}
+    return {"op2_one_bit_neighbours": ann.oracle(), "op3_license_scan": licenses.oracle(), "op10_line_dedup": lines.oracle(), "op11_merkle_manifest": manifest.oracle()}
