@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, licenses, lines, lm, manifest, merkle, mixing, quality, simhash, toxicity, whitening
+from . import ann, bpe, language, licenses, lines, lm, manifest, merkle, mixing, quality, simhash, toxicity, whitening
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score", "n_positions", "n_switches")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
