@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import merge, spread_merge
+from .ranking import running
 from .stages import cut
 
 
@@ -169,15 +171,29 @@ def newest_reviewed(bars: DataFrame, day: Column | date) -> DataFrame:
     return bars.where((F.col("date") <= day) & fine).agg(F.max("date").alias("date"))
 
 
-def newest_decision(dates: DataFrame, memberships: DataFrame, least: int, most: int, key: str = "ticker") -> DataFrame:
-    """date: the newest of ``dates`` (a calendar, broadcast) on which the universe has ``least`` to ``most`` members.
+def members_by_date(dates: DataFrame, memberships: DataFrame, key: str = "ticker", ahead: int = 0) -> DataFrame:
+    """date, n_members: how many keys are members on each of ``dates``, known by the date and effective ``ahead`` days later.
 
-    ``memberships``: ``key``, known, start, end, end_known.
+    ``memberships``: ``key``, known, start, end, end_known. A sweep in place of a join of members and dates: a membership
+    counts from the day on which it is known and near enough to the day on which its end is; what a key has of these is
+    merged, and changes are summed up by day before anything is compared with the dates. Rows grow with memberships and days.
+    Dates without members are left out.
     """
     c = F.col
-    on = member_on(c("known"), c("start"), c("end"), c("end_known"), c("date"), c("date"))
-    counted = memberships.join(few(dates.select("date").distinct()), on).groupBy("date").agg(F.countDistinct(key).alias("_n"))
-    return counted.where(c("_n").between(least, most)).agg(F.max("date").alias("date"))
+    leaves = F.when(c("end").isNull(), None).otherwise(F.greatest(F.date_sub("end", ahead), c("end_known")))
+    counted = memberships.where("known IS NOT NULL AND start IS NOT NULL").select(key, F.greatest("known", F.date_sub("start", ahead)).alias("start"), leaves.alias("end"))
+    spans = merge(counted.where("`end` IS NULL OR start < `end`"), [key])
+    changes = spans.select(F.explode(F.array(F.struct(c("start").alias("date"), F.lit(1).alias("n")), F.struct(c("end").alias("date"), F.lit(-1).alias("n")))).alias("_c")).select("_c.*")
+    days = changes.groupBy("date").agg(F.sum("n").alias("n"), F.lit(0).alias("_asked"))
+    days = days.unionByName(dates.select("date").distinct().select("date", F.lit(0).cast("long").alias("n"), F.lit(1).alias("_asked")))
+    # One row for each day of a change and each date: a calendar.
+    upto = Window.partitionBy(F.lit(1)).orderBy("date", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    return days.withColumn("n_members", F.sum("n").over(upto)).where("_asked = 1 AND n_members > 0").select("date", "n_members")
+
+
+def newest_decision(dates: DataFrame, memberships: DataFrame, least: int, most: int, key: str = "ticker") -> DataFrame:
+    """date: the newest of ``dates`` on which the universe has ``least`` to ``most`` members; see ``members_by_date``."""
+    return members_by_date(dates, memberships, key).where(F.col("n_members").between(least, most)).agg(F.max("date").alias("date"))
 
 
 def exactly_one(rows: DataFrame, keys: Sequence[str], subject: str) -> DataFrame:
@@ -218,6 +234,7 @@ def active_listings(listings: DataFrame, keys: Sequence[str], as_of: Column | da
 def relabelled(prices: DataFrame, mappings: DataFrame, assignments: DataFrame) -> DataFrame:
     """``prices`` (provider, provider_symbol, date, ...) with security_id, ticker and problem: the market's label of the date.
 
+    No range join with the assignments: days of prices and of changes are one sequence, in which a running sum carries the label.
     Rows outside the verified windows of their mapping (``mappings``: provider, provider_symbol, security_id,
     mapping_status, start, end) go; of the others each must have exactly one ticker that day (``assignments``: security_id,
     ticker, start, end), or says so. The provider's own label is never trusted.
@@ -225,9 +242,15 @@ def relabelled(prices: DataFrame, mappings: DataFrame, assignments: DataFrame) -
     c = F.col
     verified = mappings.where("mapping_status = 'verified'").select("provider", "provider_symbol", "security_id", c("start").alias("_a"), c("end").alias("_b"))
     mapped = prices.join(verified, ["provider", "provider_symbol"]).where(covers(c("_a"), c("_b"), c("date"))).drop("_a", "_b")
-    dates = mapped.select("security_id", "date").distinct()
-    spans = assignments.select(c("security_id").alias("_s"), F.upper("ticker").alias("_t"), "start", "end")
-    met = dates.join(spans, (c("security_id") == c("_s")) & covers(c("start"), c("end"), c("date")), "left")
-    labels = met.groupBy("security_id", "date").agg(F.countDistinct("_t").alias("_n"), F.min("_t").alias("_one"))
-    joined = mapped.join(labels, ["security_id", "date"])
-    return joined.withColumns({"ticker": F.when(c("_n") == 1, c("_one")), "problem": F.when(c("_n") != 1, "not exactly one ticker on the date")}).drop("_n", "_one")
+    # A sweep over each security's days: how many tickers are active, and the sum of their numbers, which names a lone one.
+    spans = spread_merge(assignments.select("security_id", F.upper("ticker").alias("_t"), "start", "end").where(c("_t").isNotNull()), ["security_id", "_t"])
+    number = F.xxhash64("_t").cast("decimal(38,0)")
+    step = lambda day, n: F.struct(c(day).alias("date"), F.lit(n).alias("n"), (n * number).alias("of"), F.lit(0).alias("asked"))
+    changes = spans.select("security_id", F.explode(F.array(step("start", 1), step("end", -1))).alias("_s")).select("security_id", "_s.*")
+    asked = mapped.select("security_id", "date", F.lit(0).alias("n"), F.lit(0).cast("decimal(38,0)").alias("of"), F.lit(1).alias("asked"))
+    days = changes.unionByName(asked).groupBy("security_id", "date").agg(F.sum("n").alias("n"), F.sum("of").cast("decimal(38,0)").alias("of"), F.max("asked").alias("asked"))
+    swept = running(days, ["security_id"], ["date"], {"_n": "n", "_of": "of"}).where("asked = 1")
+    names = spans.select(c("security_id").alias("_s"), number.alias("_number"), "_t").distinct()
+    found = swept.join(names, (c("_n") == 1) & (c("security_id") == c("_s")) & (c("_of") == c("_number")), "left")
+    joined = mapped.join(found.select("security_id", "date", "_n", c("_t").alias("_one")), ["security_id", "date"])
+    return joined.withColumns({"ticker": c("_one"), "problem": F.when(c("_n") != 1, "not exactly one ticker on the date")}).drop("_n", "_one")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +52,22 @@ def numbered(df: DataFrame, section: Sequence[str], order: Sequence[Column | str
     return met.select(*[local[x] for x in df.columns], (c("_before") + c("_local") - 1).alias(position), c("_size").alias(size))
 
 
+def running(df: DataFrame, section: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column | str], parts: int | None = None) -> DataFrame:
+    """``df`` with the running sums of each section in the order of ``order`` (distinct within a section), the row itself included.
+
+    Two levels, as in ``numbered``: sums within ranges of the order, and a running sum over the ranges' sums.
+    """
+    c = F.col
+    own = Window.partitionBy(*section, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    given = df.withColumns({f"_in_{n}": c(x) if isinstance(x, str) else x for n, x in sums.items()})
+    local = cut(_dealt(given, section, order, parts).withColumns({f"_own_{n}": F.sum(f"_in_{n}").over(own) for n in sums}))
+    totals = local.groupBy(*section, "_range").agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums])
+    upto = Window.partitionBy(*section).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[c(s).alias(f"_{s}") for s in section], c("_range").alias("__range"), *[F.coalesce(F.sum(f"_sum_{n}").over(upto), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    met = local.join(before, _same(local, before, [*section, "_range"]))
+    return met.select(*[local[x] for x in df.columns], *[(c(f"_before_{n}") + c(f"_own_{n}")).alias(n) for n in sums])
+
+
 def spread_percentiles(df: DataFrame, key: str, section: Sequence[str], values: Sequence[str], parts: int | None = None) -> DataFrame:
     """``df`` with ``<value>_pct`` of each of ``values``: ``percentile`` for sections of any size, exact with ties.
 

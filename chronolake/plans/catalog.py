@@ -200,10 +200,9 @@ def decisions(spark, d):
 
 @query(f"""WITH {MEMBERS}, {_QUARTERS} SELECT decision, count(DISTINCT security_id) AS n_members FROM q JOIN members ON {_MEMBER.format(k="decision", e="decision + 1")} GROUP BY decision""")
 def universe_by_decision(spark, d):
-    """A handful of dates is broadcast to the memberships; the range condition runs beside the scan."""
-    c = F.col
-    on = asof.member_on(c("known"), c("start"), c("end"), c("end_known"), c("decision"), F.date_add("decision", 1))
-    return members(spark, d).join(asof.few(decisions(spark, d)), on).groupBy("decision").agg(F.countDistinct("security_id").alias("n_members"))
+    """Members are counted by a sweep over days, the dates looked up in it."""
+    dates = decisions(spark, d).withColumnRenamed("decision", "date")
+    return asof.members_by_date(dates, members(spark, d), "security_id", ahead=1).withColumnRenamed("date", "decision")
 
 
 @query(f"WITH {_QUARTERS}, s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) SELECT decision, min(date) AS entry FROM q LEFT JOIN s ON date > decision GROUP BY decision")
@@ -302,9 +301,18 @@ def overlap_lag(spark, d):
 SELECT a.security_id, a.o_orderkey AS first_key, b.o_orderkey AS second_key FROM z a JOIN z b ON a.security_id = b.security_id AND b.o_orderkey > a.o_orderkey AND a.start < b."end" AND b.start < a."end" """)
 def overlap_self_join(spark, d):
     z = read(spark, d, "orders").select(F.col("o_custkey").alias("security_id"), "o_orderkey", day("o_orderdate").alias("start"), F.date_add(day("o_orderdate"), 15).alias("end"))
-    a, b = z.alias("a"), z.alias("b")
-    on = (F.col("a.security_id") == F.col("b.security_id")) & (F.col("b.o_orderkey") > F.col("a.o_orderkey")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
-    return a.join(b, on).select("a.security_id", F.col("a.o_orderkey").alias("first_key"), F.col("b.o_orderkey").alias("second_key"))
+    return intervals.meeting(z, z, ["security_id"], days=60).where("b.o_orderkey > a.o_orderkey").select("a.security_id", F.col("a.o_orderkey").alias("first_key"), F.col("b.o_orderkey").alias("second_key"))
+
+
+@query("""WITH z AS (SELECT o_orderstatus AS k, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INT) * 400 AS start FROM orders WHERE o_orderkey % 3 > 0), s AS (SELECT k, start, start + 1 AS "end" FROM z),
+i AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS fresh FROM s), j AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM i)
+SELECT k, min(start) AS start, max("end") AS "end" FROM j GROUP BY k, island""")
+def interval_merge_spread(spark, d):
+    """Three keys hold all spans."""
+    k = F.col("o_orderkey")
+    start = F.date_add(day("o_orderdate"), (k % 7).cast("int") * 400)
+    z = read(spark, d, "orders").where(k % 3 > 0).select(F.col("o_orderstatus").alias("k"), start.alias("start"), F.date_add(start, 1).alias("end"))
+    return intervals.spread_merge(z, ["k"])
 
 
 @query("WITH x AS (SELECT DISTINCT user_id, datediff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS p FROM events), y AS (SELECT user_id, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS island FROM x), z AS (SELECT user_id, island, count(*) AS n FROM y GROUP BY ALL) SELECT user_id, max(n) AS longest FROM z GROUP BY user_id")

@@ -85,8 +85,7 @@ def newest_reviewed_close(spark, d):
 def newest_decision_date(spark, d):
     sessions = read(spark, d, "orders").select(day("o_orderdate").alias("date")).distinct()
     m = members(spark, d)
-    on = asof.member_on(F.col("known"), F.col("start"), F.col("end"), F.col("end_known"), F.col("date"), F.col("date"))
-    top = m.join(asof.few(sessions), on).groupBy("date").agg(F.countDistinct("security_id").alias("n")).agg(F.max("n")).first()[0] or 0
+    top = asof.members_by_date(sessions, m, "security_id").agg(F.max("n_members")).first()[0] or 0
     return asof.newest_decision(sessions, m, int(-(-top * 5 // 10)), int(top * 8 // 10), "security_id")
 
 

@@ -7,16 +7,17 @@ Spark (``binaryFile``), so any store that Spark reads will do.
 from __future__ import annotations
 
 import gzip
-import io
-import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
+from types import MappingProxyType
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import zipped
+
 #: Names of the members that hold a company's facts. Fixed value.
 FACTS_MEMBER = r"(^|/)CIK\d{10}\.json$"
 #: How an index's name stands in a table, without spaces and case; months as a release writes them. Fixed values.
@@ -25,39 +26,29 @@ RELEASE_DATE = r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2
 TICKER = r"^[A-Z0-9.]+$"
 
 
-def members(spark: SparkSession, path: str, pattern: str = FACTS_MEMBER) -> DataFrame:
+def members(spark: SparkSession, path: str, pattern: str = FACTS_MEMBER, range_bytes: int = zipped.RANGE_BYTES) -> DataFrame:
     """archive, key (the member's name without folders), payload (text), problem: the members of ZIP files whose name fits.
 
-    An archive is opened by one task, which reads its members one after the other; archives are spread. A member that isn't
-    UTF-8 or that stands twice, and a file that is no archive, have a problem.
+    ``path`` is a file, a folder, or a pattern of file names. Ranges of ``range_bytes`` of an archive are tasks of their own,
+    and a task holds one member at a time. A member that isn't UTF-8 or damaged, that is longer than a gigabyte, or that stands
+    twice, and a file that is no archive, have a problem.
     """
+    return zipped.read(spark, path, pattern, range_bytes)
 
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
 
-        for frame in frames:
-            for path_, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except (zipfile.BadZipFile, OSError):
-                    yield pd.DataFrame([(path_, None, None, "not an archive")], columns=["archive", "key", "payload", "problem"])
-                    continue
-                names = [i for i in archive.infolist() if not i.is_dir() and re.search(pattern, i.filename)]
-                short = [i.filename.rsplit("/", 1)[-1] for i in names]
-                for info, name in zip(names, short, strict=True):
-                    try:
-                        text, problem = archive.read(info).decode("utf-8"), "member stands twice" if short.count(name) > 1 else None
-                    except (UnicodeDecodeError, zipfile.BadZipFile, zlib.error):
-                        text, problem = None, "member can't be read"
-                    yield pd.DataFrame([(path_, name, text, problem)], columns=["archive", "key", "payload", "problem"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(opened, "archive string, key string, payload string, problem string")
-
-
-def ticker_map(documents: DataFrame) -> DataFrame:
-    """key, ticker, cik, title, problem of documents that map numbers to {cik_str, ticker, title}. A ticker stands once."""
+#: Numbers of tickers that the provider's map gives to an issuer without facts. Fixed values.
+ISSUERS_OF_TICKERS = {"XOM": 34088}
+
+
+def ticker_map(documents: DataFrame, overrides: Mapping[str, int] = MappingProxyType(ISSUERS_OF_TICKERS)) -> DataFrame:
+    """key, ticker, cik, title, problem of documents that map numbers to {cik_str, ticker, title}. A ticker stands once.
+
+    The tickers of ``overrides`` get the number given there, whatever the document says.
+    """
     shape = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"
     rows = documents.select("key", F.explode(F.from_json("payload", shape)).alias("_n", "_r")).select("key", F.upper(F.trim("_r.ticker")).alias("ticker"), F.col("_r.cik_str").alias("cik"), F.trim("_r.title").alias("title"))
+    for ticker, number in overrides.items():
+        rows = rows.withColumn("cik", F.when(F.col("ticker") == ticker, number).otherwise(F.col("cik")))
     again = F.count(F.lit(1)).over(Window.partitionBy("key", "ticker")) > 1
     problem = F.when(F.coalesce(F.col("ticker"), F.lit("")) == "", "lacks a ticker").when(~F.coalesce(F.col("cik") > 0, F.lit(False)), "CIK is not positive").when(F.coalesce(F.col("title"), F.lit("")) == "", "lacks a title").when(again, "ticker stands twice")
     return rows.withColumn("problem", problem)
@@ -148,9 +139,11 @@ def components(documents: DataFrame, least: int = 1, most: int = 1_000_000) -> D
     lines = documents.select("key", F.split(text, "\r?\n").alias("_l")).withColumn("_head", F.transform(F.split(F.get("_l", F.lit(0)), ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit("")))))
     placed = lines.withColumns({"_s": F.array_position("_head", "Symbol").cast("int"), "_k": F.array_position("_head", "CIK").cast("int")})
     wrong = placed.where("_s = 0 OR _k = 0").select("key", F.lit("lacks Symbol or CIK").alias("problem"))
-    row = F.from_csv("_line", F.lit(", ".join(f"c{k} string" for k in range(24))))
-    cells = placed.where("_s > 0 AND _k > 0").select("key", "_s", "_k", F.explode(F.slice("_l", 2, F.size("_l"))).alias("_line")).where(F.trim("_line") != "").withColumn("_r", row)
-    at = lambda name: F.get(F.array(*[c(f"_r.c{k}") for k in range(24)]), c(name) - 1)
+    # A cell is quoted text, in which two quotes are one, or runs up to the next comma.
+    cells = placed.where("_s > 0 AND _k > 0").select("key", "_s", "_k", F.explode(F.slice("_l", 2, F.size("_l"))).alias("_line")).where(F.trim("_line") != "")
+    cells = cells.withColumn("_r", F.regexp_extract_all("_line", F.lit(r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1)))
+    bare = lambda x: F.when(F.trim(x).startswith('"'), F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x)
+    at = lambda name: bare(F.get("_r", c(name) - 1))
     typed = cells.select("key", F.upper(F.trim(at("_s"))).alias("ticker"), F.trim(at("_k")).alias("_cik"))
     w = Window.partitionBy("key")
     number = F.expr("try_cast(_cik AS bigint)")

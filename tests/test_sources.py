@@ -8,7 +8,7 @@ import zipfile
 import pytest
 
 from chronolake.operators import companyfacts
-from chronolake.sources import archives
+from chronolake.sources import archives, zipped
 from chronolake.sources import documents as sources
 
 
@@ -120,6 +120,36 @@ def test_members_of_archives(spark, tmp_path):
     assert got == [("a.zip", "CIK0000000001.json", "{}", ""), ("a.zip", "CIK0000000002.json", "{1}", "member stands twice"), ("a.zip", "CIK0000000002.json", "{2}", "member stands twice"), ("a.zip", "CIK0000000003.json", "", "member can't be read"), ("b.zip", "", "", "not an archive")]
 
 
+def test_an_archive_is_read_in_ranges(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_STORED) as archive:
+        for k in range(400):
+            archive.writestr(f"CIK{k:010}.json", f"{k} " * 200)
+    whole = bytearray((tmp_path / "many.zip").read_bytes())
+    at = whole.index(b"7 7 7 7 ")
+    whole[at : at + 4] = b"x x "  # the checksum of one member no longer fits
+    (tmp_path / "many.zip").write_bytes(whole)
+    rows = archives.members(spark, f"{tmp_path}/*.zip", range_bytes=20_000)
+    assert rows.rdd.getNumPartitions() == -(-len(whole) // 20_000) > 10
+    got = {r["key"]: (r["payload"], r["problem"]) for r in rows.collect()}
+    assert got == {f"CIK{k:010}.json": (f"{k} " * 200, None) if k != 7 else (None, "member can't be read") for k in range(400)}
+    assert {r["problem"] for r in zipped.read(spark, str(tmp_path), most_bytes=10).collect()} == {"member is too large"}
+    with pytest.raises(Exception, match="nowhere.zip"):
+        archives.members(spark, f"{tmp_path}/nowhere.zip").collect()
+
+
+def test_named_tickers_get_their_issuer(spark):
+    payload = {"0": {"cik_str": 7, "ticker": "xom", "title": "Holdings"}, "1": {"cik_str": 8, "ticker": "A", "title": "A"}}
+    assert {(r["ticker"], r["cik"], r["problem"]) for r in archives.ticker_map(frame(spark, payload)).collect()} == {("XOM", 34088, None), ("A", 8, None)}
+    assert {r["cik"] for r in archives.ticker_map(frame(spark, payload), {"A": 9}).collect()} == {7, 9}
+
+
+def test_component_columns_beyond_any_number_and_quoted_cells(spark):
+    head = ",".join(["Security"] + [f"x{k}" for k in range(40)] + ["CIK", "Symbol"])
+    line = ",".join(['"Alpha, ""the"" Inc"'] + ["1"] * 40 + ['"0000000012"', "aa"])
+    docs = spark.createDataFrame([("k", f"{head}\n{line}\n")], "key string, payload string")
+    assert [(r["ticker"], r["cik"], r["problem"]) for r in archives.components(docs).collect()] == [("AA", "0000000012", None)]
+
+
 def test_ticker_map(spark):
     payload = {"0": {"cik_str": 1, "ticker": "a", "title": "A Inc"}, "1": {"cik_str": 0, "ticker": "B", "title": "B"}, "2": {"cik_str": 3, "ticker": "C", "title": ""}, "3": {"cik_str": 4, "ticker": "D", "title": "x"}, "4": {"cik_str": 5, "ticker": "d", "title": "y"}}
     got = sorted((r["ticker"], r["problem"] or "") for r in archives.ticker_map(frame(spark, payload)).collect())
