@@ -34,6 +34,8 @@ OVERSAMPLE, PASSES = 8, 8
 RESIDUAL, NOTHING = 1e-11, 1e-11
 #: Bytes of numbers that are worked on at once.
 SLICE_BYTES = 8 << 20
+#: Bytes of the fit list that a task reads: of a list of up to 64 tasks, and of a longer one.
+SMALL_PART, PART = 2 << 20, 64 << 20
 SEED = 20250317
 
 
@@ -184,6 +186,9 @@ def ritz(basis: np.ndarray, product: np.ndarray, k: int) -> tuple[np.ndarray, np
 def fit(vectors: DataFrame, k: int = 16, id_column: str = "vec_id", vector_column: str = "embedding") -> dict[int, Whitener]:
     """A whitener for each length of vectors, from each distinct quantised vector once; {} without any."""
     fit_list = cut(usable(vectors, id_column, vector_column).mapInArrow(_distinct, "_d int, _x binary").dropDuplicates(["_d", "_x"]))
+    # A task's sums are as many rows whatever it has read, so tasks are few where the list is short.
+    size = fit_list.agg(F.sum(F.octet_length("_x"))).first()[0] or 0
+    fit_list = fit_list.coalesce(max(1, min(-(-size // SMALL_PART), max(64, -(-size // PART)))))
     sums = _sums(fit_list)
     spread = _products(fit_list, sums, lambda _, rows: np.array([(rows**2).sum()]), dict.fromkeys(sums, 1))
     trace = {d: float(spread[d][0]) / sums[d].n for d in sums}
