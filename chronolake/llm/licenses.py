@@ -54,9 +54,22 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-nc", "CC BY-NC"),
+    ("cc-by-sa", "CC BY-SA"),
+    ("cc-by-nd", "CC BY-ND"),
+    ("cc0", "CC0 1.0"),
+    ("gpl-2", "GNU General Public License, version 2"),
+    ("gpl-3", "GNU General Public License, version 3"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("apache-2", "Apache License, Version 2.0"),
+    ("mpl", "Mozilla Public License"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
 
+#: Templates of so few words are names: all of their words must stand within one window, a long line doesn't do.
+SHORT = 6
+
 #: Pairs of a text and a template that one task looks at: their windows cost more than their bytes tell.
 PAIRS = 64
 
@@ -72,7 +85,7 @@ def template_sets(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
 
 
 def need_of(size: int, threshold: float) -> int:
-    return max(1, math.ceil(threshold * size - 1e-9))
+    return size if size <= SHORT else max(1, math.ceil(threshold * size - 1e-9))
 
 
 def _n_words(pieces: Column) -> Column:
@@ -171,8 +184,9 @@ def prefix_join(held: DataFrame, shape: Templates, keys: tuple[str, ...], have:
         .join(F.broadcast(index), "word")
         .where((F.col("_n") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i"), F.col("_n") - F.col("_j")) - 1 >= F.col("need")))
         .join(F.broadcast(whole), "template")
-        .withColumn("containment", F.size(F.array_intersect("_have", "members")) / F.col("size"))
-        .where(F.col("containment") >= shape.threshold - 1e-12)
+        .withColumn("_both", F.size(F.array_intersect("_have", "members")))
+        .where(F.col("_both") >= F.col("need"))
+        .withColumn("containment", F.col("_both") / F.col("size"))
         .select(*keys, "template", "label", "containment")
         .distinct()
     )
@@ -185,19 +199,22 @@ def template_matches(docs: DataFrame, shape: Templates, block: str = r"\n") -> D
     """
     blocks = docs.select("doc_id", "key", F.posexplode(F.split("_low", block)).alias("block", "_text"))
     held = blocks.select("doc_id", "key", "block", F.array_intersect(shape.vocabulary, F.split("_text", GAP)).alias("have"))
-    return prefix_join(held, shape, ("doc_id", "key", "block"))
+    return prefix_join(held, replace(shape, sets=[x for x in shape.sets if len(x[2]) > SHORT]), ("doc_id", "key", "block"))
 
 
 def wrapped_matches(docs: DataFrame, shape: Templates, templates=TEMPLATES) -> DataFrame:
     """doc_id, key, block (-1 less the template), template, label, containment: the best window of each text of several lines
     that holds ``threshold`` of a template's words, wherever its lines end. Windows have a quarter more words than the template.
+    Templates of up to ``SHORT`` words are looked for in texts of one line too.
 
     ``docs`` has doc_id, key, _low and have (the text's set of template words), a text once.
     """
-    texts = docs.where(F.contains("_low", F.lit("\n")))
-    spans = [(k, span_of(templates[k][1]), words) for k, _, words in shape.sets]
-    wide = docs.sparkSession.createDataFrame(spans, "template int, _span int, _members array<string>")
-    likely = cut(prefix_join(texts, shape, ("doc_id", "key")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "template", "label"))
+    texts = docs.withColumn("_several", F.contains("_low", F.lit("\n")))
+    short = [k for k, _, words in shape.sets if len(words) <= SHORT]
+    spans = [(k, span_of(templates[k][1]), words, need_of(len(words), shape.threshold)) for k, _, words in shape.sets]
+    wide = docs.sparkSession.createDataFrame(spans, "template int, _span int, _members array<string>, _need int")
+    pairs = prefix_join(texts, shape, ("doc_id", "key", "_several")).where(F.col("_several") | F.col("template").isin(short))
+    likely = cut(pairs.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "template", "label"))
     likely_rows, likely = likely.count(), likely.join(F.broadcast(wide), "template")
     words = F.filter(F.split("_low", GAP), lambda w: w != "")
     hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("_members", x["w"]))
@@ -207,8 +224,9 @@ def wrapped_matches(docs: DataFrame, shape: Templates, templates=TEMPLATES) -> D
         texts.join(likely, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .repartition(partitions_for(docs.sparkSession, likely_rows, PAIRS), "key", "template")
         .withColumn("_hits", hits)
-        .withColumn("containment", F.array_max(held) / F.size("_members"))
-        .where(F.col("containment") >= shape.threshold - 1e-12)
+        .withColumn("_best", F.array_max(held))
+        .where(F.col("_best") >= F.col("_need"))
+        .withColumn("containment", F.col("_best") / F.size("_members"))
         .select("doc_id", "key", (-1 - F.col("template")).alias("block"), "template", "label", "containment")
     )
 
@@ -278,12 +296,12 @@ lines AS (SELECT rid, unnest(string_split(low, chr(10))) AS line, unnest(range(l
 sets AS (SELECT rid, block, regexp_extract_all(line, '{pattern}') AS ws FROM lines),
 t(template, label, members, span) AS (VALUES {templates}),
 m AS (SELECT rid, block, template, label, len(list_intersect(list_distinct(ws), members))::DOUBLE / len(members) AS c FROM sets, t WHERE len(ws) > 0),
-ml AS (SELECT * FROM m WHERE c >= {threshold} - 1e-12),
-near AS (SELECT rid, ws, template, label, members, span FROM w, t WHERE several AND len(list_intersect(list_distinct(ws), members)) >= {threshold} * len(members) - 1e-9),
+ml AS (SELECT m.* FROM m JOIN t USING (template) WHERE len(members) > {SHORT} AND c >= {threshold} - 1e-12),
+near AS (SELECT rid, ws, template, label, members, span FROM w, t WHERE (several OR len(members) <= {SHORT}) AND len(list_intersect(list_distinct(ws), members)) >= CASE WHEN len(members) <= {SHORT} THEN len(members) ELSE {threshold} * len(members) - 1e-9 END),
 placed AS (SELECT rid, template, label, members, span, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM near),
 own AS (SELECT * FROM placed WHERE list_contains(members, word)),
-win AS (SELECT a.rid, a.template, any_value(a.label) AS label, count(DISTINCT b.word)::DOUBLE / any_value(len(a.members)) AS c FROM own a JOIN own b ON a.rid = b.rid AND a.template = b.template AND b.i >= a.i AND b.i < a.i + a.span GROUP BY a.rid, a.template, a.i),
-mw AS (SELECT rid, CASE WHEN NOT EXISTS (SELECT 1 FROM ml WHERE ml.rid = win.rid AND ml.template = win.template) THEN -1 - template END AS block, template, any_value(label) AS label, max(c) AS c FROM win WHERE c >= {threshold} - 1e-12 GROUP BY ALL),
+win AS (SELECT a.rid, a.template, any_value(a.label) AS label, count(DISTINCT b.word)::DOUBLE / any_value(len(a.members)) AS c, any_value(CASE WHEN len(a.members) <= {SHORT} THEN 1.0 ELSE {threshold} END) AS least FROM own a JOIN own b ON a.rid = b.rid AND a.template = b.template AND b.i >= a.i AND b.i < a.i + a.span GROUP BY a.rid, a.template, a.i),
+mw AS (SELECT rid, CASE WHEN NOT EXISTS (SELECT 1 FROM ml WHERE ml.rid = win.rid AND ml.template = win.template) THEN -1 - template END AS block, template, any_value(label) AS label, max(c) AS c FROM win WHERE c >= least - 1e-12 GROUP BY ALL),
 f AS (SELECT rid, max(c) AS best, list(DISTINCT label) AS more, count(DISTINCT block) AS n_blocks FROM (SELECT * FROM ml UNION ALL SELECT rid, block, template, label, c FROM mw) GROUP BY rid)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,

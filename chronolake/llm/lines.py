@@ -7,7 +7,7 @@ its own body into boilerplate.
 Pages travel as arrays of line hashes, never as text. At most ``mean lines of a page / max_ratio`` lines of a host can
 pass the ratio, so each host's boilerplate is a short array, and the documents are joined to it by host. That table is
 broadcast if it measures at most ``BROADCAST_BYTES``; beyond it, hosts are dealt out with one salt for every
-``SALT_PAGES`` pages, so no task gets more of a hot host than that.
+``SALT_PAGES`` of their own pages, so no task gets more of a hot host than that.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import cut
 
 BROADCAST_BYTES = 32 << 20
 SALT_PAGES = 50_000
+#: Hosts with more pages than that, whose numbers of salts are broadcast: at 100 bytes each, 200 MB.
+BROADCAST_ROWS = 2_000_000
 
 
 def _key(line: Column) -> Column:
@@ -49,9 +51,13 @@ def _with_boilerplate(named: DataFrame, found: DataFrame) -> DataFrame:
     measured = found.agg(F.sum(F.size("_boiler") * 8 + F.length("_host") + 64).alias("bytes")).first()["bytes"] or 0
     if measured <= BROADCAST_BYTES:
         return named.join(F.broadcast(found), "_host", "left").drop("_salts")
-    most = found.agg(F.max("_salts")).first()[0]
-    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1).cast("long")))).drop("_salts")
-    return named.withColumn("_salt", F.pmod("_id", F.lit(most))).join(salted, ["_host", "_salt"], "left").drop("_salt")
+    # Each host is repeated for its own salts; those with several are few, one for every SALT_PAGES pages of the corpus at most.
+    hot = found.where("_salts > 1").select("_host", "_salts")
+    if hot.count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} hosts of over {SALT_PAGES} pages: raise SALT_PAGES")
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    dealt = named.join(F.broadcast(hot), "_host", "left").withColumn("_salt", F.pmod("_id", F.coalesce("_salts", F.lit(1).cast("long")))).drop("_salts")
+    return dealt.join(salted, ["_host", "_salt"], "left").drop("_salt")
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:

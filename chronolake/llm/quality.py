@@ -79,7 +79,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 6000, steps: int
             )
 
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(texts.mapInArrow(features, "doc_id long, quality int, code array<int>, shape array<double>").collect(), key=lambda r: r["doc_id"])
+    made = texts.mapInArrow(features, "doc_id long, quality int, code array<int>, shape array<double>")
+    # Of several rows of a labelled document one counts, so no more rows than labels are collected.
+    one = made.groupBy("doc_id", "quality").agg(F.min(F.struct("code", "shape")).alias("_row")).select("doc_id", "quality", "_row.*")
+    rows = sorted(one.collect(), key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in rows], dtype=np.int64)
     flat = Model(0.0, np.zeros(DIMENSION), np.zeros(SHAPE), np.zeros(SHAPE), np.ones(SHAPE), 0.5)
     if not len(y) or y.min() == y.max():

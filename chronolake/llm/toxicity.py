@@ -69,7 +69,10 @@ def held_out(doc_id="doc_id"):
 
 
 def training_bags(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
-    """doc_id, toxic, n_sentences, sentence, code (32-bit integers as bytes): at most ``most_labels`` labels, those of smallest hash."""
+    """doc_id, toxic, n_sentences, sentence, code (32-bit integers as bytes): at most ``most_labels`` labels, those of smallest hash.
+
+    Of the rows of one doc_id one counts, that of the smallest bag.
+    """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -91,7 +94,9 @@ def training_bags(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataF
                 names=["doc_id", "toxic", "n_sentences", "sentence", "code"],
             )
 
-    return texts.mapInArrow(bags, "doc_id long, toxic int, n_sentences int, sentence binary, code binary")
+    made = texts.mapInArrow(bags, "doc_id long, toxic int, n_sentences int, sentence binary, code binary")
+    one = made.groupBy("doc_id", "toxic").agg(F.min(F.struct("n_sentences", "sentence", "code")).alias("_bag"))
+    return one.select("doc_id", "toxic", "_bag.*")
 
 
 def feature_counts(bags: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def feature_counts(bags: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 8000, steps: int = 300, ridge: float = 1e-3) -> Model:
     """The model of the training rows of ``labels`` (doc_id, toxic); without any of one kind, all weights are 0.
 
-    Repeated rows of a document count as its texts' copies; a document labelled twice is toxic if either says so. Only
+    Of several rows of a labelled document one counts; a document labelled twice is toxic if either says so. Only
     features that tell the labels apart are trained and collected.
     """
     weights = np.zeros(DIMENSION)

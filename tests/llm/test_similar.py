@@ -28,36 +28,6 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-def test_bit_sliced_links_equal_brute_force():
-    rng = np.random.default_rng(1)
-    raw = rng.integers(0, 2**63, (700, 8), dtype=np.uint64)
-    for k in range(0, 600, 3):  # copies with up to 160 flipped bits
-        raw[k + 1] = raw[k]
-        for at in rng.choice(512, k % 160, replace=False):
-            raw[k + 1, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
-    distance = (similar.unpacked(raw)[:, None, :] != similar.unpacked(raw)[None]).sum(axis=2)
-    want = {(i, j) for i, j in zip(*np.nonzero(distance <= 92), strict=True) if i < j}
-    assert set(zip(*similar.links_within(raw, 92, queries=100), strict=True)) == want and len(want) > 100
-
-
-def test_majorities_equal_plain_sums():
-    rng = np.random.default_rng(5)
-    owner = np.repeat(np.arange(7), [0, 1, 2, 255, 256, 1000, 0])
-    hashes = rng.integers(0, 2**64, len(owner), dtype=np.uint64)
-    assert (similar.majorities(hashes, owner, 7) == fingerprints_of(hashes, owner, 7)).all()
-
-
-def test_codes_estimate_similarity():
-    rng = random.Random(2)
-    words = [f"w{rng.randrange(5000)}" for _ in range(600)]
-    texts = [" ".join(words), edited(rng, words, 8), edited(rng, words, 200), "", " \t", "one two"]
-    codes = similar.unpacked(similar.codes_of(pa.array(texts), similar.Codes()))
-    assert not codes[3].any() and not codes[4].any() and codes[5].any()
-    assert jaccard(texts[0], texts[1]) > 0.85 and (codes[0] != codes[1]).sum() <= 92 < (codes[0] != codes[2]).sum()
-    repeated = similar.codes_of(pa.array([" ".join(words * 2 + words[:4]), " ".join(words + words[:4])]), similar.Codes())
-    assert (repeated[0] == repeated[1]).all()  # a set: how often a shingle stands makes no difference
-
-
 def test_near_copies_are_found_and_others_stay(spark):
     rng, rows, groups = random.Random(3), [], {}
     for g in range(60):
