@@ -6,6 +6,7 @@ Nothing is repaired silently: what breaks a rule carries its name in ``problem``
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -361,3 +362,46 @@ def uncovered_legacy(rows: DataFrame, legacy: Column, keys: Sequence[str], repla
 def tombstones(rows: DataFrame, gone: Column) -> DataFrame:
     """What to append to a history where the rows that ``gone`` names are deleted: they, marked as deleted."""
     return rows.where(F.coalesce(gone, F.lit(False))).withColumn("is_deleted", F.lit(True))
+
+
+#: What names the raw row that a fact came from: all of it, or nothing.
+LINEAGE = ("run_id", "snapshot_id", "rowset_sha256", "row_sha256")
+#: The key of a fact; what identifies its subject keeps an older value where a newer row has none.
+FACT_KEY, FACT_SUBJECT = ("ticker", "period_end", "as_of_date", "metric"), ("issuer_id", "security_id")
+
+
+def fact_problems(arrived: DataFrame, stored: DataFrame, retained: DataFrame) -> DataFrame:
+    """``arrived`` facts with problem: what they lack, or what of ``stored`` and ``retained`` they go against.
+
+    Facts have ``FACT_KEY``, ``LINEAGE`` and issuer_id. A fact is known on a date, its period has ended by then, and its key
+    arrives once. Its lineage is whole or absent, names an issuer and digests of 64 hex digits, and a snapshot that is among
+    ``retained`` (run_id, snapshot_id). Where a stored fact of the key has lineage, one without may not take its place.
+    """
+    c, key = F.col, list(FACT_KEY)
+    text = {x: F.nullif(F.trim(c(x).cast("string")), F.lit("")) for x in LINEAGE}
+    given = sum((x.isNotNull().cast("int") for x in text.values()), F.lit(0))
+    traced = stored.where(reduce(Column.__or__, [c(x).isNotNull() for x in LINEAGE])).select(*key).distinct().withColumn("_traced", F.lit(True))
+    kept = retained.select(c("run_id").cast("string").alias("_run"), c("snapshot_id").cast("string").alias("_snapshot")).distinct().withColumn("_kept", F.lit(True))
+    rows = arrived.withColumns({"_given": given, "_n": F.count(F.lit(1)).over(Window.partitionBy(*key))})
+    met = rows.join(traced, key, "left").join(kept, (text["run_id"] == c("_run")) & (text["snapshot_id"] == c("_snapshot")), "left")
+    digest = lambda x: F.coalesce(F.lower(text[x]).rlike("^[0-9a-f]{64}$"), F.lit(True))
+    problem = (
+        F.when(c("as_of_date").isNull(), "lacks the date on which it was known")
+        .when(c("period_end").isNull(), "lacks its period's end")
+        .when(c("period_end") > c("as_of_date"), "period ends after it was known")
+        .when(c("_n") > 1, "key arrives more than once")
+        .when(c("_given").between(1, len(LINEAGE) - 1), "lineage is not whole")
+        .when(~(digest("rowset_sha256") & digest("row_sha256")), "digest is not one")
+        .when((c("_given") > 0) & F.coalesce(F.trim("issuer_id") == "", F.lit(True)), "lineage without an issuer")
+        .when((c("_given") > 0) & c("_kept").isNull(), "raw evidence is not retained")
+        .when((c("_given") == 0) & c("_traced"), "would replace a fact with lineage")
+    )
+    return met.withColumn("problem", problem).select(*arrived.columns, "problem")
+
+
+def fact_versions(stored: DataFrame, arrived: DataFrame, version: str = "version") -> DataFrame:
+    """What to append for facts without problems: the next version of each key, its subject kept where it isn't named again."""
+    newest = stored.groupBy(*FACT_KEY).agg(F.max(version).alias("_v"), F.max_by(F.struct(*FACT_SUBJECT), version).alias("_old"))
+    met = arrived.join(newest, list(FACT_KEY), "left")
+    own = [F.coalesce(x, f"_old.{x}").alias(x) if x in FACT_SUBJECT else F.col(x) for x in arrived.columns]
+    return met.select(*own, (F.coalesce("_v", F.lit(0)) + 1).cast("long").alias(version), F.lit(False).alias("is_deleted"))

@@ -261,3 +261,36 @@ def relation_report(spark, d):
         "users_with_one_kind_only": kinds.where("k = 1"),
     }
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_bad")).select(F.lit(n).alias("name"), "n_bad") for n, df in bad.items()], twice)
+
+
+# Guarded writes of facts.
+
+#: A fact from an order; both engines run these texts. Lineage lacks in part, and its digests are no digests now and then.
+WRITTEN = {
+    "ticker": "CAST(o_custkey % 400 AS VARCHAR)",
+    "period_end": "CASE WHEN o_orderkey % 97 > 0 THEN CAST(o_orderdate AS DATE) END",
+    "as_of_date": "CASE WHEN o_orderkey % 101 > 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 1 AS INT) END",
+    "metric": "o_orderpriority",
+    "issuer_id": "CASE WHEN o_orderkey % 23 > 0 THEN CAST(o_custkey AS VARCHAR) ELSE ' ' END",
+    "run_id": "CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey % 90 AS VARCHAR) END",
+    "snapshot_id": "CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 31 > 0 THEN CAST(o_custkey % 90 AS VARCHAR) END",
+    "rowset_sha256": "CASE WHEN o_orderkey % 5 > 0 THEN CASE WHEN o_orderkey % 29 > 0 THEN repeat('aB', 32) ELSE 'aB' END END",
+    "row_sha256": "CASE WHEN o_orderkey % 5 > 0 THEN repeat('0f', 32) END",
+}
+_WRITTEN = ", ".join(f"{x} AS {n}" for n, x in WRITTEN.items())
+_GIVEN = "(run_id IS NOT NULL)::INT + (snapshot_id IS NOT NULL)::INT + (rowset_sha256 IS NOT NULL)::INT + (row_sha256 IS NOT NULL)::INT"
+
+
+@query(f"""WITH st AS (SELECT {_WRITTEN} FROM orders WHERE o_orderstatus = 'F'), ar AS (SELECT o_orderkey, o_totalprice, {_WRITTEN} FROM orders),
+tr AS (SELECT DISTINCT ticker, period_end, as_of_date, metric, TRUE AS traced FROM st WHERE {_GIVEN} > 0), kept AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS k, TRUE AS have FROM supplier WHERE s_acctbal > 0 AND s_suppkey <= 95),
+g AS (SELECT ar.*, {_GIVEN.replace('(run', '(ar.run').replace('(snap', '(ar.snap').replace('(row', '(ar.row')} AS given, count(*) OVER (PARTITION BY ar.ticker, ar.period_end, ar.as_of_date, ar.metric) AS n, traced, have FROM ar
+  LEFT JOIN tr ON tr.ticker = ar.ticker AND tr.period_end = ar.period_end AND tr.as_of_date = ar.as_of_date AND tr.metric = ar.metric LEFT JOIN kept ON k = run_id AND k = snapshot_id)
+SELECT o_orderkey, CASE WHEN as_of_date IS NULL THEN 'lacks the date on which it was known' WHEN period_end IS NULL THEN 'lacks its period''s end' WHEN period_end > as_of_date THEN 'period ends after it was known' WHEN n > 1 THEN 'key arrives more than once'
+  WHEN given BETWEEN 1 AND 3 THEN 'lineage is not whole' WHEN length(rowset_sha256) <> 64 THEN 'digest is not one' WHEN given > 0 AND trim(issuer_id) = '' THEN 'lineage without an issuer' WHEN given > 0 AND have IS NULL THEN 'raw evidence is not retained'
+  WHEN given = 0 AND traced THEN 'would replace a fact with lineage' END AS problem FROM g""")
+def fact_writes(spark, d):
+    """Every order arrives as a fact; those that are done are stored already."""
+    rows = read(spark, d, "orders")
+    facts = rows.select("o_orderkey", "o_orderstatus", *[F.expr(x.replace("VARCHAR", "STRING")).alias(n) for n, x in WRITTEN.items()])
+    kept = read(spark, d, "supplier").where("s_acctbal > 0 AND s_suppkey <= 95").select(F.col("s_suppkey").alias("run_id"), F.col("s_suppkey").alias("snapshot_id"))
+    return ingest.fact_problems(facts, facts.where("o_orderstatus = 'F'"), kept).select("o_orderkey", "problem")

@@ -148,6 +148,54 @@ def test_writes_are_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert sorted((r["source"], r["n_rows"], r["status"]) for r in store.read("ingest_log").collect()) == [("edgar:x", 3, "success"), ("edgar:y", 0, "failed")]
 
 
+def bytes_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_appends_write_what_arrived(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path))
+    store.append(log=spark.range(100_000).selectExpr("id AS k", "uuid() AS v"))
+    before = bytes_of(tmp_path / "log")
+    store.append(log=spark.createDataFrame([(1, "x")], "k long, v string"))
+    assert bytes_of(tmp_path / "log") - before < before / 100 and store.read("log").count() == 100_001
+    store.append(log=spark.createDataFrame([(2,)], "k long"))
+    assert store.read("log").where("v IS NULL").count() == 1
+    with pytest.raises(ValueError, match="no column other"):
+        store.append(log=spark.createDataFrame([(2, 3)], "k long, other long"))
+    store.compact("log")
+    assert store.read("log").count() == 100_002
+
+
+SHA = "0aF9" * 16
+FACT = "ticker string, period_end date, as_of_date date, metric string, issuer_id string, security_id string, run_id string, snapshot_id string, rowset_sha256 string, row_sha256 string, value double"
+
+
+def fact(spark, *rows):
+    out = []
+    for ticker, known, lineage, value, issuer in rows:
+        out.append((ticker, date(2023, 12, 31), date.fromisoformat(known), "revenue", issuer, None, *lineage, value))
+    return spark.createDataFrame(out, FACT)
+
+
+def test_facts_are_written_with_their_evidence_or_not_at_all(spark, tmp_path):
+    store, none, whole = tables.Store(spark, str(tmp_path)), (None,) * 4, ("r1", "s1", SHA, SHA)
+    kept = spark.createDataFrame([("r1", "s1")], "run_id string, snapshot_id string")
+    store.append_facts("facts", fact(spark, ("A", "2024-02-01", whole, 1.0, "i"), ("B", "2024-02-01", none, 2.0, None)), kept)
+    for rows, problem in (
+        ([("C", "2024-02-01", ("r1", "s2", SHA, SHA), 1.0, "i")], "raw evidence is not retained"),
+        ([("C", "2024-02-01", ("r1", "s1", SHA, None), 1.0, "i")], "lineage is not whole"),
+        ([("C", "2024-02-01", ("r1", "s1", SHA, "f" * 63), 1.0, "i")], "digest is not one"),
+        ([("C", "2024-02-01", whole, 1.0, " ")], "lineage without an issuer"),
+        ([("C", "2023-02-01", none, 1.0, None)], "period ends after it was known"),
+        ([("C", "2024-02-01", none, 1.0, None)] * 2, "key arrives more than once"),
+        ([("C", "2024-02-01", none, 1.0, None), ("A", "2024-02-01", none, 9.0, None)], "would replace a fact with lineage"),
+    ):
+        with pytest.raises(Exception, match=problem):
+            store.append_facts("facts", fact(spark, *rows), kept)
+    store.append_facts("facts", fact(spark, ("A", "2024-02-01", whole, 3.0, "i"), ("B", "2024-02-01", whole, 4.0, "j")), kept)
+    assert sorted((r["ticker"], r["version"], r["value"], r["issuer_id"]) for r in store.read("facts").collect()) == [("A", 1, 1.0, "i"), ("A", 2, 3.0, "i"), ("B", 1, 2.0, None), ("B", 2, 4.0, "j")]
+
+
 def manifest(spark, path, kind, *lines, **options):
     path.write_text(",".join(manifests.MANIFESTS[kind].names) + "\n" + "\n".join(lines) + "\n")
     return sorted(r["problem"] or "" for r in manifests.read_manifest(spark, str(path), kind, **options).collect())
