@@ -1,8 +1,9 @@
 """A portfolio book carried through periods: first-in first-out lots, conversions, splits, dividends, costs and taxes.
 
-The fold is sequential within a book, so each book is one group and Spark spreads the books. A book's group holds the bars
-of the securities that it ever aims at (and of what these convert into), within its own periods: ``fold`` sends no other
-rows. A period whose evidence lacks anything leaves the book as it was and says why.
+The fold is sequential within a book, so Spark spreads the books. A book's rows (bars of the securities that it ever aims at
+and of what these convert into, within its own periods) stream through its task in the order of their dates: the task holds
+the lots and the bars since the earliest period that is not done, whatever the book's length. A period whose evidence lacks
+anything leaves the book as it was and says why.
 """
 
 from __future__ import annotations
@@ -231,17 +232,53 @@ def _period(book: Book, row: dict, bars: dict[date, dict[str, dict]], conversion
         yield day, book.cash, book.equity(), book.costs, book.taxes, len(book.lots), sum(map(len, book.lots.values())), stale, None
 
 
-def run_book(initial: float, frictions: Frictions, periods: list[dict], bars: dict[date, dict[str, dict]], conversions: list[dict]) -> list[tuple]:
-    """All periods in the order of their decisions. A refused period gives one row, on its decision date, with its reasons."""
-    book, out = Book(initial, frictions), []
-    for row in sorted(periods, key=lambda r: r["decision"]):
-        before = copy.deepcopy(book)
+class Stream:
+    """A book that is told, in the order of dates, of bars, conversions and the beginnings and ends of its periods.
+
+    A period is carried out once its exit is told and all that were decided before it are done; then the bars that no later
+    period needs are let go.
+    """
+
+    def __init__(self, initial: float, frictions: Frictions) -> None:
+        self.book = Book(initial, frictions)
+        self.bars: dict[date, dict[str, dict]] = {}
+        self.conversions: list[dict] = []
+        self.open: list[dict] = []  # by decision; "done" once the exit is told
+
+    def tell(self, day: date, security: str, bar: dict) -> None:
+        if self.open:
+            own = self.bars.setdefault(day, {})
+            own[security] = bar | {"twice": security in own}
+
+    def convert(self, event: dict) -> None:
+        if self.open:
+            self.conversions.append(event)
+
+    def decide(self, row: dict) -> None:
+        self.open.append({**row, "targets": sorted(set(row["targets"])), "done": False})
+
+    def exit(self, decision: date) -> Iterator[tuple]:
+        next(r for r in self.open if r["decision"] == decision and not r["done"])["done"] = True
+        while self.open and self.open[0]["done"]:
+            yield from self._carried(self.open.pop(0))
+        first = self.open[0]["decision"] if self.open else date.max
+        self.bars = {day: own for day, own in self.bars.items() if day > first}
+        self.conversions = [c for c in self.conversions if c["date"] > first]
+
+    def _carried(self, row: dict) -> Iterator[tuple]:
+        """A refused period gives one row, on its decision date, with its reasons."""
+        before = copy.deepcopy(self.book)
         try:
-            out += list(_period(book, row, bars, conversions))
+            yield from list(_period(self.book, row, self.bars, self.conversions))
         except Refused as refused:
-            book = before
-            out.append((row["decision"], book.cash, book.equity(), book.costs, book.taxes, len(book.lots), sum(map(len, book.lots.values())), [], "; ".join(map(str, refused.args))))
-    return out
+            book = self.book = before
+            yield row["decision"], book.cash, book.equity(), book.costs, book.taxes, len(book.lots), sum(map(len, book.lots.values())), [], "; ".join(map(str, refused.args))
+
+
+#: What a row of a book's stream tells, in the order of one date: bars and conversions, an exit, a decision, and an exit that
+#: isn't after its decision.
+BAR, CONVERSION, EXIT, DECISION, EARLY_EXIT = range(5)
+STREAM = "book string, at date, kind int, security_id string, close double, split_ratio double, dividends double, actions_complete boolean, close_split_adjusted boolean, target string, ratio double, decision date, entry date, exit date, targets array<string>"
 
 
 def fold(prices: DataFrame, periods: DataFrame, conversions: DataFrame | None = None, initial: float = 1e6, frictions: Frictions = Frictions()) -> DataFrame:
@@ -262,20 +299,38 @@ def fold(prices: DataFrame, periods: DataFrame, conversions: DataFrame | None =
     bar = ["close", "split_ratio", "dividends", "actions_complete", "close_split_adjusted"]
     named = prices.withColumn("security_id", c("security_id").cast("string"))
     rows = named.join(wanted.join(spans, "book"), "security_id").where((c("date") > c("_from")) & (c("date") <= c("_to"))).select("book", "security_id", "date", *bar)
-    events = wanted.join(known, c("security_id") == c("source")).select("book", "source", "target", "date", "ratio").distinct()
-    one = rows.groupBy("book").agg(F.collect_list(F.struct("security_id", "date", *bar)).alias("bars"))
-    books = periods.groupBy(c("book").cast("string").alias("book")).agg(F.collect_list(F.struct("decision", "entry", "exit", c("targets").cast("array<string>").alias("targets"))).alias("periods"))
-    joined = books.join(one, "book", "left").join(events.groupBy("book").agg(F.collect_list(F.struct("source", "target", "date", "ratio")).alias("events")), "book", "left")
+    told = rows.select("book", c("date").alias("at"), F.lit(BAR).alias("kind"), "security_id", *bar)
+    events = wanted.join(known, c("security_id") == c("source")).join(spans, "book").where((c("date") > c("_from")) & (c("date") <= c("_to")))
+    events = events.select("book", c("date").alias("at"), F.lit(CONVERSION).alias("kind"), c("source").alias("security_id"), "target", "ratio").distinct()
+    plans = periods.select(c("book").cast("string").alias("book"), "decision", "entry", "exit", c("targets").cast("array<string>").alias("targets"))
+    late = F.coalesce(c("exit") > c("decision"), F.lit(False))
+    begins = plans.select("*", c("decision").alias("at"), F.lit(DECISION).alias("kind"))
+    ends = plans.select("book", "decision", F.when(late, c("exit")).otherwise(c("decision")).alias("at"), F.when(late, EXIT).otherwise(EARLY_EXIT).alias("kind"))
+    stream = told
+    for part in (events, begins, ends):
+        stream = stream.unionByName(part, allowMissingColumns=True)
+    names = [x.split()[0] for x in STREAM.split(", ")]
+    ordered = stream.select(*names).repartition("book").sortWithinPartitions("book", "at", "kind", "decision", "security_id")
+    columns, each = [x.split()[0] for x in SCHEMA.split(", ")], 10_000
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, own, out = None, None, []
         for frame in frames:
             for row in frame.itertuples(index=False):
-                bars: dict[date, dict[str, dict]] = {}
-                for b in row.bars if row.bars is not None else ():
-                    own = bars.setdefault(b["date"], {})
-                    own[b["security_id"]] = {k: _plain(b[k]) for k in bar} | {"twice": b["security_id"] in own}
-                periods_ = [{**p, "targets": sorted(set(p["targets"]))} for p in row.periods]
-                out = run_book(initial, frictions, periods_, bars, list(row.events) if row.events is not None else [])
-                yield pd.DataFrame([(row.book, *r) for r in out], columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return joined.mapInPandas(run, SCHEMA)
+                if own is None or row.book != name:
+                    name, own = row.book, Stream(initial, frictions)
+                if row.kind == BAR:
+                    own.tell(row.at, row.security_id, {k: _plain(getattr(row, k)) for k in bar})
+                elif row.kind == CONVERSION:
+                    own.convert({"source": row.security_id, "target": row.target, "date": row.at, "ratio": row.ratio})
+                elif row.kind == DECISION:
+                    own.decide({"decision": row.decision, "entry": row.entry, "exit": row.exit, "targets": list(row.targets) if row.targets is not None else []})
+                else:
+                    out += [(name, *x) for x in own.exit(row.decision)]
+                if len(out) >= each:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return ordered.mapInPandas(run, SCHEMA)

@@ -309,11 +309,40 @@ def portfolio_growth(spark, d):
     return portfolio.fold(traded(spark, d), book_periods(spark, d), book_conversions(spark, d), frictions=free).select("book", "date", F.round("equity", 4).alias("equity"), "problem")
 
 
-@query(None)
+_LOT = "STRUCT(s VARCHAR, q DOUBLE, p DOUBLE, since DATE)"
+_BAR = "list_filter(b, lambda x: x.s = l.s)[1]"
+_DUE = "0.3E0 * greatest(0, gs) + 0.15E0 * greatest(0, gl) + 0.15E0 * income"
+
+
+#: One step of the recursion is a session of a book: conversion, splits, dividends, tax, sales oldest lots first, tax, purchases.
+@query(f"""WITH RECURSIVE {_TRADED}, bars AS (SELECT s.i, s.date, list(struct_pack(s := t.security_id, c := t.close, r := t.split_ratio, d := t.dividends, a := t.close_split_adjusted)) AS b FROM sess s JOIN traded t ON t.date = s.date GROUP BY s.i, s.date),
+ent AS (SELECT book, 5 * k + 1 AS i, list_transform(ts, lambda t: {list(_KINDS)}[t + 1]) AS targets FROM per), ends AS (SELECT book, 5 * max(k) + 5 AS z FROM per GROUP BY book),
+st AS (SELECT book, 0::BIGINT AS i, NULL::DATE AS date, 1000000.0E0 AS cash, 0.0E0 AS costs, 0.0E0 AS taxes, 0.0E0 AS gs, 0.0E0 AS gl, 0.0E0 AS income, []::{_LOT}[] AS lots, 0.0E0 AS equity, z FROM ends
+UNION ALL SELECT book, i, date, CASE WHEN abs(cash) <= 1e-9 THEN 0.0E0 ELSE cash END, costs, taxes, gs, gl, income, lots, cash + coalesce(list_sum(list_transform(lots, lambda l: l.q * {_BAR}.c)), 0), z FROM (
+SELECT * REPLACE (cash - coalesce(list_sum(list_transform(buys, lambda l: l.q * l.p)), 0) AS cash, costs + coalesce(list_sum(list_transform(buys, lambda l: l.q * l.p - l.q * {_BAR}.c)), 0) AS costs, list_concat(lots, coalesce(buys, [])) AS lots) FROM (
+SELECT *, list_transform(wanted, lambda l: struct_pack(s := l.s, q := l.x * scale / {_BAR}.c, p := (l.x * scale * 1.001E0 + 1) / (l.x * scale / {_BAR}.c), since := date))::{_LOT}[] AS buys FROM (
+SELECT *, least(1, greatest(0, (cash - len(wanted)) / 1.001E0) / list_sum(list_transform(wanted, lambda l: l.x))) AS scale FROM (
+SELECT * REPLACE (cash - ({_DUE} - taxes) AS cash, {_DUE} AS taxes) FROM (
+SELECT * REPLACE (cash + coalesce(list_sum(list_transform(sales, lambda l: l.n * l.price - l.cost)), 0) AS cash, costs + coalesce(list_sum(list_transform(sales, lambda l: l.cost)), 0) AS costs,
+  gs + coalesce(list_sum(list_transform(parts, lambda l: CASE WHEN date - l.since < 365 THEN l.part * (l.net - l.p) END)), 0) AS gs, gl + coalesce(list_sum(list_transform(parts, lambda l: CASE WHEN date - l.since >= 365 THEN l.part * (l.net - l.p) END)), 0) AS gl,
+  list_transform(list_filter(parts, lambda l: l.q - l.part > 1e-9), lambda l: struct_pack(s := l.s, q := l.q - l.part, p := l.p, since := l.since))::{_LOT}[] AS lots) FROM (
+SELECT *, list_transform(lots, lambda l, k: struct_pack(s := l.s, q := l.q, p := l.p, since := l.since, net := list_filter(sales, lambda x: x.s = l.s)[1].price - list_filter(sales, lambda x: x.s = l.s)[1].cost / list_filter(sales, lambda x: x.s = l.s)[1].n,
+  part := coalesce(greatest(0, least(l.q, coalesce(list_filter(sales, lambda x: x.s = l.s)[1].n, 0) - coalesce(list_sum(list_transform(list_filter(lots[1:k - 1], lambda y: y.s = l.s), lambda y: y.q)), 0))), 0))) AS parts FROM (
+SELECT *, list_transform(list_filter(gaps, lambda l: l.x < -1e-12 * total), lambda l: struct_pack(s := l.s, price := l.c, n := CASE WHEN l.h - -l.x / l.c <= 1e-9 THEN l.h ELSE -l.x / l.c END, cost := (CASE WHEN l.h - -l.x / l.c <= 1e-9 THEN l.h ELSE -l.x / l.c END) * l.c * 0.001E0 + 1)) AS sales, list_filter(gaps, lambda l: l.x > 1e-12 * total) AS wanted FROM (
+SELECT *, list_transform(held, lambda l: struct_pack(s := l.s, c := l.c, h := l.h, x := CASE WHEN list_contains(targets, l.s) THEN total / len(targets) ELSE 0 END - l.h * l.c)) AS gaps FROM (
+SELECT *, cash + list_sum(list_transform(held, lambda l: l.h * l.c)) AS total FROM (
+SELECT *, CASE WHEN targets IS NOT NULL THEN list_transform(b, lambda x: struct_pack(s := x.s, c := x.c, h := coalesce(list_sum(list_transform(list_filter(lots, lambda y: y.s = x.s), lambda y: y.q)), 0.0E0))) END AS held FROM (
+SELECT * REPLACE (cash - ({_DUE} - taxes) AS cash, {_DUE} AS taxes) FROM (
+SELECT * REPLACE (cash + coalesce(list_sum(list_transform(lots, lambda l: l.q * {_BAR}.d)), 0) AS cash, income + coalesce(list_sum(list_transform(lots, lambda l: l.q * {_BAR}.d)), 0) AS income) FROM (
+SELECT * REPLACE (list_transform(lots, lambda l: CASE WHEN {_BAR}.a THEN l ELSE struct_pack(s := l.s, q := l.q * {_BAR}.r, p := l.p / {_BAR}.r, since := l.since) END)::{_LOT}[] AS lots) FROM (
+SELECT st.book, bars.i, bars.date, cash, costs, taxes, gs, gl, income, CASE WHEN bars.i = 12 THEN (list_filter(lots, lambda l: l.s <> 'signup') || list_transform(list_filter(lots, lambda l: l.s = 'signup'), lambda l: struct_pack(s := 'error', q := l.q * 1.5E0, p := l.p / 1.5E0, since := l.since)))::{_LOT}[] ELSE lots END AS lots, z, b, targets
+  FROM st JOIN bars ON bars.i = st.i + 1 LEFT JOIN ent ON ent.book = st.book AND ent.i = st.i + 1 WHERE st.i < z)))))))))))))))
+SELECT book, date, round(cash, 4) AS cash, round(equity, 4) AS equity, round(costs, 4) AS costs, round(taxes, 4) AS taxes, len(list_distinct(list_transform(lots, lambda l: l.s))) AS n_positions, len(lots) AS n_lots, '' AS stale, NULL::VARCHAR AS problem FROM st WHERE i > 0""")
 def portfolio_fold(spark, d):
-    """The same books with costs, fees and taxes on gains, which need the lots: sequential within a book, so no SQL."""
+    """The same books with costs, fees and taxes on gains, which need the lots: SQL carries a list of lots from session to session."""
     taxed = backtest.Frictions(fixed_fee=1.0, short_rate=0.3, long_rate=0.15, dividend_rate=0.15)
-    return portfolio.fold(traded(spark, d), book_periods(spark, d), book_conversions(spark, d), frictions=taxed)
+    folded = portfolio.fold(traded(spark, d), book_periods(spark, d), book_conversions(spark, d), frictions=taxed)
+    return folded.select("book", "date", *[F.round(x, 4).alias(x) for x in ("cash", "equity", "costs", "taxes")], "n_positions", "n_lots", F.concat_ws(",", "stale").alias("stale"), "problem")
 
 
 # Detectors.

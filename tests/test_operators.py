@@ -128,9 +128,22 @@ def test_taxes_and_costs():
 
 
 def folded(periods, bars, conversions=()):
-    named = [{"decision": d, "entry": e, "exit": x, "targets": t} for d, e, x, t in periods]
-    moves = [{"source": s, "target": t, "date": d, "ratio": r} for s, t, d, r in conversions]
-    return [(r[0], round(r[2], 6), r[6], r[7], r[8]) for r in portfolio.run_book(1000.0, FREE, named, bars, moves)]
+    """The rows of one book that is told of everything by date."""
+    told = [(d, portfolio.BAR, (s, b)) for d, own in bars.items() for s, b in own.items()]
+    told += [(d, portfolio.CONVERSION, {"source": s, "target": t, "date": d, "ratio": r}) for s, t, d, r in conversions]
+    told += [(d, portfolio.DECISION, {"decision": d, "entry": e, "exit": x, "targets": t}) for d, e, x, t in periods] + [(x, portfolio.EXIT, d) for d, _, x, _ in periods]
+    book, rows = portfolio.Stream(1000.0, FREE), []
+    for day, kind, what in sorted(told, key=lambda x: x[:2]):
+        if kind == portfolio.BAR:
+            book.tell(day, *what)
+        elif kind == portfolio.CONVERSION:
+            book.convert(what)
+        elif kind == portfolio.DECISION:
+            book.decide(what)
+        else:
+            rows += list(book.exit(what))
+    assert not book.bars and not book.open
+    return [(r[0], round(r[2], 6), r[6], r[7], r[8]) for r in rows]
 
 
 def test_a_holding_is_carried_over():
@@ -206,3 +219,15 @@ def test_spread_ranks_equal_those_of_one_task(spark, parts):
         want.setdefault(s, []).append(k)
     got = {(r["id"], r["position"], r["size"]) for r in ranking.numbered(df, ["s"], ["u", "id"], parts=parts).collect()}
     assert got == {(k, at, len(ids)) for ids in want.values() for at, k in enumerate(ids)}
+
+
+def test_a_long_book_streams_and_overlapping_periods_keep_their_order(spark):
+    """Three years of sessions, a period each week; every other one ends after the next begins, one has no targets."""
+    days = [date(2020, 1, 1) + timedelta(days=k) for k in range(1000)]
+    bars = spark.createDataFrame([(s, d, 10.0 + (k * n) % 7, 1.0, 0.01, True, False) for k, d in enumerate(days) for n, s in enumerate("ABC", 2)], "security_id string, date date, close double, split_ratio double, dividends double, actions_complete boolean, close_split_adjusted boolean")
+    periods = [(b, days[k], days[k + 1], days[k + (7 if k % 14 else 9)], [] if k == 700 else ["ABC"[k % 3], "B"]) for b in ("x", "y") for k in range(0, 980, 7)]
+    rows = portfolio.fold(bars, spark.createDataFrame(periods, "book string, decision date, entry date, exit date, targets array<string>"), initial=1000.0, frictions=FREE).collect()
+    x, y = ([tuple(r)[1:] for r in rows if r["book"] == b] for b in "xy")
+    assert x == y and [r[-1] for r in x if r[-1]] == ["no targets"]
+    plain = {d: {s: bar(10.0 + (k * n) % 7, dividend=0.01) for n, s in enumerate("ABC", 2)} for k, d in enumerate(days)}
+    assert [(r[0], round(r[2], 6), r[6], list(r[7]), r[8]) for r in x] == folded([p[1:] for p in periods if p[0] == "x"], plain)
