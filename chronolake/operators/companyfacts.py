@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ingest
+from .stages import cut
 
 #: Metric, its statement, and its concepts, the preferred first. Fixed values.
 METRICS = (
@@ -101,15 +102,21 @@ def fiscal_period(fp: Column, fy: Column) -> Column:
 
 
 def candidates(facts: DataFrame, policy: Policy, issuer_class: Column) -> DataFrame:
-    """``facts`` that stand for a metric, with metric, statement and priority (the concept's place)."""
+    """``facts`` that stand for a metric, with metric, statement and priority (the concept's place).
+
+    Where a refiner's revenue is derived, what it is derived from comes along without a metric. The rows of a document are
+    brought together here, once: all that follows goes by document first.
+    """
     rows = []
     for metric, statement, concepts in METRICS:
         classes = REVENUE_BY_CLASS if policy.issuers and metric == "revenue" else {None: concepts}
         for name, own in classes.items():
             rows += [(name, metric, statement, c, "dei" if policy.exact and c == ENTITY_SHARES else "us-gaap", k) for k, c in enumerate(own)]
+    if policy.issuers:
+        rows += [("refiner", None, None, c, "us-gaap", None) for c in (GROSS_REVENUE, EXCISE_TAXES)]
     table = facts.sparkSession.createDataFrame(rows, "_class string, metric string, statement string, _concept string, _taxonomy string, priority int")
     on = (F.col("concept") == F.col("_concept")) & (F.col("taxonomy") == F.col("_taxonomy")) & (F.col("_class").isNull() | (F.col("_class") == F.col("_issuer")))
-    return facts.withColumn("_issuer", issuer_class).join(F.broadcast(table), on).drop("_class", "_concept", "_taxonomy", "_issuer")
+    return facts.withColumn("_issuer", issuer_class).join(F.broadcast(table), on).drop("_class", "_concept", "_taxonomy", "_issuer").repartition("key")
 
 
 def first_of_concepts(rows: DataFrame) -> DataFrame:
@@ -166,10 +173,10 @@ def stored_facts(facts: DataFrame, policy: Policy, issuer_class: Column | None =
     c = F.col
     said = candidates(facts.drop("problem"), policy, revenue_class(c("cik")) if issuer_class is None else issuer_class)
     if policy.exact:
+        said = cut(said)  # several parts read it: documents are parsed once
         rows = said.where("metric <> 'shares_out'").withColumn("problem", F.lit(None).cast("string")).unionByName(exact_shares(said.where("metric = 'shares_out'")))
         if policy.issuers:
-            refiners = facts.drop("problem").withColumn("_class", revenue_class(c("cik")) if issuer_class is None else issuer_class).where("_class = 'refiner'")
-            rows = rows.unionByName(derived_revenue(refiners).withColumn("problem", F.lit(None).cast("string")), allowMissingColumns=True)
+            rows = rows.unionByName(derived_revenue(said.where("metric IS NULL")).withColumn("problem", F.lit(None).cast("string")), allowMissingColumns=True)
         rows = in_context(rows, policy)
     else:
         rows = first_of_concepts(said).withColumn("problem", F.lit(None).cast("string"))

@@ -11,7 +11,7 @@ from .catalog import query, read
 
 #: A fact from a line item and its order; both engines run these texts.
 FACT = {
-    "concept": "CASE l_linenumber % 6 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' WHEN 2 THEN 'NetIncomeLoss' WHEN 3 THEN 'Assets' WHEN 4 THEN 'CommonStockSharesOutstanding' ELSE 'RevenueFromContractWithCustomerIncludingAssessedTax' END",
+    "concept": "CASE l_linenumber % 6 WHEN 0 THEN CASE l_suppkey % 3 WHEN 0 THEN 'RegulatedAndUnregulatedOperatingRevenue' WHEN 1 THEN 'OperatingLeaseLeaseIncome' ELSE 'Revenues' END WHEN 1 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'ExciseAndSalesTaxes' ELSE 'NetIncomeLoss' END WHEN 3 THEN 'Assets' WHEN 4 THEN 'CommonStockSharesOutstanding' ELSE 'RevenueFromContractWithCustomerIncludingAssessedTax' END",
     "unit": "CASE WHEN l_linenumber % 6 = 4 THEN 'shares' WHEN l_discount > 0.09 THEN 'EUR' ELSE 'USD' END",
     "end": "make_date(CAST(year(l_shipdate) AS INT), CAST(3 * quarter(l_shipdate) AS INT), 28)",
     "start": "CASE WHEN l_linenumber % 6 IN (3, 4) THEN CASE WHEN l_tax > 0.06 THEN make_date(CAST(year(l_shipdate) AS INT), 1, 1) END ELSE make_date(CAST(year(l_shipdate) - CASE WHEN l_tax < 0.01 THEN 1 ELSE 0 END AS INT), CAST(CASE WHEN l_quantity > 25 THEN 1 ELSE 3 * quarter(l_shipdate) - 2 END AS INT), 1) END",
@@ -73,11 +73,17 @@ def facts_storage_withheld(spark, d):
     return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v2-storage-safe-v1"]))
 
 
+def _one_value(concept: str, issuer: str) -> str:
+    return f"""SELECT cik, accn, start, "end", filed, form, fp, fy, unit, span, min(val) AS v, min(pos) AS pos FROM f WHERE concept = '{concept}' AND unit = 'USD' AND {issuer} = 'refiner' GROUP BY ALL HAVING min(val) = max(val)"""
+
+
 def _exact(classes: str, issuer: str, preferred: bool) -> str:
     least = "QUALIFY (metric <> 'revenue' OR priority = min(priority) OVER (PARTITION BY cik, metric, accn, \"end\"))" if preferred else ""
     least_key = "QUALIFY (metric <> 'revenue' OR priority = min(priority) OVER (PARTITION BY cik, metric, \"end\", filed))" if preferred else ""
     return f"""WITH {_ROWS}, {_metric(classes)}, c AS (SELECT f.*, metric, statement, priority FROM f JOIN m ON m.concept = f.concept AND (m.class IS NULL OR m.class = {issuer})),
-u AS (SELECT * FROM c WHERE unit = CASE metric WHEN 'shares_out' THEN 'shares' ELSE 'USD' END),
+ga AS ({_one_value(companyfacts.GROSS_REVENUE, issuer)}), tx AS ({_one_value(companyfacts.EXCISE_TAXES, issuer)}),
+dv AS (SELECT ga.* EXCLUDE (v), ga.v - tx.v AS val, '{companyfacts.NET_REVENUE}' AS concept, 'revenue' AS metric, 'income' AS statement, -1 AS priority FROM ga JOIN tx ON ga.cik = tx.cik AND ga.accn = tx.accn AND ga.start IS NOT DISTINCT FROM tx.start AND ga."end" = tx."end" AND ga.filed = tx.filed AND ga.form = tx.form AND ga.fp = tx.fp AND ga.fy = tx.fy WHERE ga.v >= tx.v),
+u AS (SELECT * FROM (SELECT * FROM c UNION ALL BY NAME SELECT * FROM dv) WHERE unit = CASE metric WHEN 'shares_out' THEN 'shares' ELSE 'USD' END),
 sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, concept, accn, "end" ORDER BY pos) AS k FROM u WHERE metric = 'shares_out' AND start IS NULL) WHERE k = 1),
 inst AS (SELECT cik, accn, "end", filed, metric, statement, priority, fp, fy, val, val AS qv, form, unit FROM (SELECT * EXCLUDE (k) FROM sh UNION ALL SELECT * FROM u WHERE metric = 'total_assets' AND start IS NULL) WHERE form IN ('10-K', '10-Q')),
 p AS (SELECT * FROM u WHERE metric IN ('revenue', 'net_income') AND span BETWEEN 1 AND 400),
@@ -98,8 +104,20 @@ def facts_v3(spark, d):
     return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v3"]))
 
 
-@query(_exact("plain assessed none", "CASE cik % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'assessed' ELSE 'none' END", True))
+_CLASSES = tuple(companyfacts.REVENUE_BY_CLASS)
+
+
+@query(_exact(" ".join(_CLASSES), f"{list(_CLASSES)}[cik % 6 + 1]", True))
 def facts_v4(spark, d):
-    """Revenue by reviewed issuer: here a third each has the plain rule, assessed taxes too, and none."""
-    issuer = F.when(F.col("cik") % 3 == 0, "plain").when(F.col("cik") % 3 == 1, "assessed").otherwise("none")
+    """Revenue by reviewed issuer: here a sixth each has one of the rules, a refiner's net of excise taxes among them."""
+    issuer = F.get(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("cik") % 6).cast("int"))
     return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v4"], issuer))
+
+
+@query(_exact(" ".join(_CLASSES), f"{list(_CLASSES)}[cik % 6 + 1]", True).replace("AS e, count(DISTINCT", "AS e, min(priority) AS top, count(DISTINCT").rpartition("SELECT cik,")[0] + "SELECT cik % 6 AS class, count(*) AS n, count(*) FILTER (WHERE top = -1) AS n_derived FROM o WHERE n = 1 AND metric = 'revenue' GROUP BY 1")
+def facts_by_class(spark, d):
+    """Revenue rows by class of issuer, and how many of them are derived."""
+    issuer = F.get(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("cik") % 6).cast("int"))
+    rows = companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v4"], issuer).where("metric = 'revenue'")
+    derived = F.exists("locators", lambda x: F.contains(x, F.lit(companyfacts.NET_REVENUE)))
+    return rows.groupBy((F.col("cik") % 6).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(derived).alias("n_derived"))
