@@ -27,6 +27,18 @@ SOUND = {
 }
 
 
+@pytest.fixture(autouse=True)
+def tiny(spark):
+    """Relations of a few rows: some fifty joins are planned and run faster without compiled code and re-planning."""
+    confs = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def store(spark, **changed):
     """The sound store with rows added; a row gives only what differs from the relation's first row."""
     out = {}
