@@ -182,14 +182,17 @@ def periods(audit: DataFrame, dates: DataFrame, regimes: DataFrame, top_n: int,
 def benchmark_returns(bars: DataFrame, dates: DataFrame) -> DataFrame:
     """decision, entry, exit, ret, problem: a benchmark's total return by adjusted closes between entry and exit.
 
-    ``bars``: date, close, adj_close of the benchmark; ``dates``: decision, entry, exit, where null its first and last date
-    after the decision up to ``next_decision`` stand in.
+    ``bars``: date, close, adj_close of the benchmark, a row a session (broadcast); ``dates``: decision, entry, exit, where
+    null its first and last date after the decision up to ``next_decision`` stand in. One join, one aggregate.
     """
     c = F.col
     price = F.coalesce("adj_close", "close")
-    rows = dates.join(bars.select("date", price.alias("_p")), (c("date") > c("decision")) & (c("date") <= c("next_decision")), "left")
-    own = rows.groupBy("decision", "next_decision").agg(F.coalesce(F.max("entry"), F.min("date")).alias("entry"), F.coalesce(F.max("exit"), F.max("date")).alias("exit"))
-    at = lambda name: own.select("decision", c(name).alias("date")).join(bars.select("date", price.alias(f"_{name}")), "date").select("decision", f"_{name}")
-    joined = own.join(at("entry"), "decision", "left").join(at("exit"), "decision", "left")
+    inside = (c("date") > c("decision")) & (c("date") <= c("next_decision"))
+    met = dates.join(few(bars.select("date", price.alias("_p"))), inside | (c("date") == c("entry")) | (c("date") == c("exit")), "left")
+    bar = F.when(inside, F.struct("date", "_p"))
+    at = lambda name: F.max(F.when(c("date") == c(name), c("_p")))
+    own = met.groupBy("decision", "next_decision").agg(F.max("entry").alias("_e"), F.max("exit").alias("_x"), F.min(bar).alias("_first"), F.max(bar).alias("_last"), at("entry").alias("_at_e"), at("exit").alias("_at_x"))
+    given = lambda name, own, other: F.when(c(name).isNotNull(), own).otherwise(other)
+    joined = own.select("decision", F.coalesce("_e", "_first.date").alias("entry"), F.coalesce("_x", "_last.date").alias("exit"), given("_e", c("_at_e"), c("_first._p")).alias("_entry"), given("_x", c("_at_x"), c("_last._p")).alias("_exit"))
     problem = F.when(c("entry").isNull() | c("exit").isNull(), "no benchmark price").when(c("_entry").isNull() | c("_exit").isNull() | ~(c("_entry") > 0), "benchmark price is not valid")
     return joined.withColumn("problem", problem).select("decision", "entry", "exit", F.when(c("problem").isNull(), c("_exit") / c("_entry") - 1).alias("ret"), "problem")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .asof import few
+
 #: Days on which the whole market was closed out of turn. Fixed values.
 CLOSED = ("2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09")
 #: First years of holidays that came later: Martin Luther King's and Juneteenth. Fixed values.
@@ -52,3 +56,21 @@ def sessions(spark: SparkSession, start: str, end: str) -> DataFrame:
     shut = F.array(*[F.lit(x).cast("date") for x in CLOSED])
     open_ = F.dayofweek("date").between(2, 6) & ~F.array_contains(holidays(F.year("date")), F.col("date")) & ~F.array_contains(shut, F.col("date"))
     return days.where(open_)
+
+
+#: Days within which there is a session after any day: the longest closure had six days in a row, weekend included.
+LONGEST_CLOSURE = 12
+
+
+def placed(days: DataFrame) -> DataFrame:
+    """date, is_session, next_session of ``days`` (date, each once); a null date is no session and has no next one.
+
+    The days after each are looked up among the sessions by equality, so there is no range join.
+    """
+    first, last = days.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return days.select("date", F.lit(False).alias("is_session"), F.lit(None).cast("date").alias("next_session"))
+    open_ = sessions(days.sparkSession, str(first), str(last + timedelta(days=LONGEST_CLOSURE + 1))).withColumnRenamed("date", "_day")
+    own = days.select("date", F.explode(F.sequence("date", F.date_add("date", LONGEST_CLOSURE))).alias("_day")).join(few(open_), "_day")
+    found = own.groupBy("date").agg(F.min("_day").alias("_first"), F.min(F.when(F.col("_day") > F.col("date"), F.col("_day"))).alias("next_session"))
+    return days.join(found, "date", "left").select("date", F.coalesce(F.col("_first") == F.col("date"), F.lit(False)).alias("is_session"), "next_session")

@@ -115,3 +115,11 @@ def delta(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def shift_year(day: Column) -> Column:
+    """A text of the form year-month-day with the year before; any other text as it is. Days aren't checked: the 29th of
+    February stays."""
+    parts, shape = F.split(day, "-"), day.rlike(r"^\s*[0-9]+\s*-[^-]*-[^-]*$")
+    year = (F.trim(F.get(parts, F.lit(0))).try_cast("bigint") - 1).cast("string")
+    return F.when(shape, F.concat_ws("-", year, F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))).otherwise(day)

@@ -120,3 +120,24 @@ def capped_top(df: DataFrame, group: str, cap: int, n: int, score: str, tie: str
     """
     best = df.withColumn("_in_group", ordinal([group], score, tie)).where(F.col("_in_group") <= cap).drop("_in_group")
     return best.orderBy(F.col(score).desc_nulls_last(), F.col(tie)).limit(n)
+
+
+def selection(df: DataFrame, lacking: Mapping[str, Column], group: str, cap: int, n: int, score: str, tie: str) -> DataFrame:
+    """``capped_top`` with its reasons: ``df`` with rank (of the n that are taken) and reason (of those that are passed over).
+
+    A row is passed over for the first of ``lacking`` that holds, else because its group has its ``cap``. Rows after the last
+    pick aren't looked at, and are left out, unless fewer than n could be taken; rows without a score are left out.
+    """
+    c = F.col
+    reason = F.coalesce(*[F.when(x, name) for name, x in lacking.items()])
+    told = df.where(c(score).isNotNull()).withColumn("reason", reason)
+    best = told.where("reason IS NULL").withColumn("_in_group", ordinal([group], score, tie)).where(c("_in_group") <= cap)
+    picked = best.orderBy(c(score).desc(), tie).limit(n).select(c(tie).alias("_tie"), c(score).alias("_score"))
+    # n rows at most, broadcast and numbered in one task.
+    taken = picked.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(c("_score").desc(), "_tie")))
+    last = taken.agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_score", (-c("rank")).alias("_r"), c("_tie").alias("_at"))).alias("_last"))
+    joined = told.join(F.broadcast(taken.drop("_score")), c(tie) == c("_tie"), "left").join(F.broadcast(last), F.lit(True))
+    before = (c(score) > c("_last._score")) | ((c(score) == c("_last._score")) & (c(tie) < c("_last._at")))
+    kept = joined.where(c("rank").isNotNull() | (c("_n") < n) | before)
+    over = F.when(c("rank").isNull(), F.coalesce("reason", F.concat(c(group), F.lit(" limit reached"))))
+    return kept.select(*df.columns, "rank", over.alias("reason"))

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, calendars, evidence, factors, ingest
+from ..operators import asof, calendars, evidence, factors, facts, ingest, ranking
 from .catalog import _DEDUPED, _MEMBER, _ROUTES, DAY, FACTS, MACRO, MEMBERS, PRICES, SPANS, D, assignments, day, deduped, fact_rows, macro, members, prices, query, read, spans
 from .strategies import _BARS, bars
 
@@ -163,15 +163,39 @@ def price_on_basis(spark, d):
 # Calendar.
 
 
-@query("""WITH RECURSIVE y AS (SELECT unnest(range(1995, 2027)) AS y), g AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM g),
+@query("""WITH RECURSIVE y AS (SELECT unnest(range(1990, 2030)) AS y), g AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM g),
 l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM h), m AS (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM l), e AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM m),
 f AS (SELECT y, d, sat FROM y, (VALUES (1, 1, FALSE), (7, 4, TRUE), (12, 25, TRUE), (6, 19, TRUE)) v(mo, dy, sat), LATERAL (SELECT make_date(y, mo, dy) AS d) WHERE mo <> 6 OR y >= 2022),
 o AS (SELECT CASE dayofweek(d) WHEN 0 THEN d + 1 WHEN 6 THEN CASE WHEN sat THEN d - 1 ELSE d END ELSE d END AS d FROM f),
-n AS (SELECT d FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2026-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE (month(d) = 1 AND year(d) >= 1998 AND dayofweek(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 2 AND dayofweek(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 5 AND dayofweek(d) = 1 AND day(d) >= 25) OR (month(d) = 9 AND dayofweek(d) = 1 AND day(d) <= 7) OR (month(d) = 11 AND dayofweek(d) = 4 AND day(d) BETWEEN 22 AND 28))
-SELECT d AS date FROM (SELECT CAST(unnest(generate_series(DATE '1995-06-01', DATE '2026-05-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d NOT IN (SELECT easter - 2 FROM e) AND d NOT IN (SELECT d FROM o) AND d NOT IN (SELECT d FROM n) AND d NOT IN (""" + ", ".join(f"DATE '{x}'" for x in calendars.CLOSED) + ")")
+n AS (SELECT d FROM (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2029-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE (month(d) = 1 AND year(d) >= 1998 AND dayofweek(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 2 AND dayofweek(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 5 AND dayofweek(d) = 1 AND day(d) >= 25) OR (month(d) = 9 AND dayofweek(d) = 1 AND day(d) <= 7) OR (month(d) = 11 AND dayofweek(d) = 4 AND day(d) BETWEEN 22 AND 28)),
+ss AS MATERIALIZED (SELECT d FROM (SELECT CAST(unnest(generate_series(DATE '1990-06-01', DATE '2029-05-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND d NOT IN (SELECT easter - 2 FROM e) AND d NOT IN (SELECT d FROM o) AND d NOT IN (SELECT d FROM n) AND d NOT IN (""" + ", ".join(f"DATE '{x}'" for x in calendars.CLOSED) + """)),
+td AS (SELECT CAST(o_orderdate AS DATE) AS date FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem)
+SELECT date, date IN (SELECT d FROM ss) AS is_session, (SELECT min(d) FROM ss WHERE d > date) AS next_session FROM td""")
 def us_sessions(spark, d):
-    """The oracle finds Easter by another rule, and holidays by the days on which they can fall."""
-    return calendars.sessions(spark, "1995-06-01", "2026-06-01")
+    """The days of orders and shipments: which are sessions, and the next one of each. The oracle finds Easter by another
+    rule, and holidays by the days on which they can fall."""
+    days = read(spark, d, "orders").select(day("o_orderdate").alias("date")).union(read(spark, d, "lineitem").select(day("l_shipdate").alias("date")))
+    return calendars.placed(days.distinct())
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'soon' WHEN 1 THEN NULL WHEN 2 THEN 'x-' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN 3 THEN 'y-01-01' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(day, '^\\s*[+-]?[0-9]+\\s*-[^-]*-[^-]*$') THEN CAST(CAST(trim(split_part(day, '-', 1)) AS BIGINT) - 1 AS VARCHAR) || '-' || split_part(day, '-', 2) || '-' || split_part(day, '-', 3) ELSE day END AS before FROM t""")
+def shifted_years(spark, d):
+    text = day("o_orderdate").cast("string")
+    told = F.when(F.col("o_orderkey") % 9 == 0, "soon").when(F.col("o_orderkey") % 9 == 1, None).when(F.col("o_orderkey") % 9 == 2, F.concat(F.lit("x-"), text)).when(F.col("o_orderkey") % 9 == 3, "y-01-01").otherwise(text)
+    return read(spark, d, "orders").select("o_orderkey", facts.shift_year(told).alias("before"))
+
+
+@query("""WITH f AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 11 > 0 THEN c_mktsegment END AS sector, CASE WHEN c_custkey % 7 > 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 5 > 0 THEN 1e6 END AS adv, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer WHERE c_acctbal IS NOT NULL),
+v AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY place) AS k FROM f WHERE id IS NOT NULL AND sector IS NOT NULL AND adv IS NOT NULL), s AS (SELECT c_custkey, place, row_number() OVER (ORDER BY place) AS rank FROM v WHERE k <= 4 QUALIFY rank <= 15)
+SELECT f.c_custkey, s.rank, CASE WHEN s.rank IS NULL THEN CASE WHEN id IS NULL THEN 'no stable identity' WHEN sector IS NULL THEN 'no sector' WHEN adv IS NULL THEN 'too few liquid days' ELSE sector || ' limit reached' END END AS reason
+FROM f LEFT JOIN s USING (c_custkey) WHERE s.rank IS NOT NULL OR f.place < (SELECT max(place) FROM s) OR (SELECT count(*) FROM s) < 15""")
+def selection_reasons(spark, d):
+    """What a capped selection of fifteen took, and why it passed over what came before its last pick."""
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select("c_custkey", "c_acctbal", F.when(k % 11 > 0, F.col("c_mktsegment")).alias("sector"), F.when(k % 7 > 0, k).alias("id"), F.when(k % 5 > 0, 1e6).alias("adv"))
+    lacking = {"no stable identity": F.col("id").isNull(), "no sector": F.col("sector").isNull(), "too few liquid days": F.col("adv").isNull()}
+    return ranking.selection(rows, lacking, "sector", 4, 15, "c_acctbal", "c_custkey").select("c_custkey", "rank", "reason")
 
 
 # Lineage, edges, batches, gaps.
@@ -342,10 +366,10 @@ def quarantine(spark, d):
     return stays.withColumn("fate", F.lit("stays")).select("fate").unionByName(goes.select(F.col("quarantine_reason").alias("fate"))).groupBy("fate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_SOURCED} SELECT series_id, date, count(*) AS n FROM src a WHERE release_date IS NULL AND NOT EXISTS (SELECT 1 FROM src b WHERE b.series_id = a.series_id AND b.date = a.date AND b.release_date IS NOT NULL AND b.value > 80) GROUP BY ALL")
+@query(f"WITH {_SOURCED} SELECT series_id, date, count(*) AS n FROM src a WHERE release_date IS NULL AND NOT EXISTS (SELECT 1 FROM src b WHERE b.series_id = a.series_id AND b.date = a.date AND b.release_date IS NOT NULL AND b.fetched_at % 70 = 0) GROUP BY ALL")
 def uncovered_legacy(spark, d):
     rows = macro(spark, d).withColumn("release_date", F.when(F.col("event_id") % 11 > 0, F.col("date")))
-    left = ingest.uncovered_legacy(rows, F.col("release_date").isNull(), ["series_id", "date"], F.col("release_date").isNotNull() & (F.col("value") > 80))
+    left = ingest.uncovered_legacy(rows, F.col("release_date").isNull(), ["series_id", "date"], F.col("release_date").isNotNull() & (F.col("event_id") % 70 == 0))
     return left.groupBy("series_id", "date").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, detectors, risk
+from ..operators import asof, backtest, detectors, risk
 from .catalog import _QUARTERS, DAY, FACTS, POSITIONS, D, day, decisions, fact_rows, positions, query, read
 from .strategies import _BARS, _finding_sql, bars
 
@@ -142,8 +142,7 @@ def backtest_periods(spark, d):
 def _audit(spark, d):
     """Every customer on every decision date (a row a quarter, broadcast): eligible with a balance and an order that day."""
     bought = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), day("o_orderdate").alias("decision")).distinct().withColumn("_there", F.lit(True))
-    dates = decisions(spark, d).distinct().agg(F.collect_set("decision").alias("_all"))
-    everyone = read(spark, d, "customer").join(F.broadcast(dates)).select("c_custkey", "c_name", "c_acctbal", F.explode("_all").alias("decision"))
+    everyone = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").join(asof.few(decisions(spark, d).distinct()), F.lit(True))
     joined = everyone.join(bought, ["c_custkey", "decision"], "left")
     return joined.select("decision", F.col("c_name").alias("ticker"), (F.col("_there").isNotNull() & (F.col("c_acctbal") > 0)).alias("eligible"), F.col("c_acctbal").alias("score"))
 

@@ -17,15 +17,15 @@ RELATIONS = {
     "issuer_cik_history": f"""SELECT {_S} AS issuer_id, DATE '2010-01-01' AS effective_start, CASE WHEN s_suppkey % 9 > 0 THEN DATE '2012-01-01' ELSE DATE '2009-01-01' END AS effective_end, CASE WHEN s_suppkey % 11 > 0 THEN DATE '2022-01-01' ELSE DATE '2999-01-01' END AS verified_date FROM supplier
         UNION ALL SELECT {_S}, CASE WHEN s_suppkey % 5 > 0 THEN DATE '2012-01-01' ELSE DATE '2011-06-01' END, CAST(NULL AS DATE), DATE '2022-01-01' FROM supplier""",
     "security_issuer_assignments": f"SELECT {_P} AS security_id, 'i' || (p_partkey % 21 + 1) AS issuer_id, DATE '1990-01-01' AS effective_start, CAST(NULL AS DATE) AS effective_end, CASE WHEN p_partkey % 60 > 0 THEN DATE '2022-01-01' ELSE DATE '2999-01-01' END AS verified_date FROM part",
-    "provider_symbol_history": f"SELECT 'yfinance' AS provider, 'P' || (p_partkey - CASE WHEN p_partkey % 40 = 0 THEN 1 ELSE 0 END) AS provider_symbol, {_P} AS security_id, DATE '1992-06-01' AS data_start, {_END} AS data_end, CASE WHEN p_partkey % 25 > 0 THEN 'verified' ELSE 'open' END AS mapping_status, DATE '2022-01-01' AS verified_date FROM part",
+    "provider_symbol_history": f"SELECT 'yfinance' AS provider, 'P' || (p_partkey - CASE WHEN p_partkey % 40 = 0 THEN 1 ELSE 0 END) AS provider_symbol, {_P} AS security_id, DATE '1996-06-01' AS data_start, {_END} AS data_end, CASE WHEN p_partkey % 25 > 0 THEN 'verified' ELSE 'open' END AS mapping_status, DATE '2022-01-01' AS verified_date FROM part",
     "security_identity_assignments": f"""SELECT 'u' AS universe_id, 'T' || p_partkey AS ticker, DATE '1990-01-01' AS effective_start, {_END} AS effective_end, {_P} AS security_id, CASE WHEN p_partkey % 70 > 0 THEN DATE '1990-01-01' ELSE DATE '2999-01-01' END AS known_date FROM part
         UNION ALL SELECT 'u', 'U' || p_partkey, DATE '1998-05-01', CAST(NULL AS DATE), {_P}, DATE '1998-01-01' FROM part WHERE p_partkey % 35 = 1""",
     "universe_membership": f"""SELECT 'u' AS universe_id, 'T' || p_partkey AS ticker, CASE WHEN p_partkey % 12 > 0 THEN {_P} WHEN p_partkey % 24 > 0 THEN 's0' END AS security_id, DATE '1990-01-01' AS effective_start, CASE WHEN p_partkey % 31 = 0 THEN DATE '1989-01-01' ELSE {_END} END AS effective_end,
         CASE WHEN p_partkey % 90 > 0 THEN DATE '1989-12-01' ELSE DATE '2999-01-01' END AS known_date, CASE WHEN p_partkey % 8 > 0 THEN {_END} END AS end_known_date FROM part
         UNION ALL SELECT 'u', 'T' || p_partkey, {_P}, DATE '1998-05-01', CAST(NULL AS DATE), DATE '1998-04-01', CAST(NULL AS DATE) FROM part WHERE p_partkey % 45 = 1""",
     "prices": "SELECT 'T' || (l_partkey + CASE WHEN l_orderkey % 37 = 0 THEN 1 ELSE 0 END) AS ticker, CASE WHEN l_orderkey % 5 > 0 THEN 's' || l_partkey END AS security_id, 'P' || l_partkey AS provider_symbol, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_orderkey % 301 > 0 THEN l_extendedprice ELSE -1.0E0 END AS close, l_orderkey % 41 > 0 AS actions_complete, CASE WHEN l_orderkey % 43 > 0 THEN l_orderkey % 2 = 0 END AS close_split_adjusted, CASE WHEN l_orderkey % 7 > 0 THEN 1.0E0 WHEN l_orderkey % 49 = 0 THEN -1.0E0 END AS split_normalization_factor, CASE l_orderkey % 6 WHEN 0 THEN 'yfinance:ohlc-envelope-v1' WHEN 1 THEN 'tiingo' ELSE 'yfinance' END AS source FROM lineitem",
-    "factor_price_provenance": f"SELECT 'p' || p_partkey AS provenance_id, {_P} AS security_id, 'yfinance' AS provider, 'P' || p_partkey AS provider_symbol, DATE '1990-01-01' AS data_start, CASE WHEN p_partkey % 14 > 0 THEN DATE '1992-06-01' ELSE DATE '1992-06-02' END AS data_end, DATE '1992-06-01' AS overlap_start, DATE '1992-07-01' AS overlap_end, CASE WHEN p_partkey % 80 > 0 THEN DATE '2022-01-01' ELSE DATE '2999-01-01' END AS verified_date, CASE WHEN p_partkey % 22 > 0 THEN repeat('ab', 32) ELSE {_SHA} END AS payload_sha256, repeat('0f', 32) AS overlap_sha256 FROM part WHERE p_partkey % 3 > 0",
-    "factor_prices": "SELECT 's' || l_partkey AS security_id, CAST(l_shipdate AS DATE) AS date, 'yfinance' AS provider, 'P' || l_partkey AS provider_symbol, l_extendedprice AS close, CASE WHEN l_orderkey % 211 > 0 THEN 0.0E0 ELSE -1.0E0 END AS dividends, 1.0E0 AS split_ratio, l_orderkey % 51 > 0 AS actions_complete, l_orderkey % 2 = 0 AS close_split_adjusted, 1.0E0 AS split_normalization_factor, 'p' || l_partkey AS provenance_id FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-08-01 00:00:00'",
+    "factor_price_provenance": f"SELECT 'p' || p_partkey AS provenance_id, {_P} AS security_id, 'yfinance' AS provider, 'P' || p_partkey AS provider_symbol, DATE '1990-01-01' AS data_start, CASE WHEN p_partkey % 14 > 0 THEN DATE '1996-06-01' ELSE DATE '1996-06-02' END AS data_end, DATE '1996-06-01' AS overlap_start, DATE '1996-07-01' AS overlap_end, CASE WHEN p_partkey % 80 > 0 THEN DATE '2022-01-01' ELSE DATE '2999-01-01' END AS verified_date, CASE WHEN p_partkey % 22 > 0 THEN repeat('ab', 32) ELSE {_SHA} END AS payload_sha256, repeat('0f', 32) AS overlap_sha256 FROM part WHERE p_partkey % 3 > 0",
+    "factor_prices": "SELECT 's' || l_partkey AS security_id, CAST(l_shipdate AS DATE) AS date, 'yfinance' AS provider, 'P' || l_partkey AS provider_symbol, l_extendedprice AS close, CASE WHEN l_orderkey % 211 > 0 THEN 0.0E0 ELSE -1.0E0 END AS dividends, 1.0E0 AS split_ratio, l_orderkey % 51 > 0 AS actions_complete, l_orderkey % 2 = 0 AS close_split_adjusted, 1.0E0 AS split_normalization_factor, 'p' || l_partkey AS provenance_id FROM lineitem WHERE l_linenumber = 1",
     "macro": "SELECT event_type AS series_id, CAST(ts AS DATE) AS date, CASE WHEN event_id % 53 = 0 THEN CAST(NULL AS DATE) WHEN event_id % 59 = 0 THEN DATE '2999-01-01' ELSE CAST(ts AS DATE) + CAST(event_id % 30 AS INT) END AS release_date, CASE WHEN event_id % 61 > 0 THEN value END AS value, CASE WHEN event_id % 2 = 0 THEN 'fred' ELSE 'treasury' END AS source, event_id AS fetched_at FROM events",
     "fundamentals": "SELECT 'T' || o_orderkey AS ticker, CASE WHEN o_orderkey % 4 > 0 THEN 'i' || (o_custkey % 22 + 1) END AS issuer_id, CASE WHEN o_orderkey % 3 > 0 THEN 's' || (o_custkey % 900 + 1) END AS security_id, CAST(o_orderdate AS DATE) AS period_end, CASE WHEN o_orderkey % 67 = 0 THEN CAST(NULL AS DATE) WHEN o_orderkey % 71 = 0 THEN DATE '2999-01-01' ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 - 1 AS INT) END AS as_of_date, CASE o_orderkey % 5 WHEN 0 THEN 'ebitda' WHEN 1 THEN 'total_assets' ELSE 'revenue' END AS metric, o_totalprice AS value, CASE WHEN o_orderkey % 73 > 0 THEN o_totalprice END AS quarter_value, 'USD' AS unit FROM orders",
     "fundamental_versions": "SELECT o_orderkey AS version_sequence, 'T' || o_orderkey AS ticker, CAST(o_orderdate AS DATE) AS period_end, CASE WHEN o_orderkey % 67 = 0 THEN CAST(NULL AS DATE) WHEN o_orderkey % 71 = 0 THEN DATE '2999-01-01' ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 - 1 AS INT) END AS as_of_date, CASE o_orderkey % 5 WHEN 0 THEN 'ebitda' WHEN 1 THEN 'total_assets' ELSE 'revenue' END AS metric, CASE WHEN o_orderkey % 17 > 0 THEN o_totalprice ELSE 0.0E0 END AS value, CASE WHEN o_orderkey % 73 > 0 THEN o_totalprice END AS quarter_value, 'USD' AS unit, o_orderkey % 19 = 0 AS is_deleted FROM orders WHERE o_orderkey % 13 > 0",

@@ -50,16 +50,27 @@ def daily_bars(documents: DataFrame) -> DataFrame:
     return named.withColumn("problem", _price_problem())
 
 
+#: What an export says of itself, and the version that is read. Fixed values.
+EXPORT, EXPORT_VERSION = "export_schema_version: int, provider: string", 1
+
+
+def _supported(provider: str) -> Column:
+    return F.coalesce((F.col("d.export_schema_version") == EXPORT_VERSION) & (F.col("d.provider") == provider), F.lit(False))
+
+
 def exported_bars(documents: DataFrame) -> DataFrame:
     """The same, with split_normalization_factor, from export documents: closes adjusted for all later splits.
 
-    The factor of a day is the product of the ratios of later splits; 0 in ``stock_splits`` means none.
+    The factor of a day is the product of the ratios of later splits; 0 in ``stock_splits`` means none. An export of another
+    version or provider is one row with a problem.
     """
     bar = "date: string, open: double, high: double, low: double, close: double, adj_close: double, volume: bigint, dividends: double, stock_splits: double"
-    rows = documents.select("key", F.explode(F.from_json("payload", f"struct<provider_rows: array<struct<{bar}>>>")["provider_rows"]).alias("r")).select("key", "r.*")
+    read = documents.select("key", F.from_json("payload", f"struct<{EXPORT}, provider_rows: array<struct<{bar}>>>").alias("d"))
+    broken = read.where(~_supported("yfinance") | F.col("d.provider_rows").isNull()).select("key", F.lit("export is not supported").alias("problem"))
+    rows = read.where(_supported("yfinance")).select("key", F.explode("d.provider_rows").alias("r")).select("key", "r.*")
     ratio = F.when(F.coalesce(F.col("stock_splits"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("stock_splits"))
     named = rows.withColumn("date", F.expr("try_cast(left(date, 10) AS date)")).withColumn("split_ratio", ratio).drop("stock_splits")
-    return named.withColumn("split_normalization_factor", later_product(["key"], "date", "split_ratio")).withColumn("problem", _price_problem())
+    return named.withColumn("split_normalization_factor", later_product(["key"], "date", "split_ratio")).withColumn("problem", _price_problem()).unionByName(broken, allowMissingColumns=True)
 
 
 def yield_curve(wide: DataFrame, tenors: Sequence[str], date_format: str = "MM/dd/yyyy") -> DataFrame:
@@ -82,10 +93,11 @@ def macro_vintages(documents: DataFrame) -> DataFrame:
     Anything else that isn't a number or a date, a release before its observation, a vintage that comes twice, and a
     document without rows are problems.
     """
-    shape = "struct<series_id: string, unit: string, provider_rows: array<struct<date: string, realtime_start: string, value: string>>>"
+    shape = f"struct<{EXPORT}, series_id: string, unit: string, provider_rows: array<struct<date: string, realtime_start: string, value: string>>>"
     read = documents.select("key", F.from_json("payload", shape).alias("d"))
-    broken = read.where(F.col("d.provider_rows").isNull() | F.col("d.series_id").isNull()).select("key", F.lit("document holds no observations").alias("problem"))
-    rows = read.where(F.col("d.series_id").isNotNull()).select("key", "d.series_id", "d.unit", F.explode("d.provider_rows").alias("r")).where(F.col("r.value").isNotNull() & (F.trim("r.value") != "."))
+    said = F.when(~_supported("fred"), "export is not supported").when(F.col("d.provider_rows").isNull() | F.col("d.series_id").isNull(), "document holds no observations")
+    broken = read.withColumn("problem", said).where(F.col("problem").isNotNull()).select("key", "problem")
+    rows = read.where(_supported("fred") & F.col("d.series_id").isNotNull()).select("key", "d.series_id", "d.unit", F.explode("d.provider_rows").alias("r")).where(F.col("r.value").isNotNull() & (F.trim("r.value") != "."))
     typed = rows.select("key", "series_id", F.expr("try_cast(r.date AS date)").alias("date"), F.expr("try_cast(r.realtime_start AS date)").alias("release_date"), F.expr("try_cast(r.value AS double)").alias("value"), "unit")
     repeated = F.count(F.lit(1)).over(Window.partitionBy("key", "series_id", "date", "release_date")) > 1
     problem = F.when(F.col("date").isNull() | F.col("release_date").isNull(), "date is not valid").when(~F.coalesce(finite(F.col("value")), F.lit(False)), "value is not a number").when(F.col("release_date") < F.col("date"), "released before its date").when(repeated, "duplicate observation")

@@ -231,3 +231,18 @@ def test_a_long_book_streams_and_overlapping_periods_keep_their_order(spark):
     assert x == y and [r[-1] for r in x if r[-1]] == ["no targets"]
     plain = {d: {s: bar(10.0 + (k * n) % 7, dividend=0.01) for n, s in enumerate("ABC", 2)} for k, d in enumerate(days)}
     assert [(r[0], round(r[2], 6), r[6], list(r[7]), r[8]) for r in x] == folded([p[1:] for p in periods if p[0] == "x"], plain)
+
+
+def test_selection_tells_why_rows_are_passed_over(spark):
+    rows = [("a", "x", 9.0, 1), ("b", "x", 8.0, 1), ("c", "x", 7.0, 1), ("d", None, 6.0, 1), ("e", "y", 5.0, None), ("f", "y", 4.0, 1), ("g", "y", 3.0, 1), ("h", "z", None, 1)]
+    df = spark.createDataFrame(rows, "t string, g string, s double, adv int")
+    lacking = {"no sector": F.col("g").isNull(), "no volume": F.col("adv").isNull()}
+    told = lambda n: [(r["t"], r["rank"], r["reason"]) for r in ranking.selection(df, lacking, "g", 2, n, "s", "t").orderBy("t").collect()]
+    assert told(3) == [("a", 1, None), ("b", 2, None), ("c", None, "x limit reached"), ("d", None, "no sector"), ("e", None, "no volume"), ("f", 3, None)]
+    assert told(9) == [*told(3), ("g", 4, None)]
+
+
+def test_years_are_shifted_as_texts(spark):
+    days = ["2024-02-29", "2024-1-5", "soon", None, "2024-01-01-01", "x-1-2"]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(days)], "k int, d string")
+    assert [r["b"] for r in df.orderBy("k").select(facts.shift_year(F.col("d")).alias("b")).collect()] == ["2023-02-29", "2023-1-5", "soon", None, "2024-01-01-01", "x-1-2"]

@@ -31,8 +31,11 @@ def test_daily_bars(spark):
 
 def test_exported_bars_normalise_later_splits(spark):
     days = [{"date": f"2024-01-0{k}", "open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5, "adj_close": 1.4, "volume": 1, "dividends": 0.0, "stock_splits": s} for k, s in ((2, 0.0), (3, 2.0), (4, 0.0), (5, 3.0))]
-    rows = sources.exported_bars(frame(spark, {"provider_rows": days})).orderBy("date").collect()
+    rows = sources.exported_bars(frame(spark, {"export_schema_version": 1, "provider": "yfinance", "provider_rows": days})).orderBy("date").collect()
     assert [r["split_normalization_factor"] for r in rows] == [6.0, 3.0, 3.0, 1.0] and not any(r["problem"] for r in rows)
+    for other in ({"export_schema_version": 2}, {"provider": "x"}, {"provider_rows": None}):
+        export = {"export_schema_version": 1, "provider": "yfinance", "provider_rows": days} | other
+        assert [(r["close"], r["problem"]) for r in sources.exported_bars(frame(spark, export)).collect()] == [(None, "export is not supported")]
 
 
 def test_yield_curve(spark):
@@ -43,8 +46,9 @@ def test_yield_curve(spark):
 
 def test_macro_vintages(spark):
     rows = [{"date": "2020-01-01", "realtime_start": "2020-02-01", "value": "100"}, {"date": "2020-01-01", "realtime_start": "2020-04-01", "value": "."}, {"date": "2020-01-01", "realtime_start": "2020-05-01", "value": "x"}, {"date": "soon", "realtime_start": "2020-05-01", "value": "1"}]
-    got = sources.macro_vintages(frame(spark, {"series_id": "GDP", "unit": "b", "provider_rows": rows}, {"series_id": "GDP"})).collect()
-    assert sorted((r["key"], r["value"] or 0, r["problem"] or "") for r in got) == [("k0", 0, "value is not a number"), ("k0", 1.0, "date is not valid"), ("k0", 100.0, ""), ("k1", 0, "document holds no observations")]
+    own = {"export_schema_version": 1, "provider": "fred"}
+    got = sources.macro_vintages(frame(spark, own | {"series_id": "GDP", "unit": "b", "provider_rows": rows}, own | {"series_id": "GDP"}, {"series_id": "GDP", "provider_rows": rows})).collect()
+    assert sorted((r["key"], r["value"] or 0, r["problem"] or "") for r in got) == [("k0", 0, "value is not a number"), ("k0", 1.0, "date is not valid"), ("k0", 100.0, ""), ("k1", 0, "document holds no observations"), ("k2", 0, "export is not supported")]
 
 
 def test_company_facts(spark):
