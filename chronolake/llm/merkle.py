@@ -1,7 +1,9 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
 A text's leaves are its paragraphs: lines, cut after sentence ends so that a text without line feeds has leaves too. A
-section is a run of paragraphs that ends where a paragraph's hash says so (one in eight on average) or with a line feed
+paragraph of more than ``LONG`` characters is cut further by its content, after words whose last character says so (one in
+four), so what stands before and after an edit keeps its leaves; and the beginning of every text is cut into short pieces,
+so the shortest texts have several leaves too. A section is a run of paragraphs that ends where a paragraph's hash says so (one in eight on average) or with a line feed
 after such a run, so an edit moves section bounds near itself only. A section's hash covers its paragraphs' hashes, the
 root its sections' hashes. Equal roots mean equal texts; otherwise the sections that two trees share are skipped and
 only the differing branches are opened, which finds the edited paragraphs.
@@ -26,6 +28,9 @@ from .common import slices
 
 #: What a paragraph ends with: a line feed, or the white space after a sentence end. Found in one pass, whatever the text.
 BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
+#: Characters at a text's beginning, and of each piece of these; the most of a paragraph that isn't cut by its words.
+HEAD, PIECE, LONG = 64, 4, 64
+SPACE = re.compile(r"[ \t]+")
 #: A section ends after a paragraph whose hash's first byte is a multiple of this.
 SECTION = 8
 SLICE_BYTES = 4 << 20
@@ -47,13 +52,28 @@ class Tree:
     size: int
 
 
+def _words_apart(paragraph: str) -> Iterator[str]:
+    """A long paragraph, cut after the space behind words whose last character's code is a multiple of four; what is still
+    long is cut every ``LONG`` characters."""
+    begin, ends = 0, [m.end() for m in SPACE.finditer(paragraph) if m.start() and ord(paragraph[m.start() - 1]) % 4 == 0]
+    for end in [*ends, len(paragraph)]:
+        while begin < end:
+            upto = min(end, begin + LONG)
+            yield paragraph[begin:upto]
+            begin = upto
+
+
 def paragraphs(text: str) -> Iterator[str]:
-    begin = 0
-    for found in BREAK.finditer(text):
-        yield text[begin : found.end()]
-        begin = found.end()
-    if begin < len(text):
-        yield text[begin:]
+    for k in range(0, min(HEAD, len(text)), PIECE):
+        yield text[k : min(k + PIECE, HEAD)]
+    begin = HEAD
+    for found in [*BREAK.finditer(text, HEAD), None]:
+        end = found.end() if found else len(text)
+        if end - begin > LONG:
+            yield from _words_apart(text[begin:end])
+        elif end > begin:
+            yield text[begin:end]
+        begin = end
 
 
 def tree_of(text: str) -> Tree:

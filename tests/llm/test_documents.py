@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 import re
 import textwrap
 import time
@@ -352,15 +353,35 @@ def test_quality_of_pages_by_address(spark):
 
 
 def plain_paragraphs(text):
-    """One character after the other: a paragraph ends with a line feed, or where white space after a sentence end is over."""
+    """Character by character: what ends a leaf is looked at after each."""
     out, now = [], ""
-    for k, c in enumerate(text):
-        now += c
-        spaces = now[len(now.rstrip(" \t")) :]
-        if c == "\n" or (spaces and now[: -len(spaces)][-1:] in (".", "!", "?") and text[k + 1 : k + 2] not in (" ", "\t")):
+    for k, x in enumerate(text):
+        now += x
+        following = text[k + 1] if k + 1 < len(text) else ""
+        if k < 64:
+            done = k % 4 == 3
+        else:
+            tail = text[64 : k + 1]
+            spaces = len(tail) - len(tail.rstrip(" \t"))
+            done = x == "\n" or (spaces > 0 and text[k - spaces] in ".!?" and (not following or following not in " \t"))
+        if done:
             out.append(now)
             now = ""
-    return out + [now] * bool(now)
+    out += [now] if now else []
+    cut = []
+    for piece in out:
+        if len(piece) <= 64:
+            cut.append(piece)
+            continue
+        part = ""
+        for k, x in enumerate(piece):
+            part += x
+            word = piece[: k + 1].rstrip(" \t") if x in " \t" and piece[k + 1 : k + 2] not in (" ", "\t") else ""
+            if len(part) == 64 or (word and ord(word[-1]) % 4 == 0):
+                cut.append(part)
+                part = ""
+        cut += [part] if part else []
+    return cut
 
 
 def plain_root(text):
@@ -395,6 +416,20 @@ def test_merkle(spark, monkeypatch, ranges):
     assert merkle.fingerprint_edits(empty(spark)).count() == 0
 
 
+def test_what_stands_keeps_its_likeness():
+    """A quarter of a text is replaced; whatever its form, the rest is found again, and other texts are not alike."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    texts = [words(400), words(40), words(6), "This.", "abcd", "x" * 3000, "".join(rng.choice("abcdef") for _ in range(5000)), "\n".join(words(5) for _ in range(9)), words(15) + ". " + words(300)]
+    for text in texts:
+        edited = text[: len(text) - len(text) // 4] + "#" * (len(text) // 4)
+        near = merkle.likeness(merkle.tree_of(text), merkle.tree_of(edited))
+        assert (near == 0.0) if text == "abcd" else 0.4 < near < 0.9, (text[:20], near)
+    assert merkle.likeness(merkle.tree_of(texts[0]), merkle.tree_of(words(400))) < 0.1
+    middle = texts[0][:900] + "some more words here " + texts[0][900:]
+    assert merkle.likeness(merkle.tree_of(texts[0]), merkle.tree_of(middle)) > 0.9
+
+
 def test_hot_ids_are_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(merkle, "RANGE_ROWS", 10)
     docs = spark.createDataFrame([(5 if k % 3 else k, f"text {k}") for k in range(600)] + [(None, f"t {k}") for k in range(200)], "doc_id long, text string")
