@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from ..operators import quality
+from pyspark.sql import functions as F
+
+from ..operators import quality, reviewed
 from .catalog import query, read
 
 _P, _S = "'s' || p_partkey", "'i' || s_suppkey"
@@ -79,3 +81,67 @@ def store_report(spark, d):
     used = lambda sql: {t: df for t, df in tables.items() if f"{{{t}}}" in sql}
     relations = {n: spark.sql(named(x), **used(named(x))) for n, x in RELATIONS.items()}
     return quality.report(relations)
+
+
+def _relations(spark, d, *names):
+    tables = {t: read(spark, d, t) for t in ("part", "supplier", "lineitem", "orders", "events")}
+    named = lambda sql: re.sub(r"FROM (part|supplier|lineitem|orders|events)\b", r"FROM {\1}", sql)
+    return [spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql}) for sql in map(named, names)]
+
+
+#: Arriving identities: faults of a row, of its membership, and of what is stored (every fourth part).
+IDENTITIES = """SELECT universe_id, CASE WHEN k % 77 > 0 THEN ticker ELSE ' ' END AS ticker, effective_start, CASE WHEN k % 19 > 0 THEN effective_end ELSE DATE '1997-01-01' END AS effective_end, CASE WHEN k % 23 = 0 THEN 's1' ELSE 's' || k END AS security_id,
+  CASE WHEN k % 17 > 0 THEN DATE '1989-01-01' ELSE DATE '1991-01-01' END AS known_date, CASE WHEN k % 29 = 0 THEN 'guess' WHEN k % 2 = 0 THEN 'bounded_ticker' ELSE 'verified_ticker_change' END AS identity_status, 'review' AS source FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS k FROM ({m}) q WHERE effective_start = DATE '1990-01-01') r"""
+_M, _ASSIGNED = RELATIONS["universe_membership"], "SELECT 'u' AS universe_id, 'W' || p_partkey AS ticker, DATE '1996-01-01' AS effective_start, DATE '1996-06-01' AS effective_end, 's' || p_partkey AS security_id, DATE '1989-01-01' AS known_date, 'bounded_ticker' AS identity_status, 'review' AS source FROM part WHERE p_partkey % 4 = 0"
+
+
+@query(f"""WITH m AS ({_M}), ar AS ({IDENTITIES.replace("{m}", "SELECT * FROM m")}), st AS ({_ASSIGNED}),
+j AS (SELECT ar.*, count(*) OVER (PARTITION BY ar.universe_id, ar.ticker, ar.effective_start) AS n, min(identity_status) OVER (PARTITION BY ar.security_id) <> max(identity_status) OVER (PARTITION BY ar.security_id) AS mixed, m.universe_id IS NOT NULL AS there, m.effective_end AS mend, m.security_id AS owner
+  FROM ar LEFT JOIN m ON m.universe_id = ar.universe_id AND m.ticker = ar.ticker AND m.effective_start = ar.effective_start),
+p AS (SELECT universe_id, ticker, effective_start, effective_end, security_id, CASE WHEN trim(ticker) = '' THEN 'lacks universe, ticker, security or source' WHEN identity_status = 'guess' THEN 'unknown status' WHEN known_date > effective_start THEN 'known after its start' WHEN effective_end <= effective_start THEN 'end does not follow the start'
+  WHEN n > 1 THEN 'arrives more than once' WHEN mixed THEN 'security has several statuses' WHEN NOT there OR mend IS DISTINCT FROM effective_end THEN 'is no membership' WHEN owner <> security_id THEN 'membership has another security' END AS problem FROM j),
+a AS (SELECT universe_id, ticker, effective_start, effective_end, security_id FROM p WHERE problem IS NULL UNION ALL SELECT universe_id, ticker, effective_start, effective_end, security_id FROM st),
+o AS (SELECT *, row_number() OVER w AS r, lag(effective_end) OVER w AS before FROM a WINDOW w AS (PARTITION BY universe_id, security_id ORDER BY effective_start, ticker))
+SELECT ticker, security_id, effective_start, CASE WHEN r > 1 AND (before IS NULL OR effective_start < before) THEN 'security has two tickers at a time' END AS problem FROM o UNION ALL SELECT ticker, security_id, effective_start, problem FROM p WHERE problem IS NOT NULL""")
+def identity_writes(spark, d):
+    members, arrived, stored = _relations(spark, d, _M, IDENTITIES.replace("{m}", _M).replace("VARCHAR", "STRING"), _ASSIGNED)
+    return reviewed.identity_rows(arrived, members, stored).select("ticker", "security_id", "effective_start", "problem")
+
+
+#: Arriving extensions over mappings and identities that end at one day, and stored ones of every ninth.
+EXTENDED = RELATIONS["security_ticker_extensions"].replace("SELECT 'u' AS universe_id", "SELECT 'x' || (p_partkey - CASE WHEN p_partkey % 66 = 0 THEN 6 ELSE 0 END) AS provenance_id, 'u' AS universe_id").replace("'portfolio_liquidation' AS purpose", "CASE WHEN p_partkey % 54 > 0 THEN 'portfolio_liquidation' ELSE 'other' END AS purpose")
+_STORED_X = "SELECT 'x' || p_partkey AS provenance_id, 's' || p_partkey AS security_id, 'T' || p_partkey AS ticker, 'yfinance' AS provider, 'P' || p_partkey AS provider_symbol, DATE '1998-06-01' AS data_start, CASE WHEN p_partkey % 4 > 0 THEN DATE '1998-07-01' ELSE DATE '1998-06-15' END AS data_end, repeat('ab', 32) AS payload_sha256 FROM part WHERE p_partkey % 9 = 0"
+_CROSSING = RELATIONS["provider_symbol_history"] + " UNION ALL SELECT 'yfinance', 'Q' || p_partkey, 's' || p_partkey, DATE '1998-06-20', CAST(NULL AS DATE), 'open', DATE '2022-01-01' FROM part WHERE p_partkey % 27 = 3"
+
+
+@query(f"""WITH sm AS ({RELATIONS["security_master"]}), ia AS ({RELATIONS["security_identity_assignments"]}), mp AS ({_CROSSING}), st AS ({_STORED_X}), ar AS ({EXTENDED}), g AS (SELECT *, count(*) OVER (PARTITION BY provenance_id) AS n FROM ar)
+SELECT provenance_id, security_id, CASE WHEN n > 1 THEN 'arrives more than once' WHEN data_end - data_start > 45 THEN 'extension is too long' WHEN purpose <> 'portfolio_liquidation' THEN 'unknown purpose or review' WHEN payload_sha256 IS NULL THEN 'digest is not one'
+  WHEN NOT EXISTS (SELECT 1 FROM sm WHERE sm.security_id = g.security_id) OR NOT EXISTS (SELECT 1 FROM ia WHERE ia.universe_id = g.universe_id AND ia.security_id = g.security_id AND ia.ticker = g.ticker AND ia.effective_end = g.data_start)
+    OR NOT EXISTS (SELECT 1 FROM mp WHERE mp.security_id = g.security_id AND mp.provider = g.provider AND mp.provider_symbol = g.provider_symbol AND mapping_status = 'verified' AND mp.data_end = g.data_start) THEN 'lacks an end to follow'
+  WHEN EXISTS (SELECT 1 FROM mp WHERE mp.security_id = g.security_id AND mp.provider = g.provider AND mp.data_start < g.data_end AND coalesce(mp.data_end, DATE '9999-12-31') > g.data_start) THEN 'meets another mapping'
+  WHEN EXISTS (SELECT 1 FROM st WHERE st.provenance_id = g.provenance_id AND (st.security_id, st.ticker, st.data_end) IS DISTINCT FROM (g.security_id, g.ticker, g.data_end)) THEN 'stored provenance says otherwise' END AS problem FROM g""")
+def extension_writes(spark, d):
+    """No mapping of these has an extension's own days, so any that meets them is another."""
+    securities, identities, mappings, stored, arrived = _relations(spark, d, RELATIONS["security_master"], RELATIONS["security_identity_assignments"], _CROSSING, _STORED_X, EXTENDED)
+    return reviewed.extension_rows(arrived, securities, identities, mappings, stored, F.current_date()).select("provenance_id", "security_id", "problem")
+
+
+_PROVEN = "SELECT *, 'u' AS universe_id, 'review' AS source, 'v1' AS review_policy FROM ({x}) z"
+_PROVENANCE, _FPRICES = RELATIONS["factor_price_provenance"], RELATIONS["factor_prices"]
+_STORED_P = _PROVEN.replace("{x}", _PROVENANCE.replace("repeat('0f', 32) AS overlap_sha256", "CASE WHEN p_partkey % 8 > 0 THEN repeat('0f', 32) ELSE repeat('00', 32) END AS overlap_sha256").replace("WHERE p_partkey % 3 > 0", "WHERE p_partkey % 5 = 1"))
+
+
+@query(f"""WITH sm AS ({RELATIONS["security_master"]}), mp AS ({RELATIONS["provider_symbol_history"]}), ar AS ({_PROVENANCE}), st AS ({_STORED_P}), fp AS ({_FPRICES}),
+pv AS (SELECT provenance_id AS id, 'provenance' AS kind, CASE WHEN data_end <> overlap_start OR verified_date > current_date THEN 'intervals are not in order' WHEN NOT EXISTS (SELECT 1 FROM sm WHERE sm.security_id = ar.security_id) THEN 'unknown security'
+  WHEN NOT EXISTS (SELECT 1 FROM mp WHERE mp.security_id = ar.security_id AND mp.provider = ar.provider AND mp.provider_symbol = ar.provider_symbol AND mapping_status = 'verified' AND mp.data_start = ar.data_end) THEN 'no verified mapping starts where it ends'
+  WHEN EXISTS (SELECT 1 FROM st WHERE st.provenance_id = ar.provenance_id AND st.overlap_sha256 <> ar.overlap_sha256) THEN 'stored provenance says otherwise' END AS problem FROM ar),
+pr AS (SELECT fp.provenance_id AS id, 'price' AS kind, CASE WHEN count(*) OVER (PARTITION BY fp.security_id, date) > 1 THEN 'arrives more than once' WHEN NOT (close > 0 AND dividends >= 0) THEN 'number is out of range' WHEN NOT actions_complete THEN 'actions or split basis are not reviewed'
+  WHEN ar.provenance_id IS NULL OR date < data_start OR date >= data_end THEN 'is outside its provenance' END AS problem FROM fp LEFT JOIN ar ON ar.provenance_id = fp.provenance_id),
+no AS (SELECT provenance_id AS id, 'empty' AS kind, 'has no prices' AS problem FROM ar WHERE NOT EXISTS (SELECT 1 FROM fp WHERE fp.provenance_id = ar.provenance_id))
+SELECT id, kind, problem, count(*) AS n FROM (SELECT * FROM pv UNION ALL SELECT * FROM pr UNION ALL SELECT * FROM no) GROUP BY ALL""")
+def warmup_writes(spark, d):
+    """Provenance and prices before a listing's start, each with what is wrong with it."""
+    securities, mappings, arrived, stored, prices = _relations(spark, d, RELATIONS["security_master"], RELATIONS["provider_symbol_history"], _PROVEN.replace("{x}", _PROVENANCE), _STORED_P, _FPRICES)
+    told = lambda df, kind: df.select(F.col("provenance_id").alias("id"), F.lit(kind).alias("kind"), "problem")
+    whole = told(reviewed.provenance_rows(arrived, securities, mappings, stored, F.current_date()), "provenance").unionByName(told(reviewed.covered_prices(prices, arrived), "price")).unionByName(told(reviewed.without_prices(arrived, prices), "empty"))
+    return whole.groupBy("id", "kind", "problem").agg(F.count(F.lit(1)).alias("n"))

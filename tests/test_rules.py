@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chronolake.operators import backtest, factors, ingest, intervals, risk
+from chronolake.operators import backtest, factors, ingest, intervals, reviewed, risk
 from chronolake.sources import documents, manifests, tables
 
 D = date(2024, 1, 1)
@@ -213,3 +213,16 @@ def test_manifest_rules(spark, tmp_path):
     assert manifest(spark, file, "conversions", conversion("a", "b", 1.5), conversion("b", "b", 1), conversion("c", "d", 0), conversion("e", "f", 1, "step-up"), conversion("g", "h", 1, status="open")) == ["", "converts into itself", "not verified", "ratio is not positive", "unknown basis policy"]
     extension = lambda security, provider, end: f"u,{security},T,{provider},T,2024-01-01,{end},2024-03-01,i,p,liquidation"
     assert manifest(spark, file, "price_extensions", extension("a", "yfinance", "2024-02-01"), extension("b", "other", "2024-02-01"), extension("c", "tiingo", "2024-02-25")) == ["", "extension is too long", "unknown provider"]
+
+
+def test_reviewed_writes(spark):
+    rows = [("u", "A", date(2020, 1, 1), date(2021, 1, 1), "s1", "bounded_ticker", "x"), ("u", "B", date(2021, 1, 1), None, "s1", "bounded_ticker", "y"), ("u", "C", date(2020, 1, 1), None, "s2", "bounded_ticker", "z")]
+    df = spark.createDataFrame(rows, "universe_id string, ticker string, effective_start date, effective_end date, security_id string, identity_status string, source string")
+    assert sorted((r["security_id"], r["canonical_ticker"], r["source"]) for r in reviewed.masters_of(df).collect()) == [("s1", "B", "y"), ("s2", "C", "z")]
+    stored = spark.createDataFrame([("p1", "2020-01-01", 1.0), ("p1", "2020-01-02", 2.0), ("p2", "2020-01-01", 3.0)], "provenance_id string, date string, close double")
+    arrived = spark.createDataFrame([(9.0, "p1", "2020-01-02")], "close double, provenance_id string, date string")
+    assert sorted(map(tuple, reviewed.replaced_prices(stored, arrived).collect())) == [("p1", "2020-01-02", 9.0), ("p2", "2020-01-01", 3.0)]
+    member = spark.createDataFrame([("u", "A", date(2020, 1, 1), None, None)], "universe_id string, ticker string, effective_start date, effective_end date, security_id string")
+    arrives = spark.createDataFrame([("u", "A", date(2020, 1, 1), None, "s1", date(2019, 1, 1), "bounded_ticker", "r"), ("u", "D", date(2020, 1, 1), None, "s3", date(2019, 1, 1), "bounded_ticker", "r")], "universe_id string, ticker string, effective_start date, effective_end date, security_id string, known_date date, identity_status string, source string")
+    kept = spark.createDataFrame([("u", "Z", date(2020, 6, 1), None, "s1", date(2019, 1, 1), "bounded_ticker", "r")], arrives.schema)
+    assert {(r["ticker"], r["problem"]) for r in reviewed.identity_rows(arrives, member, kept).collect()} == {("A", None), ("Z", "security has two tickers at a time"), ("D", "is no membership")}
