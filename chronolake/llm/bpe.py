@@ -72,7 +72,8 @@ class Coder:
     def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
         self.source, self.ranks = ranks, dict(ranks)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}  # a piece's ids, as 32-bit integers
+        self.odd: dict[str, bytes] = {}  # what its ids decode to, where that isn't the piece itself
         self.again: set[str] = set()
         self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in ranks for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
@@ -111,6 +112,7 @@ class Coder:
         if len(self.known) + len(new) > REMEMBERED:
             kept = self.again if len(self.again) <= REMEMBERED // 2 else set()
             self.known, self.again = {p: self.known[p] for p in self.known if p in kept}, set()
+            self.odd = {p: back for p, back in self.odd.items() if p in self.known}
             new = [p for p in pieces if p not in self.known]
         short, long, one = [], [], []
         for p in new:
@@ -128,18 +130,25 @@ class Coder:
                     made = zip(ids, self.decode(ids), strict=True)
                 else:
                     made = self.merge([data for _, data in part], form)
-                for (p, _), (own, back) in zip(part, made, strict=True):
-                    self.known[p] = (np.array(own, np.int32).tobytes(), back)
+                for (p, data), (own, back) in zip(part, made, strict=True):
+                    self.known[p] = np.array(own, np.int32).tobytes()
+                    if back != data:
+                        self.odd[p] = back
                 begin = end
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as 32-bit integers, the bytes they decode to) of each text."""
         cut = [self.pattern.findall(t) for t in texts]
         self.learn(set().union(*cut))
-        known, out = self.known, []
-        for pieces in cut:
-            found = [known[p] for p in pieces]
-            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        known, odd, out = self.known, self.odd, []
+        for text, pieces in zip(texts, cut, strict=True):
+            ids = b"".join([known[p] for p in pieces])
+            # Ids of a text decode piece by piece. Where every piece gives its own bytes and nothing lies between them, that is the text.
+            if sum(map(len, pieces)) == len(text) and (not odd or odd.keys().isdisjoint(pieces)):
+                back = text.encode("utf-8", "surrogatepass")
+            else:
+                back = b"".join([odd[p] if p in odd else p.encode("utf-8", "surrogatepass") for p in pieces])
+            out.append((ids, back))
         return out
 
 
