@@ -29,7 +29,7 @@ from .common import slices
 #: What a paragraph ends with: a line feed, or the white space after a sentence end. Found in one pass, whatever the text.
 BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
 #: Characters at a text's beginning, and of each piece of these; the most of a paragraph that isn't cut by its words.
-HEAD, PIECE, LONG = 64, 4, 64
+HEAD, PIECE, LONG = 32, 4, 160
 SPACE = re.compile(r"[ \t]+")
 #: A section ends after a paragraph whose hash's first byte is a multiple of this.
 SECTION = 8

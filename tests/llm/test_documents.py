@@ -358,10 +358,10 @@ def plain_paragraphs(text):
     for k, x in enumerate(text):
         now += x
         following = text[k + 1] if k + 1 < len(text) else ""
-        if k < 64:
+        if k < 32:
             done = k % 4 == 3
         else:
-            tail = text[64 : k + 1]
+            tail = text[32 : k + 1]
             spaces = len(tail) - len(tail.rstrip(" \t"))
             done = x == "\n" or (spaces > 0 and text[k - spaces] in ".!?" and (not following or following not in " \t"))
         if done:
@@ -370,14 +370,14 @@ def plain_paragraphs(text):
     out += [now] if now else []
     cut = []
     for piece in out:
-        if len(piece) <= 64:
+        if len(piece) <= 160:
             cut.append(piece)
             continue
         part = ""
         for k, x in enumerate(piece):
             part += x
             word = piece[: k + 1].rstrip(" \t") if x in " \t" and piece[k + 1 : k + 2] not in (" ", "\t") else ""
-            if len(part) == 64 or (word and ord(word[-1]) % 4 == 0):
+            if len(part) == 160 or (word and ord(word[-1]) % 4 == 0):
                 cut.append(part)
                 part = ""
         cut += [part] if part else []
