@@ -403,7 +403,7 @@ def unlisted(spark, d):
     """What no document lists: an anti join with the unnested lists. The priorities are a handful, broadcast."""
     listed = attestations(spark, d).select("o_custkey", F.explode(evidence.listed_at(F.col("doc"), "members")).alias("missing"))
     kinds = read(spark, d, "orders").select(F.col("o_orderpriority").alias("missing")).distinct()
-    everyone = read(spark, d, "orders").select("o_custkey").distinct().join(F.broadcast(kinds.agg(F.collect_set("missing").alias("_all")))).select("o_custkey", F.explode("_all").alias("missing"))
+    everyone = read(spark, d, "orders").select("o_custkey").distinct().join(asof.few(kinds), F.lit(True))
     return everyone.join(listed, ["o_custkey", "missing"], "left_anti")
 
 

@@ -87,11 +87,13 @@ def table_rows(documents: DataFrame) -> DataFrame:
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out = []
             for key, payload in zip(frame["key"], frame["payload"], strict=True):
                 page = _Tables()
                 page.feed(payload or "")
                 page.close()
-                yield pd.DataFrame({"key": key, "position": range(len(page.rows)), "cells": page.rows})
+                out += [(key, k, cells) for k, cells in enumerate(page.rows)]
+            yield pd.DataFrame(out, columns=["key", "position", "cells"])
 
     return documents.select("key", "payload").mapInPandas(parsed, "key string, position int, cells array<string>")
 
