@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import few
-from .facts import in_order, sharpe_and_t
+from .facts import in_order, quotient, sharpe_and_t
 
 #: Rebalances below which no return gap is read as anything. Fixed value.
 LEAST_PERIODS = 20
@@ -28,14 +28,15 @@ class Frictions:
     long_term_days: int = 365
 
 
-def hold(paths: DataFrame, capital: float, frictions: Frictions, by: Sequence[str] = ("book",)) -> DataFrame:
+def hold(paths: DataFrame, capital: float, frictions: Frictions, by: Sequence[str] = ("book",), refuse_invalid: bool = True) -> DataFrame:
     """A row for each book that buys its securities in equal parts at ``entry`` and sells them at ``exit``.
 
     ``paths``: the columns ``by``, security_id, date, close, adj_close, split_ratio, dividends, actions_complete,
     close_split_adjusted, entry, exit; all rows from entry to exit count. Returns gross_return (adjusted closes),
     net_return, costs, taxes, turnover and missing: the sorted reasons for which the book has no result. Reasons are
     per security, so a book's holdings, not its days, meet in one group. Splits count only where closes aren't
-    adjusted for them; losses offset gains of their own kind only.
+    adjusted for them; losses offset gains of their own kind only. Without ``refuse_invalid`` prices are taken as they are: a
+    zero one is no reason, and makes its book's results infinite or not a number.
     """
     c, one = F.col, [*by, "security_id"]
     inside = paths.where(c("date").between(c("entry"), c("exit")) & (c("entry") <= c("exit")))
@@ -60,6 +61,7 @@ def hold(paths: DataFrame, capital: float, frictions: Frictions, by: Sequence[st
     everyone = paths.groupBy(*one).agg(F.max("entry").alias("entry"), F.max("exit").alias("exit"))
     joined = everyone.join(held, one, "left")
     fine = lambda name: F.coalesce((c(name) > 0) & ~F.isnan(name), F.lit(False))
+    over = F.try_divide if refuse_invalid else quotient  # a refused price may be zero
     reason = (
         F.when(c("entry") > c("exit"), "empty holding window")
         .when(F.coalesce("n_entry", F.lit(0)) == 0, "no entry price")
@@ -68,20 +70,20 @@ def hold(paths: DataFrame, capital: float, frictions: Frictions, by: Sequence[st
         .when(c("n_unknown_basis") > 0, "split basis unknown")
         .when(c("n_bases") > 1, "mixed split basis")
         .when((c("n_entry") > 1) | (c("n_exit") > 1), "ambiguous price")
-        .when(~(fine("bought") & fine("sold")), "invalid execution price")
-        .when(~(fine("bought_adjusted") & fine("sold_adjusted")), "invalid return price")
+        .when(F.lit(refuse_invalid) & ~(fine("bought") & fine("sold")), "invalid execution price")
+        .when(F.lit(refuse_invalid) & ~(fine("bought_adjusted") & fine("sold_adjusted")), "invalid return price")
     )
     size = joined.withColumn("_reason", reason).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     part = F.lit(float(capital)) / c("_n")
-    sold = part / c("bought") * c("grown") * c("sold")
+    sold = over(part, c("bought")) * c("grown") * c("sold")
     rate = (frictions.commission_bps + frictions.slippage_bps) / 1e4
     long_held = F.datediff("exit", "entry") >= frictions.long_term_days
     each = size.withColumns(
         {
-            "_gross": part * c("sold_adjusted") / c("bought_adjusted"),
+            "_gross": over(part * c("sold_adjusted"), c("bought_adjusted")),
             "_costs": (part + sold) * rate + 2 * frictions.fixed_fee,
             "_turnover": (part + sold) / capital,
-            "_income": part / c("bought") * c("dividends"),
+            "_income": over(part, c("bought")) * c("dividends"),
             "_short": F.when(~long_held, sold - part).otherwise(0.0),
             "_long": F.when(long_held, sold - part).otherwise(0.0),
         }

@@ -113,6 +113,12 @@ def delta(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], change.alias("change"))
 
 
+def quotient(above: Column, below: Column) -> Column:
+    """above / below by the rules of floating point: over zero infinite, or not a number where ``above`` is zero too or is none."""
+    over_zero = F.when((above == 0) | F.isnan(above), float("nan")).otherwise(F.signum(above) * float("inf"))
+    return F.when(below != 0, above / below).when(below == 0, over_zero)
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
