@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import few
+from .facts import quotient
 from .ranking import grade, mean_of, percentile
 
 #: Tax rate assumed on operating income, and the growth of shares that doesn't count as dilution. Fixed values.
@@ -186,12 +187,13 @@ def classify_regime(evidence: DataFrame) -> DataFrame:
     return states.withColumn("regime", regime)
 
 
-def market_window(bars: DataFrame, sessions: DataFrame, key: str, decision: Column, n: int = 253, skip: int = 21, stale_days: int = 7) -> DataFrame:
+def market_window(bars: DataFrame, sessions: DataFrame, key: str, decision: Column, n: int = 253, skip: int = 21, stale_days: int = 7, refuse_invalid: bool = True) -> DataFrame:
     """key, n_bars, momentum, volatility, problem from each key's last ``n`` bars up to ``decision``.
 
     The bars must be the exchange's sessions without a hole up to the decision, with complete actions and one split basis.
     Momentum leaves the latest ``skip`` sessions out; volatility is annualised by 252. ``bars``: key, date, close,
     split_ratio, dividends, actions_complete, close_split_adjusted, one row for each date; a missing ratio is 1 and a missing dividend 0.
+    Without ``refuse_invalid`` prices and actions are taken as they are, and what is divided by a zero close is infinite or not a number.
     ``sessions`` (date), some 250 a year, are broadcast.
     """
     c = F.col
@@ -202,7 +204,8 @@ def market_window(bars: DataFrame, sessions: DataFrame, key: str, decision: Colu
     ratio = F.when(F.coalesce("close_split_adjusted", F.lit(False)), 1.0).otherwise(F.coalesce("split_ratio", F.lit(1.0)))
     before = F.lag("close").over(Window.partitionBy(key).orderBy("date"))
     oldest = c("_r") == F.count(F.lit(1)).over(Window.partitionBy(key))
-    gross = F.when(before > 0, ratio * (c("close") + F.coalesce("dividends", F.lit(0.0))) / before)
+    grown = ratio * (c("close") + F.coalesce("dividends", F.lit(0.0)))
+    gross = F.when(before > 0, grown / before) if refuse_invalid else quotient(grown, before)
     fine = F.coalesce((c("close") > 0) & (F.coalesce("split_ratio", F.lit(1.0)) > 0) & (F.coalesce("dividends", F.lit(0.0)) >= 0) & ~F.isnan("close"), F.lit(False))
     rows = placed.withColumns({"_gross": gross, "_fine": F.when(oldest, F.coalesce(c("close") > 0, F.lit(False))).otherwise(fine)})
     found = rows.groupBy(key).agg(
@@ -223,7 +226,7 @@ def market_window(bars: DataFrame, sessions: DataFrame, key: str, decision: Colu
         .when(c("_bases") > 1, "mixed split basis")
         .when(c("_stale") > stale_days, "stale price")
         .when(c("_off") > 0, "missing sessions")
-        .when(c("_bad") > 0, "invalid price or action")
+        .when(F.lit(refuse_invalid) & (c("_bad") > 0), "invalid price or action")
     )
     whole = lambda x: F.when(c("problem").isNull(), x)
     return found.withColumn("problem", problem).select(key, "n_bars", whole(c("_grown") - 1).alias("momentum"), whole(c("_spread") * F.sqrt(F.lit(252.0))).alias("volatility"), "problem")
