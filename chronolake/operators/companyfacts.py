@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ingest
-from .stages import cut
+from .stages import cut, dealt
 
 #: Metric, its statement, and its concepts, the preferred first. Fixed values.
 METRICS = (
@@ -101,7 +101,7 @@ def fiscal_period(fp: Column, fy: Column) -> Column:
     return F.when((code == "FY") & year.isNotNull(), F.concat(F.lit("FY"), year)).when(code.isNotNull() & year.isNotNull(), F.concat(code, F.lit("_"), year)).otherwise(F.coalesce(code, F.lit("INST")))
 
 
-def candidates(facts: DataFrame, policy: Policy, issuer_class: Column) -> DataFrame:
+def candidates(facts: DataFrame, policy: Policy, issuer_class: Column, parts: int | None = None) -> DataFrame:
     """``facts`` that stand for a metric, with metric, statement and priority (the concept's place).
 
     Where a refiner's revenue is derived, what it is derived from comes along without a metric. The rows of a document are
@@ -116,7 +116,7 @@ def candidates(facts: DataFrame, policy: Policy, issuer_class: Column) -> DataFr
         rows += [("refiner", None, None, c, "us-gaap", None) for c in (GROSS_REVENUE, EXCISE_TAXES)]
     table = facts.sparkSession.createDataFrame(rows, "_class string, metric string, statement string, _concept string, _taxonomy string, priority int")
     on = (F.col("concept") == F.col("_concept")) & (F.col("taxonomy") == F.col("_taxonomy")) & (F.col("_class").isNull() | (F.col("_class") == F.col("_issuer")))
-    return facts.withColumn("_issuer", issuer_class).join(F.broadcast(table), on).drop("_class", "_concept", "_taxonomy", "_issuer").repartition("key")
+    return dealt(facts.withColumn("_issuer", issuer_class).join(F.broadcast(table), on).drop("_class", "_concept", "_taxonomy", "_issuer"), parts, "key")
 
 
 def first_of_concepts(rows: DataFrame) -> DataFrame:
@@ -163,21 +163,23 @@ def in_context(rows: DataFrame, policy: Policy) -> DataFrame:
 ECONOMICS = ("fiscal_period", "statement", "value", "quarter_value", "unit")
 
 
-def stored_facts(facts: DataFrame, policy: Policy, issuer_class: Column | None = None) -> DataFrame:
+def stored_facts(facts: DataFrame, policy: Policy, issuer_class: Column | None = None, parts: int | None = None) -> DataFrame:
     """key, cik, period_end, as_of_date, metric, the economics, conflict (did rows of the key disagree?), locators (exact
     policies: where the facts stand), problem.
 
     ``facts`` is what ``sources.documents.company_facts`` gives. Facts that end after they were filed count where the value
     of a single period is chosen, but aren't stored themselves. A filing that contradicts itself carries a problem.
+    Documents are dealt into ``parts`` parts; all windows and groups of a document then lie in one of them, and only unions
+    bring its rows together again.
     """
     c = F.col
-    said = candidates(facts.drop("problem"), policy, revenue_class(c("cik")) if issuer_class is None else issuer_class)
+    said = candidates(facts.drop("problem", "label"), policy, revenue_class(c("cik")) if issuer_class is None else issuer_class, parts)
     if policy.exact:
         said = cut(said)  # several parts read it: documents are parsed once
         rows = said.where("metric <> 'shares_out'").withColumn("problem", F.lit(None).cast("string")).unionByName(exact_shares(said.where("metric = 'shares_out'")))
         if policy.issuers:
             rows = rows.unionByName(derived_revenue(said.where("metric IS NULL")).withColumn("problem", F.lit(None).cast("string")), allowMissingColumns=True)
-        rows = in_context(rows, policy)
+        rows = dealt(in_context(dealt(rows, parts, "key"), policy), parts, "key")
     else:
         rows = first_of_concepts(said).withColumn("problem", F.lit(None).cast("string"))
     flow = c("metric").isin(*FLOWS)

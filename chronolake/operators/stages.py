@@ -21,6 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows that a task brings together, at about.
+ROWS_OF_TASK = 400_000
+
+
+def parts_of(spark: SparkSession, rows: int, of_task: int = ROWS_OF_TASK) -> int | None:
+    """Parts that ``rows`` rows are dealt into, so that a task's share doesn't grow with the table; None while the cores are enough."""
+    parts = -(-rows // of_task)
+    return parts if parts > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` brought together by ``keys``, in ``parts`` parts or as many as the session finds fit."""
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, and read from there: its lineage ends, and lost executors cost nothing."""
     shared_folder(df.sparkSession)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import companyfacts
+from ..operators.stages import dealt, parts_of
 from ..sources import documents
 from .catalog import query, read
 
@@ -24,9 +25,17 @@ FACT = {
 }
 
 
+def _parts(spark, d) -> int | None:
+    return parts_of(spark, read(spark, d, "lineitem").count())
+
+
 def payloads(spark, d) -> DataFrame:
-    """A document for each customer: its facts by concept and unit, in the order of their text."""
-    rows = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("cik"), *[F.expr(x).alias(n) for n, x in FACT.items()])
+    """A document for each customer: its facts by concept and unit, in the order of their text.
+
+    A customer's rows are brought together once, before they are texts; all groups go by customer first.
+    """
+    raw = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = dealt(raw, _parts(spark, d), "o_custkey").select(F.col("o_custkey").alias("cik"), *[F.expr(x).alias(n) for n, x in FACT.items()])
     dated = rows.withColumns({n: F.col(n).cast("string") for n in ("start", "end", "filed")})
     fact = F.struct("accn", "end", "start", "val", "fy", "fp", "form", "filed")
     units = dated.groupBy("cik", "concept", "unit").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
@@ -58,6 +67,10 @@ o AS (SELECT cik, "end", filed, metric, arg_min((period, statement, val, qv), (p
 SELECT cik, "end" AS period_end, filed AS as_of_date, metric, e[1] AS fiscal_period, e[3] AS value, e[4] AS quarter_value, 'USD' AS unit, conflict FROM o"""
 
 
+def _stored(spark, d, policy: str, issuer=None) -> DataFrame:
+    return companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES[policy], issuer, _parts(spark, d))
+
+
 def _selected(df: DataFrame) -> DataFrame:
     return df.select("cik", "period_end", "as_of_date", "metric", "fiscal_period", "value", "quarter_value", "unit", "conflict")
 
@@ -65,12 +78,12 @@ def _selected(df: DataFrame) -> DataFrame:
 @query(_V2)
 def facts_storage_v2(spark, d):
     """The default: the preferred concept of a filing, one row for each key, the first where rows disagree."""
-    return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES[companyfacts.DEFAULT]))
+    return _selected(_stored(spark, d, companyfacts.DEFAULT))
 
 
 @query(_V2.replace("conflict FROM o", "conflict FROM o WHERE NOT conflict"))
 def facts_storage_withheld(spark, d):
-    return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v2-storage-safe-v1"]))
+    return _selected(_stored(spark, d, "sec-companyfacts-v2-storage-safe-v1"))
 
 
 def _one_value(concept: str, issuer: str) -> str:
@@ -101,7 +114,7 @@ SELECT cik, "end" AS period_end, filed AS as_of_date, metric, e[1] AS fiscal_per
 @query(_exact("all", "NULL", False))
 def facts_v3(spark, d):
     """Exact units and contexts; a key whose rows disagree is withheld."""
-    return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v3"]))
+    return _selected(_stored(spark, d, "sec-companyfacts-v3"))
 
 
 _CLASSES = tuple(companyfacts.REVENUE_BY_CLASS)
@@ -111,13 +124,13 @@ _CLASSES = tuple(companyfacts.REVENUE_BY_CLASS)
 def facts_v4(spark, d):
     """Revenue by reviewed issuer: here a sixth each has one of the rules, a refiner's net of excise taxes among them."""
     issuer = F.get(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("cik") % 6).cast("int"))
-    return _selected(companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v4"], issuer))
+    return _selected(_stored(spark, d, "sec-companyfacts-v4", issuer))
 
 
 @query(_exact(" ".join(_CLASSES), f"{list(_CLASSES)}[cik % 6 + 1]", True).replace("AS e, count(DISTINCT", "AS e, min(priority) AS top, count(DISTINCT").rpartition("SELECT cik,")[0] + "SELECT cik % 6 AS class, count(*) AS n, count(*) FILTER (WHERE top = -1) AS n_derived FROM o WHERE n = 1 AND metric = 'revenue' GROUP BY 1")
 def facts_by_class(spark, d):
     """Revenue rows by class of issuer, and how many of them are derived."""
     issuer = F.get(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("cik") % 6).cast("int"))
-    rows = companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES["sec-companyfacts-v4"], issuer).where("metric = 'revenue'")
+    rows = _stored(spark, d, "sec-companyfacts-v4", issuer).where("metric = 'revenue'")
     derived = F.exists("locators", lambda x: F.contains(x, F.lit(companyfacts.NET_REVENUE)))
     return rows.groupBy((F.col("cik") % 6).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(derived).alias("n_derived"))
