@@ -4,6 +4,9 @@ A text is its set of shingle hashes; equal sets meet by a digest. Candidates com
 smallest hash with a chance of their similarity, whatever their sizes, so a key of 6 such minima is shared with 0.26 at 0.8,
 and all of 40 keys differ with 5e-6. Components of the candidates, which hold more than near copies, bring together sets that
 are then compared whole: a link is what has the similarity. Large groups are dealt into cells of two parts.
+
+With ``prints`` the links of SimHash fingerprints (made and found as in ``simhash``) count beside these: a group is what
+links of either kind reach.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .simhash import SLICE_BYTES, components, shingle_hashes
 
 #: Sets, and shingle hashes, of a part of a group, at most about.
 CELL_ROWS, CELL_HASHES = 512, 1 << 18
+#: Words of a shingle, and differing bits of linked fingerprints, of SimHash.
+PRINT_WIDTH, PRINT_RADIUS = 3, 2
 
 
 @dataclass(frozen=True)
@@ -76,7 +81,7 @@ def band_keys(hashes: np.ndarray, owner: np.ndarray, n: int, shape: Bands) -> np
 def sketches(docs: DataFrame, shape: Bands, passing: tuple[str, ...] = ("doc_id",), adding: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``passing`` and fp, a 64-bit digest of the set of shingles, of every row. A null text counts as empty.
 
-    ``adding`` takes "keys" (array of longs) and "shingles" (binary: the set, ascending).
+    ``adding`` takes "keys" (array of longs), "print" (the SimHash fingerprint) and "shingles" (binary: the set, ascending).
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,12 +93,14 @@ def sketches(docs: DataFrame, shape: Bands, passing: tuple[str, ...] = ("doc_id"
             if "keys" in adding:
                 flat = band_keys(hashes, owner, n, shape).view(np.int64).ravel()
                 out.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * shape.bands, pa.int32()), pa.array(flat)))
+            if "print" in adding:
+                out.append(pa.array(simhash.fingerprints_of(*shingle_hashes(texts_of(batch), PRINT_WIDTH), n).view(np.int64)))
             if "shingles" in adding:
                 out.append(pa.array(raw, pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=[*passing, "fp", *(c for c in ("keys", "shingles") if c in adding)])
+            yield pa.RecordBatch.from_arrays(out, names=[*passing, "fp", *(c for c in ("keys", "print", "shingles") if c in adding)])
 
     fields = [docs.schema[c] for c in passing] + [T.StructField("fp", T.LongType())]
-    fields += [T.StructField(c, kind) for c, kind in (("keys", T.ArrayType(T.LongType())), ("shingles", T.BinaryType())) if c in adding]
+    fields += [T.StructField(c, kind) for c, kind in (("keys", T.ArrayType(T.LongType())), ("print", T.LongType()), ("shingles", T.BinaryType())) if c in adding]
     return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, T.StructType(fields))
 
 
@@ -177,26 +184,38 @@ def near_links(sets: DataFrame, shape: Bands) -> DataFrame:
     return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare(shape), "u long, v long").distinct()
 
 
-def near_copies(docs: DataFrame, shape: Bands = Bands()) -> DataFrame:
+def print_links(prints: DataFrame) -> DataFrame:
+    """u, v: links between the sets (fp) of texts whose fingerprints (print) SimHash links; ``prints``: fp, print, no repeats.
+
+    All sets of a component of fingerprints are tied to the smallest of them.
+    """
+    roots = components(simhash.near_links(prints.select(F.col("print").alias("fp")).distinct(), PRINT_RADIUS))
+    named = prints.join(roots, prints["print"] == roots["node"], "left").select("fp", F.coalesce("root", "print").alias("_root"))
+    least = named.groupBy("_root").agg(F.min("fp").alias("v"), F.max("fp").alias("_most")).where("v < _most").select("_root", "v")
+    return named.join(least, "_root").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v").distinct()
+
+
+def near_copies(docs: DataFrame, shape: Bands = Bands(), prints: bool = False) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach, itself included), component: one row for each of ``docs``.
 
     As ``simhash.near_duplicates``: null and empty texts are equal to each other; a null doc_id takes part. Only texts
     whose set is a candidate are read again, one row for each set (more where ids repeat).
     """
-    rows = cut(sketches(docs, shape, adding=("keys",)))
+    rows = cut(sketches(docs, shape, adding=("keys", "print") if prints else ("keys",)))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("_least"), F.first("keys").alias("keys")))
     likely = components(candidate_links(distinct))
     groups = cut(likely.select(F.col("node").alias("fp"), F.col("root").alias("group")).unionByName(likely.select(F.col("root").alias("fp"), F.col("root").alias("group")).distinct()))
     wanted = distinct.join(groups, "fp").select(F.col("_least").alias("_id")).distinct()
     again = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = cut(sketches(again, shape, adding=("shingles",)).select("fp", "shingles").join(groups, "fp").dropDuplicates(["fp"]))
-    roots = components(near_links(sets, shape))
+    links = near_links(sets, shape)
+    roots = components(links.unionByName(print_links(cut(rows.select("fp", "print").distinct()))).distinct() if prints else links)
     distinct = distinct.select("fp", "_least")
     tied = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root")))
     ids = tied.join(tied.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root").select("fp", "component_id", F.col("_root").alias("component"))
     return rows.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, shape: Bands = Bands()) -> DataFrame:
+def keep_one(docs: DataFrame, shape: Bands = Bands(), prints: bool = False) -> DataFrame:
     """``docs`` with one row of each group of near copies, as ``simhash.keep_one``."""
-    return simhash.keep_one(docs, lambda d: near_copies(d, shape), lambda d, passing: sketches(d, shape, passing))
+    return simhash.keep_one(docs, lambda d: near_copies(d, shape, prints), lambda d, passing: sketches(d, shape, passing))

@@ -33,12 +33,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8) stays.
+    """One document of each group of near copies stays: texts whose SimHash fingerprints are linked as in ``op6``, or whose
+    sets of five-word shingles have an exact similarity of 0.8; groups chain through links of both kinds.
 
     That of the smallest doc_id; of rows with one id, or none, the first by fingerprint, text and the other columns. Null and
     empty texts are one group. Rows that repeat one another leave one.
     """
-    return similar.keep_one(docs.select(*DOC_COLUMNS))
+    return similar.keep_one(docs.select(*DOC_COLUMNS), prints=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
