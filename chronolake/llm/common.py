@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stages import cut, shared_folder  # noqa: F401
+from ..operators.stages import cut, gathered, shared_folder  # noqa: F401
 
 #: The columns of ``documents``; pipeline stages return these.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")

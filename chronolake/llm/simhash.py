@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, join_by_key, slices, starts_of, texts_of, words_of
+from .common import BROADCAST_ROWS, cut, gathered, join_by_key, slices, starts_of, texts_of, words_of
 
 SLICE_BYTES = 2 << 20
 SEED = 42
@@ -214,7 +214,7 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFr
     """
     if most <= HUB:
         return rows.join(table, key, "left")
-    hubs = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select(key).join(table, key, "left"))
+    hubs = cut(gathered(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select(key).join(table, key, "left"), most // HUB))
     n = hubs.count()
     if not n:
         return rows.join(table, key, "left")
@@ -231,16 +231,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contractions: a round first moves every link to the smallest neighbour of its smaller end, then ties
     the smaller neighbours of each node to the smallest of them. A logarithmic number of rounds settles it; every round's
-    links are written to the checkpoint folder.
+    links are written to the checkpoint folder, in as many parts as their number fills.
     """
     now, before = cut(links), None
     n = now.count()
+    now = gathered(now, n)
     while True:
         least = now.groupBy("u").agg(F.min("v").alias("_m"))
-        large = _looked_up(now, least.withColumnRenamed("u", "v"), "v", n).select("u", F.coalesce("_m", "v").alias("v")).distinct()
-        large = cut(large) if n > HUB else large
+        large = gathered(_looked_up(now, least.withColumnRenamed("u", "v"), "v", n).select("u", F.coalesce("_m", "v").alias("v")), n).distinct()
+        large = cut(gathered(large, n)) if n > HUB else large
         tied = _looked_up(large, large.groupBy("u").agg(F.min("v").alias("_m")), "u", n)
-        now = cut(tied.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("_l")).select("_l.u", "_l.v").where(F.col("u") != F.col("v")).distinct())
+        both = tied.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct("u", F.col("_m").alias("v")))).alias("_l")).select("_l.u", "_l.v").where(F.col("u") != F.col("v"))
+        now = cut(gathered(gathered(both, n).distinct(), n))
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

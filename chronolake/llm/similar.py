@@ -187,12 +187,14 @@ def near_links(sets: DataFrame, shape: Bands) -> DataFrame:
 def print_links(prints: DataFrame) -> DataFrame:
     """u, v: links between the sets (fp) of texts whose fingerprints (print) SimHash links; ``prints``: fp, print, no repeats.
 
-    All sets of a component of fingerprints are tied to the smallest of them.
+    All sets of a fingerprint are tied to the smallest of them, and a link of two fingerprints ties their smallest sets, so
+    components of these links are those that the linked fingerprints make.
     """
-    roots = components(simhash.near_links(prints.select(F.col("print").alias("fp")).distinct(), PRINT_RADIUS))
-    named = prints.join(roots, prints["print"] == roots["node"], "left").select("fp", F.coalesce("root", "print").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("fp").alias("v"), F.max("fp").alias("_most")).where("v < _most").select("_root", "v")
-    return named.join(least, "_root").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v").distinct()
+    least = cut(prints.groupBy("print").agg(F.min("fp").alias("_least")))
+    own = prints.join(least, "print").select(F.col("fp").alias("u"), F.col("_least").alias("v"))
+    ends = [least.select(F.col("print").alias(c), F.col("_least").alias(f"_{c}")) for c in ("u", "v")]
+    across = simhash.near_links(least.select(F.col("print").alias("fp")), PRINT_RADIUS).join(ends[0], "u").join(ends[1], "v")
+    return own.where("u > v").unionByName(across.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).where("u > v")).distinct()
 
 
 def near_copies(docs: DataFrame, shape: Bands = Bands(), prints: bool = False) -> DataFrame:

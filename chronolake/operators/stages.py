@@ -36,6 +36,18 @@ def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts else df.repartition(*keys)
 
 
+#: Rows of two or three numbers that lie in one part, at about.
+SHORT_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` short rows, in no more parts than these fill: one for each core at least.
+
+    Iterations over few rows then write a few files a round, whatever the session's number of shuffle partitions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // SHORT_ROWS)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, and read from there: its lineage ends, and lost executors cost nothing."""
     shared_folder(df.sparkSession)

@@ -24,3 +24,17 @@ def test_links_of_fingerprints(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], SCHEMA)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([3, 11, 20, 21, 30])
+
+
+def test_few_links_lie_in_few_parts(spark):
+    """A round over few links writes as many files as these fill, not one for each of the session's shuffle partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 97)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        roots = simhash.components(spark.createDataFrame([(k + 1, k) for k in range(40)], "u long, v long"))
+        assert roots.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {tuple(r) for r in roots.collect()} == {(k, 0) for k in range(1, 41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
