@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import companyfacts
 from ..operators.stages import dealt, parts_of
 from ..sources import documents
-from .catalog import query, read
+from .catalog import day, query, read
 
 #: A fact from a line item and its order; both engines run these texts.
 FACT = {
@@ -29,17 +29,29 @@ def _parts(spark, d) -> int | None:
     return parts_of(spark, read(spark, d, "lineitem").count())
 
 
+def _lines(spark, d, parts: int | None) -> DataFrame:
+    """Line items with their orders.
+
+    Dealt into ``parts`` parts, both sides lie by order and a part's few orders are looked up, so no task sorts or holds a
+    share that grows with the tables. All that facts take from the day of shipment is its date.
+    """
+    orders, lines = read(spark, d, "orders"), read(spark, d, "lineitem").withColumn("l_shipdate", day("l_shipdate"))
+    if parts:
+        orders, lines = dealt(orders, parts, "o_orderkey").hint("shuffle_hash"), dealt(lines, parts, "l_orderkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
 def payloads(spark, d) -> DataFrame:
     """A document for each customer: its facts by concept and unit, in the order of their text.
 
     A customer's rows are brought together once, before they are texts; all groups go by customer first.
     """
-    raw = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    rows = dealt(raw, _parts(spark, d), "o_custkey").select(F.col("o_custkey").alias("cik"), *[F.expr(x).alias(n) for n, x in FACT.items()])
+    parts = _parts(spark, d)
+    rows = dealt(_lines(spark, d, parts), parts, "o_custkey").select(F.col("o_custkey").alias("cik"), *[F.expr(x).alias(n) for n, x in FACT.items()])
     dated = rows.withColumns({n: F.col(n).cast("string") for n in ("start", "end", "filed")})
     fact = F.struct("accn", "end", "start", "val", "fy", "fp", "form", "filed")
-    units = dated.groupBy("cik", "concept", "unit").agg(F.array_sort(F.collect_list(fact)).alias("facts"))
-    concepts = units.groupBy("cik", "concept").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit", "facts")))).alias("units"))
+    units = dated.groupBy("cik", "concept", "unit").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+    concepts = units.groupBy("cik", "concept").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit", "facts")))).alias("units"))
     whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units").alias("u")))).alias("gaap"))
     return whole.select(F.col("cik").cast("string").alias("key"), F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), F.col("gaap")).alias("facts"))).alias("payload"))
 

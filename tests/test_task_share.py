@@ -32,6 +32,19 @@ def test_documents_meet_once(spark, name, most):
     assert len(shuffles(entry.queries()[name](spark, FOLDER))) <= most
 
 
+def test_orders_and_lines_meet_in_parts(spark, monkeypatch):
+    """Both sides of the join lie in as many parts as the rows need, not in the session's partitions, and are not sorted."""
+    whole = entry.queries()["facts_storage_withheld"](spark, FOLDER)
+    monkeypatch.setattr(plans, "_parts", lambda spark, d: 7)
+    found = entry.queries()["facts_storage_withheld"](spark, FOLDER)
+    assert shuffles(found).count(7) == 4 and set(shuffles(found)) == {7}
+    said = io.StringIO()
+    with redirect_stdout(said):
+        found.explain()
+    assert "ShuffledHashJoin" in said.getvalue() and "SortMergeJoin" not in said.getvalue()
+    assert found.exceptAll(whole).isEmpty() and found.count() == whole.count()
+
+
 @pytest.mark.parametrize("policy", ["sec-companyfacts-v3", "sec-companyfacts-v4"])
 def test_exact_policies_shuffle_after_unions_only(spark, policy):
     rows = companyfacts.stored_facts(documents.company_facts(plans.payloads(spark, FOLDER)), companyfacts.POLICIES[policy], parts=7)
