@@ -7,6 +7,7 @@ disagree, and whether revenue follows rules of its own for reviewed issuers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,11 +102,10 @@ def fiscal_period(fp: Column, fy: Column) -> Column:
     return F.when((code == "FY") & year.isNotNull(), F.concat(F.lit("FY"), year)).when(code.isNotNull() & year.isNotNull(), F.concat(code, F.lit("_"), year)).otherwise(F.coalesce(code, F.lit("INST")))
 
 
-def candidates(facts: DataFrame, policy: Policy, issuer_class: Column, parts: int | None = None) -> DataFrame:
+def candidates(facts: DataFrame, policy: Policy, issuer_class: Column) -> DataFrame:
     """``facts`` that stand for a metric, with metric, statement and priority (the concept's place).
 
-    Where a refiner's revenue is derived, what it is derived from comes along without a metric. The rows of a document are
-    brought together here, once: all that follows goes by document first.
+    Where a refiner's revenue is derived, what it is derived from comes along without a metric.
     """
     rows = []
     for metric, statement, concepts in METRICS:
@@ -116,7 +116,7 @@ def candidates(facts: DataFrame, policy: Policy, issuer_class: Column, parts: in
         rows += [("refiner", None, None, c, "us-gaap", None) for c in (GROSS_REVENUE, EXCISE_TAXES)]
     table = facts.sparkSession.createDataFrame(rows, "_class string, metric string, statement string, _concept string, _taxonomy string, priority int")
     on = (F.col("concept") == F.col("_concept")) & (F.col("taxonomy") == F.col("_taxonomy")) & (F.col("_class").isNull() | (F.col("_class") == F.col("_issuer")))
-    return dealt(facts.withColumn("_issuer", issuer_class).join(F.broadcast(table), on).drop("_class", "_concept", "_taxonomy", "_issuer"), parts, "key")
+    return facts.withColumn("_issuer", issuer_class).join(F.broadcast(table), on).drop("_class", "_concept", "_taxonomy", "_issuer")
 
 
 def first_of_concepts(rows: DataFrame) -> DataFrame:
@@ -136,55 +136,70 @@ def exact_shares(rows: DataFrame) -> DataFrame:
 
 def derived_revenue(rows: DataFrame) -> DataFrame:
     """Gross revenue less excise taxes of the same context, where either has one value and the difference isn't negative."""
+    c = F.col
     context = ["key", "cik", "accn", "start", "end", "filed", "form", "fp", "fy", "unit"]
-    one = lambda concept, name: (
-        rows.where((F.col("concept") == concept) & (F.col("taxonomy") == "us-gaap") & (F.col("unit") == "USD"))
-        .groupBy(*context).agg(F.min("val").alias(name), F.max("val").alias("_most"), F.min("position").alias(f"{name}_at"), F.min("frame").alias(f"{name}_frame")).where(F.col(name) == F.col("_most")).drop("_most")
-    )
-    a, b = one(GROSS_REVENUE, "gross").alias("a"), one(EXCISE_TAXES, "tax").alias("b")
-    both = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in context])
-    net = both.select(*[F.col(f"a.{c}") for c in context], (F.col("gross") - F.col("tax")).alias("val"), F.col("gross_at").alias("position"), F.col("gross_frame").alias("frame"))
+    gross, tax = c("concept") == GROSS_REVENUE, c("concept") == EXCISE_TAXES
+    both = rows.where((gross | tax) & (c("taxonomy") == "us-gaap") & (c("unit") == "USD")).groupBy(*context).agg(
+        F.min(F.when(gross, c("val"))).alias("_gross"),
+        F.max(F.when(gross, c("val"))).alias("_most_gross"),
+        F.min(F.when(tax, c("val"))).alias("_tax"),
+        F.max(F.when(tax, c("val"))).alias("_most_tax"),
+        F.min(F.when(gross, c("position"))).alias("position"),
+        F.min(F.when(gross, c("frame"))).alias("frame"),
+    )
+    net = both.where("_gross = _most_gross AND _tax = _most_tax").select(*context, (c("_gross") - c("_tax")).alias("val"), "position", "frame")
     return net.where("val >= 0").withColumns({"taxonomy": F.lit("derived:us-gaap"), "concept": F.lit(NET_REVENUE), "metric": F.lit("revenue"), "statement": F.lit("income"), "priority": F.lit(-1)})
 
 
-def in_context(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Exact policies: rows of the metric's unit that stand for their filing's period, or for a moment."""
-    fits = rows.where(F.col("unit") == unit_of(F.col("metric")))
-    bound = fits.where(F.col("val").isNotNull() & (F.trim("accn") != "") & F.col("end").isNotNull() & F.col("filed").isNotNull() & (F.trim("form") != ""))
-    over_time = F.col("metric").isin(*FLOWS, *PER_SHARE)
-    periods = ingest.period_contexts(bound.where(over_time), ["key", "metric", "accn"], F.col("unit"))
+def over_time(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Exact policies: rows of metrics over a period, of the metric's unit, that stand for their filing's period, with
+    period_value. All windows have one order."""
+    keys = ["key", "metric", "accn"]
+    periods = ingest.period_contexts(rows, keys, unit_of(F.col("metric")))
     if policy.issuers:
-        least = F.min("priority").over(Window.partitionBy("key", "metric", "accn", "end"))
+        least = F.min("priority").over(Window.partitionBy(*keys, "end"))
         periods = periods.withColumn("_least", least).where((F.col("metric") != "revenue") | (F.col("priority") == F.col("_least"))).drop("_least")
-    moments = bound.where(~over_time & F.col("start").isNull() & F.trim("form").isin(*ingest.ANNUAL_FORMS, *ingest.INTERIM_FORMS))
-    return periods.unionByName(moments)
+    return ingest.single_period(periods.withColumn("_order", F.struct("priority", "position")), keys, order="_order", complete=True)
 
 
 ECONOMICS = ("fiscal_period", "statement", "value", "quarter_value", "unit")
 
 
-def stored_facts(facts: DataFrame, policy: Policy, issuer_class: Column | None = None, parts: int | None = None) -> DataFrame:
+def stored_facts(facts: DataFrame, policy: Policy, issuer_class: Column | None = None, parts: int | None = None, metrics: Sequence[str] | None = None) -> DataFrame:
     """key, cik, period_end, as_of_date, metric, the economics, conflict (did rows of the key disagree?), locators (exact
     policies: where the facts stand), problem.
 
     ``facts`` is what ``sources.documents.company_facts`` gives. Facts that end after they were filed count where the value
     of a single period is chosen, but aren't stored themselves. A filing that contradicts itself carries a problem.
     Documents are dealt into ``parts`` parts; all windows and groups of a document then lie in one of them, and only unions
-    bring its rows together again.
+    bring its rows together again. Where ``metrics`` are named, only theirs are made.
     """
     c = F.col
-    said = candidates(facts.drop("problem", "label"), policy, revenue_class(c("cik")) if issuer_class is None else issuer_class, parts)
-    if policy.exact:
-        said = cut(said)  # several parts read it: documents are parsed once
-        rows = said.where("metric <> 'shares_out'").withColumn("problem", F.lit(None).cast("string")).unionByName(exact_shares(said.where("metric = 'shares_out'")))
-        if policy.issuers:
-            rows = rows.unionByName(derived_revenue(said.where("metric IS NULL")).withColumn("problem", F.lit(None).cast("string")), allowMissingColumns=True)
-        rows = dealt(in_context(dealt(rows, parts, "key"), policy), parts, "key")
-    else:
-        rows = first_of_concepts(said).withColumn("problem", F.lit(None).cast("string"))
+    said = candidates(facts.drop("problem", "label"), policy, revenue_class(c("cik")) if issuer_class is None else issuer_class)
+    if metrics is not None:
+        said = said.where(c("metric").isNull() | c("metric").isin(*metrics))
+    ordered = F.struct("priority", "position")
+    if not policy.exact:
+        rows = first_of_concepts(dealt(said, parts, "key")).withColumns({"problem": F.lit(None).cast("string"), "_order": ordered})
+        return _stored(ingest.single_period(rows, ["key", "metric", "accn"], order="_order"), policy)
+    said = cut(said)  # several parts read it: documents are parsed once
+    bound = said.where((c("unit") == unit_of(c("metric"))) & c("val").isNotNull() & (F.trim("accn") != "") & c("end").isNotNull() & c("filed").isNotNull() & (F.trim("form") != ""))
+    lasting = c("metric").isin(*FLOWS, *PER_SHARE)
+    periods = bound.where(lasting)
+    if policy.issuers:
+        periods = periods.unionByName(derived_revenue(dealt(said.where("metric IS NULL"), parts, "key")))
+    periods = over_time(dealt(periods, parts, "key"), policy).withColumn("problem", F.lit(None).cast("string"))
+    shares = exact_shares(dealt(said.where("metric = 'shares_out'"), parts, "key")).where(F.trim("form").isin(*ingest.ANNUAL_FORMS, *ingest.INTERIM_FORMS))
+    others = bound.where(~lasting & (c("metric") != "shares_out") & c("start").isNull() & F.trim("form").isin(*ingest.ANNUAL_FORMS, *ingest.INTERIM_FORMS))
+    moments = dealt(others.withColumn("problem", F.lit(None).cast("string")).unionByName(shares), parts, "key").withColumns({"_order": ordered, "period_value": c("val")})
+    return _stored(periods, policy).unionByName(_stored(moments, policy))  # no metric is in both
+
+
+def _stored(rows: DataFrame, policy: Policy) -> DataFrame:
+    """One row for each storage key (or all, by the policy) of rows with period_value, _order and problem."""
+    c = F.col
     flow = c("metric").isin(*FLOWS)
-    single = ingest.single_period(rows.withColumn("_order", F.struct("priority", "position")), ["key", "metric", "accn"], order="_order")
-    named = single.where(c("val").isNotNull() & c("end").isNotNull() & c("filed").isNotNull() & (c("end") <= c("filed"))).select(
+    named = rows.where(c("val").isNotNull() & c("end").isNotNull() & c("filed").isNotNull() & (c("end") <= c("filed"))).select(
         "key",
         "cik",
         c("end").alias("period_end"),
@@ -203,11 +218,12 @@ def stored_facts(facts: DataFrame, policy: Policy, issuer_class: Column | None =
     keys = ["key", "cik", "period_end", "as_of_date", "metric"]
     if not policy.one_row:
         return named.select(*keys, *ECONOMICS, F.lit(False).alias("conflict"), F.array().cast("array<string>").alias("locators"), "problem")
-    if policy.issuers:
-        least = F.min("priority").over(Window.partitionBy(*keys))
-        named = named.withColumn("_least", least).where((c("metric") != "revenue") | (c("priority") == c("_least"))).drop("_least")
+    # of the revenue of reviewed issuers only rows of a key's least priority count: they come first in both orders
+    rank = F.when(c("metric") == "revenue", c("priority")).otherwise(F.lit(0)) if policy.issuers else F.lit(0)
     economics = F.struct(*ECONOMICS)
-    found = named.groupBy(*keys).agg(F.min_by(economics, c("_order")).alias("_e"), (F.to_json(F.min(economics)) != F.to_json(F.max(economics))).alias("conflict"), F.array_sort(F.collect_set(F.to_json("_locator"))).alias("_locators"), F.max("problem").alias("problem"))
+    first, least, most = F.min_by(economics, F.struct(rank, "_order")), F.min(F.struct(rank.alias("_rank"), economics.alias("_e"))), F.max(F.struct((-rank).alias("_rank"), economics.alias("_e")))
+    places = F.collect_set(F.struct(rank.alias("_rank"), F.to_json("_locator").alias("_at")))
+    found = named.groupBy(*keys).agg(first.alias("_e"), (~least["_e"].eqNullSafe(most["_e"])).alias("conflict"), least["_rank"].alias("_least"), places.alias("_places"), F.max("problem").alias("problem"))
     kept = found if policy.first_wins else found.where("NOT conflict")
-    locators = c("_locators") if policy.exact else F.array().cast("array<string>")
+    locators = F.expr("array_sort(transform(filter(_places, x -> x._rank = _least), x -> x._at))") if policy.exact else F.array().cast("array<string>")
     return kept.select(*keys, "_e.*", "conflict", locators.alias("locators"), "problem")

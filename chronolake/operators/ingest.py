@@ -32,14 +32,15 @@ def _span() -> Column:
     return F.datediff("end", "start")
 
 
-def single_period(rows: DataFrame, keys: Sequence[str], order: str = "position") -> DataFrame:
+def single_period(rows: DataFrame, keys: Sequence[str], order: str = "position", complete: bool = False) -> DataFrame:
     """Adds period_value: of the rows of one filing and period end, the value with the shortest span, or the longest where
     any is of a full year. A lone row keeps its value; of several, those without a start have no say. Ties go by ``order``.
 
     ``rows``: keys (the filing among them), start, end, fp, val. Groups are one company's rows of one concept and filing.
+    ``complete``: all of them have a val and an end, so groups are those of ``period_contexts`` and need no order of their own.
     """
-    said = F.col("val").isNotNull() & F.col("end").isNotNull()
-    group = Window.partitionBy(*keys, "end", said)
+    said = F.lit(True) if complete else F.col("val").isNotNull() & F.col("end").isNotNull()
+    group = Window.partitionBy(*keys, "end") if complete else Window.partitionBy(*keys, "end", said)
     there = said & _span().isNotNull()
     row = F.struct(_span().alias("span"), F.col(order).alias("order"), F.col("val").alias("val"))
     longest, shortest = F.max(F.when(there, row)).over(group), F.min(F.when(there, row)).over(group)
@@ -58,11 +59,12 @@ def period_contexts(rows: DataFrame, keys: Sequence[str], unit: Column) -> DataF
     whole = rows.where((c("unit") == unit) & c("val").isNotNull() & named & _span().between(1, LONGEST_SPAN))
     group = Window.partitionBy(*keys, "end")
     context = F.struct(F.trim("fp"), "fy")
-    agreed = whole.withColumn("_same", F.min(context).over(group) == F.max(context).over(group)).where("_same")
+    same = F.min(context).over(group) == F.max(context).over(group)
     annual = F.trim("fp") == "FY"
-    formed = agreed.where(F.when(annual, F.trim("form").isin(*ANNUAL_FORMS)).otherwise(F.trim("form").isin(*INTERIM_FORMS)))
-    wanted = F.when(annual, F.max(_span()).over(group)).otherwise(F.min(_span()).over(group))
-    return formed.withColumn("_wanted", wanted).where(_span() == c("_wanted")).drop("_same", "_wanted")
+    formed = F.when(annual, F.trim("form").isin(*ANNUAL_FORMS)).otherwise(F.trim("form").isin(*INTERIM_FORMS))
+    span = F.when(formed, _span())  # rows of other forms have no say in it
+    wanted = F.when(annual, F.max(span).over(group)).otherwise(F.min(span).over(group))
+    return whole.withColumns({"_same": same, "_wanted": wanted}).where(c("_same") & formed & (_span() == c("_wanted"))).drop("_same", "_wanted")
 
 
 def storage_rows(rows: DataFrame, keys: Sequence[str], economics: Sequence[str], order: str, keep_first: bool = True, priority: str | None = None) -> DataFrame:

@@ -44,16 +44,18 @@ def _lines(spark, d, parts: int | None) -> DataFrame:
 def payloads(spark, d) -> DataFrame:
     """A document for each customer: its facts by concept and unit, in the order of their text.
 
-    A customer's rows are brought together once, before they are texts; all groups go by customer first.
+    A customer's rows are brought together once, before they are texts, and are one group: its concepts and units are told
+    apart within the sorted list.
     """
     parts = _parts(spark, d)
     rows = dealt(_lines(spark, d, parts), parts, "o_custkey").select(F.col("o_custkey").alias("cik"), *[F.expr(x).alias(n) for n, x in FACT.items()])
     dated = rows.withColumns({n: F.col(n).cast("string") for n in ("start", "end", "filed")})
-    fact = F.struct("accn", "end", "start", "val", "fy", "fp", "form", "filed")
-    units = dated.groupBy("cik", "concept", "unit").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
-    concepts = units.groupBy("cik", "concept").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit", "facts")))).alias("units"))
-    whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units").alias("u")))).alias("gaap"))
-    return whole.select(F.col("cik").cast("string").alias("key"), F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), F.col("gaap")).alias("facts"))).alias("payload"))
+    fact = F.struct("accn", "end", "start", "val", "fy", "fp", "form", "filed").alias("fact")
+    whole = dated.groupBy("cik").agg(F.sort_array(F.collect_list(F.struct("concept", "unit", fact))).alias("rows"))
+    concepts = whole.select("cik", F.expr("transform(array_distinct(rows.concept), c -> struct(c AS concept, filter(rows, x -> x.concept = c) AS rows))").alias("concepts"))
+    units = "map_from_entries(transform(array_distinct(c.rows.unit), u -> struct(u, transform(filter(c.rows, x -> x.unit = u), x -> x.fact))))"
+    gaap = F.expr(f"map_from_entries(transform(concepts, c -> struct(c.concept, named_struct('units', {units}))))")
+    return concepts.select(F.col("cik").cast("string").alias("key"), F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), gaap).alias("facts"))).alias("payload"))
 
 
 _ROWS = f"""r AS (SELECT o_custkey AS cik, {', '.join(f'{x} AS "{n}"' for n, x in FACT.items())} FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
@@ -79,8 +81,8 @@ o AS (SELECT cik, "end", filed, metric, arg_min((period, statement, val, qv), (p
 SELECT cik, "end" AS period_end, filed AS as_of_date, metric, e[1] AS fiscal_period, e[3] AS value, e[4] AS quarter_value, 'USD' AS unit, conflict FROM o"""
 
 
-def _stored(spark, d, policy: str, issuer=None) -> DataFrame:
-    return companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES[policy], issuer, _parts(spark, d))
+def _stored(spark, d, policy: str, issuer=None, metrics=None) -> DataFrame:
+    return companyfacts.stored_facts(documents.company_facts(payloads(spark, d)), companyfacts.POLICIES[policy], issuer, _parts(spark, d), metrics)
 
 
 def _selected(df: DataFrame) -> DataFrame:

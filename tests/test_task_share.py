@@ -5,6 +5,7 @@ import re
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chronolake.operators import companyfacts, stages
@@ -52,6 +53,33 @@ def test_exact_policies_shuffle_after_unions_only(spark, policy):
     assert rows.count() == companyfacts.stored_facts(documents.company_facts(plans.payloads(spark, FOLDER)), companyfacts.POLICIES[policy]).count()
 
 
+@pytest.mark.parametrize("policy", ["sec-companyfacts-v3", "sec-companyfacts-v4"])
+def test_exact_policies_keep_to_their_parts(spark, policy):
+    """No window or group after the documents falls back on the session's partitions, and periods have one order for all windows."""
+    facts = documents.company_facts(plans.payloads(spark, FOLDER))
+    issuer = F.when(F.col("cik") % 2 == 0, "refiner").otherwise("assessed")
+    rows = companyfacts.stored_facts(facts, companyfacts.POLICIES[policy], issuer, parts=7)
+    assert set(shuffles(rows)) == {7} and len(shuffles(rows)) <= 4
+    said = io.StringIO()
+    with redirect_stdout(said):
+        rows.explain()
+    assert len(re.findall(r"\bSort \[key", said.getvalue())) <= 5 and "Join" not in said.getvalue()
+
+
+def test_named_metrics_only(spark):
+    facts = documents.company_facts(plans.payloads(spark, FOLDER))
+    policy, issuer = companyfacts.POLICIES["sec-companyfacts-v4"], F.when(F.col("cik") % 2 == 0, "refiner").otherwise("assessed")
+    some, whole = companyfacts.stored_facts(facts, policy, issuer, 7, ["revenue"]), companyfacts.stored_facts(facts, policy, issuer).where("metric = 'revenue'")
+    assert sorted(some.collect()) == sorted(whole.collect()) and some.where(F.exists("locators", lambda x: F.contains(x, F.lit(companyfacts.NET_REVENUE)))).count() > 0
+
+
+def test_document_is_one_group(spark):
+    said = io.StringIO()
+    with redirect_stdout(said):
+        plans.payloads(spark, FOLDER).explain()
+    assert said.getvalue().count("ObjectHashAggregate(") == 2
+
+
 def test_lines_meet_once(spark):
     """Duplicate and conflicting keys of lines are one aggregate of rows that meet by order, without a distinct count."""
     said = io.StringIO()
