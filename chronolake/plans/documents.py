@@ -145,6 +145,6 @@ def facts_v4(spark, d):
 def facts_by_class(spark, d):
     """Revenue rows by class of issuer, and how many of them are derived."""
     issuer = F.get(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("cik") % 6).cast("int"))
-    rows = _stored(spark, d, "sec-companyfacts-v4", issuer).where("metric = 'revenue'")
+    rows = _stored(spark, d, "sec-companyfacts-v4", issuer, ["revenue"])
     derived = F.exists("locators", lambda x: F.contains(x, F.lit(companyfacts.NET_REVENUE)))
     return rows.groupBy((F.col("cik") % 6).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(derived).alias("n_derived"))
