@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices
+from .common import in_short_batches, kept, slices
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of pieces in one recursive query; pieces above LONG bytes go through the second form.
 QUERY_BYTES, LONG = 400_000, 48
 #: Pieces that a worker remembers; then it keeps those that came more than once, half of that at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 #: Contracts one pair of each piece in a round.
 _ONE = """
@@ -156,6 +156,7 @@ def _coder(ranks: list[tuple[bytes, int]], pattern: str) -> Coder:
     """This worker's coder; one vocabulary at a time."""
     coder = kept.get("bpe")
     if coder is None or coder.source is not ranks or coder.pattern.pattern != pattern:
+        coder = kept["bpe"] = None  # the old one goes before the new one is made
         coder = kept["bpe"] = Coder(ranks, pattern)
     return coder
 
@@ -182,7 +183,7 @@ def tokenize(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, pass
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids for ids, _ in made), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passing), ids, pa.array([back for _, back in made], pa.binary())], names=names)
 
-    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(encoded, fields)
+    return in_short_batches(docs).select(*dict.fromkeys([*passing, "text"])).mapInArrow(encoded, fields)
 
 
 def decode(rows: DataFrame, ranks: list[tuple[bytes, int]], ids: str = "token_ids", passing: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -205,7 +206,7 @@ def decode(rows: DataFrame, ranks: list[tuple[bytes, int]], ids: str = "token_id
                         back[some[w]] = data
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passing), pa.array(back, pa.binary())], names=[*passing, "decoded"])
 
-    return rows.select(*dict.fromkeys([*passing, ids])).mapInArrow(decoded, fields)
+    return in_short_batches(rows).select(*dict.fromkeys([*passing, ids])).mapInArrow(decoded, fields)
 
 
 def digests(encoded: DataFrame) -> list[Column]:

@@ -56,6 +56,19 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
+#: Bytes of rows that go to a Python worker at once, at about; Spark's own limit of 64 MB lets whole partitions go in one batch.
+BATCH_BYTES = 4 << 20
+
+
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends rows to Python workers in batches of about ``BATCH_BYTES``.
+
+    A batch stands in the executor's and in the worker's memory, outside the heap and copied; a longer row is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 #: What a Python worker keeps from one task to the next, by operator.
 kept: dict[str, object] = {}
 

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut, gathered, join_by_key, slices, starts_of, texts_of, words_of
+from .common import BROADCAST_ROWS, cut, gathered, in_short_batches, join_by_key, slices, starts_of, texts_of, words_of
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SEED = 42
 BANDS = 4
 #: Rows of a key that are compared at once; larger keys are dealt into cells of two such parts.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 3, passing: tuple[str, ...] = ("d
             fp = fingerprints_of(*shingle_hashes(texts_of(batch), width), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passing), pa.array(fp.view(np.int64))], names=[*passing, "fp"])
 
-    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, T.StructType([docs.schema[c] for c in passing] + [T.StructField("fp", T.LongType())]))
+    return in_short_batches(docs).select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, T.StructType([docs.schema[c] for c in passing] + [T.StructField("fp", T.LongType())]))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:

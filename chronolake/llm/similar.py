@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import cut, slices, starts_of, texts_of
+from .common import cut, in_short_batches, slices, starts_of, texts_of
 from .simhash import SLICE_BYTES, components, shingle_hashes
 
 #: Sets, and shingle hashes, of a part of a group, at most about.
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, shape: Bands, passing: tuple[str, ...] = ("doc_id"
 
     fields = [docs.schema[c] for c in passing] + [T.StructField("fp", T.LongType())]
     fields += [T.StructField(c, kind) for c, kind in (("keys", T.ArrayType(T.LongType())), ("print", T.LongType()), ("shingles", T.BinaryType())) if c in adding]
-    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, T.StructType(fields))
+    return in_short_batches(docs).select(*dict.fromkeys([*passing, "text"])).mapInArrow(made, T.StructType(fields))
 
 
 def candidate_links(distinct: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def near_links(sets: DataFrame, shape: Bands) -> DataFrame:
         .select("group", cell.alias("_cell"), "fp", "shingles")
         .select("group", "_cell.i", "_cell.j", "fp", "shingles")
     )
-    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare(shape), "u long, v long").distinct()
+    return in_short_batches(rows).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_compare(shape), "u long, v long").distinct()
 
 
 def print_links(prints: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ragged, slices, starts_of, sums_by, texts_of
+from .common import cut, in_short_batches, ragged, slices, starts_of, sums_by, texts_of
 from .features import sigmoid, telling_counts, word_and_stem_codes
 
 SENTENCE_END = r"[.!?\n]+"
 DIMENSION = 1 << 18
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 HELD_OUT = 2
 
 
@@ -94,7 +94,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataF
                 names=["doc_id", "toxic", "n_sentences", "sentence", "code"],
             )
 
-    made = texts.mapInArrow(bags, "doc_id long, toxic int, n_sentences int, sentence binary, code binary")
+    made = in_short_batches(texts).mapInArrow(bags, "doc_id long, toxic int, n_sentences int, sentence binary, code binary")
     one = made.groupBy("doc_id", "toxic").agg(F.min(F.struct("n_sentences", "sentence", "code")).alias("_bag"))
     return one.select("doc_id", "toxic", "_bag.*")
 
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_sentences:
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), spans))
             yield pa.RecordBatch.from_arrays(columns, names=[*passing, "score", "n_sentences", "worst_sentence", "worst_score"] + ["sentences"] * keep_sentences)
 
-    return docs.select(*dict.fromkeys([*passing, "text"])).mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return in_short_batches(docs).select(*dict.fromkeys([*passing, "text"])).mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
