@@ -36,4 +36,4 @@ def test_pieces_that_a_worker_remembers_fit_its_memory():
     for begin in range(100_000, 700_000, 60_000):
         numbers = [str(k) for k in range(begin, begin + 60_000)]
         assert coder.encode([" ".join(numbers)])[0][0] == toxicity.np.frombuffer("".join(numbers).encode(), "u1").astype("<i4").tobytes()
-    assert size(coder.known) + size(coder.again) + sum(size(p) + size(ids) for p, ids in coder.known.items()) < 90e6
+    assert size(coder.known) + size(coder.again) + sum(size(p) + size(ids) for p, ids in coder.known.items()) < 70e6
